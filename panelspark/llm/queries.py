@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .kn_lm import perplexity_scores
 from .ngram_jaccard import jaccard_components
+from .token_counts import token_counts
+from .token_files import tokens_through_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,5 +19,26 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard,)}
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole document under the word-piece vocabulary."""
+    return token_counts(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole document, through ORC files in ascending doc_id order."""
+    return tokens_through_files(spark, _table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every whole document under a model of those not held out."""
+    return perplexity_scores(spark, _table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_token_counts, op5_token_files, op6_kneser_ney)}
 ORACLE_SQL: dict[str, str] = {}
