@@ -4,35 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import contaminated
 from .kn_lm import perplexity_scores
+from .mixing import mix
 from .ngram_jaccard import jaccard_components
+from .pii import find_personal_data
+from .quality import quality_verdicts
 from .token_counts import token_counts
 from .token_files import tokens_through_files
+from .url_filters import judge_urls
+from .warc import archive_pages
+
+#: Rules of the url query: action, host, start of the path.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under five-word Jaccard similarity of 0.75 or more."""
     return jaccard_components(spark, _table(spark, sf_dir, "documents"))
 
 
-def _tokenizer(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on every page's url by rules and aliases."""
+    return judge_urls(spark, _table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole document under the word-piece vocabulary."""
-    return token_counts(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return token_counts(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of every page, written to seekable bundles and read back."""
+    records, _ = archive_pages(spark, _table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole document, through ORC files in ascending doc_id order."""
-    return tokens_through_files(spark, _table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return tokens_through_files(spark, _table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,5 +61,25 @@ def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity_scores(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_token_counts, op5_token_files, op6_kneser_ney)}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdicts of every whole document."""
+    return quality_verdicts(spark, _table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole document."""
+    return find_personal_data(spark, _table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the best window of each item."""
+    return contaminated(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document that bring the sources to their target weights."""
+    return mix(spark, _table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_url_filters, op3_token_counts, op4_warc, op5_token_files, op6_kneser_ney, op7_quality_rules, op8_pii, op9_decontamination, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}
