@@ -13,6 +13,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,35 +30,48 @@ class Encoder:
     """Ids of whole texts by the tokenizers library, remembered by space-separated piece.
 
     A byte-level splitting pattern always cuts before a space that precedes a visible character,
-    so the ids of a text are those of its pieces one after the other.
+    so the ids of a text are those of its pieces one after the other. New pieces are encoded
+    together, as one text, and told apart by the offsets of their tokens.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library, self.limit = Tokenizer.from_file(path), limit
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> dict[str, bytes]:
-        new = [p for p in pieces if p not in known]
-        ids = self.library.encode_batch_fast([lead + p for p in new], add_special_tokens=False)
-        found = {p: np.array(x.ids, "<u4").tobytes() for p, x in zip(new, ids, strict=True)}
-        if len(known) + len(found) > self.limit:
-            keep = {p: known[p] for p in pieces if p in known}
-            known.clear()
-            known.update(keep)
-        known.update(found)
-        return known
+        self.known: dict[str, bytes] = {}
+
+    def _one(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of pieces with a space before each."""
+        found = {p: self._one(" " + p) for p in new if not p or p[-1].isspace()}
+        plain = [p for p in new if p not in found]
+        for at in range(0, len(plain), 4000):
+            some = plain[at : at + 4000]
+            coded = self.library.encode(" " + " ".join(some), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(p) + 1 for p in some)])
+            begin = np.fromiter((o[0] for o in coded.offsets), np.int64, len(coded.offsets))
+            cuts = np.searchsorted(begin, starts) * 4
+            ids = np.array(coded.ids, "<u4").tobytes()
+            found.update(zip(some, (ids[i:j] for i, j in zip(cuts, cuts[1:])), strict=True))
+        return found
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with ``end`` after each."""
         split = [(_GAP.split(t) if _ODD.search(t) else t.split(" ")) for t in texts]
-        first = self._learn(self.first, {s[0] for s in split}, "")
-        later = self._learn(self.later, {p for s in split for p in s[1:]}, " ")
-        get = later.__getitem__
-        return [first[s[0]] + b"".join(map(get, s[1:])) + end for s in split]
+        first = [self._one(s[0]) for s in split]
+        pieces: set[str] = set()
+        for s in split:
+            s[0] = s[-1]  # the last piece stands in for the first, which has no space before it
+            pieces.update(s)
+        new = pieces.difference(self.known)
+        if len(self.known) + len(new) > self.limit:
+            self.known = {p: self.known[p] for p in pieces.difference(new)}
+        self.known.update(self._learn(list(new)))
+        get = self.known.__getitem__
+        return [f + b"".join(map(get, islice(s, 1, None))) + end for f, s in zip(first, split, strict=True)]
 
 
 @functools.lru_cache(maxsize=1)
