@@ -1,6 +1,9 @@
-"""Queries of the panel, text and signal operators over the given tables, and their SQL."""
+"""All queries of the panel, text and signal operators over the given tables, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .checks import panel
+
+_AREAS = (panel,)
+QUERIES = {name: run for area in _AREAS for name, run in area.QUERIES.items()}
+ORACLE_SQL = {name: text for area in _AREAS for name, text in area.ORACLE_SQL.items()}
