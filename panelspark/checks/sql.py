@@ -31,17 +31,21 @@ SCORES = """scores AS (
   SELECT cast(ts AS date) AS date, CASE WHEN event_type IN ('click', 'view') THEN 'blog' ELSE 'news' END AS source, cast(user_id AS varchar) AS secid,
     max(cast(cast(floor(value) AS bigint) % 7 - 3 AS double)) AS score
   FROM events GROUP BY ALL)"""
+def _part(status: str) -> str:
+    return half_up(f"sum(CASE WHEN o_orderstatus = '{status}' THEN o_totalprice ELSE 0 END)", 2)
+
+
 REPORTS = f"""reports AS (
   WITH t AS (SELECT cast(c_nationkey AS varchar) AS ticker, cast(o_orderdate AS date) AS d, o_totalprice, c_acctbal, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey),
   b AS (
     SELECT *, 'quarterly' AS report_type, last_day(make_date(year(d), quarter(d) * 3, 1)) AS period_end FROM t
     UNION ALL SELECT *, 'yearly', make_date(year(d), 12, 31) FROM t),
   g AS (
-    SELECT ticker, report_type, period_end, {half_up("sum(o_totalprice)", 2)} AS "Revenue", {half_up("sum(c_acctbal)", 2)} AS "NetIncome",
-      {half_up("sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END)", 2)} AS "Debt", {half_up("sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice ELSE 0 END)", 2)} AS "Cash"
+    SELECT ticker, report_type, period_end, {half_up("sum(o_totalprice)", 2)} AS "Revenue", {half_up("sum(c_acctbal) * 20", 2)} AS "NetProfit", {_part("P")} AS "EBITDA",
+      {half_up("max(o_totalprice) * 100", 2)} AS "Assets", {half_up("min(o_totalprice) * 100", 2)} AS "Equity", {_part("F")} AS "Debt", {_part("O")} AS "Cash"
     FROM b GROUP BY ALL)
   SELECT ticker, report_type, period_end, cast(period_end + to_days(CASE WHEN report_type = 'yearly' THEN 90 ELSE 45 END) AS date) AS publication_date, metric, value
-  FROM (UNPIVOT g ON "Revenue", "NetIncome", "Debt", "Cash" INTO NAME metric VALUE value))"""
+  FROM (UNPIVOT g ON "Revenue", "NetProfit", "EBITDA", "Assets", "Equity", "Debt", "Cash" INTO NAME metric VALUE value))"""
 
 
 def ewm(name: str, source: str, specs: dict[str, tuple[str, float]]) -> str:

@@ -1 +1 @@
-"""functions"""
+"""Column functions and small table transformations."""

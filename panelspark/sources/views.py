@@ -62,10 +62,12 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     quarter = F.last_day(F.make_date(F.year("d"), F.quarter("d") * 3, F.lit(1)))
     year = F.make_date(F.year("d"), F.lit(12), F.lit(31))
     both = t.withColumn("report_type", F.lit("quarterly")).withColumn("period_end", quarter).unionByName(t.withColumn("report_type", F.lit("yearly")).withColumn("period_end", year))
+    part = lambda status: half_up(F.sum(F.when(F.col("o_orderstatus") == status, F.col("o_totalprice")).otherwise(0.0)), 2)
     by = both.groupBy("ticker", "report_type", "period_end").agg(
-        half_up(F.sum("o_totalprice"), 2).alias("Revenue"), half_up(F.sum("c_acctbal"), 2).alias("NetIncome"), half_up(F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).otherwise(0.0)), 2).alias("Debt"),
-        half_up(F.sum(F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice")).otherwise(0.0)), 2).alias("Cash"),
+        half_up(F.sum("o_totalprice"), 2).alias("Revenue"), half_up(F.sum("c_acctbal") * 20, 2).alias("NetProfit"), part("P").alias("EBITDA"), half_up(F.max("o_totalprice") * 100, 2).alias("Assets"),
+        half_up(F.min("o_totalprice") * 100, 2).alias("Equity"), part("F").alias("Debt"), part("O").alias("Cash"),
     )
-    long = by.unpivot(["ticker", "report_type", "period_end"], ["Revenue", "NetIncome", "Debt", "Cash"], "metric", "value")
+    names = ["Revenue", "NetProfit", "EBITDA", "Assets", "Equity", "Debt", "Cash"]
+    long = by.unpivot(["ticker", "report_type", "period_end"], names, "metric", "value")
     lag = F.when(F.col("report_type") == "yearly", 90).otherwise(45)
     return long.select("ticker", "report_type", "period_end", F.date_add("period_end", lag).alias("publication_date"), "metric", "value")
