@@ -1,55 +1,19 @@
-"""Helpers shared by the training-data operators: shared scratch tables and word hashing."""
+"""Helpers shared by the training-data operators: word hashing and shingles."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+
+from ..scratch import Scratch
+
+__all__ = ["Scratch", "WORD", "WS", "WordHash", "mix", "shingle_hashes", "word_hashes", "words_of"]
 
 #: White space that separates words: space and the control characters 9 to 13.
 WS = r"\x20\x09-\x0D"
 WORD = f"[^{WS}]+"
 
 
-class Scratch:
-    """Tables of one run in the folder that ``spark.checkpoint.dir`` names.
-
-    Writing a table cuts the lineage: lost executors cost a re-read, never a recomputation of
-    earlier stages. Where the setting is missing (tests, a laptop) a temporary folder is set.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="spark-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        self.root = f"{base}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def path(self, name: str) -> str:
-        self.count += 1
-        return f"{self.root}/{self.count:03d}-{name}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the table read back, with the schema that was written."""
-        path = self.path(name)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.scratch_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Remove a table of this run that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(path, True)
-
-
 class WordHash(dict):
     """64-bit hashes of words, remembered for at most ``limit`` words."""
 

@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import Scratch, WordHash, shingle_hashes, word_hashes, words_of
-from .graph import connected_components
 
 #: A shingle of so many classes or more is simply "very frequent"; prefixes put it last.
 SATURATED = 65_536

@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import Scratch
-from .graph import connected_components
 
 #: Copies of one hot url or component are shared out over so many tasks.
 SALTS = 64
