@@ -14,6 +14,11 @@ def near(x: str, digits: int) -> str:
     return f"(floor(({x}) * {p} + 0.4567) / {p})"
 
 
+def round_half(x: str, digits: int) -> str:
+    p = float(10**digits)
+    return f"(sign({x}) * floor(abs({x}) * {p} + 0.500000001) / {p})"
+
+
 _PRICE = half_up("l_extendedprice / l_quantity", 2)
 BARS = f"""bars AS (
   SELECT cast(l_suppkey AS varchar) AS secid, cast(l_shipdate AS date) AS date,

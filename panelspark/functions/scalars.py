@@ -13,6 +13,12 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def round_half(c: Column | str, digits: int) -> Column:
+    """Round halves away from zero, where a half is judged to a billionth as in decimal text."""
+    p = F.lit(float(10**digits))
+    return F.signum(_c(c)) * F.floor(F.abs(_c(c)) * p + 0.500000001) / p
+
+
 def no_nan(c: Column | str) -> Column:
     """NaN becomes null, at every boundary where numbers enter."""
     return F.nullif(_c(c), F.lit(float("nan")))

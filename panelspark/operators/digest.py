@@ -19,7 +19,7 @@ def top_scores(scores: DataFrame, n: int = 3, per_line: int = 3) -> DataFrame:
     market = F.col("secid").startswith("MOEX")
     w = Window.partitionBy("date", "source").orderBy(market.desc(), F.abs("score").desc(), "secid")
     ranked = valid.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n)
-    token = F.concat(F.lit("#"), "secid", F.lit(" : "), F.when(F.col("score") > 0, "+").otherwise("-"), F.format_number(F.abs("score"), "0.0"))
+    token = F.concat(F.lit("#"), "secid", F.lit(" : "), F.when(F.col("score") > 0, "+").otherwise("-"), F.format_string("%.1f", F.abs("score")))
     lines = ranked.groupBy("date", "source").agg(F.array_sort(F.collect_list(F.struct("_n", token.alias("t")))).alias("ts"))
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("ts") - 1) / per_line).cast("int")), lambda i: F.array_join(F.transform(F.slice("ts", i * per_line + 1, per_line), lambda t: t["t"]), " | "))
     shown = lines.select("date", "source", F.concat(F.array_join(parts, "\n"), F.lit("\n")).alias("top"))

@@ -64,7 +64,7 @@ def pivot_metrics(df: DataFrame, metrics: list[str]) -> DataFrame:
     """One row per ticker and publication date with ``<metric>_q`` and ``<metric>_y``; means on collisions."""
     suffix = F.when(F.col("report_type") == "yearly", "_y").otherwise("_q")
     names = [f"{m}{s}" for m in metrics for s in ("_q", "_y")]
-    return df.groupBy("ticker", F.col("publication_date").alias("date")).pivot(F.concat("metric", suffix).alias("name"), names).agg(F.avg("value"))
+    return df.withColumn("name", F.concat("metric", suffix)).groupBy("ticker", F.col("publication_date").alias("date")).pivot("name", names).agg(F.avg("value"))
 
 
 def daily_asof(df: DataFrame, end_date: str, key: str = "ticker") -> DataFrame:

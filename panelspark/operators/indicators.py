@@ -10,13 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .scan import alpha_of, ewm
 
-KEY = Window.partitionBy("secid").orderBy("date")
-SO_FAR = KEY.rowsBetween(Window.unboundedPreceding, 0)
+def _by() -> WindowSpec:
+    return Window.partitionBy("secid").orderBy("date")
+
+
+def _so_far() -> WindowSpec:
+    return _by().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _c(c: Column | str) -> Column:
@@ -25,24 +29,24 @@ def _c(c: Column | str) -> Column:
 
 def full(c: Column | str, n: int, fn: Callable[[Column], Column]) -> Column:
     """``fn`` over the last n rows, null unless all n values are there."""
-    w = KEY.rowsBetween(1 - n, 0)
+    w = _by().rowsBetween(1 - n, 0)
     return F.when(F.count(_c(c)).over(w) == n, fn(_c(c)).over(w))
 
 
 def rolling(df: DataFrame, col: str, n: int, fn: str, min_periods: int | None = None) -> DataFrame:
     """Add ``<col>_<fn>_<n>``: mean, sum, min, max or std (sample) of n rows with enough values."""
     f = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp}[fn]
-    w = KEY.rowsBetween(1 - n, 0)
+    w = _by().rowsBetween(1 - n, 0)
     return df.withColumn(f"{col}_{fn}_{n}", F.when(F.count(col).over(w) >= (min_periods or n), f(col).over(w)))
 
 
 def shifts(df: DataFrame, col: str, k: int) -> DataFrame:
     """Add the value k rows before, the difference to the row before and the running sum (null on null)."""
-    return df.withColumns({f"{col}_lag_{k}": F.lag(col, k).over(KEY), f"{col}_diff": F.col(col) - F.lag(col).over(KEY), f"{col}_cumsum": F.when(F.col(col).isNotNull(), F.sum(col).over(SO_FAR))})
+    return df.withColumns({f"{col}_lag_{k}": F.lag(col, k).over(_by()), f"{col}_diff": F.col(col) - F.lag(col).over(_by()), f"{col}_cumsum": F.when(F.col(col).isNotNull(), F.sum(col).over(_so_far()))})
 
 
 def before(c: Column | str, k: int = 1) -> Column:
-    return F.lag(_c(c), k).over(KEY)
+    return F.lag(_c(c), k).over(_by())
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -101,7 +105,7 @@ def vwap(df: DataFrame, period: int = 20) -> DataFrame:
 
 def obv(df: DataFrame, period: int = 20) -> DataFrame:
     df = df.withColumn("_v", F.signum(F.col("close") - before("close")) * F.col("volume"))
-    df = df.withColumn("OBV", F.when(F.col("_v").isNotNull(), F.sum("_v").over(SO_FAR)))
+    df = df.withColumn("OBV", F.when(F.col("_v").isNotNull(), F.sum("_v").over(_so_far())))
     return df.withColumn("OBV_MA", full("OBV", period, F.avg)).drop("_v")
 
 
@@ -153,7 +157,7 @@ def _money_flow() -> Column:
 def chaikin_ad(df: DataFrame) -> DataFrame:
     """Running money flow; null on a bar without range, and later bars go on."""
     df = df.withColumn("_f", _money_flow())
-    return df.withColumn("Chaikin_AD", F.when(F.col("_f").isNotNull(), F.sum("_f").over(SO_FAR))).drop("_f")
+    return df.withColumn("Chaikin_AD", F.when(F.col("_f").isNotNull(), F.sum("_f").over(_so_far()))).drop("_f")
 
 
 def chaikin_osc(df: DataFrame, fast: int = 3, slow: int = 10) -> DataFrame:
@@ -180,7 +184,7 @@ def ad_line(df: DataFrame) -> DataFrame:
     """Running money flow with 0 for bars whose flow would be infinite; null where high = low = close."""
     same = (F.col("high") == F.col("low")) & (F.col("close") == F.col("high"))
     df = df.withColumn("_f", F.when(~same, F.coalesce(_money_flow(), F.lit(0.0))))
-    return df.withColumn("AD_Line", F.when(F.col("_f").isNotNull(), F.sum("_f").over(SO_FAR))).drop("_f")
+    return df.withColumn("AD_Line", F.when(F.col("_f").isNotNull(), F.sum("_f").over(_so_far()))).drop("_f")
 
 
 def bull_bear(df: DataFrame, period: int = 13) -> DataFrame:
@@ -198,7 +202,7 @@ def tema(df: DataFrame, period: int = 20, price: str = "close") -> DataFrame:
 
 def sma_min1(df: DataFrame, cols: tuple[str, ...], periods: tuple[int, ...] = (1, 3, 7, 30, 180)) -> DataFrame:
     """Plain trailing means that also cover the first, shorter windows."""
-    return df.withColumns({f"{c}_SMA_{n}": F.avg(c).over(KEY.rowsBetween(1 - n, 0)) for c in cols for n in periods})
+    return df.withColumns({f"{c}_SMA_{n}": F.avg(c).over(_by().rowsBetween(1 - n, 0)) for c in cols for n in periods})
 
 
 #: Defaults of every period, each of which ``technical_features`` can override.

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def monthly_to_daily(df: DataFrame, end_date: str, value: str = "cpi") -> DataFrame:
     """Every day from the first month (``month`` as MM.yyyy) to ``end_date`` with the month's value carried."""
     rows = df.select(F.try_to_timestamp("month", F.lit("MM.yyyy")).cast("date").alias("date"), F.col(value)).filter("date IS NOT NULL")
-    until = F.coalesce(F.date_sub(F.lead("date").over(Window.orderBy("date")), 1), F.lit(end_date).cast("date"))
+    end = F.lit(end_date).cast("date")
+    until = F.least(F.coalesce(F.date_sub(F.lead("date").over(Window.orderBy("date")), 1), end), end)
     return rows.withColumn("_to", until).filter("date <= _to").select(F.explode(F.sequence("date", "_to")).alias("date"), value)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import drop_all_null_columns, filter_dates, split_list, trim_leading_null
+from ..functions.scalars import drop_all_null_columns, filter_dates, round_half, split_list, trim_leading_null
 
 HORIZONS = (1, 3, 7, 30, 180, 365)
 
@@ -37,14 +37,14 @@ def rollup_scores(scores: DataFrame, calendar: DataFrame, keys: list[str] = ("so
     rest = F.avg(F.when(~F.col("_open"), F.col("score"))).alias("b")
     out = rows.groupBy(*keys, F.col("_day").alias("date")).agg(own, rest)
     blended = F.when(F.col("b").isNull(), F.col("own")).when(F.col("own").isNull() | (F.col("own") == 0), F.col("b")).otherwise((1 - weight) * F.col("own") + weight * F.col("b"))
-    return out.select(*keys, "date", F.round(blended, 2).alias("score"))
+    return out.select(*keys, "date", round_half(blended, 2).alias("score"))
 
 
 def rolling_nonzero(df: DataFrame, col: str, periods: tuple[int, ...] = (15, 50), keys: list[str] = ("source", "secid")) -> DataFrame:
     """Add ``<col>_roll_<n>``: mean of the non-zero values of n rows, rounded to 2 places."""
     w = Window.partitionBy(*keys).orderBy("date")
     value = F.when(F.col(col) != 0, F.col(col))
-    return df.withColumns({f"{col}_roll_{n}": F.round(F.avg(value).over(w.rowsBetween(1 - n, 0)), 2) for n in periods})
+    return df.withColumns({f"{col}_roll_{n}": round_half(F.avg(value).over(w.rowsBetween(1 - n, 0)), 2) for n in periods})
 
 
 def index_scores(rolled: DataFrame, mapping: DataFrame, market: str = "MOEX") -> DataFrame:
@@ -54,7 +54,7 @@ def index_scores(rolled: DataFrame, mapping: DataFrame, market: str = "MOEX") ->
     """
     of = mapping.select("secid", F.explode(split_list("indices")).alias("index"))
     rows = of.join(rolled.withColumnRenamed("secid", "index"), "index")
-    return rows.groupBy("secid", "source", "date").agg(F.max(F.when(F.col("index") == market, F.col("score"))).alias("market_score"), F.round(F.avg(F.when(F.col("index") != market, F.col("score"))), 2).alias("index_score"))
+    return rows.groupBy("secid", "source", "date").agg(F.max(F.when(F.col("index") == market, F.col("score"))).alias("market_score"), round_half(F.avg(F.when(F.col("index") != market, F.col("score"))), 2).alias("index_score"))
 
 
 def signal_features(panel: DataFrame, scores: DataFrame, calendar: DataFrame, mapping: DataFrame, sources: tuple[str, ...] = ("blog", "news")) -> DataFrame:
