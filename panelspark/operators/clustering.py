@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..scratch import Scratch
 from .components import connected_components
 
@@ -44,7 +45,7 @@ def assign_windows(df: DataFrame, size_days: int = 1, step_days: int = 1, since:
 def unit(c: Column) -> Column:
     """Vector of length one; null for a zero vector."""
     norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(c, lambda x: x.cast("double") / norm))
+    return let(norm, lambda n: F.when(n > 0, F.transform(c, lambda x: x.cast("double") / n)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -185,8 +186,8 @@ def embed(df: DataFrame, text: str = "news", prefix: str = "query: ", dims: int
         words = F.filter(F.split(F.lower(F.col(text)), r"(?U)\W+"), lambda w: w != "")
         bucket = lambda h, i: F.when(F.pmod(h, F.lit(dims)) == i, F.when(h < 0, -1.0).otherwise(1.0)).otherwise(0.0)
         hashed = F.transform(words, lambda w: F.xxhash64(w))
-        vec = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(F.col("_h"), F.lit(0.0), lambda a, h: a + bucket(h, i)))
-        return df.withColumn("_h", hashed).withColumn("embedding", F.transform(unit(vec), lambda x: x.cast("float"))).drop("_h")
+        vec = let(hashed, lambda hs: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(hs, F.lit(0.0), lambda a, h: a + bucket(h, i))))
+        return df.withColumn("embedding", F.transform(let(vec, unit), lambda x: x.cast("float")))
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

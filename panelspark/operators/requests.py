@@ -94,7 +94,7 @@ def safe_json(content: Column) -> Column:
     surrounds the outer braces is cut; text beyond repair gives a summary that begins with ERROR."""
     plus = F.regexp_replace(content, r":\s?\+", ": ")
     newline = r"\r\n|\n|\r"
-    tries = [F.regexp_replace(plus, newline, r"\\\\n"), F.regexp_replace(plus, newline, ""), _between_braces(plus), _between_braces(content)]
+    tries = [F.regexp_replace(plus, newline, r"\\n"), F.regexp_replace(plus, newline, ""), _between_braces(plus), _between_braces(content)]
     failed = F.struct(F.when(content.isNull(), "ERROR: No content received").otherwise("ERROR: Failed to parse JSON response").alias("summary"), F.create_map().cast("map<string,string>").alias("impact"), F.lit(None).cast("int").alias("confidence"))
     return F.coalesce(*[_parsed(t) for t in tries], failed)
 
