@@ -57,7 +57,7 @@ def train_classifiers(df: DataFrame, features: list[str], targets: list[str], **
     for t in targets:
         rows = df.filter(F.col(t).isNotNull()).withColumn(t, F.col(t).cast("double"))
         if rows.select(t).distinct().count() >= 2:
-            out[t] = _pipeline(features, GBTClassifier(labelCol=t, featuresCol="_features", predictionCol=f"{t}_class", probabilityCol=f"{t}_prob", rawPredictionCol=f"{t}_raw", seed=42, **params)).fit(rows)
+            out[t] = _pipeline(features, GBTClassifier(labelCol=t, featuresCol="_features", predictionCol=f"{t}_class", seed=42, **params).setProbabilityCol(f"{t}_prob").setRawPredictionCol(f"{t}_raw")).fit(rows)
     return out
 
 

@@ -55,9 +55,9 @@ def test_all_at_once_equals_one_by_one(spark):
         c, o = rng.uniform(90, 110), rng.uniform(90, 110)
         rows.append((o, max(o, c) + rng.random(), min(o, c) - rng.random(), c, rng.randint(1, 99), (o + c) / 2))
     df = bars(spark, {"a": rows}).cache()
-    whole = ind.technical_features(df).toPandas().sort_values("date")
+    whole = ind.technical_features(df).toPandas().sort_values("date").reset_index(drop=True)
     for fn in (ind.macd, ind.adx, ind.pvo, ind.chaikin_osc, ind.tema, ind.bull_bear, ind.rsi, ind.bollinger):
-        one = fn(df).toPandas().sort_values("date")
+        one = fn(df).toPandas().sort_values("date").reset_index(drop=True)
         for c in set(one.columns) - set(df.columns):
             pd.testing.assert_series_equal(whole[c].astype(float), one[c].astype(float), rtol=1e-9)
 
