@@ -52,5 +52,5 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     k = min(k, n)
     h = np.full(n - k + 1, k, np.uint64)
     for i in range(k):
-        h = mix(h + words[i : n - k + 1 + i])
-    return h
+        h = h * np.uint64(0x9E3779B97F4A7C15) + words[i : n - k + 1 + i]
+    return mix(h)

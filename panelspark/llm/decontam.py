@@ -17,8 +17,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from .common import Scratch
-from .quality import let, words_of
+from .quality import words_of
 from .url_filters import ascii_lower
 
 #: Bits that differ at most, and blocks of 64 / BLOCKS bits that are looked up.

@@ -11,14 +11,15 @@ Every text is the set of its distinct word shingles. Two texts link when
    the ``l`` of least estimated cost: shingles looked up, plus verifications bounded by hits / l.
    A pair then needs ``min(l, l')`` common prefix shingles before it is verified.
 4. Components grow in rounds. While the candidate pairs between different components outnumber the
-   prefix rows, each prefix shingle proposes only (leader, other) pairs, with another leader each
-   round; what a round links needs no more comparison. The last round takes every candidate pair
-   that still crosses components, so no link between different texts is lost.
+   prefix rows and still fall, each prefix shingle proposes only (leader, other) pairs, with new
+   and twice as many leaders each round; what a round links needs no more comparison. The last
+   round takes every candidate pair that still crosses components, so no link is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import Scratch, WordHash, shingle_hashes, word_hashes, words_of
+from .common import Scratch, WordHash, shingle_hashes, words_of
 
 #: A shingle of so many classes or more is simply "very frequent"; prefixes put it last.
 SATURATED = 65_536
@@ -38,9 +39,17 @@ LEVELS, VERIFY_COST = 4, 20
 
 
 def _sets(batch: pa.RecordBatch, k: int, known: WordHash) -> Iterator[tuple[int | None, np.ndarray]]:
+    """Sorted distinct shingle hashes of every text; all texts of some megabytes are hashed at once."""
     ids = batch.column(0).to_pylist()
-    for i, text in zip(ids, batch.column(1).cast(pa.large_binary()), strict=True):
-        yield i, np.unique(shingle_hashes(word_hashes(words_of(text.as_py()), known), k))
+    for at in range(0, len(ids), 512):
+        words = [words_of(t.as_py()) for t in batch.column(1).slice(at, 512).cast(pa.large_binary())]
+        flat = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, sum(map(len, words)))
+        runs = shingle_hashes(flat, k) if len(flat) >= k else flat
+        end = 0
+        for i, w in zip(ids[at : at + 512], words, strict=True):
+            start, end = end, end + len(w)
+            s = np.sort(runs[start : end - k + 1] if len(w) >= k else shingle_hashes(flat[start:end], k))
+            yield i, s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s
 
 
 def _key(s: np.ndarray) -> int:
@@ -48,18 +57,6 @@ def _key(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes(), len(s)) - (1 << 63)
 
 
-def shingle_classes(docs: DataFrame, k: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, key``: set size and set identity of every text (null for no words)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
-        for batch in batches:
-            rows = [(i, len(s), _key(s) if len(s) else None) for i, s in _sets(batch, k, known)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["doc_id", "n_shingles", "key"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, key long")
-
-
 def _planes(a: np.ndarray) -> bytes:
     """Bytes of an array ordered by significance, so that sorted values compress well."""
     return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
@@ -70,13 +67,21 @@ def _unplanes(b: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
 
 
-_PACKED = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("owners", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary())])
+_PACKED = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("owners", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("roster", pa.binary())])
+#: A document's entry in a roster: its id (or none), set size and set identity.
+_ENTRY = np.dtype([("doc_id", "<i8"), ("named", "?"), ("n", "<i8"), ("key", "<i8")])
 
 
 def _pack(docs: DataFrame, k: int, buckets: int) -> DataFrame:
-    """Shingles of all classes as sorted arrays, one message for each chunk and range of hashes."""
+    """Shingles of all classes as sorted arrays, one message for each chunk and range of hashes.
+
+    A chunk also sends the roster of its documents along, to a bucket of its own.
+    """
 
-    def flush(sets: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def flush(sets: dict[int, np.ndarray], roster: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if roster:
+            entries = np.array(roster, _ENTRY)
+            yield pa.RecordBatch.from_arrays([pa.array([buckets + xxhash.xxh3_64_intdigest(entries.tobytes()) % buckets], pa.int32()), *(pa.array([b""], pa.binary()) for _ in range(4)), pa.array([entries.tobytes()], pa.binary())], schema=_PACKED)
         if not sets:
             return
         keys = np.fromiter(sets, np.int64, len(sets))
@@ -91,26 +96,28 @@ def _pack(docs: DataFrame, k: int, buckets: int) -> DataFrame:
         for b, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(h)], strict=True)):
             if hi > lo:
                 here, local = np.unique(own[lo:hi], return_inverse=True)
-                rows.append((b, _planes(h[lo:hi]), _planes(local.astype(np.uint32)), keys[here].tobytes(), sizes[here].tobytes()))
+                rows.append((b, _planes(h[lo:hi]), _planes(local.astype(np.uint32)), keys[here].tobytes(), sizes[here].tobytes(), None))
         for at in range(0, len(rows), 64):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 64], strict=True), _PACKED.types, strict=True)], schema=_PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sets, held = WordHash(), {}, 0
+        known, sets, held, roster = WordHash(), {}, 0, []
         for batch in batches:
-            for _, s in _sets(batch, k, known):
-                if len(s) and (key := _key(s)) not in sets:
+            for i, s in _sets(batch, k, known):
+                key = _key(s) if len(s) else 0
+                roster.append((i or 0, i is not None, len(s), key))
+                if len(s) and key not in sets:
                     sets[key] = s
                     held += len(s)
-                    if held >= CHUNK:
-                        yield from flush(sets)
-                        sets, held = {}, 0
-        yield from flush(sets)
+                if held >= CHUNK or len(roster) >= CHUNK:
+                    yield from flush(sets, roster)
+                    sets, held, roster = {}, 0, []
+        yield from flush(sets, roster)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "bucket int, hashes binary, owners binary, keys binary, sizes binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "bucket int, hashes binary, owners binary, keys binary, sizes binary, roster binary")
 
 
-_SHARED = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary())])
+_SHARED = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary()), ("roster", pa.binary())])
 _TOKEN = np.dtype([("df", "<u4"), ("h", "<u8")])
 
 
@@ -132,11 +139,24 @@ class _Counter:
         if not self.parts:
             return
         h, key, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(h)
+        s = h[order]
+        same = s[1:] == s[:-1]
+        again = np.r_[False, same] | np.r_[same, False]
+        alone, order = order[~again], order[again]
+        rest = (h[alone], key[alone], n[alone])
+        if len(self.frequent):
+            known = np.isin(rest[0], self.frequent)
+            order, rest = np.r_[order, alone[known]], tuple(x[~known] for x in rest)
+        h, key, n = h[order], key[order], n[order]
         order = np.lexsort((key, h))
         h, key, n = h[order], key[order], n[order]
         first = np.ones(len(h), bool)
         first[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1])
         h, key, n = h[first], key[first], n[first]
+        if not len(h):
+            self.parts, self.held = ([], 0) if last else ([rest], len(rest[0]))
+            return
         starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         counts = np.diff(np.r_[starts, len(h)])
         df = np.repeat(counts, counts).astype(np.uint32)
@@ -144,9 +164,8 @@ class _Counter:
         ready = df >= (2 if last else SATURATED)
         df = np.minimum(df, SATURATED)
         self.frequent = np.union1d(self.frequent, h[df >= SATURATED])
-        rest = ~ready
-        self.parts = [] if last else [(h[rest], key[rest], n[rest])]
-        self.held = 0 if last else int(rest.sum())
+        self.parts = [] if last else [rest, (h[~ready], key[~ready], n[~ready])]
+        self.held = sum(len(p[0]) for p in self.parts)
         h, key, n, df = h[ready], key[ready], n[ready], df[ready]
         order = np.argsort(key, kind="stable")
         tokens = np.empty(len(h), _TOKEN)
@@ -156,7 +175,7 @@ class _Counter:
         ends = np.r_[starts[1:], len(key)] if len(key) else starts
         for at in range(0, len(starts), 4096):
             s, e = starts[at : at + 4096], ends[at : at + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array(key[s], pa.int64()), pa.array(n[s], pa.int32()), pa.array([tokens[i:j].tobytes() for i, j in zip(s, e, strict=True)], pa.binary())], schema=_SHARED)
+            yield pa.RecordBatch.from_arrays([pa.array(key[s], pa.int64()), pa.array(n[s], pa.int32()), pa.array([tokens[i:j].tobytes() for i, j in zip(s, e, strict=True)], pa.binary()), pa.nulls(len(s), pa.binary())], schema=_SHARED)
 
 
 def _shared(packed: DataFrame, parts: int) -> DataFrame:
@@ -166,6 +185,9 @@ def _shared(packed: DataFrame, parts: int) -> DataFrame:
         now, counter = None, _Counter()
         for batch in batches:
             for row in batch.to_pylist():
+                if row["roster"] is not None:
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([row["roster"]], pa.binary())], schema=_SHARED)
+                    continue
                 if row["bucket"] != now:
                     yield from counter.out(last=True)
                     now, counter = row["bucket"], _Counter()
@@ -173,7 +195,19 @@ def _shared(packed: DataFrame, parts: int) -> DataFrame:
                 yield from counter.add(_unplanes(row["hashes"], np.uint64), np.frombuffer(row["keys"], np.int64)[own], np.frombuffer(row["sizes"], np.int32)[own])
         yield from counter.out(last=True)
 
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, n int, tokens binary")
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, n int, tokens binary, roster binary")
+
+
+def _named(shared: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, key`` of every document, from the rosters; the key is null without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                e = np.frombuffer(raw, _ENTRY)
+                yield pa.RecordBatch.from_arrays([pa.array(e["doc_id"], mask=~e["named"]), pa.array(e["n"]), pa.array(e["key"], mask=e["n"] == 0)], ["doc_id", "n_shingles", "key"])
+
+    return shared.filter("roster IS NOT NULL").select("roster").mapInArrow(run, "doc_id long, n_shingles long, key long")
 
 
 def choose_level(df: np.ndarray, n: int, need: int) -> int:
@@ -217,7 +251,7 @@ def _prefixes(shared: DataFrame, num: int, den: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _CLASS.types, strict=True)], schema=_CLASS)
 
-    whole = shared.groupBy("key").agg(F.first("n").alias("n"), F.collect_list("tokens").alias("tokens"))
+    whole = shared.filter("roster IS NULL").groupBy("key").agg(F.first("n").alias("n"), F.collect_list("tokens").alias("tokens"))
     return whole.mapInArrow(run, "key long, n int, level int, shared array<long>, prefix array<struct<token:long,at:int>>")
 
 
@@ -228,7 +262,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataF
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(den * both >= num * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, rounds: int = 12) -> DataFrame:
+def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, rounds: int = 6) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``.
 
     component_id is the smallest doc_id that links reach, the document itself included. A null or
@@ -237,10 +271,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     ``rounds`` limits the leader rounds only; the last round is complete whatever they leave.
     """
     scratch = Scratch(spark, "ngram-jaccard")
-    named = scratch.table(shingle_classes(docs, k), "named")
     parts = max(32, docs.select("text").rdd.getNumPartitions())
-    shared = _shared(_pack(docs, k, parts * 2), parts)
+    shared = scratch.table(_shared(_pack(docs, k, parts * 2), parts), "shared")
+    named = scratch.table(_named(shared), "named")
     classes = scratch.table(_prefixes(shared, num, den), "classes")
+    scratch.drop(shared)
     lists = classes.select("key", "n", "shared")
     prefix = scratch.table(classes.select("key", "level", F.explode("prefix").alias("p")).select("key", "level", "p.token", "p.at"), "prefix")
     labels = scratch.table(classes.select("key", F.col("key").alias("comp")), "labels")
@@ -253,6 +288,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
         return scratch.table(labels.join(found, labels.comp == found.node, "left").select("key", F.coalesce("root", "comp").alias("comp")), "labels")
 
     counts = F.greatest("at_a", "at_b") <= F.least("level_a", "level_b")
+    before = None
     for turn in range(rounds + 1):
         seen = scratch.table(prefix.join(labels, "key"), "seen")
         by = seen.groupBy("token", "comp").count().groupBy("token").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("sq"), F.max_by("comp", F.struct("count", "comp")).alias("most"))
@@ -260,13 +296,16 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
         crossing = by.agg(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2)).first()[0]
         if not crossing:
             break
-        last = crossing <= rows or turn == rounds
+        last = crossing <= rows or turn == rounds or (before is not None and crossing > 0.7 * before)
+        before = crossing
         mine = [F.col(c).alias(f"{c}_b") if c != "token" else F.col(c) for c in ("token", "key", "level", "at", "comp")]
         if last:
             left = seen.join(by.select("token", "most"), "token").filter("comp <> most").select([F.col(c).alias(f"{c}_a") if c != "token" else F.col(c) for c in ("token", "key", "level", "at", "comp")] + ["most"])
             pairs = left.join(seen.select(mine), "token").filter("comp_a <> comp_b and (comp_b = most or key_a < key_b)")
         else:
-            lead = seen.join(by.select("token"), "token", "left_semi").groupBy("token").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)), F.col("key").alias("key_a"), F.col("level").alias("level_a"), F.col("at").alias("at_a"), F.col("comp").alias("comp_a"))).alias("x")).select("token", "x.*")
+            some = [F.struct(F.xxhash64("key", F.lit(turn), F.lit(i)), F.col("key").alias("key_a"), F.col("level").alias("level_a"), F.col("at").alias("at_a"), F.col("comp").alias("comp_a")) for i in range(1 << turn)]
+            lead = seen.join(by.select("token"), "token", "left_semi").groupBy("token").agg(*[F.min(x).alias(f"x{i}") for i, x in enumerate(some)])
+            lead = lead.select("token", F.explode(F.array_distinct(F.array(*[F.struct(f"x{i}.key_a", f"x{i}.level_a", f"x{i}.at_a", f"x{i}.comp_a") for i in range(len(some))]))).alias("x")).select("token", "x.*")
             pairs = seen.select(mine).join(lead, "token").filter("comp_a <> comp_b")
         pairs = pairs.filter(counts).groupBy(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).agg(F.count(F.lit(1)).alias("hits"), F.first(F.least("level_a", "level_b")).alias("ask"))
         pairs = scratch.table(pairs.filter("hits >= ask").select("a", "b"), "pairs")

@@ -37,7 +37,7 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on every page's url by rules and aliases."""
-    return judge_urls(spark, _table(spark, sf_dir, "pages"), URL_RULES)
+    return judge_urls(spark, _table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +82,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_url_filters, op3_token_counts, op4_warc, op5_token_files, op6_kneser_ney, op7_quality_rules, op8_pii, op9_decontamination, op10_mixing)}
-ORACLE_SQL: dict[str, str] = {}
+_RULE_ROWS = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)
+#: Pages of the given tables declare no canonical link or redirect, so SQL needs the rules only. The
+#: other operators are random, iterative or follow a library; tests compare them with brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filters": f"""WITH rules(act, h, p) AS (VALUES {_RULE_ROWS}),
+u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+v AS (SELECT page_id, lower(regexp_extract(rest, '^([^/?#]*)', 1)) AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM u),
+f AS (SELECT v.*, h || p AS rule, act, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC NULLS LAST) AS n FROM v LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(act, 'allow') AS verdict FROM f WHERE n = 1""",
+    "op4_warc": """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT payload_digest, max(page_id) AS original FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN original IS NULL OR original = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN original <> page_id THEN original END AS refers_to FROM p LEFT JOIN m USING (payload_digest)""",
+}
