@@ -16,7 +16,7 @@ ORACLE_SQL: dict = {}
 def _add(name: str, make, cols: list[str], ctes: list[str], last: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = make(bars(spark, sf_dir))
-        return out.select("secid", "date", *[near(c, 5).alias(c) for c in cols])
+        return out.select("secid", "date", *[near(c, 4).alias(c) for c in cols])
 
     QUERIES[name] = run
     ORACLE_SQL[name] = "WITH RECURSIVE " + ",\n".join([sql.BARS, *ctes]) + "\n" + sql.shown(cols, last)

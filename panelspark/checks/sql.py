@@ -83,6 +83,6 @@ def so_far(x: str) -> str:
     return f"(CASE WHEN {x} IS NOT NULL THEN sum({x}) OVER (PARTITION BY secid ORDER BY date ROWS UNBOUNDED PRECEDING) END)"
 
 
-def shown(cols: list[str], source: str, digits: int = 5) -> str:
+def shown(cols: list[str], source: str, digits: int = 4) -> str:
     """Final SELECT of rounded columns."""
     return "SELECT secid, date, " + ", ".join(f'{near(chr(34) + c + chr(34), digits)} AS "{c}"' for c in cols) + f" FROM {source}"
