@@ -24,6 +24,8 @@ from .common import Scratch
 
 _GAP = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?=\s|$)")
+#: Letters or numbers, and marks after them: the pattern always cuts between the two.
+_MARKED = re.compile(r"([^\W_]+)([!-&(-/:-@\[-`{-~]+)")
 
 
 class Encoder:
@@ -31,7 +33,7 @@ class Encoder:
 
     A byte-level splitting pattern always cuts before a space that precedes a visible character,
     so the ids of a text are those of its pieces one after the other. New pieces are encoded
-    together, as one text, and told apart by the offsets of their tokens.
+    together, as one text, and told apart by the tokens that begin with a space.
     """
 
     def __init__(self, path: str, limit: int = 700_000):
@@ -40,22 +42,29 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library, self.limit = Tokenizer.from_file(path), limit
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.opens = np.zeros(self.library.get_vocab_size(), bool)
+        for token, i in self.library.get_vocab().items():
+            self.opens[i] = token.startswith("\u0120")
 
     def _one(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of pieces with a space before each."""
-        found = {p: self._one(" " + p) for p in new if not p or p[-1].isspace()}
-        plain = [p for p in new if p not in found]
+        """Ids of pieces with a space before each; a word with marks after it is the word, then the marks."""
+        found = {p: self._one(" " + p) for p in new if not p or p[-1].isspace() or " " in p}
+        marked = {p: m.groups() for p in new if p and not p[-1].isalnum() and (m := _MARKED.fullmatch(p))}
+        for marks in {m for _, m in marked.values()} - self.marks.keys():
+            self.marks[marks] = self._one(marks)
+        plain = list({marked[p][0] if p in marked else p for p in new if p not in found}.difference(self.known))
         for at in range(0, len(plain), 4000):
             some = plain[at : at + 4000]
-            coded = self.library.encode(" " + " ".join(some), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(p) + 1 for p in some)])
-            begin = np.fromiter((o[0] for o in coded.offsets), np.int64, len(coded.offsets))
-            cuts = np.searchsorted(begin, starts) * 4
-            ids = np.array(coded.ids, "<u4").tobytes()
-            found.update(zip(some, (ids[i:j] for i, j in zip(cuts, cuts[1:])), strict=True))
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [*(np.flatnonzero(self.opens[ids]) * 4).tolist(), len(ids) * 4]
+            raw = ids.tobytes()
+            found.update(zip(some, (raw[i:j] for i, j in zip(cuts, cuts[1:])), strict=True))
+        for p, (word, marks) in marked.items():
+            found[p] = (found.get(word) or self.known[word]) + self.marks[marks]
         return found
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
