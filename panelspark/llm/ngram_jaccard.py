@@ -9,7 +9,9 @@ Every text is the set of its distinct word shingles. Two texts link when
 3. Each class orders its shingles by that frequency. With ``need = ceil(num/den * n)``, two linked
    sets share at least ``l`` of their first ``n - need + l`` shingles, for every ``l``. A class takes
    the ``l`` of least estimated cost: shingles looked up, plus verifications bounded by hits / l.
-   A pair then needs ``min(l, l')`` common prefix shingles before it is verified.
+   A pair must fit in size and in the places of its common shingles. Linked sets share ``o`` =
+   ``num/(num+den) * (n + n')`` shingles, so ``min(l - need, l' - need') + o`` of them lie in both
+   prefixes; only pairs with so many are verified.
 4. Components grow in rounds. While the candidate pairs between different components outnumber the
    prefix rows and still fall, each prefix shingle proposes only (leader, other) pairs, with new
    and twice as many leaders each round; what a round links needs no more comparison. The last
@@ -36,6 +38,8 @@ SATURATED = 65_536
 CHUNK, HELD = 1_000_000, 4_000_000
 #: Longest additional prefix that is considered, and the cost of a verification in lookups.
 LEVELS, VERIFY_COST = 4, 20
+#: Leaders of a shingle in a round at most.
+LEADERS = 8
 
 
 def _sets(batch: pa.RecordBatch, k: int, known: WordHash) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -224,13 +228,13 @@ def choose_level(df: np.ndarray, n: int, need: int) -> int:
     return best[1]
 
 
-_CLASS = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("level", pa.int32()), ("shared", pa.list_(pa.int64())), ("prefix", pa.list_(pa.struct([("token", pa.int64()), ("at", pa.int32())])))])
+_CLASS = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("level", pa.int32()), ("shared", pa.list_(pa.int64())), ("prefix", pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())])))])
 
 
 def _prefixes(shared: DataFrame, num: int, den: int) -> DataFrame:
     """Classes that can have a partner, with their chosen level, shared shingles and prefix.
 
-    ``at`` is the smallest level whose prefix holds the shingle.
+    ``pos`` is the shingle's place in the order of the whole set.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,14 +249,13 @@ def _prefixes(shared: DataFrame, num: int, den: int) -> DataFrame:
                 level = choose_level(t["df"], n, need)
                 size = n - need + level - (n - len(t))
                 h = t["h"].view(np.int64)
-                first = n - need + 1 - (n - len(t))
-                prefix = [{"token": int(x), "at": max(1, i + 2 - first)} for i, x in enumerate(h[: max(0, size)])]
+                prefix = [{"token": int(x), "pos": n - len(t) + i} for i, x in enumerate(h[: max(0, size)])]
                 rows.append((row["key"], n, level, h, prefix))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _CLASS.types, strict=True)], schema=_CLASS)
 
     whole = shared.filter("roster IS NULL").groupBy("key").agg(F.first("n").alias("n"), F.collect_list("tokens").alias("tokens"))
-    return whole.mapInArrow(run, "key long, n int, level int, shared array<long>, prefix array<struct<token:long,at:int>>")
+    return whole.mapInArrow(run, "key long, n int, level int, shared array<long>, prefix array<struct<token:long,pos:int>>")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -262,7 +265,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataF
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(den * both >= num * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, rounds: int = 6) -> DataFrame:
+def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, rounds: int = 8) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``.
 
     component_id is the smallest doc_id that links reach, the document itself included. A null or
@@ -277,7 +280,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     classes = scratch.table(_prefixes(shared, num, den), "classes")
     scratch.drop(shared)
     lists = classes.select("key", "n", "shared")
-    prefix = scratch.table(classes.select("key", "level", F.explode("prefix").alias("p")).select("key", "level", "p.token", "p.at"), "prefix")
+    prefix = scratch.table(classes.select("key", "n", "level", F.explode("prefix").alias("p")).select("key", "n", "level", "p.token", "p.pos"), "prefix")
     labels = scratch.table(classes.select("key", F.col("key").alias("comp")), "labels")
     rows = prefix.count()
 
@@ -287,7 +290,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
         found = connected_components(edges, scratch)
         return scratch.table(labels.join(found, labels.comp == found.node, "left").select("key", F.coalesce("root", "comp").alias("comp")), "labels")
 
-    counts = F.greatest("at_a", "at_b") <= F.least("level_a", "level_b")
+    sizes = den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")
+    need = lambda n: F.floor((num * F.col(n) + (den - 1)) / den)
+    overlap = F.floor((num * (F.col("n_a") + F.col("n_b")) + (num + den - 1)) / (num + den))
+    places = F.least("pos_a", "pos_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= overlap
+    whole = F.least(F.col("level_a") - need("n_a"), F.col("level_b") - need("n_b")) + overlap
     before = None
     for turn in range(rounds + 1):
         seen = scratch.table(prefix.join(labels, "key"), "seen")
@@ -296,18 +303,18 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
         crossing = by.agg(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2)).first()[0]
         if not crossing:
             break
-        last = crossing <= rows or turn == rounds or (before is not None and crossing > 0.7 * before)
+        last = crossing <= rows or turn == rounds or (before is not None and crossing > 0.9 * before)
         before = crossing
-        mine = [F.col(c).alias(f"{c}_b") if c != "token" else F.col(c) for c in ("token", "key", "level", "at", "comp")]
+        mine = [F.col(c).alias(f"{c}_b") if c != "token" else F.col(c) for c in ("token", "key", "n", "level", "pos", "comp")]
         if last:
-            left = seen.join(by.select("token", "most"), "token").filter("comp <> most").select([F.col(c).alias(f"{c}_a") if c != "token" else F.col(c) for c in ("token", "key", "level", "at", "comp")] + ["most"])
+            left = seen.join(by.select("token", "most"), "token").filter("comp <> most").select([F.col(c).alias(f"{c}_a") if c != "token" else F.col(c) for c in ("token", "key", "n", "level", "pos", "comp")] + ["most"])
             pairs = left.join(seen.select(mine), "token").filter("comp_a <> comp_b and (comp_b = most or key_a < key_b)")
         else:
-            some = [F.struct(F.xxhash64("key", F.lit(turn), F.lit(i)), F.col("key").alias("key_a"), F.col("level").alias("level_a"), F.col("at").alias("at_a"), F.col("comp").alias("comp_a")) for i in range(1 << turn)]
+            some = [F.struct(F.xxhash64("key", F.lit(turn), F.lit(i)), F.col("key").alias("key_a"), F.col("n").alias("n_a"), F.col("level").alias("level_a"), F.col("pos").alias("pos_a"), F.col("comp").alias("comp_a")) for i in range(min(1 << turn, LEADERS))]
             lead = seen.join(by.select("token"), "token", "left_semi").groupBy("token").agg(*[F.min(x).alias(f"x{i}") for i, x in enumerate(some)])
-            lead = lead.select("token", F.explode(F.array_distinct(F.array(*[F.struct(f"x{i}.key_a", f"x{i}.level_a", f"x{i}.at_a", f"x{i}.comp_a") for i in range(len(some))]))).alias("x")).select("token", "x.*")
+            lead = lead.select("token", F.explode(F.array_distinct(F.array(*[F.struct(f"x{i}.key_a", f"x{i}.n_a", f"x{i}.level_a", f"x{i}.pos_a", f"x{i}.comp_a") for i in range(len(some))]))).alias("x")).select("token", "x.*")
             pairs = seen.select(mine).join(lead, "token").filter("comp_a <> comp_b")
-        pairs = pairs.filter(counts).groupBy(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).agg(F.count(F.lit(1)).alias("hits"), F.first(F.least("level_a", "level_b")).alias("ask"))
+        pairs = pairs.filter(sizes & places).groupBy(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).agg(F.count(F.lit(1)).alias("hits"), F.first(whole if last else F.least("level_a", "level_b")).alias("ask"))
         pairs = scratch.table(pairs.filter("hits >= ask").select("a", "b"), "pairs")
         links = scratch.table(_verified(pairs, lists, num, den), "links")
         labels = merge(labels, links)
