@@ -82,6 +82,8 @@ def _pack(docs: DataFrame, k: int, buckets: int) -> DataFrame:
     A chunk also sends the roster of its documents along, to a bucket of its own.
     """
 
+    chunk = CHUNK
+
     def flush(sets: dict[int, np.ndarray], roster: list[tuple]) -> Iterator[pa.RecordBatch]:
         if roster:
             entries = np.array(roster, _ENTRY)
@@ -113,7 +115,7 @@ def _pack(docs: DataFrame, k: int, buckets: int) -> DataFrame:
                 if len(s) and key not in sets:
                     sets[key] = s
                     held += len(s)
-                if held >= CHUNK or len(roster) >= CHUNK:
+                if held >= chunk or len(roster) >= chunk:
                     yield from flush(sets, roster)
                     sets, held, roster = {}, 0, []
         yield from flush(sets, roster)
@@ -126,9 +128,13 @@ _TOKEN = np.dtype([("df", "<u4"), ("h", "<u8")])
 
 
 class _Counter:
-    """Occurrences of one range of hashes; very frequent shingles leave early, so memory is bounded."""
+    """Occurrences of one range of hashes; very frequent shingles leave early, so memory is bounded.
+
+    What has left is forgotten: a class that comes again brings its very frequent shingles again.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, saturated: int, most: int) -> None:
+        self.saturated, self.most = saturated, most
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.held = 0
         self.frequent = np.empty(0, np.uint64)
@@ -136,7 +142,7 @@ class _Counter:
     def add(self, h: np.ndarray, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.parts.append((h, key, n))
         self.held += len(h)
-        if self.held > HELD:
+        if self.held > self.most:
             yield from self.out(last=False)
 
     def out(self, last: bool) -> Iterator[pa.RecordBatch]:
@@ -164,10 +170,10 @@ class _Counter:
         starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         counts = np.diff(np.r_[starts, len(h)])
         df = np.repeat(counts, counts).astype(np.uint32)
-        df[np.isin(h, self.frequent)] = SATURATED
-        ready = df >= (2 if last else SATURATED)
-        df = np.minimum(df, SATURATED)
-        self.frequent = np.union1d(self.frequent, h[df >= SATURATED])
+        df[np.isin(h, self.frequent)] = self.saturated
+        ready = df >= (2 if last else self.saturated)
+        df = np.minimum(df, self.saturated)
+        self.frequent = np.union1d(self.frequent, h[df >= self.saturated])
         self.parts = [] if last else [rest, (h[~ready], key[~ready], n[~ready])]
         self.held = sum(len(p[0]) for p in self.parts)
         h, key, n, df = h[ready], key[ready], n[ready], df[ready]
@@ -183,10 +189,14 @@ class _Counter:
 
 
 def _shared(packed: DataFrame, parts: int) -> DataFrame:
-    """For every class its shingles that other classes hold too, with their frequency, in pieces."""
+    """For every class its shingles that other classes hold too, with their frequency, in pieces.
+
+    Pieces of a class may repeat very frequent shingles.
+    """
+    saturated, most = SATURATED, HELD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, counter = None, _Counter()
+        now, counter = None, _Counter(saturated, most)
         for batch in batches:
             for row in batch.to_pylist():
                 if row["roster"] is not None:
@@ -194,7 +204,7 @@ def _shared(packed: DataFrame, parts: int) -> DataFrame:
                     continue
                 if row["bucket"] != now:
                     yield from counter.out(last=True)
-                    now, counter = row["bucket"], _Counter()
+                    now, counter = row["bucket"], _Counter(saturated, most)
                 own = _unplanes(row["owners"], np.uint32)
                 yield from counter.add(_unplanes(row["hashes"], np.uint64), np.frombuffer(row["keys"], np.int64)[own], np.frombuffer(row["sizes"], np.int32)[own])
         yield from counter.out(last=True)
@@ -246,6 +256,9 @@ def _prefixes(shared: DataFrame, num: int, den: int) -> DataFrame:
                 if len(t) < need:
                     continue
                 t = t[np.lexsort((t["h"], t["df"]))]
+                t = t[np.r_[True, t["h"][1:] != t["h"][:-1]]]
+                if len(t) < need:
+                    continue
                 level = choose_level(t["df"], n, need)
                 size = n - need + level - (n - len(t))
                 h = t["h"].view(np.int64)

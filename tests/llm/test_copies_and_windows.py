@@ -65,6 +65,26 @@ def test_components_equal_all_pairs(spark, rounds):
     assert got.count() == len(rows)
 
 
+def test_components_with_very_frequent_shingles_of_repeated_classes(spark, monkeypatch):
+    from panelspark.llm import ngram_jaccard
+
+    for name, low in (("SATURATED", 8), ("HELD", 60), ("CHUNK", 400)):
+        monkeypatch.setattr(ngram_jaccard, name, low)
+    rng = random.Random(5)
+    passage, rows = [word(rng) for _ in range(34)], []
+    for _ in range(24):
+        base = [word(rng) for _ in range(70)]
+        at = rng.randrange(len(base))
+        for end in (0, 7):
+            w = [*base[: len(base) - end], *(word(rng) for _ in range(end))]
+            rows += [(0, " ".join(w[:at] + passage + w[at:]))] * 6
+    rng.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = jaccard_components(spark, docs)
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_components(rows)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_components(spark, none).count() == 0
