@@ -2,7 +2,8 @@
 
 Every stage takes the whole table that its predecessor kept and returns the columns of
 ``documents`` again, but for the last, which returns the index of the token files. Nulls, empty
-texts and repeated rows follow the rules of the operators.
+texts and repeated rows follow the rules of the operators. Stages decide by row, not by doc_id,
+which may be null or repeated: the operators get a 64-bit hash of the whole row as its id.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import Scratch
+from panelspark.llm.common import WORD, Scratch
 from panelspark.llm.decontam import decontaminate
 from panelspark.llm.mixing import mix
 from panelspark.llm.ngram_jaccard import jaccard_components
@@ -19,27 +20,37 @@ from panelspark.llm.queries import tokenizer
 from panelspark.llm.token_files import tokens_through_files
 
 
-def _rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``chosen(id)``; null matches null."""
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["id"]), "left_semi")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``, a hash of all columns; rows that share it are equal."""
+    return docs.withColumn("row", F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))
+
+
+def _as_ids(rows: DataFrame) -> DataFrame:
+    """Numbered rows with their number in place of doc_id."""
+    return rows.withColumn("doc_id", F.col("row")).drop("row")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the limits and aren't outliers of their language and source."""
-    kept = quality_verdicts(spark, docs).groupBy(F.col("doc_id").alias("id")).agg(F.min("kept").alias("kept"))
-    return _rows_of(docs, Scratch(spark, "kept").table(kept.filter("kept").select("id"), "ids"))
+    rows = _numbered(docs)
+    kept = quality_verdicts(spark, _as_ids(rows)).filter("kept").select(F.col("doc_id").alias("row")).distinct()
+    return rows.join(Scratch(spark, "kept").table(kept, "ids"), "row", "left_semi").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest doc_id.
+    """One row of each group of near copies, that of the smallest doc_id; null is the largest.
 
-    Rows that repeat a doc_id count as one document. Rows without a doc_id can't be told apart by
-    it and stay. Joining and dropping repeated ids share one shuffle of the texts.
+    Different texts under one doc_id, or without one, stay. Equal rows count as one, but for rows
+    without doc_id and words, which all stay. Equal rows meet as partial aggregates.
     """
-    first = jaccard_components(spark, docs).filter("doc_id = component_id").select(F.col("doc_id").alias("id"))
-    first = Scratch(spark, "first").table(first, "ids")
-    kept = docs.join(first, docs["doc_id"] == first["id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    rows = _numbered(docs)
+    group = jaccard_components(spark, _as_ids(rows)).groupBy(F.col("doc_id").alias("row")).agg(F.min("component_id").alias("component_id"))
+    ids = rows.groupBy("row").agg(F.min("doc_id").alias("doc_id"))
+    first = group.join(ids, "row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("x"))
+    first = Scratch(spark, "first").table(first.select("x.row"), "ids")
+    alone = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    kept = rows.filter(~alone).dropDuplicates(["row"]).join(first, "row", "left_semi").select(docs.columns)
+    return kept.unionByName(docs.filter(alone))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +59,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: up to three times, or not at all."""
-    taken = mix(spark, docs).groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies"))
+    """Rows as often as the mix takes them: up to three times, or not at all.
+
+    Equal rows, drawn one by one, appear as often as their draws add up to.
+    """
+    rows = _numbered(docs)
+    taken = mix(spark, _as_ids(rows)).groupBy(F.col("doc_id").alias("row")).agg(F.sum("copies").alias("copies"))
     taken = Scratch(spark, "taken").table(taken.filter("copies > 0"), "ids")
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["id"]))
+    rows = rows.dropDuplicates(["row"]).join(taken, "row")
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
 
 

@@ -75,3 +75,40 @@ def test_pipeline(spark, tmp_path):
     assert set(kept["decontamination"]) == clean
     assert sorted(kept["token_files"]) == sorted(kept["source_mix"]) and max(map(kept["source_mix"].count, clean)) <= 3
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["token_files"])
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    import collections
+
+    import corpus_pipeline
+    from panelspark.llm.mixing import targets
+
+    def table(rows):
+        return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text"))
+
+    def kept(stage, docs):
+        return collections.Counter((r["doc_id"], r["text"]) for r in stage(spark, docs, str(tmp_path)).collect())
+
+    t = [" ".join(f"w{i}x{j % 97}y{j}" for j in range(40 + i % 7)) for i in range(300)]
+    good = [(i, t[i]) for i in range(100)] + [(None, t[100]), (None, t[101]), (1, t[102])]
+    docs = table([(i, x, "en", "a") for i, x in [*good, (None, "short"), (None, None), (1, "short"), (2, "short")]])
+    assert kept(corpus_pipeline.quality_rules, docs) == collections.Counter(good)
+
+    same = [(None, t[0]), (None, t[0]), (None, t[1]), (1, t[2]), (1, t[3]), (1, t[3]), (2, t[3] + " tail"), (None, t[3]), (None, None), (None, None)]
+    got = kept(corpus_pipeline.near_duplicates, table([(i, x, "en", "ab"[n % 2]) for n, (i, x) in enumerate(same)]))
+    assert got == collections.Counter({(None, t[0]): 1, (None, t[1]): 1, (1, t[2]): 1, (1, t[3]): 1, (None, None): 2})
+
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    mixed = [(None, t[0]), (None, item + " " + t[1]), (1, t[2]), (1, t[3] + " " + item), (None, None)]
+    got = kept(corpus_pipeline.decontamination, table([(i, x, "en", "a") for i, x in mixed]))
+    assert got == collections.Counter([mixed[0], mixed[2], mixed[4]])
+
+    docs = table([(None if n % 3 else 7, " ".join(x.split()[:40]), "en", "abc"[n % 3 and n % 2 + 1]) for n, x in enumerate(t)] + [(None, t[0], "en", "b")] * 9)
+    words = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
+    aim = targets(words, (5, 2, 1), 3.0)
+    out = corpus_pipeline.source_mix(spark, docs, str(tmp_path))
+    taken = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
+    assert out.columns == docs.columns and taken.keys() == aim.keys()
+    assert all(abs(taken[s] - aim[s]) <= 80 for s in aim)
