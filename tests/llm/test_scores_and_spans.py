@@ -120,6 +120,13 @@ def test_added_spans(spark):
     assert find_personal_data(spark, docs.limit(0)).count() == 0
 
 
+def test_phones_in_chains_without_dashes(spark):
+    texts = ["phone +1 555 123 4567 8901 2345 end", "phone +1 5551234567 8901 2345 end", "phone +1.555.123 4567 8901 2345 end"]
+    docs = spark.createDataFrame([(i, texts[i % 3]) for i in range(30)], "doc_id long, text string")
+    out = {r["doc_id"]: r["spans"] for r in find_personal_data(spark, docs).collect()}
+    assert [out[i] for i in range(3)] == ["phone:6:21", "phone:6:19", "phone:6:21"]
+
+
 def test_running_sum(spark):
     values = list(range(1, 9000))
     got = spark.createDataFrame([(values,)], "a array<int>").select(running_sum(F.col("a"))).first()[0]
