@@ -1,13 +1,11 @@
-"""Benchmark decontamination by SimHash over windows of the size of each item.
+"""Benchmark decontamination by exact gates over windows of the size of each item.
 
 1. Gate, exact: ``J >= num/den`` between a window and an item of ``n`` shingles each needs
    ``2 n num / (num + den)`` common ones. Only runs of text that hold so many shingles of one item
    become windows; moving such a window to its first common shingle loses none of them.
-2. Every window and every item has a 64-bit SimHash of its words. Two fingerprints within
-   ``RADIUS`` agree up to ``RADIUS // BLOCKS`` bits in one of ``BLOCKS`` blocks, so looking up each
-   block with all such changes finds every pair within the radius.
-3. The pairs found are verified by the weighted Jaccard similarity of their shingles, weights being
-   the numbers of occurrences.
+2. Every window is compared with the items whose gates it has passed, by the weighted Jaccard
+   similarity of their shingles, weights being the numbers of occurrences. No pair at the threshold
+   is lost, as some would be by fingerprints of words within a fixed number of bits.
 """
 
 from __future__ import annotations
@@ -22,8 +20,6 @@ from .common import Scratch
 from .quality import words_of
 from .url_filters import ascii_lower
 
-#: Bits that differ at most, and blocks of 64 / BLOCKS bits that are looked up.
-RADIUS, BLOCKS = 15, 4
 #: Benchmark shingles that are broadcast at most; larger benchmarks are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -38,30 +34,11 @@ def of_size(k: int) -> Callable[[Column], Column]:
     return lambda words: runs_of(words, k)
 
 
-def simhash(words: Column) -> Column:
-    """64-bit SimHash of an array of words, each occurrence with weight one."""
-
-    def of(hashes: Column) -> Column:
-        def bit(b: Column) -> Column:
-            ones = F.aggregate(hashes, F.lit(0), lambda a, h: a + F.call_function("getbit", h, b).cast("int"))
-            return F.when(2 * ones > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
-
-        return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), bit), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
-
-    return let(F.transform(words, lambda w: F.xxhash64(w)), of)
-
-
 def numbered(runs: Column) -> Column:
     """A multiset as a set: the hash of every element together with its occurrence number."""
     return let(F.array_sort(runs), lambda s: F.transform(s, lambda x, i: F.xxhash64(x, i.cast("long") - F.array_position(s, x))))
 
 
-def blocks_of(fp: Column) -> Column:
-    """``(block, bits)`` of every block of a fingerprint."""
-    width = 64 // BLOCKS
-    return F.array(*[F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(fp, width * b).bitwiseAND(F.lit((1 << width) - 1)).alias("bits")) for b in range(BLOCKS)])
-
-
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, num: int = 75, den: int = 100, k: int = 5) -> DataFrame:
     """``doc_id, text_hash, item_id, start_word, n_words, similarity``: best window of each pair found.
 
@@ -76,7 +53,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, num
     items = items.withColumns({"size": F.size("words"), "k": F.least(F.size("words"), F.lit(k))})
     sizes = [r["k"] for r in items.select("k").distinct().collect()]
     runs = F.coalesce(*[F.when(F.col("k") == s, runs_of(F.col("words"), s)) for s in range(1, k + 1)])
-    items = scratch.table(items.withColumn("runs", runs).withColumns({"fp": simhash(F.col("words")), "n": F.size("runs"), "need": F.ceil(2 * num * F.size("runs") / F.lit(num + den)).cast("int")}), "items")
+    items = scratch.table(items.withColumn("runs", runs).withColumns({"n": F.size("runs"), "need": F.ceil(2 * num * F.size("runs") / F.lit(num + den)).cast("int")}), "items")
     wanted = items.select("item_id", "k", "size", "n", "need", F.explode(F.array_distinct("runs")).alias("h"))
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), words.alias("words"))
@@ -90,29 +67,21 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, num
     near = anchors.groupBy("doc_id", "text_hash", "item_id", "length", "k", "size", "n", "need").agg(F.array_sort(F.collect_set("pos")).alias("ps"))
     near = near.withColumn("ps", let(F.col("ps"), lambda ps: F.filter(ps, lambda p, i: F.get(ps, i + F.least(F.col("need"), F.ceil(num * F.col("n") / F.lit(den)).cast("int")) - 1) <= p + F.col("n") - 1)))
     starts = F.transform("ps", lambda p: F.struct(F.greatest(F.least(p, F.col("length") - F.col("size")), F.lit(0)).alias("start"), F.least("size", "length").alias("size"), F.col("k").alias("k")))
-    near = near.filter(F.size("ps") > 0).select("doc_id", "text_hash", F.explode(F.array_distinct(starts)).alias("w"))
-    near = near.groupBy("doc_id", "text_hash").agg(F.collect_set("w").alias("ws"))
+    near = near.filter(F.size("ps") > 0).select("doc_id", "text_hash", F.struct("item_id", F.col("size").alias("item_size")).alias("item"), F.explode(F.array_distinct(starts)).alias("w"))
+    near = near.groupBy("doc_id", "text_hash", "w").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    near = near.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("w.*", "items")).alias("ws"))
     near = scratch.table(near, "near").withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
     both = base.join(near, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")))
 
     def fill(w: Column) -> Column:
         part = F.slice(F.col("words"), w["start"] + 1, w["size"])
         run = lambda x: F.coalesce(*[F.when(w["k"] == s, runs_of(x, s)) for s in sizes])
-        return let(part, lambda x: F.struct(w["start"].alias("start"), w["size"].alias("size"), w["k"].alias("k"), simhash(x).alias("fp"), numbered(run(x)).alias("runs")))
+        return let(part, lambda x: F.struct(w["start"].alias("start"), w["size"].alias("size"), w["items"].alias("items"), numbered(run(x)).alias("runs")))
 
     windows = both.select("doc_id", "text_hash", F.explode(F.transform("ws", fill)).alias("w")).select("doc_id", "text_hash", "w.*")
     windows = scratch.table(windows.distinct(), "windows")
-    flips = spark.range(1 << (64 // BLOCKS)).filter(F.bit_count("id") <= RADIUS // BLOCKS).withColumnRenamed("id", "flip")
-    probes = items.select("item_id", F.col("k").alias("ik"), F.col("fp").alias("ifp"), F.explode(blocks_of(F.col("fp"))).alias("b"))
-    probes = probes.join(F.broadcast(flips)).select("item_id", "ik", "ifp", "b.block", F.col("b.bits").bitwiseXOR(F.col("flip")).alias("bits"))
-    keys = windows.select("doc_id", "text_hash", "start", "size", "k", "fp", F.explode(blocks_of(F.col("fp"))).alias("b")).select("*", "b.block", "b.bits")
-    hits = keys.join(probes, ["block", "bits"]).filter((F.col("k") == F.col("ik")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS))
-    hits = hits.select("doc_id", "text_hash", "start", "size", "k", "item_id").distinct()
-    x, y, z = hits.alias("x"), windows.alias("y"), items.select("item_id", numbered(F.col("runs")).alias("item_runs"))
-    same = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.text_hash") == F.col("y.text_hash"))
-    for c in ("start", "size", "k"):
-        same = same & (F.col(f"x.{c}") == F.col(f"y.{c}"))
-    full = x.join(y, same).select("x.doc_id", "x.text_hash", "x.start", "x.size", "item_id", "runs").join(z, "item_id")
+    full = windows.select("doc_id", "text_hash", "start", "size", "runs", F.explode("items").alias("item")).select("doc_id", "text_hash", "start", "size", "runs", "item.*")
+    full = full.join(items.select("item_id", F.col("size").alias("item_size"), numbered(F.col("runs")).alias("item_runs")), ["item_id", "item_size"])
     inter = F.size(F.array_intersect("runs", "item_runs"))
     union = F.size("runs") + F.size("item_runs") - inter
     full = full.withColumns({"inter": inter, "union": union}).filter(den * F.col("inter") >= num * F.col("union"))

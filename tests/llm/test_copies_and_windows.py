@@ -154,6 +154,21 @@ def test_contamination_equals_all_windows(spark):
     assert kept == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_windows_at_the_threshold_are_found(spark):
+    rng, items, docs, want = random.Random(6), [], [], {}
+    for i in range(240):
+        n = (18, 39, 102, 200)[i % 4]
+        x, c = [f"{word(rng)}{i}q{j}" for j in range(n + 4)], n // 7
+        w = [*x[: n + 4 - c], *(word(rng) for _ in range(c))]
+        items.append((i, " ".join(x)))
+        docs.append((i, " ".join(["start", *w, "end"])))
+        want[(i, i)] = (n - c) / (n + c)
+    out = contaminated(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in out}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert all(r["start_word"] == 1 for r in out)
+
+
 def test_scratch_is_shared(spark):
     s = Scratch(spark, f"x{uuid.uuid4().hex}")
     t = s.table(spark.range(3).toDF("a"), "t")
