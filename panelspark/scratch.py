@@ -12,17 +12,21 @@ class Scratch:
     """Tables of one run in the folder that ``spark.checkpoint.dir`` names.
 
     Writing a table cuts the lineage: lost executors cost a re-read, never a recomputation of
-    earlier stages. Where the setting is missing (tests, a laptop) a temporary folder is set.
+    earlier stages. Where the setting is missing, a local session gets a temporary folder and any
+    other is refused.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
             base = "file://" + tempfile.mkdtemp(prefix="spark-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.live: list[str] = []
 
     def path(self, name: str) -> str:
         self.count += 1
@@ -34,11 +38,22 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
+        self.live.append(path)
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Remove a table of this run that nothing reads any more."""
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables of this run that nothing reads any more."""
+        for df in tables:
+            self._delete(df.scratch_path)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Remove all tables of this run but these."""
+        kept = {df.scratch_path for df in tables}
+        for path in [p for p in self.live if p not in kept]:
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(path, True)
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        self.live = [p for p in self.live if p != path]
