@@ -11,7 +11,10 @@ Every text is the set of its distinct word shingles. Two texts link when
    the ``l`` of least estimated cost: shingles looked up, plus verifications bounded by hits / l.
    A pair must fit in size and in the places of its common shingles. Linked sets share ``o`` =
    ``num/(num+den) * (n + n')`` shingles, so ``min(l - need, l' - need') + o`` of them lie in both
-   prefixes; only pairs with so many are verified.
+   prefixes; only pairs with so many are verified. A bitmap in which every shared shingle of a set
+   flips one bit bounds ``o`` before a pair is even formed: two bitmaps that differ in ``x`` bits
+   belong to sets that differ in ``x`` shingles at least. Pairs in a group of texts that resemble
+   each other without linking fail there.
 4. Components grow in rounds. While the candidate pairs between different components outnumber the
    prefix rows and still fall, each prefix shingle proposes only (leader, other) pairs, with new
    and twice as many leaders each round; what a round links needs no more comparison. The last
@@ -40,6 +43,8 @@ CHUNK, HELD = 1_000_000, 4_000_000
 LEVELS, VERIFY_COST = 4, 20
 #: Leaders of a shingle in a round at most.
 LEADERS = 8
+#: 64-bit words of the bitmap of a set.
+BITMAP = 4
 
 
 def _sets(batch: pa.RecordBatch, k: int, known: WordHash) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -238,11 +243,18 @@ def choose_level(df: np.ndarray, n: int, need: int) -> int:
     return best[1]
 
 
-_CLASS = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("level", pa.int32()), ("shared", pa.list_(pa.int64())), ("prefix", pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())])))])
+def bitmap(h: np.ndarray) -> np.ndarray:
+    """``BITMAP`` words in which every hash flips the bit that its leading bits name."""
+    at = (h >> np.uint64(32)) % np.uint64(64 * BITMAP)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=64 * BITMAP) & 1).view(np.int64)
+
+
+_BITS = [f"bits{i}" for i in range(BITMAP)]
+_CLASS = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("level", pa.int32()), ("shared", pa.list_(pa.int64())), ("prefix", pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())]))), ("common", pa.int32()), *((b, pa.int64()) for b in _BITS)])
 
 
 def _prefixes(shared: DataFrame, num: int, den: int) -> DataFrame:
-    """Classes that can have a partner, with their chosen level, shared shingles and prefix.
+    """Classes that can have a partner: chosen level, shared shingles, prefix, number and bitmap of those shared.
 
     ``pos`` is the shingle's place in the order of the whole set.
     """
@@ -263,12 +275,13 @@ def _prefixes(shared: DataFrame, num: int, den: int) -> DataFrame:
                 size = n - need + level - (n - len(t))
                 h = t["h"].view(np.int64)
                 prefix = [{"token": int(x), "pos": n - len(t) + i} for i, x in enumerate(h[: max(0, size)])]
-                rows.append((row["key"], n, level, h, prefix))
+                rows.append((row["key"], n, level, h, prefix, len(h), *bitmap(t["h"])))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _CLASS.types, strict=True)], schema=_CLASS)
 
     whole = shared.filter("roster IS NULL").groupBy("key").agg(F.first("n").alias("n"), F.collect_list("tokens").alias("tokens"))
-    return whole.mapInArrow(run, "key long, n int, level int, shared array<long>, prefix array<struct<token:long,pos:int>>")
+    bits = ", ".join(f"{b} long" for b in _BITS)
+    return whole.mapInArrow(run, f"key long, n int, level int, shared array<long>, prefix array<struct<token:long,pos:int>>, common int, {bits}")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -287,28 +300,34 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     ``rounds`` limits the leader rounds only; the last round is complete whatever they leave.
     """
     scratch = Scratch(spark, "ngram-jaccard")
-    parts = max(32, docs.select("text").rdd.getNumPartitions())
+    parts = max(32, 2 * docs.select("text").rdd.getNumPartitions())
     shared = scratch.table(_shared(_pack(docs, k, parts * 2), parts), "shared")
     named = scratch.table(_named(shared), "named")
     classes = scratch.table(_prefixes(shared, num, den), "classes")
     scratch.drop(shared)
     lists = classes.select("key", "n", "shared")
-    prefix = scratch.table(classes.select("key", "n", "level", F.explode("prefix").alias("p")).select("key", "n", "level", "p.token", "p.pos"), "prefix")
-    labels = scratch.table(classes.select("key", F.col("key").alias("comp")), "labels")
+    prefix = scratch.table(classes.select("key", "level", F.explode("prefix").alias("p")).select("key", "level", "p.token", "p.pos"), "prefix")
+    labels = scratch.table(classes.select("key", F.col("key").alias("comp"), "n", "common", *_BITS), "labels")
     rows = prefix.count()
 
     def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
         x, y = (labels.select(F.col("key").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
         edges = links.join(x, "a").join(y, "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
         found = connected_components(edges, scratch)
-        return scratch.table(labels.join(found, labels.comp == found.node, "left").select("key", F.coalesce("root", "comp").alias("comp")), "labels")
+        new = scratch.table(labels.join(found, labels.comp == found.node, "left").select("key", F.coalesce("root", "comp").alias("comp"), "n", "common", *_BITS), "labels")
+        scratch.drop(labels, found)
+        return new
 
     sizes = den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")
     need = lambda n: F.floor((num * F.col(n) + (den - 1)) / den)
     overlap = F.floor((num * (F.col("n_a") + F.col("n_b")) + (num + den - 1)) / (num + den))
     places = F.least("pos_a", "pos_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= overlap
+    apart = sum((F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in _BITS), F.lit(0))
+    bits = F.col("common_a") + F.col("common_b") - apart >= 2 * overlap
     whole = F.least(F.col("level_a") - need("n_a"), F.col("level_b") - need("n_b")) + overlap
     before = None
+    fields = ["key", "n", "level", "pos", "comp", "common", *_BITS]
+    side = lambda c: ["token", *(F.col(x).alias(f"{x}_{c}") for x in fields)]
     for turn in range(rounds + 1):
         seen = scratch.table(prefix.join(labels, "key"), "seen")
         by = seen.groupBy("token", "comp").count().groupBy("token").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("sq"), F.max_by("comp", F.struct("count", "comp")).alias("most"))
@@ -318,23 +337,24 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
             break
         last = crossing <= rows or turn == rounds or (before is not None and crossing > 0.9 * before)
         before = crossing
-        mine = [F.col(c).alias(f"{c}_b") if c != "token" else F.col(c) for c in ("token", "key", "n", "level", "pos", "comp")]
         if last:
-            left = seen.join(by.select("token", "most"), "token").filter("comp <> most").select([F.col(c).alias(f"{c}_a") if c != "token" else F.col(c) for c in ("token", "key", "n", "level", "pos", "comp")] + ["most"])
-            pairs = left.join(seen.select(mine), "token").filter("comp_a <> comp_b and (comp_b = most or key_a < key_b)")
+            left = seen.join(by.select("token", "most"), "token").filter("comp <> most").select(*side("a"), "most")
+            pairs = left.join(seen.select(side("b")), "token").filter("comp_a <> comp_b and (comp_b = most or key_a < key_b)")
         else:
-            some = [F.struct(F.xxhash64("key", F.lit(turn), F.lit(i)), F.col("key").alias("key_a"), F.col("n").alias("n_a"), F.col("level").alias("level_a"), F.col("pos").alias("pos_a"), F.col("comp").alias("comp_a")) for i in range(min(1 << turn, LEADERS))]
+            some = [F.struct(F.xxhash64("key", F.lit(turn), F.lit(i)), *(F.col(x).alias(f"{x}_a") for x in fields)) for i in range(min(1 << turn, LEADERS))]
             lead = seen.join(by.select("token"), "token", "left_semi").groupBy("token").agg(*[F.min(x).alias(f"x{i}") for i, x in enumerate(some)])
-            lead = lead.select("token", F.explode(F.array_distinct(F.array(*[F.struct(f"x{i}.key_a", f"x{i}.n_a", f"x{i}.level_a", f"x{i}.pos_a", f"x{i}.comp_a") for i in range(len(some))]))).alias("x")).select("token", "x.*")
-            pairs = seen.select(mine).join(lead, "token").filter("comp_a <> comp_b")
-        pairs = pairs.filter(sizes & places).groupBy(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).agg(F.count(F.lit(1)).alias("hits"), F.first(whole if last else F.least("level_a", "level_b")).alias("ask"))
+            lead = lead.select("token", F.explode(F.array_distinct(F.array(*[F.struct(*(f"x{i}.{x}_a" for x in fields)) for i in range(len(some))]))).alias("x")).select("token", "x.*")
+            pairs = seen.select(side("b")).join(lead, "token").filter("comp_a <> comp_b")
+        pairs = pairs.filter(sizes & places & bits).groupBy(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).agg(F.count(F.lit(1)).alias("hits"), F.first(whole if last else F.least("level_a", "level_b")).alias("ask"))
         pairs = scratch.table(pairs.filter("hits >= ask").select("a", "b"), "pairs")
         links = scratch.table(_verified(pairs, lists, num, den), "links")
         labels = merge(labels, links)
+        scratch.drop(seen, by, pairs, links)
         if last:
             break
     least = named.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    least = least.join(labels, "key", "left").select("key", F.coalesce("comp", "key").alias("comp"), "doc_id")
+    least = least.join(labels.select("key", "comp"), "key", "left").select("key", F.coalesce("comp", "key").alias("comp"), "doc_id")
     of = scratch.table(least, "least")
     of = scratch.table(of.join(of.groupBy(F.col("comp").alias("c")).agg(F.min("doc_id").alias("component_id")), F.col("comp") == F.col("c")).select("key", "component_id"), "ids")
+    scratch.keep(named, of)
     return named.join(of, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
