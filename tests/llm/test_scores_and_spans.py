@@ -173,6 +173,97 @@ def test_quality(spark):
     assert quality_verdicts(spark, docs.limit(0)).count() == 0
 
 
+def twin_distances(groups, x, v, floors, keep=0.75, shrink=50, steps=15):
+    """Plain numpy form of the estimates: ``groups`` lists the three group keys of each row."""
+    import numpy as np
+
+    d, factor = x.shape[1], consistency(keep)
+    members = {}
+    for r, gs in enumerate(groups):
+        for level, g in enumerate(gs):
+            members.setdefault((level, g), []).append(r)
+    up = {(lv, gs[lv]): (lv - 1, gs[lv - 1]) for gs in groups for lv in (1, 2)}
+    low = lambda a: np.sort(a)[math.ceil(0.5 * len(a)) - 1]
+
+    def shrunk(raw):
+        out = {}
+        for k in sorted(raw):
+            n, (m, c) = len(members[k]), raw[k]
+            if k[0]:
+                r = shrink / (n + shrink)
+                m, c = (1 - r) * m + r * out[up[k]][0], (1 - r) * c + r * out[up[k]][1]
+            out[k] = (m, c)
+        return out, {k: np.linalg.slogdet(c + np.diag(floors**2))[1] for k, (m, c) in out.items()}
+
+    def d2(rows, m, c):
+        whole = c + np.diag(floors**2)
+        t = (x[rows] - m) / np.sqrt(1 + v[rows] / np.diag(whole))
+        return np.einsum("ij,ij->i", t, np.linalg.solve(whole, t.T).T)
+
+    best = {}
+    for start in range(3):
+        raw = {}
+        for k, rows in members.items():
+            med = np.array([low(x[rows, i]) for i in range(d)])
+            mad = np.array([low(abs(x[rows, i] - med[i])) for i in range(d)])
+            raw[k] = (med, np.diag((1.4826 * mad) ** 2)) if start == 0 else (med, np.zeros((d, d))) if start == 1 else (x[rows].mean(0), np.cov(x[rows].T, bias=True).reshape(d, d))
+        now, det = shrunk(raw)
+        for step in range(steps):
+            raw = {}
+            for k, rows in members.items():
+                far = np.floor(np.log2(np.maximum(d2(rows, *now[k]), 1e-9)) * 32)
+                core = np.array(rows)[far <= np.sort(far)[math.ceil(keep * len(far)) - 1]]
+                raw[k] = (x[core].mean(0), factor * np.cov(x[core].T, bias=True).reshape(d, d))
+            new, fresh = shrunk(raw)
+            moved = [k for k in det if not step or fresh[k] < det[k] - 1e-3]
+            now, det = now | {k: new[k] for k in moved}, det | {k: fresh[k] for k in moved}
+            if not moved:
+                break
+        for k in det:
+            if k not in best or det[k] < best[k][0] - 1e-9:
+                best[k] = (det[k], now[k])
+    return np.array([d2([r], *best[(2, gs[2])][1])[0] for r, gs in enumerate(groups)])
+
+
+def test_outliers_equal_a_plain_twin(spark):
+    import numpy as np
+
+    from panelspark.llm.quality import FEATURES, KEEP
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(420):
+        lang, source = rng.choice(["en", "en", "de"]), rng.choice(["a", "b", "b", None])
+        w = ["x" * max(1, int(rng.gauss(5 + (lang == "de"), 2))) for _ in range(rng.randint(12, 90))]
+        w = [f"{x}{j}" for j, x in enumerate(w)]
+        for _ in range(rng.choice([0, 0, 1, 2, 30])):
+            w[rng.randrange(len(w))] += "#"
+        text = " ".join(w[:20]) + "\n" + " ".join(w[20:]) + "\nsame line\n" * rng.choice([0, 0, 2])
+        rows.append((i, text, lang, source))
+    rows += [(900, "one two three four five six seven eight nine ten", "xx", "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = [r for r in quality_verdicts(spark, docs).collect() if not r["base_failed"]]
+    names = list(FEATURES)
+    x = np.array([[r[n] for n in names] for r in got])
+    v = np.array([[r[n.replace("x_", "v_", 1)] for n in names] for r in got])
+    groups = [("", str(r["lang"]), f"{r['lang']}|{r['source']}") for r in got]
+    want = twin_distances(groups, x, v, np.array(list(FEATURES.values())), keep=KEEP)
+    assert np.allclose([r["d2"] for r in got], want, rtol=1e-6, atol=1e-9)
+    assert [r["kept"] for r in got] == [bool(w <= CUT) for w in want]
+    assert any(w > CUT for w in want) and sum(w > CUT for w in want) < 0.3 * len(want)
+
+
+def test_many_groups_are_salted(spark, monkeypatch):
+    from panelspark.llm import quality
+
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(12 + i % 50)), "en", f"s{i % 9}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = {r["doc_id"]: r["d2"] for r in quality_verdicts(spark, docs).collect()}
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", 0)
+    got = {r["doc_id"]: r["d2"] for r in quality_verdicts(spark, docs).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+
+
 def test_constants():
     assert consistency(0.75) == pytest.approx(1.4866, abs=1e-3)
     assert 1 - (1 - math.exp(-CUT / 2) * (1 + CUT / 2)) == pytest.approx(0.001, rel=0.01)
