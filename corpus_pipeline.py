@@ -32,9 +32,7 @@ def _as_ids(rows: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the limits and aren't outliers of their language and source."""
-    rows = _numbered(docs)
-    kept = quality_verdicts(spark, _as_ids(rows)).filter("kept").select(F.col("doc_id").alias("row")).distinct()
-    return rows.join(Scratch(spark, "kept").table(kept, "ids"), "row", "left_semi").select(docs.columns)
+    return quality_verdicts(spark, docs, carry=True).filter("kept").select([F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
