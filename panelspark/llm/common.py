@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 
-__all__ = ["Scratch", "WORD", "WS", "WordHash", "mix", "shingle_hashes", "word_hashes", "words_of"]
+__all__ = ["BROADCAST_ROWS", "Scratch", "WORD", "WS", "WordHash", "looked_up", "mix", "shingle_hashes", "word_hashes", "words_of"]
+
+#: Rows of a small table that are broadcast at most; beyond, keys are salted so often.
+BROADCAST_ROWS, SALTS = 100_000, 32
 
 #: White space that separates words: space and the control characters 9 to 13.
 WS = r"\x20\x09-\x0D"
@@ -54,3 +59,16 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         h = h * np.uint64(0x9E3779B97F4A7C15) + words[i : n - k + 1 + i]
     return mix(h)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, count: int, key: str = "g") -> DataFrame:
+    """``rows`` with the columns that ``table`` of ``count`` rows holds for their key, or nulls.
+
+    Keys aren't null. A hot key is shared out whether the table is broadcast or too large for it.
+    """
+    of = table.withColumnRenamed(key, "of")
+    if count <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(of), F.col(key) == F.col("of"), "left").drop("of")
+    of = of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("part", (F.rand(1) * SALTS).cast("int"))
+    return rows.join(of, (F.col(key) == F.col("of")) & (F.col("part") == F.col("salt")), "left").drop("of", "salt", "part")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
-from .common import WS, Scratch
+from .common import WS, Scratch, looked_up
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\f\r"
@@ -34,8 +34,6 @@ KEEP, STEPS, SHRINK = 0.75, 15, 50
 FEATURES = {"x_word": 0.03, "x_symbol": 0.05, "x_line": 0.1, "x_repeat": 0.15}
 #: Squared distance that normal data exceed once in a thousand documents (four degrees of freedom).
 CUT = 18.47
-#: Estimates that are broadcast at most; more are joined by salted keys.
-BROADCAST_GROUPS, SALTS = 100_000, 32
 
 
 def words_of(text: Column) -> Column:
@@ -166,16 +164,6 @@ def _inverse_factor(c: Column, floors: list[float]) -> Column:
     return let(_built(d, lower), inverse)
 
 
-def _with_estimates(rows: DataFrame, groups: DataFrame, count: int) -> DataFrame:
-    """``rows`` with the columns of their group's estimates; a hot group is shared out either way."""
-    of = groups.withColumnRenamed("g", "of")
-    if count <= BROADCAST_GROUPS:
-        return rows.join(F.broadcast(of), F.col("g") == F.col("of"), "left").drop("of")
-    of = of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("part", (F.rand(1) * SALTS).cast("int"))
-    return rows.join(of, (F.col("g") == F.col("of")) & (F.col("part") == F.col("salt")), "left").drop("of", "salt", "part")
-
-
 def _distance(rows: DataFrame, names: list[str], floors: list[float]) -> DataFrame:
     """``rows`` (with mean ``m``, covariance ``c`` and inverse factor ``w`` of their group) plus the distance ``d2``.
 
@@ -217,7 +205,7 @@ def robust_estimates(members: DataFrame, features: dict[str, float], scratch: Sc
     middle = members.groupBy(*ids).agg(_array(*[F.percentile_approx(x, 0.5, 4000) for x in names]).alias("mid"), means, covs, F.count("*").alias("n"))
     middle = scratch.table(middle, "medians")
     count = middle.count()
-    off = _with_estimates(members.select("g", *names), middle.select("g", "mid"), count)
+    off = looked_up(members.select("g", *names), middle.select("g", "mid"), count)
     mads = off.groupBy(F.col("g").alias("of")).agg(_array(*[F.percentile_approx(F.abs(F.col(x) - F.get("mid", F.lit(i))), 0.5, 4000) for i, x in enumerate(names)]).alias("mad"))
     zero = F.lit(0.0)
     first = F.array(
@@ -228,12 +216,12 @@ def robust_estimates(members: DataFrame, features: dict[str, float], scratch: Sc
     raw = middle.join(mads, F.col("g") == F.col("of")).select(*ids, "n", F.explode(first).alias("s")).select(*ids, "n", "s.*")
     groups = scratch.table(_shrunk(raw, floors), "estimates")
     for step in range(steps):
-        near = _distance(_with_estimates(members, groups.select("g", "start", "m", "c", "w"), 3 * count), names, floors)
+        near = _distance(looked_up(members, groups.select("g", "start", "m", "c", "w"), 3 * count), names, floors)
         near = near.select(F.struct("g", "start").alias("g"), *[(F.col(x) - F.get("m", F.lit(i))).alias(x) for i, x in enumerate(names)], F.floor(F.log2(F.greatest("d2", F.lit(1e-9))) * BINS).cast("int").alias("bin"))
         bins = near.groupBy("g", "bin").count().withColumn("up_to", F.sum("count").over(Window.partitionBy("g").orderBy("bin")))
         cut = bins.groupBy("g").agg(F.sum("count").alias("all"), F.collect_list(F.struct("bin", "up_to")).alias("bins"))
         cut = cut.select("g", F.array_min(F.transform(F.filter("bins", lambda b: b["up_to"] >= keep * F.col("all")), lambda b: b["bin"])).alias("cut"))
-        core = _with_estimates(near, cut, 3 * count).filter("bin <= cut")
+        core = looked_up(near, cut, 3 * count).filter("bin <= cut")
         sums = core.groupBy(F.col("g").alias("of")).agg(F.count("*").alias("k"), *[F.sum(x).alias(f"s_{i}") for i, x in enumerate(names)], *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s_{i}_{j}") for i, j in _triangle(d)])
         raw = groups.select(*ids, "start", "n", "m").join(sums, (F.col("g") == F.col("of.g")) & (F.col("start") == F.col("of.start")))
         mean = _array(*[F.get("m", F.lit(i)) + F.col(f"s_{i}") / F.col("k") for i in range(d)])
@@ -271,6 +259,6 @@ def quality_verdicts(spark: SparkSession, docs: DataFrame, cut: float = CUT, car
     members = rows.filter("not base_failed").select(F.explode(wider).alias("of"), *vectors).select("of.*", *vectors)
     best = robust_estimates(members, FEATURES, scratch)
     own = best.filter(F.col("g").startswith("own ")).withColumn("g", F.substring("g", 5, 1 << 30))
-    judged = _distance(_with_estimates(rows, own, best.count()), list(FEATURES), list(FEATURES.values()))
+    judged = _distance(looked_up(rows, own, best.count()), list(FEATURES), list(FEATURES.values()))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cut)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "d2", *vectors, "lang", "source", *(["row"] if carry else []))

@@ -21,8 +21,8 @@ from .store import file_size, read_range, write_file
 
 #: Fixed values of the seekable format: skippable-frame number, footer number, footer size.
 SKIPPABLE, FOOTER, FOOTER_SIZE = 0x184D2A5E, 0x8F92EAB1, 9
-#: Raw bytes that close a frame, and compressed bytes that close a bundle.
-FRAME, BUNDLE = 1 << 20, 64 << 20
+#: Raw bytes that close a frame, compressed bytes that close a bundle, and full frames a reading task gets.
+FRAME, BUNDLE, FRAMES = 1 << 20, 64 << 20, 8
 #: Payloads below so many bytes are never revisits; copies of a hot payload spread over SALTS tasks.
 LEAST, SALTS = 1000, 64
 
@@ -140,7 +140,8 @@ def write_bundles(rows: DataFrame, uri: str) -> DataFrame:
 def read_bundles(spark: SparkSession, bundles: DataFrame) -> DataFrame:
     """Records of the ``bundles(bundle)``: header fields, and the digest of responses' payloads.
 
-    Tasks share the frames of the seek tables, so one large bundle is read by many tasks.
+    Tasks share the frames of the seek tables, as many as the frames' raw bytes ask for, so one large
+    bundle is read by many tasks.
     """
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +170,9 @@ def read_bundles(spark: SparkSession, bundles: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "html"])
 
     listed = bundles.select("bundle").distinct().mapInArrow(frames, "bundle string, start long, packed long, raw long")
-    return listed.repartition(F.col("bundle"), F.col("start")).mapInArrow(records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string")
+    listed = Scratch(spark, "warc-frames").table(listed, "frames")
+    tasks = max(1, -(-(listed.agg(F.sum("raw")).first()[0] or 0) // (FRAMES * FRAME)))
+    return listed.repartition(int(tasks), "bundle", "start").mapInArrow(records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string")
 
 
 def read_record(index_row: dict) -> tuple[dict[str, str], bytes]:

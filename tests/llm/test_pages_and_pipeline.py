@@ -31,6 +31,24 @@ def test_bundles(spark):
     assert write_bundles.__doc__
 
 
+def test_many_frames_and_bundles(spark, monkeypatch):
+    from panelspark.llm import warc
+
+    for name, low in (("FRAME", 4000), ("BUNDLE", 2000), ("FRAMES", 2)):
+        monkeypatch.setattr(warc, name, low)
+    rows = [(i, f"http://a/{i}", hashlib.sha1(str(i % 90).encode()).hexdigest() * 30) for i in range(120)]
+    records, index = archive_pages(spark, spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2))
+    places = index.collect()
+    assert len({r["bundle"] for r in places}) > 4 and max(r["frame"] for r in places) > 0 and any(r["offset"] for r in places)
+    got = {r["page_id"]: r for r in records.collect()}
+    assert records.rdd.getNumPartitions() > 4 and len(got) == 120
+    for r in places:
+        fields, block = read_record(r.asDict())
+        assert fields["WARC-Record-ID"] == f"<urn:page:{r['page_id']}>"
+        assert block.decode() == (rows[r["page_id"]][2] if r["page_id"] >= 30 else "")
+    assert all(got[i]["refers_to"] == (i + 90 if i < 30 else None) and got[i]["payload_digest"] == hashlib.sha1(rows[i][2].encode()).hexdigest() for i in got)
+
+
 def test_verdicts_spread_over_aliases(spark):
     rows = [
         (1, "http://plain.info/a", "<html>"), (2, "http://bad.net/x", None), (3, "https://alias.info/p?q=1#f", "<link rel='canonical' href='http://bad.net/x'>"),
@@ -82,8 +100,6 @@ def test_stages_decide_by_row(spark, tmp_path):
     import collections
 
     import corpus_pipeline
-    from panelspark.llm.mixing import targets
-
     def table(rows):
         return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text"))
 
@@ -107,7 +123,9 @@ def test_stages_decide_by_row(spark, tmp_path):
 
     docs = table([(None if n % 3 else 7, " ".join(x.split()[:40]), "en", "abc"[n % 3 and n % 2 + 1]) for n, x in enumerate(t)] + [(None, t[0], "en", "b")] * 9)
     words = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
-    aim = targets(words, (5, 2, 1), 3.0)
+    total, w = sum(words.values()), dict(zip("abc", (5, 2, 1)))
+    aim = {s: total * w[s] / 8 for s in words}
+    assert all(aim[s] < 3 * words[s] for s in words)
     out = corpus_pipeline.source_mix(spark, docs, str(tmp_path))
     taken = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
     assert out.columns == docs.columns and taken.keys() == aim.keys()
