@@ -10,8 +10,8 @@ Every text is the set of its distinct word shingles. Two texts link when
    sets share at least ``l`` of their first ``n - need + l`` shingles, for every ``l``. A class takes
    the ``l`` of least estimated cost: shingles looked up, plus verifications bounded by hits / l.
    A pair must fit in size and in the places of its common shingles. Linked sets share ``o`` =
-   ``num/(num+den) * (n + n')`` shingles, so ``min(l - need, l' - need') + o`` of them lie in both
-   prefixes; only pairs with so many are verified. A bitmap in which every shared shingle of a set
+   ``num/(num+den) * (n + n')`` shingles, so the smaller ``l`` of the two many lie among the first
+   ``n - o + l`` of either; only pairs with so many there are verified. A bitmap in which every shared shingle of a set
    flips one bit bounds ``o`` before a pair is even formed: two bitmaps that differ in ``x`` bits
    belong to sets that differ in ``x`` shingles at least. Pairs in a group of texts that resemble
    each other without linking fail there.
@@ -44,7 +44,7 @@ LEVELS, VERIFY_COST = 4, 20
 #: Leaders of a shingle in a round at most.
 LEADERS = 8
 #: 64-bit words of the bitmap of a set.
-BITMAP = 4
+BITMAP = 8
 
 
 def _sets(batch: pa.RecordBatch, k: int, known: WordHash) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -319,12 +319,12 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
         return new
 
     sizes = den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")
-    need = lambda n: F.floor((num * F.col(n) + (den - 1)) / den)
     overlap = F.floor((num * (F.col("n_a") + F.col("n_b")) + (num + den - 1)) / (num + den))
     places = F.least("pos_a", "pos_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= overlap
     apart = sum((F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in _BITS), F.lit(0))
     bits = F.col("common_a") + F.col("common_b") - apart >= 2 * overlap
-    whole = F.least(F.col("level_a") - need("n_a"), F.col("level_b") - need("n_b")) + overlap
+    level = F.least("level_a", "level_b")
+    early = F.greatest(F.col("pos_a") - F.col("n_a"), F.col("pos_b") - F.col("n_b")) < level - overlap
     before = None
     fields = ["key", "n", "level", "pos", "comp", "common", *_BITS]
     side = lambda c: ["token", *(F.col(x).alias(f"{x}_{c}") for x in fields)]
@@ -345,7 +345,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
             lead = seen.join(by.select("token"), "token", "left_semi").groupBy("token").agg(*[F.min(x).alias(f"x{i}") for i, x in enumerate(some)])
             lead = lead.select("token", F.explode(F.array_distinct(F.array(*[F.struct(*(f"x{i}.{x}_a" for x in fields)) for i in range(len(some))]))).alias("x")).select("token", "x.*")
             pairs = seen.select(side("b")).join(lead, "token").filter("comp_a <> comp_b")
-        pairs = pairs.filter(sizes & places & bits).groupBy(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).agg(F.count(F.lit(1)).alias("hits"), F.first(whole if last else F.least("level_a", "level_b")).alias("ask"))
+        pairs = pairs.filter(sizes & places & early & bits).groupBy(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).agg(F.count(F.lit(1)).alias("hits"), F.first(level).alias("ask"))
         pairs = scratch.table(pairs.filter("hits >= ask").select("a", "b"), "pairs")
         links = scratch.table(_verified(pairs, lists, num, den), "links")
         labels = merge(labels, links)
