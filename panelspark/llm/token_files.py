@@ -13,7 +13,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -70,17 +69,18 @@ class Encoder:
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with ``end`` after each."""
         split = [(_GAP.split(t) if _ODD.search(t) else t.split(" ")) for t in texts]
-        first = [self._one(s[0]) for s in split]
-        pieces: set[str] = set()
-        for s in split:
-            s[0] = s[-1]  # the last piece stands in for the first, which has no space before it
-            pieces.update(s)
-        new = pieces.difference(self.known)
-        if len(self.known) + len(new) > self.limit:
-            self.known = {p: self.known[p] for p in pieces.difference(new)}
-        self.known.update(self._learn(list(new)))
-        get = self.known.__getitem__
-        return [f + b"".join(map(get, islice(s, 1, None))) + end for f, s in zip(first, split, strict=True)]
+        found = [list(map(self.known.get, s)) for s in split]
+        new: set[str] = set()
+        for s, ids in zip(split, found):
+            ids[0] = self._one(s[0])
+            if None in ids:
+                new.update([p for p, x in zip(s, ids) if x is None])
+        if new:
+            if len(self.known) + len(new) > self.limit:
+                self.known = {}
+            self.known.update(fresh := self._learn(list(new)))
+            found = [[fresh[p] if x is None else x for p, x in zip(s, ids)] if None in ids else ids for s, ids in zip(split, found)]
+        return [b"".join(ids) + end for ids in found]
 
 
 @functools.lru_cache(maxsize=1)
@@ -100,8 +100,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, end_id: int = 0
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seq = _encoder(tokenizer), 0
         for whole in batches:
-            for at in range(0, len(whole), 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, len(whole), 512):
+                batch = whole.slice(at, 512)
                 blobs = encoder.encode([t or "" for t in batch.column(1).to_pylist()], end)
                 ends = np.cumsum([0, *map(len, blobs)]) // 4
                 ids = pa.array(np.frombuffer(b"".join(blobs), "<i4"))
@@ -111,7 +111,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, end_id: int = 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     coded = rows.select("doc_id", "text").mapInArrow(run, "doc_id long, seq long, ids array<int>")
-    coded.write.option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", "1000").option("orc.stripe.size", str(stripe_mb << 20)).orc(out)
+    coded.write.option("compression", "lz4").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", "1000").option("orc.stripe.size", str(stripe_mb << 20)).orc(out)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

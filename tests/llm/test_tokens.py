@@ -62,3 +62,21 @@ def test_files_round_trip(spark, tmp_path):
     plan = read_token_files(spark, out).filter("doc_id = 7")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,7)]" in plan
     assert tokens_through_files(spark, docs.limit(0), path).count() == 0
+
+
+def test_stripes_are_skipped_and_bloom_filters_written(spark, tmp_path):
+    docs = spark.range(11000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0, 4), i -> sha2(concat(id, i), 256))) AS text")
+    out = str(tmp_path / "orc")
+    write_token_files(docs, P.path("byte_bpe_50k.json"), out, parts=1, stripe_mb=1)
+    rows = read_token_files(spark, out)
+    assert rows.filter("doc_id = 4321").count() == 1 and rows.filter("doc_id = 70000").count() == 0
+    jvm, name = spark.sparkContext._jvm, next(x for x in (tmp_path / "orc").iterdir() if x.suffix == ".orc")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(name)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    assert reader.getStripes().size() > 1
+    low = [s.getColumnStatistics()[1].getMinimum() for s in reader.getStripeStatistics()]
+    high = [s.getColumnStatistics()[1].getMaximum() for s in reader.getStripeStatistics()]
+    assert low == sorted(low) and all(h < x for h, x in zip(high, low[1:]))
+    footer = reader.rows().readStripeFooter(reader.getStripes().get(0)) if hasattr(reader.rows(), "readStripeFooter") else None
+    kinds = {(s.getColumn(), s.getKind().toString()) for s in footer.getStreamsList()} if footer is not None else set()
+    assert {(1, "ROW_INDEX"), (1, "BLOOM_FILTER_UTF8")} <= kinds
