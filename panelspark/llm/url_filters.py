@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..operators.components import connected_components
-from .common import Scratch
+from .common import Scratch, looked_up
 
 #: Copies of one hot url or component are shared out over so many tasks.
 SALTS = 64
@@ -35,13 +36,27 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return ascii_lower(host), path
 
 
-def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
-    """The longest rule that fits and its action; nulls where none does. Rules come as (action, host, path)."""
-    name, action = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for act, h, p in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r[1], r[2])):
-        fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
-        name, action = F.when(fits, h + p).otherwise(name), F.when(fits, act).otherwise(action)
-    return name, action
+def rules_of_hosts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """``host, fits`` for the distinct hosts that rules of their own or of a parent domain fit.
+
+    ``fits`` lists path, name and action of ``rules(action, host, path)``, the longest name first.
+    Hosts meet rules by equality of their domain suffixes, so a rule list of any length is a join.
+    """
+    labels = F.split("host", "\\.")
+    most = rules.agg(F.max(F.size(labels))).first()[0] or 0  # no longer suffix can be a rule's host
+    suffix = F.explode(F.transform(F.sequence(F.greatest(F.size(labels) - most + 1, F.lit(1)), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    found = hosts.select("host").distinct().filter("host <> ''").select("host", suffix.alias("domain"))
+    known = rules.select(F.col("host").alias("domain"), "path", F.concat("host", "path").alias("name"), "action").dropna()
+    fit = F.struct((-F.length("name")).alias("order"), "domain", "path", "name", "action")
+    return found.join(known, "domain").groupBy("host").agg(F.array_sort(F.collect_set(fit)).alias("fits"))
+
+
+def with_rule(rows: DataFrame, rules: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rows(host, path, ...)`` with ``rule`` and ``action`` of the longest fitting rule, or nulls."""
+    of = scratch.table(rules_of_hosts(rows, rules), "rules")
+    both = looked_up(rows, of, of.count(), "host")
+    best = F.get(F.filter("fits", lambda f: F.col("path").startswith(f["path"])), F.lit(0))
+    return both.withColumn("best", best).select(*rows.columns, F.col("best.name").alias("rule"), F.col("best.action").alias("action"))
 
 
 def url_key(host: Column, path: Column, url: Column) -> Column:
@@ -50,27 +65,58 @@ def url_key(host: Column, path: Column, url: Column) -> Column:
     return F.when(host != "", F.concat(host, F.when(path == "", "/").otherwise(path), query))
 
 
+def without_dots(path: Column) -> Column:
+    """An absolute path with its ``.`` and ``..`` segments resolved."""
+    parts = F.slice(F.split(path, "/"), 2, F.length(path) + 1)
+
+    def walk(segments: Column) -> Column:
+        up = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+        kept = F.aggregate(segments, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", up(acc)).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+        open_end = F.element_at(segments, -1).isin(".", "..")
+        return let(kept, lambda k: F.concat(F.lit("/"), F.array_join(k, "/"), F.when(open_end & (F.size(k) > 0), "/").otherwise("")))
+
+    return let(parts, walk)
+
+
+def resolved(src: Column, to: Column) -> Column:
+    """The url that reference ``to`` names on page ``src``; null for schemes without ``://``."""
+    scheme = F.regexp_extract(src, r"(?s)^([^:]*):", 1)
+    base = F.regexp_extract(src, r"(?s)^([^:]*://[^/?#]*)", 1)
+    path = F.regexp_extract(src, r"(?s)^[^:]*://[^/?#]*(/[^?#]*)", 1)
+    path = F.when(path == "", "/").otherwise(path)
+    query = F.regexp_extract(src, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    own, rest = F.regexp_extract(to, r"(?s)^([^?#]*)", 1), F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(path, r"(?s)^(.*/)", 1)
+    return (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to).when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to)).when(to.startswith("/"), F.concat(base, without_dots(own), rest))
+        .when(to.startswith("?"), F.concat(base, path, to)).when(own == "", F.concat(base, path, query))
+        .otherwise(F.concat(base, without_dots(F.concat(folder, own)), rest))
+    )
+
+
 def links_of(pages: DataFrame) -> DataFrame:
-    """``src, dst`` of canonical links and refresh redirects that the pages' html declares."""
-    html = F.col("html").cast("string")
-    found = F.concat(F.regexp_extract_all(html, F.lit(_CANONICAL), F.lit(1)), F.regexp_extract_all(html, F.lit(_REFRESH), F.lit(1)))
-    some = html.contains("canonical") | html.contains("CANONICAL") | html.contains("refresh") | html.contains("REFRESH") | html.contains("Canonical") | html.contains("Refresh")
-    url = F.col("url").cast("string")
-    raw = pages.filter(url.contains("://") & some).select(url.alias("src"), F.explode(F.array_distinct(found)).alias("to"))
-    base = F.regexp_extract("src", r"(?s)^([^:]*://[^/?#]*)", 1)
-    folder = F.regexp_extract("src", r"(?s)^[^:]*://[^/?#]*(/(?:[^?#]*/)?)", 1)
-    full = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to")).when(F.col("to").startswith("/"), F.concat(base, "to")).otherwise(F.concat(base, F.when(folder == "", "/").otherwise(folder), "to"))
-    return raw.select("src", full.alias("dst"))
-
-
-def judge_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None) -> DataFrame:
+    """``src, dst`` of canonical links and refresh redirects that the pages' html declares, comments aside."""
+    html, url = F.col("html").cast("string"), F.col("url").cast("string")
+    some = pages.filter(url.contains("://") & html.rlike("(?i)canonical|refresh"))
+    some = some.select(url.alias("src"), F.regexp_replace(html, r"(?s)<!--.*?-->", "").alias("html"))
+    found = F.concat(F.regexp_extract_all("html", F.lit(_CANONICAL), F.lit(1)), F.regexp_extract_all("html", F.lit(_REFRESH), F.lit(1)))
+    raw = some.select("src", F.explode(F.array_distinct(found)).alias("to"))
+    return raw.select("src", resolved(F.col("src"), F.regexp_replace("to", "&amp;", "&")).alias("dst")).dropna()
+
+
+def judge_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """``page_id, host, path, rule, verdict, component`` for every row of ``pages(page_id, url, html)``.
 
-    ``redirects(src, dst)`` adds logged redirects to the links that the html declares. A null url,
+    ``rules`` are (action, host, path) triples or a table of such columns; of equally long fitting
+    rules the one with the smaller domain and path counts. ``redirects(src, dst)`` adds logged
+    redirects to the links that the html declares. A null url,
     or one without ``://``, has an empty host and path, no alias and the verdict allow. Repeated
     rows repeat in the result; extra columns are ignored. component is null without aliases.
     """
     scratch = Scratch(spark, "url-filters")
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(rules, "action string, host string, path string")
 
     def keyed(url: Column) -> Column:
         host, path = split_url(url)
@@ -78,9 +124,7 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str
 
     def judged(df: DataFrame, url: Column) -> DataFrame:
         host, path = split_url(url)
-        rows = df.withColumns({"host": host, "path": path})
-        name, action = fitting_rule(F.col("host"), F.col("path"), rules)
-        return rows.withColumns({"rule": name, "action": action, "key": url_key(F.col("host"), F.col("path"), url)})
+        return with_rule(df.withColumns({"host": host, "path": path, "key": url_key(host, path, url)}), rules, scratch)
 
     links = links_of(pages)
     if redirects is not None:

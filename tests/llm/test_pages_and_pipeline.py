@@ -70,6 +70,42 @@ def test_verdicts_spread_over_aliases(spark):
     assert judge_urls(spark, pages.limit(0), RULES).count() == 0
 
 
+def test_references_are_resolved(spark):
+    from panelspark.llm.url_filters import resolved
+
+    cases = {"http://a.com/d/e?x=1": {"../x": "http://a.com/x", "?q=1": "http://a.com/d/e?q=1", "f": "http://a.com/d/f", "./f/../g/.": "http://a.com/d/g/", "/z/./y?k=..": "http://a.com/z/y?k=..", "//b.org/x": "http://b.org/x", "https://c.net": "https://c.net", "#top": "http://a.com/d/e?x=1", "mailto:me@a.com": None, "../../../k": "http://a.com/k"}, "https://h.com": {"p": "https://h.com/p", "?a": "https://h.com/?a"}}
+    rows = [(src, to, want) for src, x in cases.items() for to, want in x.items()]
+    got = spark.createDataFrame(rows, "src string, to string, want string").select("to", "want", resolved(F.col("src"), F.col("to")).alias("got")).collect()
+    assert [(r["to"], r["got"]) for r in got] == [(r["to"], r["want"]) for r in got]
+
+
+def test_thousands_of_links_equal_plain_components(spark):
+    import random
+
+    rng = random.Random(3)
+    hosts = [f"h{i}.{'net' if i % 40 == 0 else 'info'}" for i in range(3000)]
+    edges = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(1300)] + [(0, i) for i in range(1, 3000, 17)]
+    shapes = ["<link rel=\"CaNONICAL\" href='{}'>", "<META http-equiv=Refresh content=\"3; URL={}\">", "<p><link href={} rel=canonical>"]
+    rows = [(i, f"http://{h}/", "<!-- <link rel=canonical href=http://h0.net/> -->") for i, h in enumerate(hosts)]
+    rows += [(10000 + n, f"http://{hosts[a]}/", shapes[n % 3].format(f"http://{hosts[b]}/")) for n, (a, b) in enumerate(edges)]
+    rows += [(50000, "http://" + "x." * 3000 + "net/a", ""), (50001, "http://long.info/" + "y" * 200000, ""), (50002, "http://a.b.info/p/q", "")]
+    root = list(range(3000))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    bad = {find(i) for i in range(3000) if hosts[i].endswith(".net")}
+    rules = [*RULES, ("block", "b.info", "/p/"), ("allow", "a.b.info", "/p")]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in judge_urls(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i][1] == ("block" if find(i) in bad else "allow") for i in range(3000))
+    assert got[50000] == ("net/", "block") and got[50001] == (None, "allow") and got[50002] == ("a.b.info/p", "allow")
+
+
 def test_pipeline(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
     import corpus_pipeline
