@@ -16,8 +16,8 @@ Every text is the set of its distinct word shingles. Two texts link when
    belong to sets that differ in ``x`` shingles at least. Pairs in a group of texts that resemble
    each other without linking fail there.
 4. Components grow in rounds. While the candidate pairs between different components outnumber the
-   prefix rows and still fall, each prefix shingle proposes only (leader, other) pairs, with new
-   and twice as many leaders each round; what a round links needs no more comparison. The last
+   prefix rows and rounds still find links, each prefix shingle proposes only (leader, other) pairs,
+   with new and twice as many leaders each round; what a round links needs no more comparison. The last
    round takes every candidate pair that still crosses components, so no link is lost.
 """
 
@@ -43,6 +43,8 @@ CHUNK, HELD = 1_000_000, 4_000_000
 LEVELS, VERIFY_COST = 4, 20
 #: Leaders of a shingle in a round at most.
 LEADERS = 8
+#: Share of the classes that a leader round must link to be worth another one.
+WORTH = 0.01
 #: 64-bit words of the bitmap of a set.
 BITMAP = 8
 
@@ -325,7 +327,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     bits = F.col("common_a") + F.col("common_b") - apart >= 2 * overlap
     level = F.least("level_a", "level_b")
     early = F.greatest(F.col("pos_a") - F.col("n_a"), F.col("pos_b") - F.col("n_b")) < level - overlap
-    before = None
+    found = total = labels.count()
     fields = ["key", "n", "level", "pos", "comp", "common", *_BITS]
     side = lambda c: ["token", *(F.col(x).alias(f"{x}_{c}") for x in fields)]
     for turn in range(rounds + 1):
@@ -335,8 +337,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
         crossing = by.agg(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2)).first()[0]
         if not crossing:
             break
-        last = crossing <= rows or turn == rounds or (before is not None and crossing > 0.9 * before)
-        before = crossing
+        last = crossing <= rows or turn == rounds or found < WORTH * total
         if last:
             left = seen.join(by.select("token", "most"), "token").filter("comp <> most").select(*side("a"), "most")
             pairs = left.join(seen.select(side("b")), "token").filter("comp_a <> comp_b and (comp_b = most or key_a < key_b)")
@@ -348,6 +349,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
         pairs = pairs.filter(sizes & places & early & bits).groupBy(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).agg(F.count(F.lit(1)).alias("hits"), F.first(level).alias("ask"))
         pairs = scratch.table(pairs.filter("hits >= ask").select("a", "b"), "pairs")
         links = scratch.table(_verified(pairs, lists, num, den), "links")
+        found = links.count()
         labels = merge(labels, links)
         scratch.drop(seen, by, pairs, links)
         if last:
