@@ -11,6 +11,8 @@ from . import sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+#: Columns of each query besides ticker and date.
+SHOWN: dict = {}
 
 
 def _add(name: str, make, cols: list[str], ctes: list[str], last: str) -> None:
@@ -18,7 +20,7 @@ def _add(name: str, make, cols: list[str], ctes: list[str], last: str) -> None:
         out = make(bars(spark, sf_dir))
         return out.select("secid", "date", *[near(c, 4).alias(c) for c in cols])
 
-    QUERIES[name] = run
+    QUERIES[name], SHOWN[name] = run, cols
     ORACLE_SQL[name] = "WITH RECURSIVE " + ",\n".join([sql.BARS, *ctes]) + "\n" + sql.shown(cols, last)
 
 
@@ -75,9 +77,16 @@ _add("tema", ind.tema, ["TEMA"], [sql.ewm("e", "bars", {"e1": ("close", _T)}), s
 _add("sma_min_periods", lambda d: ind.sma_min1(d, ("close",)), [f"close_SMA_{n}" for n in (1, 3, 7, 30, 180)], [_with("o", "bars", {f"close_SMA_{n}": f"avg(close) OVER (PARTITION BY secid ORDER BY date ROWS {n - 1} PRECEDING)" for n in (1, 3, 7, 30, 180)})], "o")
 
 
+_PARTS = ("moving_averages", "rsi", "macd", "bollinger", "stochastic", "atr", "vwap", "obv", "williams_r", "momentum", "adx", "mfi", "pvo", "chaikin_ad", "chaikin_oscillator", "cci", "emv", "ad_line", "bull_bear_power", "tema")
+FEATURES = [c for name in _PARTS for c in SHOWN[name]]
+FEATURES_SQL = "SELECT * FROM " + " JOIN ".join(f"({ORACLE_SQL[name]}) {name}_part" + (" USING (secid, date)" if i else "") for i, name in enumerate(_PARTS))
+
+
 def technical_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All indicators in one panel; each has a query with SQL of its own."""
-    return ind.technical_features(bars(spark, sf_dir))
+    """All indicators in one panel, rounded as in the queries of each."""
+    out = ind.technical_features(bars(spark, sf_dir))
+    return out.select("secid", "date", *[near(c, 4).alias(c) for c in FEATURES])
 
 
 QUERIES["technical_features"] = technical_features
+ORACLE_SQL["technical_features"] = FEATURES_SQL

@@ -1,57 +1,68 @@
-"""Exponentially weighted means as a two-level affine scan over ordered rows of each key.
+"""Exponentially weighted means as one ordered pass over the rows of each key.
 
-``y[t] = A[t] y[t-1] + B[t]`` composes, so blocks of rows are summed by window functions and only
-one pair a block is folded per key. Nulls carry the last value; after a gap of g nulls the old
-value weighs ``d ** (g + 1)`` against ``alpha``, with ``d = 1 - alpha``.
+Nulls carry the last value; after a gap of g nulls the old value weighs ``d ** (g + 1)`` against
+``alpha``, with ``d = 1 - alpha``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
-BLOCK = 64
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def alpha_of(span: float) -> float:
     return 2.0 / (span + 1.0)
 
 
+class Carry:
+    """The running mean of a key: its last value and how many rows ago the last observation was."""
+
+    def __init__(self, alpha: float):
+        self.alpha, self.value, self.gap = alpha, None, 0
+
+    def follow(self, x: np.ndarray) -> np.ndarray:
+        """Means of the next rows; NaN stands for null."""
+        before = [] if self.value is None else [self.value] + [np.nan] * self.gap
+        out = pd.Series(np.concatenate([before, x])).ewm(alpha=self.alpha, adjust=False).mean().to_numpy()[len(before) :]
+        seen = np.flatnonzero(~np.isnan(x))
+        if len(seen):
+            self.value, self.gap = out[-1], len(x) - 1 - int(seen[-1])
+        elif self.value is not None:
+            self.gap += len(x)
+        return out
+
+
 def ewm(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "secid", order: str = "date") -> DataFrame:
     """Add column ``out`` for each ``out: (column, alpha)``; ``alpha`` 1 copies the column forward.
 
-    Rows of a key are taken in ``order``; leading nulls give null. All specs share one shuffle by
-    key and one join of block carries. Needs at least one spec; an empty table stays empty.
+    Rows of a key are taken in ``order``; leading nulls give null, NaN counts as null. All specs
+    share one shuffle by key, and rows stream through a task with one running value a spec, so a
+    key may be of any length. Null keys are a key of their own; an empty table stays empty.
     """
-    by = Window.partitionBy(key).orderBy(order)
-    so_far = by.rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn("_r", F.row_number().over(by) - 1)
-    rows = rows.withColumns({f"_k_{o}": F.col("_r") - F.last(F.when(F.col(c).isNotNull(), F.col("_r")), ignorenulls=True).over(so_far) for o, (c, _) in specs.items()})
-    rows = rows.withColumn("_b", F.floor(F.col("_r") / BLOCK))
-    factors = {}
-    for o, (c, a) in specs.items():
-        x, k = F.col(c), F.col(f"_k_{o}")
-        old = F.greatest(F.pow(F.lit(1.0 - a), k), F.lit(1e-30))
-        factors[f"_la_{o}"] = F.when(x.isNull() | k.isNull(), 0.0).otherwise(F.log(old / (old + a)) if a < 1 else F.lit(0.0))
-        factors[f"_x_{o}"] = F.when(x.isNull(), 0.0).when(k.isNull(), x.cast("double")).otherwise(a * x / (old + a))
-    rows = rows.withColumns(factors)
-    block = Window.partitionBy(key, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({f"_p_{o}": F.exp(F.sum(f"_la_{o}").over(block)) for o in specs})
-    rows = rows.withColumns({f"_s_{o}": F.sum(F.col(f"_x_{o}") / F.col(f"_p_{o}")).over(block) for o in specs})
-    last = F.struct(*[F.struct(F.max_by(f"_p_{o}", "_r").alias("p"), F.max_by(f"_s_{o}", "_r").alias("s")).alias(o) for o in specs])
-    ends = rows.groupBy(key, "_b").agg(last.alias("e")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_b", "e"))).alias("es"))
-    start = F.struct(F.struct(*[F.lit(0.0).alias(o) for o in specs]).alias("y"), F.array(F.struct(*[F.lit(0.0).alias(o) for o in specs])).alias("all"))
-
-    def fold(acc, x):
-        y = F.struct(*[(x["e"][o]["p"] * (acc["y"][o] + x["e"][o]["s"])).alias(o) for o in specs])
-        return F.struct(y.alias("y"), F.concat(acc["all"], F.array(y)).alias("all"))
-
-    carry = ends.select(F.col(key).alias("_key"), F.posexplode(F.aggregate("es", start, fold)["all"]).alias("_at", "_c"))
-    joined = rows.join(carry, (F.col(key) == F.col("_key")) & (F.col("_b") == F.col("_at")))
-    out = {}
-    for o, (c, a) in specs.items():
-        y = F.col(f"_p_{o}") * (F.col(f"_c.{o}") + F.col(f"_s_{o}"))
-        if a >= 1:
-            y = F.last(c, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-        out[o] = F.when(F.col(c).isNotNull() | F.col(f"_k_{o}").isNotNull(), y)
-    return joined.withColumns(out).select(*df.columns, *specs)
+    schema = StructType([*df.schema.fields, *(StructField(o, DoubleType()) for o in specs)])
+    at, columns = df.columns.index(key), [df.columns.index(c) for c, _ in specs.values()]
+    alphas = [a for _, a in specs.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, carries = object(), []
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = batch.column(at).to_pylist()
+            starts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1])]
+            values = [batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns]
+            out = [np.empty(len(keys)) for _ in alphas]
+            for start, end in zip(starts, [*starts[1:], len(keys)]):
+                if keys[start] != now:
+                    now, carries = keys[start], [Carry(a) for a in alphas]
+                for carry, x, y in zip(carries, values, out):
+                    y[start:end] = carry.follow(x[start:end])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(y, from_pandas=True) for y in out)], schema=pa.schema([*batch.schema, *((o, pa.float64()) for o in specs)]))
+
+    return df.repartition(F.col(key)).sortWithinPartitions(key, order).mapInArrow(run, schema)
