@@ -311,13 +311,17 @@ def merge_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("secid", "date", "close", "Revenue_q", "NetDebt_y", "1_urgent", "5_low")
 
 
-@query(f"""WITH {sql.BARS}, p AS (SELECT DISTINCT date FROM bars WHERE secid = '1' AND date < DATE '1999-01-01'), h AS (SELECT DISTINCT cast(o_orderdate AS date) AS date FROM orders WHERE o_orderkey % 97 = 0),
-d AS (SELECT unnest(generate_series(TIMESTAMP '1994-06-01', TIMESTAMP '2000-12-31', INTERVAL 1 DAY))::date AS date), s AS (SELECT min(date) AS lo, max(date) AS hi FROM p)
+@query(f"""WITH {sql.BARS}, p AS (SELECT DISTINCT date FROM bars), n AS (SELECT cast(o_orderdate AS date) AS date, count(*) AS n FROM orders GROUP BY 1),
+h AS (SELECT date + 2557 AS date FROM n WHERE n < 0.9 * (SELECT avg(n) FROM n)), s AS (SELECT min(date) AS lo, max(date) AS hi FROM p),
+d AS (SELECT unnest(generate_series(cast(lo - 30 AS timestamp), cast(hi + 400 AS timestamp), INTERVAL 1 DAY))::date AS date FROM s)
 SELECT date, CASE WHEN date > hi THEN isodow(date) < 6 AND date NOT IN (SELECT date FROM h) WHEN date >= lo THEN date IN (SELECT date FROM p) ELSE false END AS is_trading_day FROM d, s""")
 def trading_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = bars(spark, sf_dir).filter("secid = '1' AND date < DATE '1999-01-01'").select("date")
-    h = table(spark, sf_dir, "orders").filter("o_orderkey % 97 = 0").select(F.to_date("o_orderdate").alias("date"))
-    return ma.trading_calendar(spark, p, h, "1994-06-01", "2000-12-31")
+    """Days of all bars, and a year after them whose holidays are the quiet order days seven years before."""
+    p = bars(spark, sf_dir).select("date").distinct()
+    n = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count("*").alias("n"))
+    h = n.join(F.broadcast(n.agg(F.avg("n").alias("mean")))).filter("n < 0.9 * mean").select(F.date_add("date", 2557).alias("date"))
+    lo, hi = p.agg(F.date_sub(F.min("date"), 30).cast("string"), F.date_add(F.max("date"), 400).cast("string")).first()
+    return ma.trading_calendar(spark, p, h, lo, hi)
 
 
 # Signals, targets, evaluation

@@ -325,16 +325,18 @@ def parse_index_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return la.parse_index_json(pages.select(value.alias("value")))
 
 
-@query(f"WITH {sql.SERIES} SELECT date, value FROM series WHERE series = '2_high' AND date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'")
+@query(f"WITH {sql.SERIES} SELECT date, value FROM series")
 def parse_commodity_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = series(spark, sf_dir).filter("series = '2_high'").groupBy(F.year("date")).agg(F.collect_list(F.struct(F.col("date").cast("string").alias("date"), F.col("value").cast("string").alias("value"))).alias("data"))
-    return la.parse_commodity_json(rows.select(F.to_json(F.struct("data")).alias("value")), "1996-01-01", "1997-12-31")
+    rows = series(spark, sf_dir)
+    lo, hi = rows.agg(F.min("date").cast("string"), F.max("date").cast("string")).first()
+    pages = rows.groupBy("series", F.year("date")).agg(F.collect_list(F.struct(F.col("date").cast("string").alias("date"), F.col("value").cast("string").alias("value"))).alias("data"))
+    return la.parse_commodity_json(pages.select(F.to_json(F.struct("data")).alias("value")), lo, hi)
 
 
-@query(f"WITH {sql.SERIES} SELECT date, value AS key_rate FROM series WHERE series = '5_low'")
+@query(f"WITH {sql.SERIES} SELECT date, value AS key_rate FROM series")
 def parse_html_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.concat(F.lit("<tr><td>"), F.date_format("date", "dd.MM.yyyy"), F.lit("</td><td><b>"), F.translate(F.col("value").cast("decimal(20,2)").cast("string"), ".", ","), F.lit("</b></td><td>x</td></tr>\n"))
-    pages = series(spark, sf_dir).filter("series = '5_low'").groupBy(F.year("date")).agg(F.concat_ws("", F.lit("<table><tr><th>Date</th></tr>"), F.collect_list(row), F.lit("</table>")).alias("value"))
+    pages = series(spark, sf_dir).groupBy("series", F.year("date")).agg(F.concat_ws("", F.lit("<table><tr><th>Date</th></tr>"), F.collect_list(row), F.lit("</table>")).alias("value"))
     return la.parse_html_rate_table(pages.select("value"))
 
 

@@ -83,9 +83,12 @@ def daily_asof(df: DataFrame, end_date: str, key: str = "ticker") -> DataFrame:
 def asof_join(left: DataFrame, right: DataFrame, key: str, on: str = "date") -> DataFrame:
     """Backward as-of join: each left row with the last non-null right values at or before its day.
 
-    Both sides are merged in one sorted window per key; no range join takes place.
+    Both sides are merged in one sorted window per key; no range join takes place. Value columns
+    that both sides have are refused, as a row could not tell whose they are.
     """
     cols = [c for c in right.columns if c not in (key, on)]
+    if clash := sorted(set(cols) & set(left.columns)):
+        raise ValueError(f"both sides have the columns {clash}; rename those of one side")
     both = left.withColumn("_l", F.lit(1)).unionByName(right.withColumn("_l", F.lit(0)), allowMissingColumns=True)
     w = Window.partitionBy(key).orderBy(on, "_l").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols}).filter("_l = 1").drop("_l")

@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import id_chunk, id_date
 
+#: Tasks that may share the rows of one key when a panel is written.
+SHARES = 4
+
 
 def write_panel(df: DataFrame, path: str, fmt: str = "parquet", key: str = "secid") -> None:
-    """One folder per key; a repeated run replaces the whole table."""
-    df.repartition(key).write.mode("overwrite").partitionBy(key).format(fmt).option("header", "true").save(path)
+    """One folder per key; a repeated run replaces the whole table.
+
+    A key's rows are dealt to ``SHARES`` tasks, so that a hot key has as many files instead of one task.
+    """
+    df.repartition(F.col(key), F.pmod(F.xxhash64(*df.columns), F.lit(SHARES))).write.mode("overwrite").partitionBy(key).format(fmt).option("header", "true").save(path)
 
 
 def high_water_mark(df: DataFrame, col: str) -> DataFrame:
@@ -45,14 +51,19 @@ def upsert_latest(history: DataFrame, new: DataFrame, key: str, seq: str) -> Dat
 def merge_first(tables: list[DataFrame], key: str, seq: str) -> DataFrame:
     """One row per key, that of the first table and smallest ``seq``; ``position`` orders the result.
 
-    The position follows date and chunk of the id; ids without them come last.
+    The position follows date and chunk of the id; ids without them come last. Rows are counted
+    within their date and dates before them are summed, so no task sees all rows.
     """
     both = tables[0].withColumn("_v", F.lit(0))
     for i, t in enumerate(tables[1:], 1):
         both = both.unionByName(t.withColumn("_v", F.lit(i)), allowMissingColumns=True)
     rows = _pick(both, [key], [F.asc("_v"), F.asc(seq)]).drop("_v")
-    order = Window.orderBy(id_date(key).asc_nulls_last(), id_chunk(key).asc_nulls_last(), key)
-    return rows.withColumn("position", F.row_number().over(order))
+    rows = rows.withColumn("_day", id_date(key))
+    days = rows.groupBy(F.col("_day").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    days = days.select("_of", (F.sum("_n").over(Window.orderBy(F.asc_nulls_last("_of"))) - F.col("_n")).alias("_before"))
+    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_day").orderBy(id_chunk(key).asc_nulls_last(), key)))
+    rows = rows.join(days, F.col("_day").eqNullSafe(F.col("_of")))
+    return rows.withColumn("position", (F.col("_before") + F.col("_i")).cast("int")).drop("_day", "_of", "_before", "_i")
 
 
 def merge_representatives(old: DataFrame, new: DataFrame, key: str = "cluster_id", time: str = "datetime") -> DataFrame:
@@ -64,6 +75,7 @@ def merge_representatives(old: DataFrame, new: DataFrame, key: str = "cluster_id
 
 
 def merge_clusters(old: DataFrame, new: DataFrame, key: str = "cluster_id") -> DataFrame:
+    """Stored clusters and those new ones whose key isn't stored."""
     return old.unionByName(new.join(old.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
 
 
@@ -76,6 +88,7 @@ def replace_last_day(old: DataFrame, new: DataFrame, col: str = "date") -> DataF
 
 
 def append_results(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Both tables' rows; columns that one lacks are null there."""
     return old.unionByName(new, allowMissingColumns=True)
 
 
@@ -99,4 +112,5 @@ def run_report(df: DataFrame, key: str = "secid", time: str = "date") -> DataFra
 
 
 def missing_records(source: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Rows of ``source`` whose key ``done`` lacks."""
     return source.join(done.select(key).distinct(), key, "left_anti")

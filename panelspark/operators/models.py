@@ -89,10 +89,15 @@ def regression_metrics(df: DataFrame, truth: str, pred: str, by: list[str] = ())
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.when(spread > 0, 1 - F.avg(e * e) / spread).alias("r2"), F.avg((F.signum(truth) == F.signum(pred)).cast("double")).alias("sign_accuracy"))
 
 
+#: Ranges of scores that are ranked apart.
+RANGES = 64
+
+
 def classification_metrics(df: DataFrame, truth: str, score: str, threshold: float = 0.5, by: list[str] = ()) -> DataFrame:
     """Accuracy, precision, recall, F1 (0 where undefined) and the rank-sum ROC-AUC.
 
-    Distinct scores are counted first, so the ranks need one row per score, not per row.
+    Distinct scores are counted first, so the ranks need one row per score, not per row; ranges of
+    scores between quantiles are ranked apart and added up, so no task sees all scores.
     """
     by = list(by)
     hit = F.col(score) >= threshold
@@ -100,7 +105,16 @@ def classification_metrics(df: DataFrame, truth: str, score: str, threshold: flo
     rows = df.filter(F.col(truth).isNotNull() & F.col(score).isNotNull())
     conf = rows.groupBy(*by).agg(agg(1, True).alias("tp"), agg(0, True).alias("fp"), agg(1, False).alias("fn"), agg(0, False).alias("tn"))
     each = rows.groupBy(*by, score).agg(F.sum((F.col(truth) == 1).cast("long")).alias("p"), F.sum((F.col(truth) == 0).cast("long")).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cuts = rows.agg(F.percentile_approx(F.col(score).cast("double"), [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] or []
+    at = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]).cast("array<double>"), lambda c: c <= F.col(score).cast("double")))
+    each = each.withColumn("_range", at)
+    ranges = each.groupBy(*by, F.col("_range")).agg(F.sum("q").alias("_q"))
+    ranges = ranges.withColumn("_before", F.sum("_q").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_q")).select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_of"), "_before")
+    same = F.col("_range") == F.col("_of")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    each = each.join(ranges, same)
+    below = F.col("_before") + F.coalesce(F.sum("q").over(Window.partitionBy(*by, "_range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     auc = each.withColumn("u", F.col("p") * (below + F.col("q") / 2)).groupBy(*by).agg(F.sum("u").alias("u"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
     auc = auc.select(*by, F.when((F.col("np") > 0) & (F.col("nq") > 0), F.col("u") / (F.col("np") * F.col("nq"))).alias("roc_auc"))
     both = conf.join(auc, by) if by else conf.crossJoin(auc)

@@ -22,14 +22,17 @@ def clean_message_stream(spark: SparkSession, source: str, target: str, checkpoi
 
 
 def representative_stream(spark: SparkSession, source: str, target: str, checkpoint: str, cfg: ClusterConfig = ClusterConfig()) -> StreamingQuery:
-    """Cluster each batch of whole days of embedded messages and replace the days' representatives.
+    """Cluster the windows that a batch of embedded messages touches and replace their representatives.
 
-    Files of ``source`` hold whole days; a repeated batch overwrites the days that it holds.
+    All messages of such a window that have landed by then count, those of earlier batches too, so a
+    day may be split over files and batches, and a repeated batch gives the same result.
     """
     schema = spark.read.parquet(source).schema
 
     def upsert(batch: DataFrame, _: int) -> None:
-        rows = assign_windows(batch, cfg.window_days, cfg.step_days)
+        landed = batch.sparkSession.read.schema(schema).parquet(source)
+        touched = assign_windows(batch, cfg.window_days, cfg.step_days).select("window").distinct()
+        rows = assign_windows(landed, cfg.window_days, cfg.step_days).join(touched, "window", "left_semi")
         found = cluster_windows(batch.sparkSession, rows, cfg)
         best = representatives(found.join(rows, ["window", "id"]))
         best.drop("embedding").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("window").parquet(target)
@@ -37,15 +40,19 @@ def representative_stream(spark: SparkSession, source: str, target: str, checkpo
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def bar_stream(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
     """Append bars of tickers and days that the target lacks."""
 
     def append(batch: DataFrame, _: int) -> None:
         s = batch.sparkSession
-        try:
-            stored = s.read.schema(BAR).parquet(target).select("secid", "date")
-        except Exception:  # noqa: BLE001  nothing is stored before the first batch
-            stored = s.createDataFrame([], "secid string, date date")
-        batch.dropDuplicates(["secid", "date"]).join(stored, ["secid", "date"], "left_anti").write.mode("append").parquet(target)
+        fresh = batch.dropDuplicates(["secid", "date"])
+        if _exists(s, target):
+            fresh = fresh.join(s.read.schema(BAR).parquet(target).select("secid", "date"), ["secid", "date"], "left_anti")
+        fresh.write.mode("append").parquet(target)
 
     return spark.readStream.schema(BAR).parquet(source).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
