@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -239,7 +240,7 @@ def test_estimate_trusts_the_reliable():
     truth = {}
     for i in range(2000):
         t = rng.random() < 0.4
-        v = tuple((1 if t == (rng.random() < q) else -1) for q in (0.95, 0.9, 0.85, 0.55))
+        v = tuple((1 if t == (rng.random() < q) else -1) for q in (0.95, 0.9, 0.85, 0.55, 0.6, 0.5))
         counts[v] += 1
         truth.setdefault(v, []).append(t)
     _, rates, post = estimate(list(counts.items()))
@@ -248,6 +249,104 @@ def test_estimate_trusts_the_reliable():
     assert right / 2000 > 0.93
 
 
+def test_estimate_equals_expectation_maximisation_over_single_candidates():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    true = rng.random(600) < 0.3
+    votes = np.array([[rng.choice([-1, 0, 1], p=[0.7 - 0.5 * t, 0.2, 0.1 + 0.5 * t]) for _ in range(6)] for t in true])
+    p = np.clip(0.5 + 0.45 * votes.mean(1), 0.05, 0.95)
+    for _ in range(50):
+        prior = (p.sum() + 1) / (len(p) + 2)
+        odds = np.full(len(p), np.log(prior / (1 - prior)))
+        for i in range(6):
+            yes = {1: 3.0, 0: 1.5, -1: 1.0}
+            table = {x: (yes[x] + p[votes[:, i] == x].sum(), yes[-x] + (1 - p)[votes[:, i] == x].sum()) for x in yes}
+            sums = [sum(t[k] for t in table.values()) for k in (0, 1)]
+            odds += np.array([np.log(table[x][0] / sums[0] / (table[x][1] / sums[1])) for x in votes[:, i]])
+        p = 1 / (1 + np.exp(-odds))
+    counts = collections.Counter(map(tuple, votes.tolist()))
+    post = dict(zip(counts, estimate(list(counts.items()))[2]))
+    assert np.allclose([post[tuple(v)] for v in votes.tolist()], p, atol=1e-3)
+    assert ((p > 0.5) == true).mean() > 0.9
+
+
+def mod97(s):
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def twin_spans(texts):
+    """All spans of every text by plain code; only the driver's two small fits are shared."""
+    from panelspark.llm import pii
+
+    found = []
+    for r, t in enumerate(texts):
+        base = [(m.start(), m.end(), k) for k, p in enumerate(PATTERNS.values()) for m in re.finditer(p, t) if valid(list(PATTERNS)[k], m.group())]
+        here = [(k, True, i, j) for i, j, k in base]
+        for k, kind in enumerate(pii.KINDS):
+            here += [(k, False, m.start(), m.end()) for m in re.finditer(pii.LOOSE[kind], t) if not any(i < m.end() and m.start() < j for i, j, _ in base)]
+        found += [(r, len(here) - 1, *x) for x in here]
+    rows = []
+    for r, others, k, is_base, i, j in found:
+        t, kind = texts[r], pii.KINDS[k]
+        x, left, right = t[i:j], t[max(0, i - 40) : i], t[j : j + 2]
+        n, has = sum(c in "0123456789" for c in x), lambda p, y=x: regex.search(p, y) is not None
+        yes = lambda c: 1 if c else -1
+        three = lambda c, d: 1 if c else -1 if d else 0
+        letters, turns = sum("a" <= c.lower() <= "z" for c in x), len(re.findall("[0-9][A-Za-z]|[A-Za-z][0-9]", x))
+        shape = {"email": lambda: "@" in x or has(r"(?i)[\[(] ?(at|dot)| dot [a-z0-9-]*[a-z]{2}$"), "ip": lambda: ":" in x or all(int(q) <= 255 for q in x.split(".")), "card": lambda: valid("card", x), "phone": lambda: 10 <= n <= 15, "secret": lambda: turns >= 4 and 4 * n >= len(x) and 8 * letters >= len(x), "iban": lambda: mod97(x), "ssn": lambda: not has("^(000|666|9)|-00-|-0000$")}[kind]()
+        gaz = {"email": lambda: yes(has("[A-Za-z0-9-]+$") and re.search("[A-Za-z0-9-]+$", x).group().lower() in pii.DOMAINS), "ip": lambda: three(not has(r"^(0|127|255)\."), has("^0")), "card": lambda: three(has("^(4|5[1-5]|2[2-7]|3[47]|6)"), has("^[0189]")), "phone": lambda: three(has(r"^\+[1-9]|^\(?[2-9]"), has(r"^\(?[01]")), "secret": lambda: three(has(pii.TOKENS) or (has("^([0-9a-f]+|[0-9A-F]+)$") and len(x) in (32, 40, 64)), len(x) < 24), "iban": lambda: yes(x[:2] in pii.COUNTRIES), "ssn": lambda: 0}[kind]()
+        layout = {"email": lambda: three(has(r"^[a-z0-9._%+-]+@| ?[\[(]"), has("[A-Z].*[a-z].*[A-Z]")), "ip": lambda: yes(not has("(^|[.])0[0-9]")), "card": lambda: yes(has("^([0-9]+|[0-9]{4}([ -][0-9]{4}){3})$")), "phone": lambda: three(has("[ ().-]"), has("^[0-9]+$")), "secret": lambda: yes(has("^([a-z0-9_-]+|[A-Z0-9_-]+)$")), "iban": lambda: yes(not has("[a-z]")), "ssn": lambda: 1}[kind]()
+        context = three(has(pii.CONTEXT[kind][0], left), has(pii.CONTEXT[kind][1], left))
+        glued = has(r"[\p{L}\p{N}_./-]$", left) or has(r"^[\p{L}\p{N}_/=]", right)
+        v = {"shape": yes(shape), "gazetteer": gaz, "context": context, "surroundings": yes(not glued), "layout": layout, "company": int(others > 0)}
+        lo, hi = pii.LENGTHS[kind]
+        v |= {"size": -1 if len(x) < lo else int(len(x) > hi), "digits": 1 if 10 * n >= 8 * len(x) else 0 if 10 * n >= 2 * len(x) else -1, "varied": yes(len(set(x[:64])) >= 5)}
+        v |= {"opened": 1 if has(r"[\"'(<\[:=] ?$", left) else 0 if has(r"(^|\s)$", left) else -1, "closed": 1 if has(r"^[\"')>\],;.!?]", right) else 0 if has(r"^($|\s)", right) else -1}
+        rows.append((r, k, is_base, i, j, v))
+    kept = collections.defaultdict(list)
+    for k in range(len(pii.KINDS)):
+        mine = [x for x in rows if x[1] == k]
+        votes = collections.Counter(tuple(x[5][c] for c in pii.LABELERS) for x in mine)
+        post = dict(zip(votes, estimate(list(votes.items()))[2]))
+        seen = collections.defaultdict(lambda: [0.0, 0.0])
+        for x in mine:
+            f = seen[tuple(x[5][c] for c in pii.FEATURES)]
+            f[0] += 1
+            f[1] += post[tuple(x[5][c] for c in pii.LABELERS)]
+        w = pii.fit_classifier(sorted((f, n, y) for f, (n, y) in seen.items()))
+        for r, _, is_base, i, j, v in mine:
+            z = w[0] + sum(a * v[c] for a, c in zip(w[1:], pii.FEATURES))
+            if is_base or 1 / (1 + math.exp(-z)) >= 0.6:
+                kept[r].append((i, k, j, is_base))
+    out = []
+    for r in range(len(texts)):
+        spans = sorted(s for s in kept[r] if s[3] or not any(o[0] <= s[0] and s[2] <= o[2] and o[2] - o[0] > s[2] - s[0] for o in kept[r]))
+        out.append(",".join(f"{pii.KINDS[k]}:{i}:{j}" for i, k, j, _ in spans))
+    return out
+
+
+def test_spans_equal_a_plain_twin(spark):
+    rng = random.Random(11)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    parts = [
+        lambda: f'token = "{hexes(40)}"', lambda: f"commit {hexes(40)}", lambda: "a_long_name_of_some_variable_2", lambda: f"mail {hexes(3)} at site{number(1)} dot com", lambda: f"{hexes(4)} [at] b [dot] org",
+        lambda: f"call {number(3)}-{number(3)}-{number(4)}", lambda: f"+1 ({number(3)}) {number(3)}-{number(4)}", lambda: f"{number(16)} {number(16)}", lambda: "4465758382889437 4465758382889437", lambda: "DE89 3704 0044 0532 0130 00,", lambda: f"DE{number(20)}", lambda: f"ssn {number(3)}-{number(2)}-{number(4)}",
+        lambda: f"{number(3)}.{number(2)}.{number(2)}.{number(1)}", lambda: "2001:db8:1:2:3:4:5:6", lambda: "a@b.co", lambda: "look at 12 dot 3", lambda: "wörter é 🙂 ohne", lambda: "order " + number(15), lambda: "clean words only", lambda: "\n",
+    ]
+    texts = [" ".join(rng.choice(parts)() for _ in range(rng.randint(0, 6))) for _ in range(300)] + ["", "x" * 40000, "1a" * 20000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("row", F.lit("clash")).repartition(3)
+    got = {r["doc_id"]: r for r in find_personal_data(spark, docs).collect()}
+    want = twin_spans(texts)
+    assert [got[i]["spans"] for i in range(len(texts))] == want
+    assert [got[i]["n_spans"] for i in range(len(texts))] == [len(x.split(",")) if x else 0 for x in want]
+    by_kind = collections.Counter(x.split(":")[0] for w in want for x in w.split(",") if x)
+    assert all(by_kind[k] for k in ("email", "ip", "card", "phone", "secret", "iban", "ssn"))
+    assert not any(w for t, w in zip(texts, want) if set(t.split()) <= {"clean", "words", "only", "wörter", "é", "🙂", "ohne"})
+
+
 def plain_statistics(t):
     w = (t or "").encode().split()
     runs = collections.Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
