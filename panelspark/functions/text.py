@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 #: Ranges and points of the emoji class that cleaning removes.
 EMOJI = r"[\x{1F1E0}-\x{1F1FF}\x{1F300}-\x{1F5FF}\x{1F600}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F700}-\x{1F77F}\x{1F780}-\x{1F7FF}\x{1F800}-\x{1F8FF}\x{1F900}-\x{1F9FF}\x{1FA00}-\x{1FA6F}\x{1FA70}-\x{1FAFF}\x{2300}-\x{2BFF}\x{FE0E}-\x{FE0F}\x{1F195}]"
 #: Cyrillic letters and what stands for them in simplified names; ``Ы`` has none.
@@ -35,17 +37,30 @@ def remove_emoji(c: Column) -> Column:
     return F.regexp_replace(c, EMOJI, "")
 
 
+def _if(c: Column, marks: tuple[str, ...], changed: Column) -> Column:
+    """``changed`` where the text has one of the marks without which its pattern can't match."""
+    return F.when(_any(c, marks), changed).otherwise(c)
+
+
+def trim_all(c: Column) -> Column:
+    """Text without white space at its ends; no run of blanks is scanned twice."""
+    return F.regexp_replace(c, r"(?U)^\s++|(?<!\s)\s++$", "")
+
+
 def remove_hashtags(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)#\w+", "")
+    return _if(c, ("#",), F.regexp_replace(c, r"(?U)#\w++", ""))
 
 
 def remove_users(c: Column) -> Column:
     """User names after white space, which goes with them."""
-    return F.regexp_replace(c, r"(?U)\s@\w+", "")
+    return _if(c, ("@",), F.regexp_replace(c, r"(?U)\s@\w++", ""))
 
 
 def remove_urls(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)http\S+|www\.\S+", ""), r"(?U)\S+\.(?:ru|me|com|org)/\S+", "")
+    """Links with and without a scheme; the latter are whole words with a known ending and a path."""
+    schemed = lambda x: _if(x, ("http", "www."), F.regexp_replace(x, r"(?U)http\S++|www\.\S++", ""))
+    bare = lambda x: _if(x, (".ru/", ".me/", ".com/", ".org/"), F.regexp_replace(x, r"(?U)(?<!\S)\S+\.(?:ru|me|com|org)/\S++", ""))
+    return let(let(c, schemed), bare)
 
 
 def fix_punct(c: Column) -> Column:
@@ -75,15 +90,16 @@ def clean_text(c: Column, cfg: CleanConfig = CleanConfig()) -> Column:
             x = F.replace(x, F.lit(s), F.lit(" "))
         return x
 
-    text = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
-    bad = _any(F.lower(text), cfg.filter_words) | _any(text, cfg.obscene)
-    if cfg.use_skip:
-        bad = bad | _any(text, cfg.skip_substrings)
-    out = blank(text)
-    for step in (remove_emoji, remove_hashtags, remove_users, remove_urls, fix_punct, fix_paragraphs):
-        out = step(out)
-    out = F.when(bad | _any(out, cfg.obscene), "").otherwise(blank(out))
-    return F.regexp_replace(out, r"(?U)^\s+|\s+$", "")
+    def cleaned(text: Column) -> Column:
+        bad = _any(F.lower(text), cfg.filter_words) | _any(text, cfg.obscene)
+        if cfg.use_skip:
+            bad = bad | _any(text, cfg.skip_substrings)
+        out = blank(text)
+        for step in (remove_emoji, remove_hashtags, remove_users, remove_urls, fix_punct, fix_paragraphs):
+            out = let(out, step)
+        return F.when(bad, "").otherwise(let(out, lambda o: F.when(_any(o, cfg.obscene), "").otherwise(trim_all(blank(o)))))
+
+    return let(trim_all(F.coalesce(c, F.lit(""))), cleaned)
 
 
 def normalize_messages(df: DataFrame) -> DataFrame:

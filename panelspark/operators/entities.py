@@ -34,18 +34,20 @@ def alias_table(entities: DataFrame) -> DataFrame:
 def find_entities(docs: DataFrame, aliases: DataFrame, base: list[str] = (), key: str = "id", text: str = "text", max_words: int = 4) -> DataFrame:
     """``key, secids``: tickers whose alias stands in the text as whole words, less the ``base`` ones.
 
-    Texts and aliases become runs of one to ``max_words`` words, which join by equality; longer
-    aliases and those with other marks between words are checked against the text as well.
+    Texts and aliases become runs of one to ``max_words`` words, which join by equality; only runs
+    of as many words as some alias has are made. Longer aliases and those with other marks between
+    words are checked against the text as well.
     """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\w+)"), F.lit(1))
     table = aliases.select("alias", "secid", words(F.col("alias")).alias("w")).filter(F.size("w") > 0)
     table = table.withColumn("gram", F.array_join(F.slice("w", 1, max_words), " "))
     tokens = docs.select(F.col(key), F.lower(F.col(text)).alias("_t"), words(F.col(text)).alias("_w"))
-    grams = None
-    for n in range(1, max_words + 1):
+    sizes = [r["n"] for r in table.select(F.least(F.size("w"), F.lit(max_words)).alias("n")).distinct().collect()]
+    grams = F.array().cast("array<string>")
+    for n in sorted(sizes):
         runs = F.transform(F.sequence(F.lit(0), F.size("_w") - n), lambda i: F.array_join(F.slice("_w", i + 1, n), " "))  # noqa: B023
         one = F.when(F.size("_w") >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
-        grams = one if grams is None else F.concat(grams, one)
+        grams = F.concat(grams, one)
     hits = tokens.select(key, F.explode(grams).alias("gram")).join(table, "gram").select(key, "alias", "secid")
     exact = hits.join(tokens.select(F.col(key), "_t"), key)
     quoted = F.concat(F.lit("(?U)(?<!\\w)\\Q"), F.col("alias"), F.lit("\\E(?!\\w)"))
@@ -53,19 +55,45 @@ def find_entities(docs: DataFrame, aliases: DataFrame, base: list[str] = (), key
     return found.groupBy(key).agg(F.array_sort(F.collect_set("secid")).alias("secids"))
 
 
+def _close_pairs(names: DataFrame, codes: DataFrame, cutoff: float) -> DataFrame:
+    """``name, norm, secid, code`` that may be ``cutoff`` percent alike.
+
+    A code of ``n`` letters may differ from such a name in ``d = (1 - cutoff) / cutoff * n`` places at
+    most, so one of ``d + 1`` pieces of the code stands in the name, shifted by ``d`` at most.
+    """
+    if cutoff <= 50:
+        raise ValueError("cutoff must be over 50")
+    rate = (100 - cutoff) / cutoff
+    edits = lambda n: F.floor(n * rate + 1e-9).cast("int")
+    cut = lambda n, parts, i: F.floor(n * i / parts).cast("int")
+    n = F.length("code")
+    pieces = codes.withColumns({"n": n, "parts": edits(n) + 1}).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    start, end = cut(F.col("n"), F.col("parts"), F.col("i")), cut(F.col("n"), F.col("parts"), F.col("i") + 1)
+    pieces = pieces.select("secid", "code", "n", "i", F.substring("code", start + 1, end - start).alias("piece"))
+    size = F.length("norm")
+    low, high = F.ceil(size / (1 + rate) - 1e-9).cast("int"), F.floor(size * 100 / cutoff + 1e-9).cast("int")
+    windows = names.withColumn("n", F.explode(F.sequence(F.greatest(low, F.lit(0)), high))).withColumn("parts", edits(F.col("n")) + 1)
+    windows = windows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("shift", F.explode(F.sequence(1 - F.col("parts"), F.col("parts") - 1)))
+    start, end = cut(F.col("n"), F.col("parts"), F.col("i")), cut(F.col("n"), F.col("parts"), F.col("i") + 1)
+    at = start + F.col("shift")
+    windows = windows.filter((at >= 0) & (at + end - start <= size)).select("name", "norm", "n", "i", F.substring("norm", at + 1, end - start).alias("piece")).distinct()
+    return windows.join(pieces, ["n", "i", "piece"]).select("name", "norm", "secid", "code").distinct()
+
+
 def resolve_entities(scores: DataFrame, aliases: DataFrame, canon: DataFrame, cutoff: float = 85.0, short_cutoff: float = 96.0) -> DataFrame:
     """``scores(date, name, score, seq)`` with the ticker that each name stands for as ``secid``.
 
     An alias that normalises to the same text decides, else the most similar canonical code of at
     least ``cutoff`` percent (a one-letter code needs ``short_cutoff`` for names of over two
-    letters). Distinct names are compared with the bounded code list once; unmatched names go.
+    letters). Distinct names meet codes by common pieces, so no list is broadcast or compared whole;
+    unmatched names go. ``cutoff`` must be over 50.
     """
     names = scores.select("name").distinct().withColumn("norm", normalize_name(F.col("name")))
     known = aliases.select(normalize_name(F.col("alias")).alias("norm"), "secid").groupBy("norm").agg(F.min("secid").alias("secid"))
     exact = names.join(known, "norm").select("name", "secid")
     rest = names.join(exact.select("name"), "name", "left_anti")
     codes = canon.select(F.col("secid"), normalize_name(F.col("secid")).alias("code")).distinct()
-    near = rest.join(F.broadcast(codes), F.abs(F.length("norm") - F.length("code")) <= 3)
+    near = _close_pairs(rest, codes, cutoff)
     longest = F.greatest(F.length("norm"), F.length("code"), F.lit(1))
     near = near.withColumn("ratio", 100 * (1 - F.levenshtein("norm", "code") / longest))
     enough = F.when((F.length("code") == 1) & (F.length("norm") > 2), short_cutoff).otherwise(cutoff)

@@ -61,3 +61,49 @@ def test_prompt_and_merge(spark):
     s, x = rq.merge_day(answers, "mean")
     assert {r["date"]: r["summary"] for r in s.collect()} == {"2024-01-01": "WARNING: 1 part(s) failed. one two", "2024-01-02": "ERROR: first"}
     assert [(r["secid"], r["score"]) for r in x.collect()] == [("A", 0.0)]
+
+
+def test_fuzzy_names_equal_all_pairs(spark):
+    import random
+
+    from panelspark.operators.entities import resolve_entities
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(6)
+    codes = ["".join(rng.choice("abcd") for _ in range(rng.choice([1, 3, 6, 9, 14, 30]))) for _ in range(40)]
+    names = []
+    for c in codes * 4:
+        x = list(c)
+        for _ in range(rng.randint(0, 5)):
+            at, what = rng.randrange(len(x) + 1), rng.random()
+            x[at : at + (what < 0.6)] = [rng.choice("abcd")] if what > 0.3 else []
+        names.append("".join(x))
+    names = sorted(set(names) - {""})
+    scores = spark.createDataFrame([("d", n, 1.0, i) for i, n in enumerate(names)], "date string, name string, score double, seq long")
+    canon = spark.createDataFrame([(c.upper(),) for c in codes], "secid string")
+    none = spark.createDataFrame([], "alias string, secid string")
+    for cutoff in (85.0, 70.0):
+        want = {}
+        for n in names:
+            best = [(100 * (1 - distance(n, c) / max(len(n), len(c))), -len(c), c.upper()) for c in codes]
+            best = [b for b in best if b[0] >= (96 if b[1] == -1 and len(n) > 2 else cutoff)]
+            if best:
+                want[n] = max(best)[2]
+        got = {r["name"]: r["secid"] for r in resolve_entities(scores, none, canon, cutoff).collect()}
+        assert got == want and len(want) > 40
+
+
+def test_cleaning_gates_change_nothing(spark):
+    from panelspark.functions.text import clean_text
+
+    texts = ["a #tag b", "see http://x.y/z now", "go site.com/path and x.ru/ y.me/1", "hi @user there", "@start stays", "  \u00a0 padded \t", "www.a.b rest", "wordhttps://glued tail here", "a" * 3000 + ".com/x end of it", " " * 3000 + "end"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r["c"] for r in rows.orderBy("i").select(clean_text(F.col("t")).alias("c")).collect()]
+    assert got == ["a b", "see now", "go and x.ru/", "hi there", "@start stays", "padded", "rest", "word tail here", "end of it", "end"]
