@@ -19,6 +19,10 @@ from ..scratch import Scratch
 from .components import connected_components
 
 
+#: Messages of a window that one task compares with as many others.
+TILE = 2000
+
+
 @dataclass(frozen=True)
 class ClusterConfig:
     """Distance threshold and penalties; windows of fewer than ``min_docs`` messages give no clusters."""
@@ -81,17 +85,22 @@ def _penalised(cfg: ClusterConfig) -> Column:
 def pair_distances(df: DataFrame, cfg: ClusterConfig = ClusterConfig(), below: float | None = None) -> DataFrame:
     """``window, a, b, distance`` of pairs of ``df(window, id, datetime, channel_name, embedding)``.
 
-    Only pairs with distance under ``below`` where given. Windows are days, so the join is on the
-    window; penalties never shrink a distance (but for the image bonus, which needs the columns
-    ``n_images, image_group``), so the raw cosine is compared first.
+    Only pairs with distance under ``below`` where given. A window is dealt into tiles of about
+    ``TILE`` messages, and every two tiles meet in a task of their own, so a crowded day is compared
+    by as many tasks as it has pairs of tiles. Penalties never shrink a distance (but for the image
+    bonus, which needs the columns ``n_images, image_group``), so the raw cosine is compared first.
     """
+    tiles = df.groupBy(F.col("window").alias("_of")).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("_tiles"))
+    df = df.join(tiles, F.col("window") == F.col("_of")).withColumn("_tile", F.pmod(F.xxhash64("id"), F.col("_tiles")).cast("int"))
     extra = [c for c in ("topic", "n_images", "image_group") if c in df.columns]
     names = {"topic": "topic", "n_images": "images", "image_group": "group"}
-    side = lambda s: df.select(F.col("window"), F.col("id").alias(s), F.col("datetime").alias(f"at_{s}"), F.col("channel_name").alias(f"channel_{s}"), unit(F.col("embedding")).alias(f"v_{s}"), *[F.col(c).alias(f"{names[c]}_{s}") for c in extra])
-    pairs = side("a").join(side("b"), "window").filter("a < b").withColumn("raw", 1 - dot(F.col("v_a"), F.col("v_b")))
+    side = lambda s: df.select(F.col("window"), F.col("id").alias(s), F.col("datetime").alias(f"at_{s}"), F.col("channel_name").alias(f"channel_{s}"), unit(F.col("embedding")).alias(f"v_{s}"), *[F.col(c).alias(f"{names[c]}_{s}") for c in extra], "_tile", "_tiles")
+    left = side("a").select("*", F.col("_tile").alias("_u"), F.explode(F.sequence(F.col("_tile"), F.col("_tiles") - 1)).alias("_v")).drop("_tile", "_tiles")
+    right = side("b").select("*", F.col("_tile").alias("_v"), F.explode(F.sequence(F.lit(0), F.col("_tile"))).alias("_u")).drop("_tile", "_tiles")
+    pairs = left.join(right, ["window", "_u", "_v"]).filter("_u < _v or a < b").withColumn("raw", 1 - dot(F.col("v_a"), F.col("v_b")))
     if below is not None and not cfg.image_bonus:
         pairs = pairs.filter(F.col("raw") < below)
-    pairs = pairs.withColumn("distance", _penalised(cfg)).select("window", "a", "b", "distance")
+    pairs = pairs.withColumn("distance", _penalised(cfg)).select("window", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
     return pairs if below is None else pairs.filter(F.col("distance") < below)
 
 
@@ -134,8 +143,9 @@ def cluster_windows(spark: SparkSession, df: DataFrame, cfg: ClusterConfig = Clu
     without a vector are left out. Messages without a close partner are clusters of their own.
     """
     scratch = Scratch(spark, "clusters")
-    rows = df.filter(unit(F.col("embedding")).isNotNull()).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("window"))).filter(F.col("_n") >= cfg.min_docs).drop("_n")
-    rows = scratch.table(rows, "rows")
+    rows = df.filter(unit(F.col("embedding")).isNotNull())
+    full = rows.groupBy("window").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= cfg.min_docs).select("window")
+    rows = scratch.table(rows.join(full, "window", "left_semi"), "rows")
     close = pair_distances(rows, cfg, cfg.threshold)
     node = lambda c: F.concat_ws("/", F.col("window").cast("string"), F.lpad(F.col(c).cast("string"), 20, "0"))
     roots = connected_components(scratch.table(close.select(node("a").alias("a"), node("b").alias("b")), "close"), scratch)
@@ -170,11 +180,13 @@ def representatives(members: DataFrame, by: list[str] = ("window", "cluster"), e
 
 def image_groups(spark: SparkSession, images: DataFrame, threshold: float = 0.02) -> DataFrame:
     """``id, image_group`` of documents by ``images(id, position, embedding)``; a document's last image decides."""
+    scratch = Scratch(spark, "images")
     day = F.lit("1970-01-01")
-    rows = images.select(day.cast("date").alias("window"), (F.col("id") * 1000 + F.col("position")).alias("id"), day.cast("timestamp").alias("datetime"), F.monotonically_increasing_id().cast("string").alias("channel_name"), "embedding")
-    cfg = ClusterConfig(threshold=threshold, same_channel=1.0, time_modifier=1.0, min_docs=2)
-    found = cluster_windows(spark, rows, cfg)
-    return found.groupBy(F.floor(F.col("id") / 1000).alias("id")).agg(F.max_by("cluster", "id").alias("image_group"))
+    rows = scratch.table(images.select(F.col("id").alias("doc"), "position", F.xxhash64("id", "position").alias("id"), "embedding"), "images")
+    one = rows.select(day.cast("date").alias("window"), "id", day.cast("timestamp").alias("datetime"), F.col("id").cast("string").alias("channel_name"), "embedding")
+    found = cluster_windows(spark, one, ClusterConfig(threshold=threshold, same_channel=1.0, time_modifier=1.0, min_docs=2))
+    found = found.join(rows.select("id", "doc", "position"), "id")
+    return found.groupBy(F.col("doc").alias("id")).agg(F.max_by("cluster", "position").alias("image_group"))
 
 
 def embed(df: DataFrame, text: str = "news", prefix: str = "query: ", dims: int = 64, encoder=None) -> DataFrame:

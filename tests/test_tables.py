@@ -116,3 +116,33 @@ def test_models(spark):
     assert {r["feature"] for r in mo.feature_importance(spark, reg["y"]).collect()} == {"a", "b"}
     grid = mo.run_grid(spark, {"all": df}, ["y", "nothing"], {"one": ["a"]}, maxIter=2).collect()
     assert grid[0]["error"] is None and grid[1]["error"]
+
+
+def test_tiles_and_image_groups_equal_all_pairs(spark, monkeypatch):
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(20, 8))
+    v = np.vstack([v + rng.normal(size=v.shape) * 0.05 for _ in range(5)])
+    rows = [(i, dt.datetime(2024, 1, 1 + i % 2, i % 24), f"c{i % 7}", [float(x) for x in v[i]]) for i in range(len(v))]
+    df = cl.assign_windows(spark.createDataFrame(rows, "id long, datetime timestamp, channel_name string, embedding array<double>"))
+    want = sorted(map(tuple, cl.pair_distances(df, below=0.9).collect()))
+    monkeypatch.setattr(cl, "TILE", 11)
+    assert sorted(map(tuple, cl.pair_distances(df, below=0.9).collect())) == want
+    images = spark.createDataFrame([(i // 2, i % 2, [float(x) for x in v[i]]) for i in range(len(v))], "id long, position int, embedding array<double>")
+    got = {r["id"]: r["image_group"] for r in cl.image_groups(spark, images, 0.05).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    label = cl.average_linkage(len(v), 1 - u @ u.T, 0.05)
+    assert all((got[i] == got[j]) == (label[2 * i + 1] == label[2 * j + 1]) for i, j in itertools.combinations(range(len(v) // 2), 2))
+
+
+def test_asof_refuses_clashing_columns(spark):
+    from panelspark.operators.fundamentals import asof_join
+
+    left = spark.createDataFrame([("k", dt.date(2024, 1, 2), 1.0)], "k string, date date, x double")
+    with pytest.raises(ValueError, match="x"):
+        asof_join(left, left, "k")
+    right = spark.createDataFrame([("k", dt.date(2024, 1, 1), 9.0)], "k string, date date, y double")
+    assert asof_join(left, right, "k").first()["y"] == 9.0
