@@ -453,9 +453,11 @@ def top_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dg.top_scores(scores(spark, sf_dir).withColumn("secid", name), 5)
 
 
-@query("""SELECT conv_id, turn, '🔹 Рост 5 млн. руб. за год.' || chr(10) || chr(10) || '🔹 Conversation ' || conv_id || ' ends!' AS summary FROM conversations""")
+@query("""WITH t AS (SELECT conv_id, turn, str_split(regexp_replace(' Рост 5 млн. руб. за год.  ' || text, '([.!?])[ \\t\\n]+([A-ZА-Я"''«])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS x FROM conversations)
+SELECT conv_id, turn, array_to_string(list_transform(list_filter(list_transform(x, lambda s: trim(s, ' ' || chr(10) || chr(9))), lambda s: s <> ''), lambda s: '🔹 ' || s), chr(10) || chr(10)) AS summary FROM t""")
 def format_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit(" Рост 5 млн. руб. за год.  Conversation "), F.col("conv_id").cast("string"), F.lit(" ends! "))
+    """Every turn's sentences as bullets, after a first sentence with two abbreviations."""
+    raw = F.concat(F.lit(" Рост 5 млн. руб. за год.  "), F.col("text"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", dg.format_summary(raw).alias("summary"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import trim_all
+
 #: Abbreviations whose point ends no sentence.
 ABBREVIATIONS = ("кв", "г", "гг", "млн", "млрд", "трлн", "тыс", "руб", "долл", "евро", "проц", "п\\.п", "т\\.д", "т\\.п", "др", "см", "стр", "рис", "табл", "ул", "пр", "корп", "д", "эт", "тел", "факс", "e-mail", "email", "vs", "etc", "i\\.e", "e\\.g")
 NO_SCORES = "Нет оценок"
@@ -26,11 +28,14 @@ def top_scores(scores: DataFrame, n: int = 3, per_line: int = 3) -> DataFrame:
     return scores.select("date", "source").distinct().join(shown, ["date", "source"], "left").select("date", "source", F.coalesce("top", F.lit(NO_SCORES)).alias("top"))
 
 
+#: White space between an end mark and an opening letter or quote, where the mark isn't the point of an abbreviation.
+BETWEEN = r"(?<=[.!?])(?<!(?iU:\b(?:" + "|".join(ABBREVIATIONS) + r")\.))(?U:\s+)(?=[А-ЯA-Z\"'«])"
+
+
 def format_summary(c: Column, bullet: str = "🔹") -> Column:
     """Sentences as bullets with a blank line between; points of abbreviations end none."""
-    guarded = F.regexp_replace(F.trim(c), r"(?iU)\b(" + "|".join(ABBREVIATIONS) + r")\.", "$1<DOT>")
-    parts = F.transform(F.split(guarded, r"(?<=[.!?])\s+(?=[А-ЯA-Z\"'«])"), lambda s: F.trim(F.replace(s, F.lit("<DOT>"), F.lit("."))))
-    return F.array_join(F.transform(F.filter(parts, lambda s: s != ""), lambda s: F.concat(F.lit(bullet + " "), s)), "\n\n")
+    sentences = F.filter(F.transform(F.split(c, BETWEEN), trim_all), lambda s: s != "")
+    return F.array_join(F.transform(sentences, lambda s: F.concat(F.lit(bullet), F.lit(" "), s)), "\n\n")
 
 
 def digest(days: DataFrame, scores: DataFrame, n: int = 3, title: str = "📰") -> DataFrame:

@@ -107,3 +107,10 @@ def test_cleaning_gates_change_nothing(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r["c"] for r in rows.orderBy("i").select(clean_text(F.col("t")).alias("c")).collect()]
     assert got == ["a b", "see now", "go and x.ru/", "hi there", "@start stays", "padded", "rest", "word tail here", "end of it", "end"]
+
+
+def test_sentences_and_abbreviations(spark):
+    from panelspark.operators.digest import format_summary
+
+    got = one(spark, format_summary, "Рост 5 млн. Рублей. Да!  Нет? «Так» е.g. X", "a <DOT> b. C", " И т.д. Потом. 3 раза", "", None, "Млрд. Конец.\nДом. Далее")
+    assert got == ["🔹 Рост 5 млн. Рублей.\n\n🔹 Да!\n\n🔹 Нет?\n\n🔹 «Так» е.g.\n\n🔹 X", "🔹 a <DOT> b.\n\n🔹 C", "🔹 И т.д. Потом. 3 раза", "", None, "🔹 Млрд. Конец.\n\n🔹 Дом.\n\n🔹 Далее"]
