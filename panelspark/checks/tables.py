@@ -453,6 +453,17 @@ def top_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dg.top_scores(scores(spark, sf_dir).withColumn("secid", name), 5)
 
 
+@query(f"""WITH {sql.SCORES}, d AS (SELECT date, source, count(*) AS n, max(score) AS best FROM scores GROUP BY ALL), t AS ({ORACLE_SQL["top_scores"]})
+SELECT date, source, '📰 ' || strftime(date, '%d.%m.%Y') || ' (' || source || ')' || chr(10) || chr(10) || '🔹 ' || n || ' млн. Scores.' || chr(10) || chr(10) || '🔹 Best ' || cast(best AS integer) || '!' || chr(10) || chr(10) || top AS message FROM d JOIN t USING (date, source)""")
+def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole messages of every day and source: title, a summary's sentences, the best scores."""
+    name = F.when(F.col("secid").cast("int") % 10 == 0, F.concat(F.lit("MOEX"), "secid")).otherwise(F.concat(F.lit("T"), "secid"))
+    s = scores(spark, sf_dir)
+    days = s.groupBy("date", "source").agg(F.count("*").alias("n"), F.max("score").alias("best"))
+    summary = F.concat(F.col("n").cast("string"), F.lit(" млн. Scores. Best "), F.col("best").cast("int").cast("string"), F.lit("!"))
+    return dg.digest(days.select("date", "source", summary.alias("summary")), s.withColumn("secid", name), 5)
+
+
 @query("""WITH t AS (SELECT conv_id, turn, str_split(regexp_replace(' Рост 5 млн. руб. за год.  ' || text, '([.!?])[ \\t\\n]+([A-ZА-Я"''«])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS x FROM conversations)
 SELECT conv_id, turn, array_to_string(list_transform(list_filter(list_transform(x, lambda s: trim(s, ' ' || chr(10) || chr(9))), lambda s: s <> ''), lambda s: '🔹 ' || s), chr(10) || chr(10)) AS summary FROM t""")
 def format_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,8 +35,16 @@ def ordered_split(df: DataFrame, train: float = 0.7, val: float = 0.15, order: s
 
 
 def time_series_folds(df: DataFrame, k: int = 5, order: str = "date") -> DataFrame:
-    """Add ``fold``: days in k + 1 equal blocks, numbered from 0; fold i trains on blocks before i."""
-    days = df.select(F.col(order).alias("_d")).distinct().withColumn("fold", F.ntile(k + 1).over(Window.orderBy("_d")) - 1)
+    """Add ``fold``: days in k + 1 equal blocks, numbered from 0; fold i trains on blocks before i.
+
+    With fewer days than blocks, the last 15 percent of the days, one at least, are fold 1 and the
+    others fold 0; a single day is fold 0.
+    """
+    days = df.select(F.col(order).alias("_d")).distinct()
+    every = Window.partitionBy()
+    days = days.withColumns({"_n": F.count(F.lit(1)).over(every), "_i": F.row_number().over(Window.orderBy("_d")), "_block": F.ntile(k + 1).over(Window.orderBy("_d")) - 1})
+    last = F.col("_i") > F.col("_n") - F.greatest(F.floor(0.15 * F.col("_n")), F.lit(1))
+    days = days.select("_d", F.when(F.col("_n") > k, F.col("_block")).otherwise((last & (F.col("_n") > 1)).cast("int")).alias("fold"))
     return df.join(days, F.col(order) == F.col("_d")).drop("_d")
 
 
@@ -123,21 +131,42 @@ def classification_metrics(df: DataFrame, truth: str, score: str, threshold: flo
     return both.select(*by, (tp + fp + fn + tn).alias("n"), ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), "roc_auc")
 
 
-def run_grid(spark: SparkSession, datasets: dict[str, DataFrame], targets: list[str], feature_sets: dict[str, list[str]], **params: object) -> DataFrame:
-    """One result row per data set, target and feature set: metrics of the last fold, or the error."""
-    schema = "dataset string, target string, feature_set string, n_train long, n_test long, n_features int, mae double, rmse double, r2 double, sign_accuracy double, error string"
+_REGRESSION, _CLASSES = ("mae", "rmse", "r2", "sign_accuracy"), ("accuracy", "precision", "recall", "f1", "roc_auc")
+
+
+def run_grid(spark: SparkSession, datasets: dict[str, DataFrame], targets: list[str], feature_sets: dict[str, list[str]], models: tuple[str, ...] = ("regressor",), **params: object) -> DataFrame:
+    """One result row per data set, target, model and feature set: metrics of the last fold, or the error.
+
+    ``models`` are ``regressor`` and ``classifier``; the metrics of the other kind are null.
+    """
+    measures = ", ".join(f"{m} double" for m in (*_REGRESSION, *_CLASSES))
+    schema = f"dataset string, target string, model string, feature_set string, n_train long, n_test long, n_features int, {measures}, error string"
+
+    def one(folds: DataFrame, last: int, t: str, model: str, features: list[str]) -> dict:
+        known = folds.filter(F.col(t).isNotNull())
+        train, test = known.filter(F.col("fold") < last), known.filter(F.col("fold") == last)
+        size = {"n_train": train.count(), "n_test": test.count()}
+        if model == "classifier":
+            fitted = train_classifiers(train, features, [t], **params)
+            if not fitted:
+                raise ValueError("one class only")
+            return size | classification_metrics(score(test, fitted), t, f"{t}_pred").first().asDict()
+        return size | regression_metrics(score(test, train_regressors(train, features, [t], **params)), t, f"{t}_pred").first().asDict()
+
     out = []
     for name, df in datasets.items():
         folds = time_series_folds(df).cache()
         last = folds.agg(F.max("fold")).first()[0]
         for t in targets:
-            for fs, features in feature_sets.items():
-                try:
-                    train, test = folds.filter((F.col("fold") < last) & F.col(t).isNotNull()), folds.filter((F.col("fold") == last) & F.col(t).isNotNull())
-                    m = regression_metrics(score(test, train_regressors(train, features, [t], **params)), t, f"{t}_pred").first()
-                    out.append((name, t, fs, train.count(), m["n"], len(features), m["mae"], m["rmse"], m["r2"], m["sign_accuracy"], None))
-                except Exception as e:  # noqa: BLE001  an experiment that fails is a row of the table
-                    out.append((name, t, fs, None, None, len(features), None, None, None, None, str(e)[:200]))
+            for model in models:
+                for fs, features in feature_sets.items():
+                    row = dict.fromkeys((*_REGRESSION, *_CLASSES, "n_train", "n_test", "error")) | {"dataset": name, "target": t, "model": model, "feature_set": fs, "n_features": len(features)}
+                    try:
+                        m = one(folds, last, t, model, features)
+                        row |= {k: m[k] for k in m if k in row}
+                    except Exception as e:  # noqa: BLE001  an experiment that fails is a row of the table
+                        row["error"] = str(e)[:200]
+                    out.append(row)
         folds.unpersist()
     return spark.createDataFrame(out, schema)
 

@@ -146,3 +146,20 @@ def test_asof_refuses_clashing_columns(spark):
         asof_join(left, left, "k")
     right = spark.createDataFrame([("k", dt.date(2024, 1, 1), 9.0)], "k string, date date, y double")
     assert asof_join(left, right, "k").first()["y"] == 9.0
+
+
+def test_folds_of_few_days(spark):
+    def folds(n):
+        df = spark.createDataFrame([(dt.date(2024, 1, 1) + dt.timedelta(days=i), i) for i in range(n)], "date date, i int")
+        return [r["fold"] for r in mo.time_series_folds(df).orderBy("i").collect()]
+
+    assert folds(1) == [0] and folds(2) == [0, 1] and folds(5) == [0, 0, 0, 0, 1] and folds(6) == [0, 1, 2, 3, 4, 5]
+
+
+def test_grid_of_both_models(spark):
+    rows = [(dt.date(2024, 1, 1) + dt.timedelta(days=i), float(i % 7), float(i % 3), float(i % 7 > 3), 0.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "date date, a double, b double, up double, flat double")
+    out = {(r["target"], r["model"]): r for r in mo.run_grid(spark, {"x": df}, ["up", "flat"], {"all": ["a", "b"]}, ("regressor", "classifier"), maxIter=2, maxDepth=2).collect()}
+    assert len(out) == 4 and out[("up", "classifier")]["accuracy"] == 1.0 and out[("up", "classifier")]["mae"] is None
+    assert out[("up", "regressor")]["mae"] < 0.3 and out[("up", "regressor")]["n_test"] == 10
+    assert "class" in out[("flat", "classifier")]["error"]
