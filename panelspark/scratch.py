@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 class Scratch:
     """Tables of one run in the folder that ``spark.checkpoint.dir`` names.
@@ -33,9 +35,17 @@ class Scratch:
         return f"{self.root}/{self.count:03d}-{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the table read back, with the schema that was written."""
+        """Write ``df`` and return the table read back, with the schema that was written.
+
+        The shuffle files of the write go when it ends, as the table takes their place.
+        """
         path = self.path(name)
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         self.live.append(path)
