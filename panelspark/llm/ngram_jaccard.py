@@ -17,7 +17,8 @@ Every text is the set of its distinct word shingles. Two texts link when
    each other without linking fail there.
 4. Components grow in rounds. While the candidate pairs between different components outnumber the
    prefix rows and rounds still find links, each prefix shingle proposes only (leader, other) pairs,
-   with new and twice as many leaders each round; what a round links needs no more comparison. The last
+   with new and twice as many leaders each round; what a round links needs no more comparison, and a
+   shingle whose classes all lie in one component is left out from then on. The last
    round takes every candidate pair that still crosses components, so no link is lost.
 """
 
@@ -328,24 +329,28 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     level = F.least("level_a", "level_b")
     early = F.greatest(F.col("pos_a") - F.col("n_a"), F.col("pos_b") - F.col("n_b")) < level - overlap
     found = total = labels.count()
-    fields = ["key", "n", "level", "pos", "comp", "common", *_BITS]
-    side = lambda c: ["token", *(F.col(x).alias(f"{x}_{c}") for x in fields)]
+    of_class, of_place = ["comp", "n", "common", *_BITS], ["key", "level", "pos"]
+    renamed = lambda c, names: [F.col(x).alias(f"{x}_{c}") for x in names]
     for turn in range(rounds + 1):
-        seen = scratch.table(prefix.join(labels, "key"), "seen")
-        by = seen.groupBy("token", "comp").count().groupBy("token").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("sq"), F.max_by("comp", F.struct("count", "comp")).alias("most"))
+        placed = prefix.join(labels.select("key", "comp"), "key")
+        by = placed.groupBy("token", "comp").count().groupBy("token").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("sq"), F.max_by("comp", F.struct("count", "comp")).alias("most"))
         by = scratch.table(by.filter("n * n > sq"), "tokens")
         crossing = by.agg(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2)).first()[0]
         if not crossing:
             break
+        old, prefix = prefix, scratch.table(prefix.join(by.select("token"), "token", "left_semi"), "prefix")
+        scratch.drop(old)
         last = crossing <= rows or turn == rounds or found < WORTH * total
+        seen = scratch.table(prefix.join(labels, "key"), "seen")
         if last:
-            left = seen.join(by.select("token", "most"), "token").filter("comp <> most").select(*side("a"), "most")
-            pairs = left.join(seen.select(side("b")), "token").filter("comp_a <> comp_b and (comp_b = most or key_a < key_b)")
+            left = seen.join(by.select("token", "most"), "token").filter("comp <> most").select("token", "most", *renamed("a", of_place + of_class))
+            pairs = left.join(seen.select("token", *renamed("b", of_place + of_class)), "token").filter("comp_a <> comp_b and (comp_b = most or key_a < key_b)")
         else:
-            some = [F.struct(F.xxhash64("key", F.lit(turn), F.lit(i)), *(F.col(x).alias(f"{x}_a") for x in fields)) for i in range(min(1 << turn, LEADERS))]
-            lead = seen.join(by.select("token"), "token", "left_semi").groupBy("token").agg(*[F.min(x).alias(f"x{i}") for i, x in enumerate(some)])
-            lead = lead.select("token", F.explode(F.array_distinct(F.array(*[F.struct(*(f"x{i}.{x}_a" for x in fields)) for i in range(len(some))]))).alias("x")).select("token", "x.*")
-            pairs = seen.select(side("b")).join(lead, "token").filter("comp_a <> comp_b")
+            some = [F.struct(F.xxhash64("key", F.lit(turn), F.lit(i)), *renamed("a", of_place)) for i in range(min(1 << turn, LEADERS))]
+            lead = prefix.groupBy("token").agg(*[F.min(x).alias(f"x{i}") for i, x in enumerate(some)])
+            lead = lead.select("token", F.explode(F.array_distinct(F.array(*[F.struct(*(f"x{i}.{x}_a" for x in of_place)) for i in range(len(some))]))).alias("x")).select("token", "x.*")
+            lead = lead.join(labels.select(F.col("key").alias("key_a"), *renamed("a", of_class)), "key_a")
+            pairs = seen.select("token", *renamed("b", of_place + of_class)).join(lead, "token").filter("comp_a <> comp_b")
         pairs = pairs.filter(sizes & places & early & bits).groupBy(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).agg(F.count(F.lit(1)).alias("hits"), F.first(level).alias("ask"))
         pairs = scratch.table(pairs.filter("hits >= ask").select("a", "b"), "pairs")
         links = scratch.table(_verified(pairs, lists, num, den), "links")
