@@ -24,7 +24,7 @@ Every text is the set of its distinct word shingles. Two texts link when
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -136,9 +136,11 @@ _TOKEN = np.dtype([("df", "<u4"), ("h", "<u8")])
 
 
 class _Counter:
-    """Occurrences of one range of hashes; very frequent shingles leave early, so memory is bounded.
+    """Occurrences of one range of hashes; very frequent shingles leave early.
 
     What has left is forgotten: a class that comes again brings its very frequent shingles again.
+    A sort that frees less than half doubles the number of entries until the next one, so entries
+    are sorted a logarithmic number of times, whatever they are.
     """
 
     def __init__(self, saturated: int, most: int) -> None:
@@ -152,6 +154,7 @@ class _Counter:
         self.held += len(h)
         if self.held > self.most:
             yield from self.out(last=False)
+            self.most = max(self.most, 2 * self.held)
 
     def out(self, last: bool) -> Iterator[pa.RecordBatch]:
         if not self.parts:
@@ -294,23 +297,13 @@ def _verified(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataF
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(den * both >= num * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, rounds: int = 8) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``.
+def grow(scratch: Scratch, prefix: DataFrame, labels: DataFrame, lists: DataFrame, num: int, den: int, rounds: int, likely: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``labels`` with the component of every class once all linked candidates of ``prefix`` are merged.
 
-    component_id is the smallest doc_id that links reach, the document itself included. A null or
-    empty text, or one without words, has no shingles and stays alone; fewer than ``k`` words make
-    one shingle. Exact copies, repeated rows among them, share a class. Extra columns are ignored.
-    ``rounds`` limits the leader rounds only; the last round is complete whatever they leave.
+    ``prefix(key, level, token, pos)``, ``labels(key, comp, n, common, bits...)`` and
+    ``lists(key, n, shared)`` are tables of ``scratch``; ``likely`` may thin out ``(a, b)`` pairs
+    before they are verified.
     """
-    scratch = Scratch(spark, "ngram-jaccard")
-    parts = max(32, 2 * docs.select("text").rdd.getNumPartitions())
-    shared = scratch.table(_shared(_pack(docs, k, parts * 2), parts), "shared")
-    named = scratch.table(_named(shared), "named")
-    classes = scratch.table(_prefixes(shared, num, den), "classes")
-    scratch.drop(shared)
-    lists = classes.select("key", "n", "shared")
-    prefix = scratch.table(classes.select("key", "level", F.explode("prefix").alias("p")).select("key", "level", "p.token", "p.pos"), "prefix")
-    labels = scratch.table(classes.select("key", F.col("key").alias("comp"), "n", "common", *_BITS), "labels")
     rows = prefix.count()
 
     def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -353,15 +346,44 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
             pairs = seen.select("token", *renamed("b", of_place + of_class)).join(lead, "token").filter("comp_a <> comp_b")
         pairs = pairs.filter(sizes & places & early & bits).groupBy(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).agg(F.count(F.lit(1)).alias("hits"), F.first(level).alias("ask"))
         pairs = scratch.table(pairs.filter("hits >= ask").select("a", "b"), "pairs")
+        if likely is not None:
+            old, pairs = pairs, scratch.table(likely(pairs), "likely")
+            scratch.drop(old)
         links = scratch.table(_verified(pairs, lists, num, den), "links")
         found = links.count()
         labels = merge(labels, links)
         scratch.drop(seen, by, pairs, links)
         if last:
             break
+    return labels
+
+
+def least_ids(scratch: Scratch, named: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row of ``named(doc_id, n_shingles, key)``."""
     least = named.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     least = least.join(labels.select("key", "comp"), "key", "left").select("key", F.coalesce("comp", "key").alias("comp"), "doc_id")
     of = scratch.table(least, "least")
     of = scratch.table(of.join(of.groupBy(F.col("comp").alias("c")).agg(F.min("doc_id").alias("component_id")), F.col("comp") == F.col("c")).select("key", "component_id"), "ids")
     scratch.keep(named, of)
     return named.join(of, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, rounds: int = 8) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``.
+
+    component_id is the smallest doc_id that links reach, the document itself included. A null or
+    empty text, or one without words, has no shingles and stays alone; fewer than ``k`` words make
+    one shingle. Exact copies, repeated rows among them, share a class. Extra columns are ignored.
+    ``rounds`` limits the leader rounds only; the last round is complete whatever they leave.
+    """
+    scratch = Scratch(spark, "ngram-jaccard")
+    parts = max(32, 2 * docs.select("text").rdd.getNumPartitions())
+    shared = scratch.table(_shared(_pack(docs, k, parts * 4), parts), "shared")
+    named = scratch.table(_named(shared), "named")
+    classes = scratch.table(_prefixes(shared, num, den), "classes")
+    scratch.drop(shared)
+    lists = classes.select("key", "n", "shared")
+    prefix = scratch.table(classes.select("key", "level", F.explode("prefix").alias("p")).select("key", "level", "p.token", "p.pos"), "prefix")
+    labels = scratch.table(classes.select("key", F.col("key").alias("comp"), "n", "common", *_BITS), "labels")
+    labels = grow(scratch, prefix, labels, lists, num, den, rounds)
+    return least_ids(scratch, named, labels)

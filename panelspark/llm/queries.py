@@ -10,6 +10,7 @@ from .mixing import mix
 from .ngram_jaccard import jaccard_components
 from .pii import find_personal_data
 from .quality import quality_verdicts
+from .setsketch import sketch_components
 from .token_counts import token_counts
 from .token_files import tokens_through_files
 from .url_filters import judge_urls
@@ -81,7 +82,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_url_filters, op3_token_counts, op4_warc, op5_token_files, op6_kneser_ney, op7_quality_rules, op8_pii, op9_decontamination, op10_mixing)}
+def op11_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under four-word Jaccard similarity of 0.8 or more."""
+    return sketch_components(spark, _table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_url_filters, op3_token_counts, op4_warc, op5_token_files, op6_kneser_ney, op7_quality_rules, op8_pii, op9_decontamination, op10_mixing, op11_setsketch)}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _RULE_ROWS = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)
 #: Pages of the given tables declare no canonical link or redirect, so SQL needs the rules only. The
 #: other operators are random, iterative or follow a library; tests compare them with brute force.
@@ -94,4 +101,12 @@ SELECT page_id, host, path, rule, coalesce(act, 'allow') AS verdict FROM f WHERE
     "op4_warc": """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 m AS (SELECT payload_digest, max(page_id) AS original FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN original IS NULL OR original = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN original <> page_id THEN original END AS refers_to FROM p LEFT JOIN m USING (payload_digest)""",
+    "op11_setsketch": rf"""WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, list_slice(w, i, i + 3) AS g FROM t, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) r(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS d, doc_id AS o FROM documents UNION SELECT e.b, r.o FROM r JOIN e ON r.d = e.a),
+m AS (SELECT d, min(o) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM documents LEFT JOIN n USING (doc_id) JOIN m ON d = doc_id""",
 }
