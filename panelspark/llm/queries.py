@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .conversation_trie import prefix_trie
 from .decontam import contaminated
 from .kn_lm import perplexity_scores
 from .mixing import mix
@@ -87,7 +89,13 @@ def op11_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_components(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_url_filters, op3_token_counts, op4_warc, op5_token_files, op6_kneser_ney, op7_quality_rules, op8_pii, op9_decontamination, op10_mixing, op11_setsketch)}
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all conversations, each begun with turns of the first one of its five."""
+    c = F.col("conv_id")
+    return prefix_trie(spark, _table(spark, sf_dir, "conversations"), c - c % 5, F.crc32(c.cast("string")) % 9)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_url_filters, op3_token_counts, op4_warc, op5_token_files, op6_kneser_ney, op7_quality_rules, op8_pii, op9_decontamination, op10_mixing, op11_setsketch, op13_conversation_trie)}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _RULE_ROWS = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)
 #: Pages of the given tables declare no canonical link or redirect, so SQL needs the rules only. The
@@ -109,4 +117,20 @@ e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc
 r AS (SELECT doc_id AS d, doc_id AS o FROM documents UNION SELECT e.b, r.o FROM r JOIN e ON r.d = e.a),
 m AS (SELECT d, min(o) AS component_id FROM r GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM documents LEFT JOIN n USING (doc_id) JOIN m ON d = doc_id""",
+    "op13_conversation_trie": """WITH k AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, (xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(c::VARCHAR) + 1), lambda i: [256 + ascii(substr(c::VARCHAR, i, 1)), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, s: CASE WHEN s >= 0 THEN xor(a, s - 256) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)) % 9 AS h FROM k),
+t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT c, count(*) AS l FROM t GROUP BY 1),
+b AS (SELECT h.c, h.h, least(h.h, coalesce(l.l, 0)) AS m FROM h LEFT JOIN l ON l.c = h.c - h.c % 5),
+r AS (SELECT b.c, t.i AS d, role, text FROM b JOIN t ON t.c = b.c - b.c % 5 WHERE t.i <= b.m UNION ALL SELECT b.c, b.m + t.i - b.h, role, text FROM b JOIN t ON t.c = b.c WHERE t.i > b.h),
+p AS (SELECT c, 0 AS d, [] AS path, 0 AS bytes FROM k UNION ALL SELECT c, d, list({'r': role, 't': text}) OVER (PARTITION BY c ORDER BY d) AS path, strlen(text) FROM r),
+p2 AS (SELECT c, d, sha256(path::VARCHAR) AS x, bytes FROM p),
+p3 AS MATERIALIZED (SELECT *, lag(x) OVER (PARTITION BY c ORDER BY d) AS up, max(d) OVER (PARTITION BY c) AS e FROM p2),
+n AS MATERIALIZED (SELECT x, d AS depth, min(c) AS conv_id, any_value(up) AS up, any_value(bytes) AS bytes, count(*) AS n_convs, sha256(coalesce(string_agg(CASE WHEN d = e THEN c::VARCHAR END, ',' ORDER BY c), '')) AS ends_sha256 FROM p3 GROUP BY 1, 2),
+ch AS (SELECT up, count(*) AS n_children FROM n GROUP BY 1),
+f AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN ch ON ch.up = n.x),
+a AS (SELECT DISTINCT w.x AS top, v.x AS x FROM p3 v JOIN p3 w ON v.c = w.c AND w.d <= v.d),
+s AS (SELECT a.top, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((n_convs - 1) * bytes)::BIGINT AS saved_tokens FROM a JOIN f ON f.x = a.x GROUP BY 1)
+SELECT f.conv_id, f.depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256 FROM f JOIN s ON s.top = f.x LEFT JOIN n q ON q.x = f.up""",
 }
