@@ -34,7 +34,7 @@ class Scratch:
         self.count += 1
         return f"{self.root}/{self.count:03d}-{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         """Write ``df`` and return the table read back, with the schema that was written.
 
         The shuffle files of the write go when it ends, as the table takes their place.
@@ -43,7 +43,7 @@ class Scratch:
         before = self.spark.conf.get(_CLEANUP, "false")
         self.spark.conf.set(_CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            df.write.options(**options).parquet(path)
         finally:
             self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
