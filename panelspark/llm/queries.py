@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations
 from .conversation_trie import prefix_trie
 from .decontam import contaminated
 from .kn_lm import perplexity_scores
@@ -89,13 +90,18 @@ def op11_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_components(spark, _table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of two or three words of every language."""
+    return collocations(spark, _table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix trie of all conversations, each begun with turns of the first one of its five."""
     c = F.col("conv_id")
     return prefix_trie(spark, _table(spark, sf_dir, "conversations"), c - c % 5, F.crc32(c.cast("string")) % 9)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_url_filters, op3_token_counts, op4_warc, op5_token_files, op6_kneser_ney, op7_quality_rules, op8_pii, op9_decontamination, op10_mixing, op11_setsketch, op13_conversation_trie)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_url_filters, op3_token_counts, op4_warc, op5_token_files, op6_kneser_ney, op7_quality_rules, op8_pii, op9_decontamination, op10_mixing, op11_setsketch, op12_collocations, op13_conversation_trie)}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _RULE_ROWS = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)
 #: Pages of the given tables declare no canonical link or redirect, so SQL needs the rules only. The
@@ -133,4 +139,19 @@ f AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT
 a AS (SELECT DISTINCT w.x AS top, v.x AS x FROM p3 v JOIN p3 w ON v.c = w.c AND w.d <= v.d),
 s AS (SELECT a.top, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((n_convs - 1) * bytes)::BIGINT AS saved_tokens FROM a JOIN f ON f.x = a.x GROUP BY 1)
 SELECT f.conv_id, f.depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256 FROM f JOIN s ON s.top = f.x LEFT JOIN n q ON q.x = f.up""",
+    "op12_collocations": rf"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM t),
+g AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g FROM w, unnest([1, 2, 3]) q(k), unnest(range(1, len(w) - k + 2)) r(i)),
+c AS MATERIALIZED (SELECT lang, k, g, lang || ' ' || g AS id, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM c WHERE k = 1 GROUP BY 1),
+x AS MATERIALIZED (SELECT *, string_split(g, ' ') AS w FROM c WHERE k > 1 AND f >= 10),
+u AS MATERIALIZED (SELECT id, f, 1 AS i, lang || ' ' || w[1] AS lid, lang || ' ' || array_to_string(w[2:], ' ') AS rid FROM x UNION ALL SELECT id, f, 2, lang || ' ' || array_to_string(w[1:2], ' '), lang || ' ' || w[3] FROM x WHERE k = 3),
+s1 AS MATERIALIZED (SELECT u.*, c.f AS l FROM u JOIN c ON c.id = u.lid),
+s AS (SELECT s1.*, c.f AS r, (1000000::HUGEINT * s1.f * s1.f) // (l::HUGEINT * c.f) AS score FROM s1 JOIN c ON c.id = s1.rid),
+b AS (SELECT id, arg_min(struct_pack(l := l, r := r, score := score), row(score, i)) AS b FROM s GROUP BY 1),
+z AS MATERIALIZED (SELECT f, lang || ' ' || array_to_string(w[1:2], ' ') AS id FROM x WHERE k = 3 UNION ALL SELECT f, lang || ' ' || array_to_string(w[2:3], ' ') FROM x WHERE k = 3),
+gone AS (SELECT DISTINCT x.id FROM x JOIN z ON z.id = x.id WHERE 100 * z.f >= 50 * x.f),
+o AS (SELECT lang, g AS phrase, f AS a, b.l AS l, b.r AS r, b.score::BIGINT AS score FROM x JOIN b USING (id) WHERE id NOT IN (SELECT id FROM gone)),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT lang, rank, phrase, a, l, r, n, score FROM p JOIN n USING (lang) WHERE rank <= 2000""",
 }

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, mix
+from .common import BROADCAST_ROWS, Scratch, WordHash, mix
 from .ngram_jaccard import _BITS, _ENTRY, BITMAP, _key, _named, _sets, bitmap, grow, least_ids
 
 #: Bands and registers of each.
@@ -150,7 +150,7 @@ def sketch_components(spark: SparkSession, docs: DataFrame, k: int = 4, num: int
     the whole component has none. Extra columns are ignored. An empty table gives an empty result.
     """
     scratch = Scratch(spark, "setsketch")
-    sketches = scratch.table(_sketched(docs, k), "sketches")
+    sketches = scratch.table(_sketched(docs, k), "sketches", compression="zstd")
     named = scratch.table(_named(sketches), "named")
     classes = sketches.filter("key IS NOT NULL")
     tokens = classes.select("key", F.explode("tokens").alias("token"))
@@ -158,7 +158,8 @@ def sketch_components(spark: SparkSession, docs: DataFrame, k: int = 4, num: int
     prefix = tokens.join(met, "token", "left_semi").distinct().select("key", F.lit(1).alias("level"), "token", F.lit(0).alias("pos"))
     prefix = scratch.table(prefix, "prefix")
     met = scratch.table(prefix.select("key").distinct(), "keys")
-    found = classes.join(met, "key", "left_semi").groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "text", "registers", *_BITS)])
+    few = F.broadcast(met) if met.count() <= BROADCAST_ROWS else met
+    found = classes.join(few, "key", "left_semi").groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "text", "registers", *_BITS)])
     found = scratch.table(found, "classes")
     scratch.drop(sketches, met)
     lists = scratch.table(_lists(found.select("key", "text"), k), "lists")
