@@ -219,8 +219,9 @@ def _spelled(rows: DataFrame, longest: int) -> DataFrame:
     return rows.select("h", "f", "n", "place", "lang", "chunk").mapInArrow(run, "h long, lang string, phrase string, f long, n int, parts array<struct<g:long,first:int,words:int>>")
 
 
-def _exact(c: Column) -> Column:
-    return c.cast("decimal(19,0)")
+def score() -> Column:
+    """Of columns ``f``, ``l`` and ``r``, with products of up to 38 digits."""
+    return F.expr("cast(1000000 * (cast(f AS decimal(16,0)) * cast(f AS decimal(16,0))) AS decimal(38,0)) div (cast(l AS decimal(19,0)) * cast(r AS decimal(19,0)))")
 
 
 def collocations(spark: SparkSession, docs: DataFrame, longest: int = 3, least: int = 10, top: int = 2000, covered: tuple[int, int] = (50, 100)) -> DataFrame:
@@ -261,8 +262,7 @@ def collocations(spark: SparkSession, docs: DataFrame, longest: int = 3, least:
     edge = inside.filter("first = 0 OR first + words = n")
     cut = F.when(F.col("first") == 0, F.col("words")).otherwise(F.col("first")).alias("cut")
     cuts = edge.groupBy("h", "f", cut).agg(F.max(F.when(F.col("first") == 0, F.col("of"))).alias("l"), F.max(F.when(F.col("first") > 0, F.col("of"))).alias("r"))
-    score = F.expr("(cast(1000000 * (cast(f AS decimal(16,0)) * cast(f AS decimal(16,0))) AS decimal(38,0))) div (cast(l AS decimal(19,0)) * cast(r AS decimal(19,0)))")
-    best = cuts.withColumn("score", score).groupBy("h").agg(F.min(F.struct("score", "cut", "l", "r")).alias("b"))
+    best = cuts.withColumn("score", score()).groupBy("h").agg(F.min(F.struct("score", "cut", "l", "r")).alias("b"))
     ranked = phrases.select("h", "lang", "phrase", F.col("f").alias("a")).join(gone, "h", "left_anti").join(best, "h").select("lang", "phrase", "a", "b.l", "b.r", "b.score")
     w = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
