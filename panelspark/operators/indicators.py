@@ -2,90 +2,110 @@
 
 Rows of a ticker are taken by date, which must be distinct within a ticker. Rolling values are null
 until the window is full of values; a division by zero is null. Every function adds columns to its
-input and keeps all others; plain windows share one shuffle by ticker, and the exponential means of
-a stage share one scan.
+input and keeps all others. Bars are laid out once (see ``blocks``): a long ticker is cut into blocks,
+windows of fixed length see copies of the rows before their block, and running sums and exponential
+means pass on what a block ends with.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import in_block, laid_out, reaching, running_sums
 from .scan import alpha_of, ewm
 
-def _by() -> WindowSpec:
-    return Window.partitionBy("secid").orderBy("date")
 
+def _c(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
-def _so_far() -> WindowSpec:
-    return _by().rowsBetween(Window.unboundedPreceding, 0)
 
+def full(c: Column | str, n: int, fn: Callable[[Column], Column], least: int | None = None) -> Column:
+    """``fn`` over the last n rows of a block, null unless ``least`` (all n) values are there."""
+    w = in_block().rowsBetween(1 - n, 0)
+    return F.when(F.count(_c(c)).over(w) >= (least or n), fn(_c(c)).over(w))
 
-def _c(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+
+def before(c: Column | str, k: int = 1) -> Column:
+    return F.lag(_c(c), k).over(in_block())
 
 
-def full(c: Column | str, n: int, fn: Callable[[Column], Column]) -> Column:
-    """``fn`` over the last n rows, null unless all n values are there."""
-    w = _by().rowsBetween(1 - n, 0)
-    return F.when(F.count(_c(c)).over(w) == n, fn(_c(c)).over(w))
+def _fixed(df: DataFrame, reach: int, *stages: dict[str, Column]) -> DataFrame:
+    """Columns by windows that look back ``reach`` rows in all; a stage may use those before it."""
 
+    def add(d: DataFrame) -> DataFrame:
+        for columns in stages:
+            d = d.withColumns(columns)
+        return d
 
+    return reaching(df, reach, add)
+
+
+@laid_out
 def rolling(df: DataFrame, col: str, n: int, fn: str, min_periods: int | None = None) -> DataFrame:
     """Add ``<col>_<fn>_<n>``: mean, sum, min, max or std (sample) of n rows with enough values."""
     f = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp}[fn]
-    w = _by().rowsBetween(1 - n, 0)
-    return df.withColumn(f"{col}_{fn}_{n}", F.when(F.count(col).over(w) >= (min_periods or n), f(col).over(w)))
+    return _fixed(df, n, {f"{col}_{fn}_{n}": full(col, n, f, min_periods)})
 
 
+@laid_out
 def shifts(df: DataFrame, col: str, k: int) -> DataFrame:
     """Add the value k rows before, the difference to the row before and the running sum (null on null)."""
-    return df.withColumns({f"{col}_lag_{k}": F.lag(col, k).over(_by()), f"{col}_diff": F.col(col) - F.lag(col).over(_by()), f"{col}_cumsum": F.when(F.col(col).isNotNull(), F.sum(col).over(_so_far()))})
-
-
-def before(c: Column | str, k: int = 1) -> Column:
-    return F.lag(_c(c), k).over(_by())
+    df = _fixed(df, max(k, 1), {f"{col}_lag_{k}": before(col, k), f"{col}_diff": F.col(col) - before(col)})
+    return running_sums(df, {f"{col}_cumsum": col})
 
 
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
+@laid_out
 def moving_averages(df: DataFrame, periods: tuple[int, ...] = (5, 10, 20, 50, 200), price: str = "close") -> DataFrame:
     df = ewm(df, {f"EMA_{n}": (price, alpha_of(n)) for n in periods})
-    return df.withColumns({f"SMA_{n}": full(price, n, F.avg) for n in periods})
+    return _fixed(df, max(periods), {f"SMA_{n}": full(price, n, F.avg) for n in periods})
 
 
 def _strength(gain: Column, loss: Column) -> Column:
     return F.when(loss > 0, 100 - 100 / (1 + gain / loss)).when(gain > 0, 100.0)
 
 
+@laid_out
 def rsi(df: DataFrame, period: int = 14, price: str = "close") -> DataFrame:
     d = F.coalesce(F.col(price) - before(price), F.lit(0.0))
-    df = df.withColumns({"_up": F.greatest(d, F.lit(0.0)), "_down": F.greatest(-d, F.lit(0.0))})
-    df = df.withColumns({"_up": full("_up", period, F.avg), "_down": full("_down", period, F.avg)})
+    moves = {"_up": F.greatest(d, F.lit(0.0)), "_down": F.greatest(-d, F.lit(0.0))}
+    df = _fixed(df, period, moves, {"_up": full("_up", period, F.avg), "_down": full("_down", period, F.avg)})
     return df.withColumn("RSI", _strength(F.col("_up"), F.col("_down"))).drop("_up", "_down")
 
 
+@laid_out
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, price: str = "close") -> DataFrame:
     df = ewm(df, {"_fast": (price, alpha_of(fast)), "_slow": (price, alpha_of(slow))}).withColumn("MACD", F.col("_fast") - F.col("_slow"))
     df = ewm(df.drop("_fast", "_slow"), {"MACD_Signal": ("MACD", alpha_of(signal))})
     return df.withColumn("MACD_Hist", F.col("MACD") - F.col("MACD_Signal"))
 
 
+def _bands(width: float) -> dict[str, Column]:
+    upper, lower = (F.col("BB_Middle") + sign * width * F.col("_sd") for sign in (1, -1))
+    return {"BB_Upper": upper, "BB_Lower": lower, "BB_Width": ratio(upper - lower, F.col("BB_Middle"))}
+
+
+@laid_out
 def bollinger(df: DataFrame, period: int = 20, width: float = 2.0, price: str = "close") -> DataFrame:
-    df = df.withColumns({"BB_Middle": full(price, period, F.avg), "_sd": full(price, period, F.stddev_samp)})
-    df = df.withColumns({"BB_Upper": F.col("BB_Middle") + width * F.col("_sd"), "BB_Lower": F.col("BB_Middle") - width * F.col("_sd")}).drop("_sd")
-    return df.withColumn("BB_Width", ratio(F.col("BB_Upper") - F.col("BB_Lower"), F.col("BB_Middle")))
+    df = _fixed(df, period, {"BB_Middle": full(price, period, F.avg), "_sd": full(price, period, F.stddev_samp)})
+    return df.withColumns(_bands(width)).drop("_sd")
+
 
+def _raw_stochastic() -> Column:
+    return 100 * ratio(F.col("close") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
 
+
+@laid_out
 def stochastic(df: DataFrame, period: int = 14, smooth_k: int = 3, smooth_d: int = 3) -> DataFrame:
-    low, high = full("low", period, F.min), full("high", period, F.max)
-    df = df.withColumns({"_lo": low, "_hi": high}).withColumn("_raw", 100 * ratio(F.col("close") - F.col("_lo"), F.col("_hi") - F.col("_lo")))
-    df = df.withColumn("STOCH_K", full("_raw", smooth_k, F.avg))
-    return df.withColumn("STOCH_D", full("STOCH_K", smooth_d, F.avg)).drop("_lo", "_hi", "_raw")
+    ends = {"_lo": full("low", period, F.min), "_hi": full("high", period, F.max)}
+    stages = ends, {"_raw": _raw_stochastic()}, {"STOCH_K": full("_raw", smooth_k, F.avg)}, {"STOCH_D": full("STOCH_K", smooth_d, F.avg)}
+    return _fixed(df, period + smooth_k + smooth_d, *stages).drop("_lo", "_hi", "_raw")
 
 
 def true_range() -> Column:
@@ -94,54 +114,82 @@ def true_range() -> Column:
     return F.when(p.isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - p), F.abs(F.col("low") - p)))
 
 
+@laid_out
 def atr(df: DataFrame, period: int = 14) -> DataFrame:
-    return df.withColumn("_tr", true_range()).withColumn("ATR", full("_tr", period, F.avg)).drop("_tr")
+    return _fixed(df, period, {"_tr": true_range()}, {"ATR": full("_tr", period, F.avg)}).drop("_tr")
+
 
+def _traded(period: int) -> Column:
+    return ratio(full(F.col("waprice") * F.col("volume"), period, F.sum), full("volume", period, F.sum))
 
+
+@laid_out
 def vwap(df: DataFrame, period: int = 20) -> DataFrame:
-    df = df.withColumn("_v", F.col("waprice") * F.col("volume"))
-    return df.withColumn("VWAP", ratio(full("_v", period, F.sum), full("volume", period, F.sum))).drop("_v")
+    return _fixed(df, period, {"VWAP": _traded(period)})
+
+
+def _signed_volume() -> Column:
+    return F.signum(F.col("close") - before("close")) * F.col("volume")
 
 
+@laid_out
 def obv(df: DataFrame, period: int = 20) -> DataFrame:
-    df = df.withColumn("_v", F.signum(F.col("close") - before("close")) * F.col("volume"))
-    df = df.withColumn("OBV", F.when(F.col("_v").isNotNull(), F.sum("_v").over(_so_far())))
-    return df.withColumn("OBV_MA", full("OBV", period, F.avg)).drop("_v")
+    df = running_sums(_fixed(df, 1, {"_v": _signed_volume()}), {"OBV": "_v"}).drop("_v")
+    return _fixed(df, period, {"OBV_MA": full("OBV", period, F.avg)})
+
+
+def _williams() -> Column:
+    return -100 * ratio(F.col("_hi") - F.col("close"), F.col("_hi") - F.col("_lo"))
 
 
+@laid_out
 def williams_r(df: DataFrame, period: int = 14) -> DataFrame:
-    df = df.withColumns({"_lo": full("low", period, F.min), "_hi": full("high", period, F.max)})
-    return df.withColumn("Williams_R", -100 * ratio(F.col("_hi") - F.col("close"), F.col("_hi") - F.col("_lo"))).drop("_lo", "_hi")
+    return _fixed(df, period, {"_lo": full("low", period, F.min), "_hi": full("high", period, F.max)}).withColumn("Williams_R", _williams()).drop("_lo", "_hi")
 
 
+@laid_out
 def momentum(df: DataFrame, period: int = 14, price: str = "close") -> DataFrame:
-    return df.withColumn("Momentum", F.col(price) - before(price, period))
+    return _fixed(df, period, {"Momentum": F.col(price) - before(price, period)})
 
 
-def adx(df: DataFrame, period: int = 14) -> DataFrame:
+def _directions() -> dict[str, Column]:
     up, down = F.col("high") - before("high"), before("low") - F.col("low")
     move = lambda a, b: F.when((a > b) & (a > 0), a).otherwise(0.0)
-    df = df.withColumns({"_tr": true_range(), "_pdm": move(up, down), "_mdm": move(down, up)})
+    return {"_tr": true_range(), "_pdm": move(up, down), "_mdm": move(down, up)}
+
+
+def _indices() -> tuple[dict[str, Column], dict[str, Column]]:
+    """The two directional indices from smoothed ranges and moves, and their relative difference."""
+    plus, minus = F.col("Plus_DI"), F.col("Minus_DI")
+    return {"Plus_DI": 100 * ratio(F.col("_ep"), F.col("_etr")), "Minus_DI": 100 * ratio(F.col("_em"), F.col("_etr"))}, {"_dx": 100 * ratio(F.abs(plus - minus), plus + minus)}
+
+
+@laid_out
+def adx(df: DataFrame, period: int = 14) -> DataFrame:
     a = 1.0 / period
-    df = ewm(df, {"_etr": ("_tr", a), "_ep": ("_pdm", a), "_em": ("_mdm", a)})
-    df = df.withColumns({"Plus_DI": 100 * ratio(F.col("_ep"), F.col("_etr")), "Minus_DI": 100 * ratio(F.col("_em"), F.col("_etr"))})
-    df = df.withColumn("_dx", 100 * ratio(F.abs(F.col("Plus_DI") - F.col("Minus_DI")), F.col("Plus_DI") + F.col("Minus_DI")))
-    df = df.drop("_tr", "_pdm", "_mdm", "_etr", "_ep", "_em")
-    return ewm(df, {"ADX": ("_dx", a)}).drop("_dx")
+    df = ewm(_fixed(df, 1, _directions()), {"_etr": ("_tr", a), "_ep": ("_pdm", a), "_em": ("_mdm", a)})
+    for columns in _indices():
+        df = df.withColumns(columns)
+    return ewm(df.drop("_tr", "_pdm", "_mdm", "_etr", "_ep", "_em"), {"ADX": ("_dx", a)}).drop("_dx")
 
 
 def typical_price() -> Column:
     return (F.col("high") + F.col("low") + F.col("close")) / 3
 
 
+def _flows() -> dict[str, Column]:
+    """What a bar moves in or out, by the change of its typical price."""
+    d, flow = typical_price() - before(typical_price()), typical_price() * F.col("volume")
+    return {"_in": F.when(d > 0, flow).otherwise(0.0), "_out": F.when(d < 0, flow).otherwise(0.0)}
+
+
+@laid_out
 def mfi(df: DataFrame, period: int = 14) -> DataFrame:
-    df = df.withColumn("_tp", typical_price()).withColumn("_d", F.col("_tp") - before("_tp"))
-    flow = F.col("_tp") * F.col("volume")
-    df = df.withColumns({"_in": F.when(F.col("_d") > 0, flow).otherwise(0.0), "_out": F.when(F.col("_d") < 0, flow).otherwise(0.0)})
-    df = df.withColumns({"_in": full("_in", period, F.sum), "_out": full("_out", period, F.sum)})
-    return df.withColumn("MFI", _strength(F.col("_in"), F.col("_out"))).drop("_tp", "_d", "_in", "_out")
+    df = _fixed(df, period, _flows(), {"_in": full("_in", period, F.sum), "_out": full("_out", period, F.sum)})
+    return df.withColumn("MFI", _strength(F.col("_in"), F.col("_out"))).drop("_in", "_out")
 
 
+@laid_out
 def pvo(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     df = ewm(df, {"_fast": ("volume", alpha_of(fast)), "_slow": ("volume", alpha_of(slow))})
     df = df.withColumn("PVO", 100 * ratio(F.col("_fast") - F.col("_slow"), F.col("_slow"))).drop("_fast", "_slow")
@@ -154,12 +202,13 @@ def _money_flow() -> Column:
     return ratio((c - lo) - (h - c), h - lo) * F.col("volume")
 
 
+@laid_out
 def chaikin_ad(df: DataFrame) -> DataFrame:
     """Running money flow; null on a bar without range, and later bars go on."""
-    df = df.withColumn("_f", _money_flow())
-    return df.withColumn("Chaikin_AD", F.when(F.col("_f").isNotNull(), F.sum("_f").over(_so_far()))).drop("_f")
+    return running_sums(df.withColumn("_f", _money_flow()), {"Chaikin_AD": "_f"}).drop("_f")
 
 
+@laid_out
 def chaikin_osc(df: DataFrame, fast: int = 3, slow: int = 10) -> DataFrame:
     drop = [] if "Chaikin_AD" in df.columns else ["Chaikin_AD"]
     df = df if not drop else chaikin_ad(df)
@@ -167,31 +216,45 @@ def chaikin_osc(df: DataFrame, fast: int = 3, slow: int = 10) -> DataFrame:
     return df.withColumn("Chaikin_Oscillator", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow", *drop)
 
 
-def cci(df: DataFrame, period: int = 20) -> DataFrame:
+def _channel(period: int) -> tuple[dict[str, Column], ...]:
     """The deviation is the rolling mean of each row's distance to its own moving average."""
-    df = df.withColumn("_tp", typical_price()).withColumn("_ma", full("_tp", period, F.avg))
-    df = df.withColumn("_off", F.abs(F.col("_tp") - F.col("_ma"))).withColumn("_md", full("_off", period, F.avg))
-    return df.withColumn("CCI", ratio(F.col("_tp") - F.col("_ma"), 0.015 * F.col("_md"))).drop("_tp", "_ma", "_off", "_md")
+    off = F.abs(typical_price() - F.col("_ma"))
+    return {"_ma": full(typical_price(), period, F.avg)}, {"_md": full(off, period, F.avg)}, {"CCI": ratio(typical_price() - F.col("_ma"), 0.015 * F.col("_md"))}
 
 
-def emv(df: DataFrame, scale: float = 10000.0, period: int = 14) -> DataFrame:
+@laid_out
+def cci(df: DataFrame, period: int = 20) -> DataFrame:
+    return _fixed(df, 2 * period, *_channel(period)).drop("_ma", "_md")
+
+
+def _ease(scale: float) -> Column:
     mid = (F.col("high") + F.col("low")) / 2
-    df = df.withColumn("_m", mid).withColumn("_e", ratio((F.col("_m") - before("_m")) * (F.col("high") - F.col("low")), F.col("volume") / scale))
-    return df.withColumn("EMV", full("_e", period, F.avg)).drop("_m", "_e")
+    return ratio((mid - before(mid)) * (F.col("high") - F.col("low")), F.col("volume") / scale)
+
+
+@laid_out
+def emv(df: DataFrame, scale: float = 10000.0, period: int = 14) -> DataFrame:
+    return _fixed(df, period, {"_e": _ease(scale)}, {"EMV": full("_e", period, F.avg)}).drop("_e")
 
 
+def _line_flow() -> Column:
+    same = (F.col("high") == F.col("low")) & (F.col("close") == F.col("high"))
+    return F.when(~same, F.coalesce(_money_flow(), F.lit(0.0)))
+
+
+@laid_out
 def ad_line(df: DataFrame) -> DataFrame:
     """Running money flow with 0 for bars whose flow would be infinite; null where high = low = close."""
-    same = (F.col("high") == F.col("low")) & (F.col("close") == F.col("high"))
-    df = df.withColumn("_f", F.when(~same, F.coalesce(_money_flow(), F.lit(0.0))))
-    return df.withColumn("AD_Line", F.when(F.col("_f").isNotNull(), F.sum("_f").over(_so_far()))).drop("_f")
+    return running_sums(df.withColumn("_f", _line_flow()), {"AD_Line": "_f"}).drop("_f")
 
 
+@laid_out
 def bull_bear(df: DataFrame, period: int = 13) -> DataFrame:
     df = ewm(df, {"_e": ("close", alpha_of(period))})
     return df.withColumns({"Bull_Power": F.col("high") - F.col("_e"), "Bear_Power": F.col("low") - F.col("_e")}).drop("_e")
 
 
+@laid_out
 def tema(df: DataFrame, period: int = 20, price: str = "close") -> DataFrame:
     a = alpha_of(period)
     df = ewm(df, {"_e1": (price, a)})
@@ -200,30 +263,41 @@ def tema(df: DataFrame, period: int = 20, price: str = "close") -> DataFrame:
     return df.withColumn("TEMA", 3 * F.col("_e1") - 3 * F.col("_e2") + F.col("_e3")).drop("_e1", "_e2", "_e3")
 
 
+@laid_out
 def sma_min1(df: DataFrame, cols: tuple[str, ...], periods: tuple[int, ...] = (1, 3, 7, 30, 180)) -> DataFrame:
     """Plain trailing means that also cover the first, shorter windows."""
-    return df.withColumns({f"{c}_SMA_{n}": F.avg(c).over(_by().rowsBetween(1 - n, 0)) for c in cols for n in periods})
+    return _fixed(df, max(periods), {f"{c}_SMA_{n}": full(c, n, F.avg, 1) for c in cols for n in periods})
 
 
 #: Defaults of every period, each of which ``technical_features`` can override.
 PERIODS = {"ma": (5, 10, 20, 50, 200), "rsi": 14, "macd": (12, 26, 9), "bollinger": (20, 2.0), "stochastic": (14, 3, 3), "atr": 14, "vwap": 20, "obv": 20, "williams": 14, "momentum": 14, "adx": 14, "mfi": 14, "pvo": (12, 26, 9), "chaikin": (3, 10), "cci": 20, "emv": 10000.0, "power": 13, "tema": 20}
 
 
+@laid_out
 def technical_features(df: DataFrame, **periods: object) -> DataFrame:
-    """All indicators in three scans: exponential means of prices, volumes and flows by stage."""
+    """All indicators in one layout: lags, running sums, three stages of exponential means, and then
+    all windows of fixed length, three levels in one pass."""
     p = PERIODS | periods
     price = {f"EMA_{n}": ("close", alpha_of(n)) for n in p["ma"]}
     (fast, slow, sig), (vf, vs, vsig), (cf, cs), a = p["macd"], p["pvo"], p["chaikin"], 1.0 / p["adx"]
-    up, down = F.col("high") - before("high"), before("low") - F.col("low")
-    move = lambda x, y: F.when((x > y) & (x > 0), x).otherwise(0.0)
-    df = chaikin_ad(df).withColumns({"_tr": true_range(), "_pdm": move(up, down), "_mdm": move(down, up)})
+    d = F.coalesce(F.col("close") - before("close"), F.lit(0.0))
+    df = _fixed(df, 1, _directions() | _flows() | {"_v": _signed_volume(), "_e": _ease(p["emv"]), "_up": F.greatest(d, F.lit(0.0)), "_down": F.greatest(-d, F.lit(0.0))})
+    df = running_sums(df.withColumns({"_f": _money_flow(), "_lf": _line_flow()}), {"OBV": "_v", "Chaikin_AD": "_f", "AD_Line": "_lf"}).drop("_v", "_f", "_lf")
     df = ewm(df, price | {"_mf": ("close", alpha_of(fast)), "_ms": ("close", alpha_of(slow)), "_vf": ("volume", alpha_of(vf)), "_vs": ("volume", alpha_of(vs)), "_etr": ("_tr", a), "_ep": ("_pdm", a), "_em": ("_mdm", a), "_cf": ("Chaikin_AD", alpha_of(cf)), "_cs": ("Chaikin_AD", alpha_of(cs)), "_pw": ("close", alpha_of(p["power"])), "_e1": ("close", alpha_of(p["tema"]))})
-    df = df.withColumns({"MACD": F.col("_mf") - F.col("_ms"), "PVO": 100 * ratio(F.col("_vf") - F.col("_vs"), F.col("_vs")), "Plus_DI": 100 * ratio(F.col("_ep"), F.col("_etr")), "Minus_DI": 100 * ratio(F.col("_em"), F.col("_etr")), "Chaikin_Oscillator": F.col("_cf") - F.col("_cs"), "Bull_Power": F.col("high") - F.col("_pw"), "Bear_Power": F.col("low") - F.col("_pw")})
-    df = df.withColumn("_dx", 100 * ratio(F.abs(F.col("Plus_DI") - F.col("Minus_DI")), F.col("Plus_DI") + F.col("Minus_DI")))
+    indices, spread = _indices()
+    df = df.withColumns({"MACD": F.col("_mf") - F.col("_ms"), "PVO": 100 * ratio(F.col("_vf") - F.col("_vs"), F.col("_vs")), "Chaikin_Oscillator": F.col("_cf") - F.col("_cs"), "Bull_Power": F.col("high") - F.col("_pw"), "Bear_Power": F.col("low") - F.col("_pw")} | indices).withColumns(spread)
+    df = df.drop("_pdm", "_mdm", "_mf", "_ms", "_vf", "_vs", "_etr", "_ep", "_em", "_cf", "_cs", "_pw")
     df = ewm(df, {"MACD_Signal": ("MACD", alpha_of(sig)), "PVO_Signal": ("PVO", alpha_of(vsig)), "ADX": ("_dx", a), "_e2": ("_e1", alpha_of(p["tema"]))})
     df = ewm(df, {"_e3": ("_e2", alpha_of(p["tema"]))})
-    df = df.withColumns({"MACD_Hist": F.col("MACD") - F.col("MACD_Signal"), "PVO_Hist": F.col("PVO") - F.col("PVO_Signal"), "TEMA": 3 * F.col("_e1") - 3 * F.col("_e2") + F.col("_e3")} | {f"SMA_{n}": full("close", n, F.avg) for n in p["ma"]})
-    df = df.drop("_tr", "_pdm", "_mdm", "_mf", "_ms", "_vf", "_vs", "_etr", "_ep", "_em", "_cf", "_cs", "_pw", "_e1", "_e2", "_e3", "_dx")
-    for fn, args in ((rsi, (p["rsi"],)), (bollinger, p["bollinger"]), (stochastic, p["stochastic"]), (atr, (p["atr"],)), (vwap, (p["vwap"],)), (obv, (p["obv"],)), (williams_r, (p["williams"],)), (momentum, (p["momentum"],)), (mfi, (p["mfi"],)), (cci, (p["cci"],)), (emv, (p["emv"],)), (ad_line, ())):
-        df = fn(df, *args)
-    return df
+    df = df.withColumns({"MACD_Hist": F.col("MACD") - F.col("MACD_Signal"), "PVO_Hist": F.col("PVO") - F.col("PVO_Signal"), "TEMA": 3 * F.col("_e1") - 3 * F.col("_e2") + F.col("_e3")}).drop("_dx", "_e1", "_e2", "_e3")
+    (k, smooth_k, smooth_d), (width, sd) = p["stochastic"], p["bollinger"]
+    ma, md, cci_ = _channel(p["cci"])
+    first = {f"SMA_{n}": full("close", n, F.avg) for n in p["ma"]} | ma
+    first |= {"_gain": full("_up", p["rsi"], F.avg), "_loss": full("_down", p["rsi"], F.avg), "_paid": full("_in", p["mfi"], F.sum), "_got": full("_out", p["mfi"], F.sum)}
+    first |= {"_lo": full("low", k, F.min), "_hi": full("high", k, F.max), "_wlo": full("low", p["williams"], F.min), "_whi": full("high", p["williams"], F.max)}
+    first |= {"BB_Middle": full("close", width, F.avg), "_sd": full("close", width, F.stddev_samp), "ATR": full("_tr", p["atr"], F.avg), "VWAP": _traded(p["vwap"]), "OBV_MA": full("OBV", p["obv"], F.avg), "EMV": full("_e", 14, F.avg), "Momentum": F.col("close") - before("close", p["momentum"])}
+    williams = -100 * ratio(F.col("_whi") - F.col("close"), F.col("_whi") - F.col("_wlo"))
+    second = _bands(sd) | {"_raw": _raw_stochastic(), "RSI": _strength(F.col("_gain"), F.col("_loss")), "MFI": _strength(F.col("_paid"), F.col("_got")), "Williams_R": williams}
+    reach = max(*p["ma"], 2 * p["cci"], k + smooth_k + smooth_d, *(p[n] for n in ("rsi", "mfi", "williams", "atr", "vwap", "obv", "momentum")), width)
+    df = _fixed(df, reach, first, second, md | {"STOCH_K": full("_raw", smooth_k, F.avg)}, cci_ | {"STOCH_D": full("STOCH_K", smooth_d, F.avg)})
+    return df.drop("_tr", "_in", "_out", "_e", "_up", "_down", "_gain", "_loss", "_paid", "_got", "_lo", "_hi", "_wlo", "_whi", "_sd", "_ma", "_md", "_raw")

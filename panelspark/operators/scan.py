@@ -1,68 +1,128 @@
-"""Exponentially weighted means as one ordered pass over the rows of each key.
+"""Exponentially weighted means as an associative scan of affine maps, on two levels.
 
-Nulls carry the last value; after a gap of g nulls the old value weighs ``d ** (g + 1)`` against
-``alpha``, with ``d = 1 - alpha``.
+A value ``x`` that follows ``k`` rows after the one before it maps the mean ``y`` to
+``(d ** k * y + alpha * x) / (d ** k + alpha)``, with ``d = 1 - alpha``; a null keeps the mean. Such maps
+compose to ``A * y + B``, so short runs of rows are scanned on their own, the runs of a block and the
+blocks of a key pass their results on, and every row finishes with what came in. A key of any length
+is spread over tasks, and nothing leaves the JVM.
+
+Within a run, ``A`` is a running product and ``B / A`` a running sum, both plain windows. A run has so
+few rows that the product can't get under ``exp(-RANGE)``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+
+from .blocks import LAID, block_rows, in_block, lay_out
+
+#: Natural logarithm of the range of the running product, and rows of a run at most.
+RANGE, MOST_ROWS = 300.0, 4096
 
 
 def alpha_of(span: float) -> float:
     return 2.0 / (span + 1.0)
 
 
-class Carry:
-    """The running mean of a key: its last value and how many rows ago the last observation was."""
+def _step(d: float, alpha: float, y: Column, k: Column, x: Column) -> Column:
+    """The mean after ``x``, ``k`` rows after ``y``; ``x`` itself without a ``y``."""
+    old = F.pow(F.lit(d), k.cast("double"))
+    return F.when(y.isNull(), x).otherwise((old * y + alpha * x) / (old + alpha))
+
+
+class _Spec:
+    """One mean: the column it follows and its number, by which its helper columns are named."""
+
+    def __init__(self, i: int, of: int, alpha: float):
+        self.i, self.of, self.alpha, self.d = i, of, alpha, 1.0 - alpha
+        self.plain = self.d < math.exp(-RANGE)
+
+    def after(self, run: Column, y: Column, at: Column) -> Column:
+        """The mean at the end of ``run``, into which ``y`` of row ``at`` came."""
+        first = _step(self.d, self.alpha, y, run[f"if{self.of}"] - at, run[f"xf{self.of}"])
+        return F.when(run[f"xf{self.of}"].isNull(), y).otherwise(run[f"A{self.i}"] * first + run[f"B{self.i}"])
+
+    def joined(self, a: Column, b: Column) -> Column:
+        """The runs ``a`` and ``b`` as one, both structs of this spec alone."""
+        old = F.pow(F.lit(self.d), (b["if"] - a["il"]).cast("double"))
+        pass_on = F.lit(0.0) if self.plain else b["A"] * old / (old + self.alpha)
+        both = F.struct(a["if"].alias("if"), a["xf"].alias("xf"), b["il"].alias("il"), (pass_on * a["A"]).alias("A"), (b["A"] * (old * a["B"] + self.alpha * b["xf"]) / (old + self.alpha) + b["B"]).alias("B"))
+        return F.when(b["xf"].isNull(), a).when(a["xf"].isNull(), b).otherwise(both)
 
-    def __init__(self, alpha: float):
-        self.alpha, self.value, self.gap = alpha, None, 0
+    def alone(self, run: Column) -> Column:
+        return F.struct(run[f"if{self.of}"].alias("if"), run[f"xf{self.of}"].alias("xf"), run[f"il{self.of}"].alias("il"), run[f"A{self.i}"].alias("A"), run[f"B{self.i}"].alias("B"))
 
-    def follow(self, x: np.ndarray) -> np.ndarray:
-        """Means of the next rows; NaN stands for null."""
-        before = [] if self.value is None else [self.value] + [np.nan] * self.gap
-        out = pd.Series(np.concatenate([before, x])).ewm(alpha=self.alpha, adjust=False).mean().to_numpy()[len(before) :]
-        seen = np.flatnonzero(~np.isnan(x))
-        if len(seen):
-            self.value, self.gap = out[-1], len(x) - 1 - int(seen[-1])
-        elif self.value is not None:
-            self.gap += len(x)
-        return out
+
+def _incoming(runs: Column, spec: _Spec, y: Column, at: Column) -> Column:
+    """For each of ``runs`` in order, the mean that comes in and the row of its last value."""
+    kind = "struct<y:double,at:bigint,out:array<struct<y:double,at:bigint>>>"
+    start = F.struct(y.cast("double").alias("y"), at.cast("long").alias("at"), F.array().cast("array<struct<y:double,at:bigint>>").alias("out")).cast(kind)
+
+    def follow(acc: Column, run: Column) -> Column:
+        now = F.struct(acc["y"].alias("y"), acc["at"].alias("at"))
+        return F.struct(spec.after(run, acc["y"], acc["at"]).alias("y"), F.coalesce(run[f"il{spec.of}"], acc["at"]).alias("at"), F.concat(acc["out"], F.array(now)).alias("out")).cast(kind)
+
+    return F.aggregate(runs, start, follow)["out"]
+
+
+def _whole(spec: _Spec) -> Column:
+    """All runs of a block as one."""
+    return F.aggregate(F.slice("_runs", F.lit(2), F.size("_runs")), spec.alone(F.get("_runs", F.lit(0))), lambda x, y: spec.joined(x, spec.alone(y)))
 
 
 def ewm(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "secid", order: str = "date") -> DataFrame:
     """Add column ``out`` for each ``out: (column, alpha)``; ``alpha`` 1 copies the column forward.
 
-    Rows of a key are taken in ``order``; leading nulls give null, NaN counts as null. All specs
-    share one shuffle by key, and rows stream through a task with one running value a spec, so a
-    key may be of any length. Null keys are a key of their own; an empty table stays empty.
+    Rows of a key are taken in ``order``; leading nulls give null, NaN counts as null. A null key is a
+    key of its own; an empty table stays empty. Rows that are laid out already stay so.
     """
-    schema = StructType([*df.schema.fields, *(StructField(o, DoubleType()) for o in specs)])
-    at, columns = df.columns.index(key), [df.columns.index(c) for c, _ in specs.values()]
-    alphas = [a for _, a in specs.values()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, carries = object(), []
-        for batch in batches:
-            if not len(batch):
-                continue
-            keys = batch.column(at).to_pylist()
-            starts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1])]
-            values = [batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns]
-            out = [np.empty(len(keys)) for _ in alphas]
-            for start, end in zip(starts, [*starts[1:], len(keys)]):
-                if keys[start] != now:
-                    now, carries = keys[start], [Carry(a) for a in alphas]
-                for carry, x, y in zip(carries, values, out):
-                    y[start:end] = carry.follow(x[start:end])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(y, from_pandas=True) for y in out)], schema=pa.schema([*batch.schema, *((o, pa.float64()) for o in specs)]))
-
-    return df.repartition(F.col(key)).sortWithinPartitions(key, order).mapInArrow(run, schema)
+    given = "_block" in df.columns
+    laid = df if given else lay_out(df, key, order)
+    columns = list(dict.fromkeys(c for c, _ in specs.values()))
+    each = [_Spec(i, columns.index(c), a) for i, (c, a) in enumerate(specs.values())]
+    rows = min([MOST_ROWS, *(int(RANGE / -math.log(s.d)) for s in each if not s.plain and s.d < 1)])
+    size = block_rows(laid)
+    start = F.col("_index") if size is None else F.col("_index") - F.col("_block") * size
+    out = laid.withColumn("_run", F.floor(start / rows).cast("int"))
+    w = Window.partitionBy("_key", "_block", "_run").orderBy("_index")
+    before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumns({f"_x{j}": F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for j, c in enumerate(columns)})
+    out = out.withColumns({f"_o{j}": F.when(F.col(f"_x{j}").isNotNull(), F.col("_index")) for j in range(len(columns))})
+    wide = {"_last": F.lead("_index").over(w).isNull()}
+    for j in range(len(columns)):
+        wide |= {f"_p{j}": F.last(f"_o{j}", True).over(before), f"_if{j}": F.first(f"_o{j}", True).over(upto), f"_xf{j}": F.first(f"_x{j}", True).over(upto), f"_il{j}": F.last(f"_o{j}", True).over(upto)}
+        if any(s.plain and s.of == j for s in each):
+            wide[f"_xl{j}"] = F.last(f"_x{j}", True).over(upto)
+    out = out.withColumns(wide)
+    sums = [s for s in each if not s.plain]
+    old = {s.i: F.pow(F.lit(s.d), (F.col(f"_o{s.of}") - F.col(f"_p{s.of}")).cast("double")) for s in sums}
+    out = out.withColumns({f"_l{s.i}": F.sum(F.coalesce(F.log(old[s.i] / (old[s.i] + s.alpha)), F.lit(0.0))).over(upto) for s in sums})
+    out = out.withColumns({f"_s{s.i}": F.sum(F.coalesce(F.col(f"_x{s.of}") * s.alpha / (old[s.i] + s.alpha) * F.exp(-F.col(f"_l{s.i}")), F.lit(0.0))).over(upto) for s in sums})
+    a = {s.i: F.lit(0.0) if s.plain else F.exp(f"_l{s.i}") for s in each}
+    b = {s.i: F.col(f"_xl{s.of}") if s.plain else a[s.i] * F.col(f"_s{s.i}") for s in each}
+    run = F.struct("_run", *[F.col(f"_{n}{j}").alias(f"{n}{j}") for j in range(len(columns)) for n in ("if", "xf", "il")], *[a[s.i].alias(f"A{s.i}") for s in each], *[b[s.i].alias(f"B{s.i}") for s in each])
+    runs = out.filter("_last").groupBy(F.col("_key").alias("_of"), F.col("_block").alias("_at")).agg(F.array_sort(F.collect_list(run)).alias("_runs"))
+    if size is not None:
+        whole = [_whole(s) for s in each]
+        blocks = runs.select("_of", F.struct("_at", *[m[n].alias(f"{n}{s.i}") for s, m in zip(each, whole, strict=True) for n in ("if", "xf", "il", "A", "B")]).alias("m"))
+        blocks = blocks.groupBy("_of").agg(F.array_sort(F.collect_list("m")).alias("_runs"))
+        own = [_Spec(s.i, s.i, s.alpha) for s in each]
+        came = blocks.select("_of", F.transform("_runs", lambda r: r["_at"]).alias("_ats"), *[_incoming(F.col("_runs"), s, F.lit(None), F.lit(None)).alias(f"c{s.i}") for s in own])
+        came = came.select("_of", F.explode(F.arrays_zip("_ats", *[f"c{s.i}" for s in each])).alias("z")).select(F.col("_of").alias("_k"), F.col("z._ats").alias("_b"), *[F.col(f"z.c{s.i}").alias(f"_c{s.i}") for s in each])
+        runs = runs.join(came, (F.col("_of") == F.col("_k")) & (F.col("_at") == F.col("_b"))).drop("_k", "_b")
+        carried = [_incoming(F.col("_runs"), s, F.col(f"_c{s.i}")["y"], F.col(f"_c{s.i}")["at"]).alias(f"_c{s.i}") for s in each]
+    else:
+        carried = [_incoming(F.col("_runs"), s, F.lit(None), F.lit(None)).alias(f"_c{s.i}") for s in each]
+    came = runs.select("_of", "_at", *carried)
+    out = out.join(came, (F.col("_key") == F.col("_of")) & (F.col("_block") == F.col("_at")))
+
+    def mean(s: _Spec) -> Column:
+        came = F.get(f"_c{s.i}", F.col("_run"))
+        first = _step(s.d, s.alpha, came["y"], F.col(f"_if{s.of}") - came["at"], F.col(f"_xf{s.of}"))
+        return F.when(F.col(f"_xf{s.of}").isNull(), came["y"]).otherwise(b[s.i] if s.plain else a[s.i] * first + b[s.i])
+
+    out = out.select(*laid.columns, *[mean(s).alias(o) for o, s in zip(specs, each, strict=True)])
+    return out if given else out.drop(*LAID)
