@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,12 +109,29 @@ def _flat(chunks: list[bytes], langs: list[str], longest: int, known: WordHash)
     return h ^ salt[of], of, owned & ~ends, ends
 
 
-_MESSAGE = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary()), ("chunks", pa.binary())])
+_MESSAGE = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
+_TYPES = (np.uint64, np.int64, np.int32, np.int64)
+
+
+def _packed(h: np.ndarray, *rest: np.ndarray) -> bytes:
+    """Sorted distinct hashes as gaps, and the values beside them, by significance and compressed."""
+    gaps = np.r_[h[:1], h[1:] - h[:-1]]
+    return zstandard.compress(len(h).to_bytes(8, "little") + b"".join(_planes(x) for x in (gaps, *rest)), 1)
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, ...]:
+    raw = zstandard.decompress(raw)
+    n, at, out = int.from_bytes(raw[:8], "little"), 8, []
+    for kind in _TYPES:
+        size = n * np.dtype(kind).itemsize
+        out.append(_unplanes(raw[at : at + size], kind))
+        at += size
+    return np.cumsum(out[0], dtype=np.uint64), *out[1:]
 
 
 def _summed(h: np.ndarray, f: np.ndarray, *rest: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct hashes in order, their summed counts, and the other values of one occurrence each."""
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h = h[order]
     first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, int)
     return (h[first], np.add.reduceat(f[order], first) if len(h) else f, *(x[order[first]] for x in rest))
@@ -122,17 +140,18 @@ def _summed(h: np.ndarray, f: np.ndarray, *rest: np.ndarray) -> tuple[np.ndarray
 def _counted(dictionary: DataFrame, longest: int, buckets: int) -> DataFrame:
     """Counts of all phrases of a task's chunks as messages to ranges of hashes.
 
-    With every phrase goes the number of its words and one place in the dictionary.
+    With every phrase goes one of its places: a chunk's number, and the place of the word and the
+    number of words in one value.
     """
     most = HELD
 
     def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         if not parts:
             return
-        h, f, n, place, key = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        h, f, place, key = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         width = (1 << 64) // buckets + 1
         cuts = np.searchsorted(h, np.array([i * width for i in range(1, buckets)], np.uint64))
-        rows = [(b, _planes(h[lo:hi]), _planes(f[lo:hi]), n[lo:hi].tobytes(), _planes(place[lo:hi]), _planes(key[lo:hi])) for b, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(h)], strict=True)) if hi > lo]
+        rows = [(b, _packed(h[lo:hi], f[lo:hi], place[lo:hi], key[lo:hi])) for b, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(h)], strict=True)) if hi > lo]
         for at in range(0, len(rows), 64):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 64], strict=True), _MESSAGE.types, strict=True)], schema=_MESSAGE)
 
@@ -153,7 +172,7 @@ def _counted(dictionary: DataFrame, longest: int, buckets: int) -> DataFrame:
                         break
                     g = shingle_hashes(h, n)[ok]
                     at_chunk = of[: len(ok)][ok]
-                    parts.append((g, freq[at_chunk], np.full(len(g), n, np.uint8), place[: len(ok)][ok], key[at_chunk]))
+                    parts.append((g, freq[at_chunk], place[: len(ok)][ok] * longest + (n - 1), key[at_chunk]))
                     held += len(g)
                 if held >= most:
                     parts = [_summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
@@ -163,22 +182,22 @@ def _counted(dictionary: DataFrame, longest: int, buckets: int) -> DataFrame:
                         parts, held = [], 0
         yield from flush(parts)
 
-    return dictionary.select("lang", "chunk", "freq", "key").mapInArrow(run, "bucket int, hashes binary, counts binary, sizes binary, places binary, chunks binary")
+    return dictionary.select("lang", "chunk", "freq", "key").mapInArrow(run, "bucket int, packed binary")
 
 
 _FREQUENT = pa.schema([("h", pa.int64()), ("f", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("key", pa.int64())])
 
 
-def _frequent(messages: DataFrame, parts: int, least: int) -> DataFrame:
+def _frequent(messages: DataFrame, parts: int, longest: int, least: int) -> DataFrame:
     """``h, f, n, place, key`` of the phrases that occur ``least`` times or more."""
     most = HELD
 
     def out(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        h, f, n, place, key = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        h, f, place, key = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
         ok = f >= least
-        yield pa.RecordBatch.from_arrays([pa.array(h[ok].view(np.int64)), pa.array(f[ok]), pa.array(n[ok].astype(np.int32)), pa.array(place[ok]), pa.array(key[ok])], schema=_FREQUENT)
+        yield pa.RecordBatch.from_arrays([pa.array(h[ok].view(np.int64)), pa.array(f[ok]), pa.array(place[ok] % longest + 1), pa.array(place[ok] // longest), pa.array(key[ok])], schema=_FREQUENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, size, limit = None, [], 0, most
@@ -187,9 +206,8 @@ def _frequent(messages: DataFrame, parts: int, least: int) -> DataFrame:
                 if row["bucket"] != now:
                     yield from out(held)
                     now, held, size, limit = row["bucket"], [], 0, most
-                h = _unplanes(row["hashes"], np.uint64)
-                held.append((h, _unplanes(row["counts"], np.int64), np.frombuffer(row["sizes"], np.uint8), _unplanes(row["places"], np.int32), _unplanes(row["chunks"], np.int64)))
-                size += len(h)
+                held.append(_unpacked(row["packed"]))
+                size += len(held[-1][0])
                 if size > limit:
                     held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
                     size = len(held[0][0])
@@ -241,11 +259,11 @@ def collocations(spark: SparkSession, docs: DataFrame, longest: int = 3, least:
     scratch = Scratch(spark, "collocations")
     run = longest - 1
     dictionary = _parsed(docs, run).groupBy("lang", "chunk").agg(F.first("owned").alias("owned"), F.sum("freq").alias("freq"))
-    dictionary = scratch.table(dictionary.withColumn("key", F.xxhash64("lang", "chunk")), "dictionary")
+    dictionary = scratch.table(dictionary.withColumn("key", F.monotonically_increasing_id()), "dictionary", compression="zstd")
     words = scratch.table(dictionary.groupBy("lang").agg(F.sum(F.col("owned") * F.col("freq")).alias("n"), F.sum("owned").alias("distinct")), "words")
     every, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     parts = max(32, -(-int(distinct) * longest // (2 * BUCKET)))
-    counts = scratch.table(_frequent(_counted(dictionary, longest, 2 * parts), parts, least), "counts")
+    counts = scratch.table(_frequent(_counted(dictionary, longest, 2 * parts), parts, longest, least), "counts")
     at = counts.filter("n > 1").withColumnRenamed("key", "of")
     found = at.join(dictionary.select("key", "lang", "chunk"), F.col("of") == F.col("key"))
     phrases = scratch.table(_spelled(found, longest), "phrases")

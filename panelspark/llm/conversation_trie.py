@@ -48,7 +48,8 @@ def prefix_steps(scratch: Scratch, turns: DataFrame, base: Column | None = None,
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     h = [F.xxhash64(F.lit(i), text("role"), text("text")).alias(f"h{i}") for i in (1, 2)]
     rows = turns.filter("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), *h, F.octet_length(text("text")).cast("long").alias("bytes"))
-    rows = with_blocks(rows, "conv", "turn", scratch)
+    cut = with_blocks(rows, "conv", "turn", scratch)
+    rows = rows.withColumn("_block", F.lit(0)) if cut is None else cut
     rows = scratch.table(with_index(rows, "conv", ["turn", "h1", "h2"], scratch), "turns")
     convs = rows.groupBy("conv", "_block").agg(F.first("_rows").alias("own"))
     if base is None:
