@@ -2,10 +2,12 @@
 
 A merge at average distance below the threshold needs a pair below it, so every cluster lies within
 a connected component of the graph of such pairs, and clustering component by component is exact.
+Pairs, components and clusters go by one distance, with all penalties of ``ClusterConfig``.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import let
 from ..scratch import Scratch
 from .components import connected_components
+from .neighbours import close_pairs
 
 
 #: Messages of a window that one task compares with as many others.
@@ -68,7 +71,8 @@ def _penalised(cfg: ClusterConfig) -> Column:
     same = F.col("channel_a") == F.col("channel_b")
     d = F.least(F.lit(1.0), F.col("raw") * F.when(same, cfg.same_channel).otherwise(1.0))
     if cfg.image_bonus:
-        bonus = (F.least("images_a", "images_b") >= 1) & (F.greatest("images_a", "images_b") <= 2) & (F.col("group_a") == F.col("group_b"))
+        images = [F.coalesce(f"images_{s}", F.lit(0)) for s in "ab"]
+        bonus = (F.least(*images) >= 1) & (F.greatest(*images) <= 2) & (F.col("group_a") == F.col("group_b"))
         d = F.when(bonus & ~(same if cfg.channel_skips_time else F.lit(False)), F.greatest(F.lit(0.0), d * (1 - cfg.image_bonus))).otherwise(d)
     if cfg.time_modifier > 1:
         hours = F.abs(F.unix_micros("at_a") - F.unix_micros("at_b")) / F.lit(3.6e9) - cfg.shift_hours
@@ -82,83 +86,179 @@ def _penalised(cfg: ClusterConfig) -> Column:
     return d
 
 
+def _bound(cfg: ClusterConfig, below: float) -> float:
+    """The cosine distance that a pair of penalised distance under ``below`` stays under."""
+    return below / ((1 - cfg.image_bonus) * min(1.0, cfg.same_channel)) if below <= 1 and cfg.image_bonus < 1 and cfg.same_channel > 0 else np.inf
+
+
+_META = {"datetime": "at", "channel_name": "channel", "topic": "topic", "n_images": "images", "image_group": "group"}
+
+
+def _meta(df: DataFrame, s: str) -> list[Column]:
+    return [F.col(c).alias(f"{n}_{s}") for c, n in _META.items() if c in df.columns]
+
+
 def pair_distances(df: DataFrame, cfg: ClusterConfig = ClusterConfig(), below: float | None = None) -> DataFrame:
     """``window, a, b, distance`` of pairs of ``df(window, id, datetime, channel_name, embedding)``.
 
-    Only pairs with distance under ``below`` where given. A window is dealt into tiles of about
-    ``TILE`` messages, and every two tiles meet in a task of their own, so a crowded day is compared
-    by as many tasks as it has pairs of tiles. Penalties never shrink a distance (but for the image
-    bonus, which needs the columns ``n_images, image_group``), so the raw cosine is compared first.
+    Only pairs with distance under ``below`` where given: candidates then come from a metric index,
+    which misses none (see ``neighbours``), since penalties never shrink a distance by more than a
+    known factor. Without ``below`` the result is all pairs of a window; it is dealt into tiles of
+    about ``TILE`` messages, and every two tiles meet in a task of their own. Exempt topics need the
+    column ``topic``, the image bonus ``n_images, image_group``.
     """
+    if below is not None and _bound(cfg, below) < 2:
+        scratch = Scratch(df.sparkSession, "pairs")
+        rows = df.withColumn("_v", unit(F.col("embedding"))).filter("_v IS NOT NULL")
+        raw = close_pairs(rows.select("window", "id", F.col("_v").alias("v")), _bound(cfg, below), scratch)
+        side = lambda s: rows.select(F.col("window"), F.col("id").alias(s), *_meta(df, s))
+        pairs = raw.join(side("a"), ["window", "a"]).join(side("b"), ["window", "b"])
+        return pairs.withColumn("distance", _penalised(cfg)).filter(F.col("distance") < below).select("window", "a", "b", "distance")
     tiles = df.groupBy(F.col("window").alias("_of")).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("_tiles"))
     df = df.join(tiles, F.col("window") == F.col("_of")).withColumn("_tile", F.pmod(F.xxhash64("id"), F.col("_tiles")).cast("int"))
-    extra = [c for c in ("topic", "n_images", "image_group") if c in df.columns]
-    names = {"topic": "topic", "n_images": "images", "image_group": "group"}
-    side = lambda s: df.select(F.col("window"), F.col("id").alias(s), F.col("datetime").alias(f"at_{s}"), F.col("channel_name").alias(f"channel_{s}"), unit(F.col("embedding")).alias(f"v_{s}"), *[F.col(c).alias(f"{names[c]}_{s}") for c in extra], "_tile", "_tiles")
+    side = lambda s: df.select(F.col("window"), F.col("id").alias(s), unit(F.col("embedding")).alias(f"v_{s}"), *_meta(df, s), "_tile", "_tiles")
     left = side("a").select("*", F.col("_tile").alias("_u"), F.explode(F.sequence(F.col("_tile"), F.col("_tiles") - 1)).alias("_v")).drop("_tile", "_tiles")
     right = side("b").select("*", F.col("_tile").alias("_v"), F.explode(F.sequence(F.lit(0), F.col("_tile"))).alias("_u")).drop("_tile", "_tiles")
     pairs = left.join(right, ["window", "_u", "_v"]).filter("_u < _v or a < b").withColumn("raw", 1 - dot(F.col("v_a"), F.col("v_b")))
-    if below is not None and not cfg.image_bonus:
-        pairs = pairs.filter(F.col("raw") < below)
     pairs = pairs.withColumn("distance", _penalised(cfg)).select("window", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
     return pairs if below is None else pairs.filter(F.col("distance") < below)
 
 
-def average_linkage(n: int, distance: np.ndarray, threshold: float) -> np.ndarray:
-    """Labels of n points when the closest clusters merge while their mean distance is below the threshold."""
-    d = distance.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    size, label, alive = np.ones(n), np.arange(n), np.ones(n, bool)
-    while True:
-        i, j = divmod(int(np.argmin(d)), n)
-        if not d[i, j] < threshold:
-            return label
-        i, j = min(i, j), max(i, j)
-        merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = merged, merged
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        d[~alive] = np.inf
-        size[i] += size[j]
-        alive[j] = False
-        label[label == label[j]] = label[i]
-
-
-def _distances(pdf: pd.DataFrame, cfg: ClusterConfig) -> np.ndarray:
-    v = np.array(pdf["embedding"].tolist(), float)
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    d = 1 - v @ v.T
-    channel = pdf["channel_name"].to_numpy()
-    d = np.minimum(1.0, d * np.where(channel[:, None] == channel[None, :], cfg.same_channel, 1.0))
-    if cfg.time_modifier > 1:
-        t = pdf["datetime"].to_numpy("datetime64[us]").astype("int64") / 3.6e9
-        d = np.minimum(1.0, d * (1 + (cfg.time_modifier - 1) / (1 + np.exp(-(np.abs(t[:, None] - t[None, :]) - cfg.shift_hours)))))
-    return d
+def _mean_distance(cfg: ClusterConfig, va: np.ndarray, vb: np.ndarray, a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> tuple[float, float]:
+    """Mean and least penalised distance of the pairs between two sets of weighted messages.
+
+    ``va`` and ``vb`` are the vectors of the messages; the columns of ``_META`` and ``n`` are in the
+    dictionaries.
+    """
+    total, least = 0.0, np.inf
+    for lo in range(0, len(va), 256):
+        x = {c: y[lo : lo + 256, None] for c, y in a.items()}
+        d = 1 - va[lo : lo + 256] @ vb.T
+        same = x["channel_name"] == b["channel_name"][None, :]
+        d = np.minimum(1.0, d * np.where(same, cfg.same_channel, 1.0))
+        if cfg.image_bonus:
+            few, many = np.minimum(x["n_images"], b["n_images"][None, :]), np.maximum(x["n_images"], b["n_images"][None, :])
+            bonus = (few >= 1) & (many <= 2) & (x["image_group"] == b["image_group"][None, :])
+            d = np.where(bonus & ~(same & cfg.channel_skips_time), np.maximum(0.0, d * (1 - cfg.image_bonus)), d)
+        if cfg.time_modifier > 1:
+            hours = np.abs(x["datetime"] - b["datetime"][None, :]) / 3.6e9 - cfg.shift_hours
+            late = np.minimum(1.0, d * (1 + (cfg.time_modifier - 1) / (1 + np.exp(-hours))))
+            spared = (same & cfg.channel_skips_time) | (x["topic"] & b["topic"][None, :])
+            d = np.where(spared, d, late)
+        least = min(least, float(d.min()))
+        total += float((d * x["n"] * b["n"][None, :]).sum())
+    return total / (a["n"].sum() * b["n"].sum()), least
+
+
+def link_points(vectors: np.ndarray, messages: dict[str, np.ndarray], bound: float, cfg: ClusterConfig) -> np.ndarray:
+    """Labels of points when the clusters of least mean distance merge while it is under the threshold.
+
+    ``messages["point"]`` says which of ``vectors`` a message has. Only distances between clusters
+    with a pair of messages under the threshold are kept, as others can't merge; what a merged
+    cluster still needs is computed then. No table of all pairs exists.
+    """
+    order = np.argsort(messages["point"], kind="stable")
+    messages = {c: x[order] for c, x in messages.items()}
+    v = vectors[messages["point"]]
+    starts = np.searchsorted(messages["point"], np.arange(len(vectors) + 1))
+    members = {i: [np.arange(starts[i], starts[i + 1])] for i in range(len(vectors))}
+    weight = {i: messages["n"][starts[i] : starts[i + 1]].sum() for i in members}
+
+    def measured(a: int, b: int) -> tuple[float, float]:
+        x, y = np.concatenate(members[a]), np.concatenate(members[b])
+        return _mean_distance(cfg, v[x], v[y], {c: m[x] for c, m in messages.items()}, {c: m[y] for c, m in messages.items()})
+
+    near: dict[int, dict[int, float]] = {i: {} for i in members}
+    heap: list[tuple[float, int, int]] = []
+
+    def note(a: int, b: int, d: float) -> None:
+        near[a][b] = near[b][a] = d
+        if d < cfg.threshold:
+            heapq.heappush(heap, (d, min(a, b), max(a, b)))
+
+    for lo in range(0, len(vectors), 256):
+        for x, y in np.argwhere(1 - vectors[lo : lo + 256] @ vectors.T < bound):
+            if lo + x < y:
+                mean, least = measured(int(lo + x), int(y))
+                if least < cfg.threshold:
+                    note(int(lo + x), int(y), mean)
+    label = np.arange(len(vectors))
+    points = {i: [i] for i in members}
+    fresh = len(vectors)
+    while heap:
+        _, a, b = heapq.heappop(heap)
+        if a not in near or b not in near:
+            continue
+        others = (near[a].keys() | near[b].keys()) - {a, b}
+        means = {c: (weight[a] * (near[a][c] if c in near[a] else measured(a, c)[0]) + weight[b] * (near[b][c] if c in near[b] else measured(b, c)[0])) / (weight[a] + weight[b]) for c in others}
+        for old in (a, b):
+            for c in near.pop(old):
+                if c in near:
+                    near[c].pop(old, None)
+        near[fresh] = {}
+        members[fresh], points[fresh], weight[fresh] = members.pop(a) + members.pop(b), points.pop(a) + points.pop(b), weight.pop(a) + weight.pop(b)
+        for c, d in means.items():
+            note(fresh, c, d)
+        fresh += 1
+    for some in points.values():
+        label[some] = min(some)
+    return label
 
 
 def cluster_windows(spark: SparkSession, df: DataFrame, cfg: ClusterConfig = ClusterConfig()) -> DataFrame:
     """``window, id, cluster`` for messages of windows with enough of them; cluster is its smallest id.
 
-    ``df(window, id, datetime, channel_name, embedding)``: ids are distinct within a window and rows
-    without a vector are left out. Messages without a close partner are clusters of their own.
+    ``df(window, id, datetime, channel_name, embedding)``, with ``topic`` for exempt topics and
+    ``n_images, image_group`` for the image bonus: ids are distinct within a window and rows without a
+    vector are left out. Messages without a close partner are clusters of their own.
+
+    Messages of equal vectors are at distance 0 under all penalties, so they are one weighted point.
+    Points without another one in reach need no task; the points of a component are linked in one,
+    with the messages of a point counted by time and channel.
     """
+    if cfg.threshold <= 0:
+        raise ValueError("the threshold has to be positive")
     scratch = Scratch(spark, "clusters")
-    rows = df.filter(unit(F.col("embedding")).isNotNull())
+    given = [c for c in _META if c in df.columns]
+    rows = df.select("window", "id", *given, unit(F.col("embedding")).alias("v")).filter("v IS NOT NULL")
     full = rows.groupBy("window").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= cfg.min_docs).select("window")
-    rows = scratch.table(rows.join(full, "window", "left_semi"), "rows")
-    close = pair_distances(rows, cfg, cfg.threshold)
+    rows = scratch.table(rows.join(full, "window", "left_semi").withColumn("h", F.xxhash64("v")), "rows")
+    points = scratch.table(rows.groupBy("window", "h", "v").agg(F.min("id").alias("id")), "points")
+    of = rows.join(points.select("window", "h", F.col("v").alias("pv"), F.col("id").alias("point")), ["window", "h"]).filter("v = pv").drop("pv", "h", "v")
+    of = scratch.table(of, "messages")
+    bound = min(_bound(cfg, cfg.threshold), 2.1)
+    close = close_pairs(points.select("window", "id", "v"), bound, scratch)
     node = lambda c: F.concat_ws("/", F.col("window").cast("string"), F.lpad(F.col(c).cast("string"), 20, "0"))
-    roots = connected_components(scratch.table(close.select(node("a").alias("a"), node("b").alias("b")), "close"), scratch)
-    tied = rows.join(roots, node("id") == F.col("node"), "left")
+    close = scratch.table(close.select("window", "a", "b", "raw"), "close")
+    single = of.groupBy("window", "point").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in given])
+    side = lambda s: single.select("window", F.col("point").alias(s), F.col("n").alias(f"n_{s}"), *_meta(single, s))
+    tied = close.join(side("a"), ["window", "a"]).join(side("b"), ["window", "b"]).filter((F.col("n_a") > 1) | (F.col("n_b") > 1) | (_penalised(cfg) < cfg.threshold))
+    roots = connected_components(scratch.table(tied.select(node("a").alias("a"), node("b").alias("b")), "tied"), scratch)
+    held = points.join(roots, node("id") == F.col("node")).select("root", F.col("window").alias("w"), F.col("id").alias("p"), "v")
+    counted = of.groupBy("window", "point", *given).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    counted = counted.join(held.drop("v"), (F.col("window") == F.col("w")) & (F.col("point") == F.col("p"))).drop("w", "p")
+    first = held.select("root", F.col("w").alias("window"), F.col("p").alias("point"), "v", F.lit(0).cast("long").alias("n"))
+    parts = counted.withColumn("v", F.lit(None).cast("array<double>")).select("root", "window", "point", "v", "n", *given)
+    parts = parts.unionByName(first, allowMissingColumns=True)
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        label = average_linkage(len(pdf), _distances(pdf, cfg), cfg.threshold)
-        return pd.DataFrame({"window": pdf["window"], "id": pdf["id"], "cluster": pdf["id"].to_numpy()[label]})
-
-    linked = tied.filter("root IS NOT NULL").select("root", "window", "id", "datetime", "channel_name", "embedding").groupBy("root").applyInPandas(link, "window date, id long, cluster long")
-    alone = tied.filter("root IS NULL").select("window", "id", F.col("id").alias("cluster"))
-    return linked.unionByName(alone)
+        heads = pdf[pdf["n"] == 0].sort_values("point")
+        ids, rest = heads["point"].to_numpy(), pdf[pdf["n"] > 0]
+        codes = lambda c: pd.factorize(rest[c], use_na_sentinel=True)[0] if c in rest else np.full(len(rest), -1)
+        apart = lambda x: np.where(x < 0, -1 - np.arange(len(x)), x)
+        m = {"point": np.searchsorted(ids, rest["point"].to_numpy()), "n": rest["n"].to_numpy(float), "channel_name": codes("channel_name"), "image_group": codes("image_group")}
+        m["datetime"] = rest["datetime"].to_numpy("datetime64[us]").astype("int64").astype(float)
+        m["n_images"] = rest["n_images"].fillna(0).to_numpy() if "n_images" in rest else np.zeros(len(rest))
+        m["topic"] = rest["topic"].isin(cfg.exempt_topics).to_numpy() if "topic" in rest else np.zeros(len(rest), bool)
+        for c in ("channel_name", "image_group"):
+            m[c] = apart(m[c])
+        label = link_points(np.array(heads["v"].tolist(), float), m, bound, cfg)
+        return pd.DataFrame({"window": heads["window"], "point": ids, "cluster": ids[label]})
+
+    window = df.schema["window"].dataType.simpleString()
+    linked = parts.groupBy("root").applyInPandas(link, f"window {window}, point long, cluster long")
+    linked = scratch.table(linked, "linked")
+    return of.join(linked, ["window", "point"], "left").select("window", "id", F.coalesce("cluster", "point").alias("cluster"))
 
 
 def cluster_records(members: DataFrame) -> DataFrame:

@@ -61,35 +61,81 @@ def test_asof_and_columns(spark):
     assert sc.effective_end_date(dt.datetime(2024, 1, 2, 19), inclusive=True) == d("2024-01-02")
 
 
+def average_linkage(distance, threshold):
+    """Smallest member of every point's cluster, by the plain method on the whole matrix."""
+    groups = [[i] for i in range(len(distance))]
+    while True:
+        best = min(((distance[np.ix_(a, b)].mean(), x, y) for x, a in enumerate(groups) for y, b in enumerate(groups) if x < y), default=(9, 0, 0))
+        if best[0] >= threshold:
+            return {i: min(g) for g in groups for i in g}
+        groups[best[1]] += groups.pop(best[2])
+
+
 def dense_clusters(rows, cfg):
-    """Average linkage by repeated search over all pairs of clusters."""
-    ids = [r[0] for r in rows]
-    v = np.array([r[3] for r in rows], float)
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v = np.array([r[3] for r in rows])
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
     dist = 1 - v @ v.T
     for i, a in enumerate(rows):
         for j, b in enumerate(rows):
-            x = min(1.0, dist[i, j] * (cfg.same_channel if a[2] == b[2] else 1))
+            same, x = a[2] == b[2], min(1.0, dist[i, j] * (cfg.same_channel if a[2] == b[2] else 1))
+            if cfg.image_bonus and min(a[5], b[5]) >= 1 and max(a[5], b[5]) <= 2 and a[6] == b[6] and not (same and cfg.channel_skips_time):
+                x = max(0.0, x * (1 - cfg.image_bonus))
             hours = abs((a[1] - b[1]).total_seconds()) / 3600 - cfg.shift_hours
-            dist[i, j] = min(1.0, x * (1 + (cfg.time_modifier - 1) / (1 + np.exp(-hours))))
-    groups = [[i] for i in range(len(rows))]
-    while True:
-        best = min(((dist[np.ix_(a, b)].mean(), x, y) for x, a in enumerate(groups) for y, b in enumerate(groups) if x < y), default=(9, 0, 0))
-        if best[0] >= cfg.threshold:
-            return {ids[i]: ids[min(g)] for g in groups for i in g}
-        groups[best[1]] += groups.pop(best[2])
+            spared = (cfg.channel_skips_time and same) or (a[4] in cfg.exempt_topics and b[4] in cfg.exempt_topics)
+            dist[i, j] = x if spared else min(1.0, x * (1 + (cfg.time_modifier - 1) / (1 + np.exp(-hours))))
+    return {rows[i][0]: rows[g][0] for i, g in average_linkage(dist, cfg.threshold).items()}
+
+
+MESSAGES = "id long, datetime timestamp, channel_name string, embedding array<double>, topic string, n_images int, image_group int"
+VARIANTS = [{}, {"channel_skips_time": True}, {"exempt_topics": ("tech", "oil")}, {"image_bonus": 0.6}, {"image_bonus": 0.4, "channel_skips_time": True, "exempt_topics": ("tech",)}]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_clusters_equal_dense_average_linkage(spark, seed):
-    rng = np.random.default_rng(seed)
+@pytest.mark.parametrize("variant", VARIANTS)
+def test_clusters_equal_dense_average_linkage(spark, variant):
+    rng = np.random.default_rng(len(str(variant)))
     centres = rng.normal(size=(6, 8))
-    cfg = cl.ClusterConfig(threshold=0.15)
-    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=int(rng.integers(0, 1440))), str(rng.integers(0, 3)), (centres[i % 6] + rng.normal(size=8) * 0.35).tolist()) for i in range(40)]
-    few = [(100 + i, dt.datetime(2024, 1, 5, i), "x", centres[0].tolist()) for i in range(4)]
-    df = spark.createDataFrame(rows + few, "id long, datetime timestamp, channel_name string, embedding array<double>")
+    cfg = cl.ClusterConfig(threshold=0.2, same_channel=3.0, **variant)
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=int(rng.integers(0, 1440))), str(rng.integers(0, 3)), (centres[i % 6] + rng.normal(size=8) * 0.4).tolist(), str(rng.choice(["tech", "oil", "x"])), int(rng.integers(0, 4)), int(rng.integers(0, 2))) for i in range(40)]
+    rows += [(60 + i, *rows[i % 4][1:2], str(i % 3), rows[i % 4][3], "x", 1, 0) for i in range(12)]
+    few = [(100 + i, dt.datetime(2024, 1, 5, i), "x", centres[0].tolist(), "x", 0, 0) for i in range(4)]
+    df = spark.createDataFrame(rows + few, MESSAGES)
     got = {r["id"]: r["cluster"] for r in cl.cluster_windows(spark, cl.assign_windows(df), cfg).collect()}
-    assert got == dense_clusters(rows, cfg)
+    want = dense_clusters(rows, cfg)
+    assert len(set(want.values())) < len(want) - 8 and got == want
+
+
+def test_messages_of_one_channel_far_apart_cluster_as_their_pair_says(spark):
+    cfg = cl.ClusterConfig(threshold=0.2, channel_skips_time=True, min_docs=2)
+    rows = [(1, dt.datetime(2024, 1, 1), "a", [1.0, 0.0], "x", 0, 0), (2, dt.datetime(2024, 1, 1, 20), "a", [1.0, 0.2], "x", 0, 0)]
+    df = cl.assign_windows(spark.createDataFrame(rows, MESSAGES))
+    assert cl.pair_distances(df, cfg, 0.2).count() == 1
+    assert {r["cluster"] for r in cl.cluster_windows(spark, df, cfg).collect()} == {1}
+
+
+def test_many_copies_in_one_window_are_one_point(spark):
+    df = spark.range(50_000).selectExpr("id", "timestamp_seconds(1704067200 + id) AS datetime", "cast(id % 7 AS string) AS channel_name", "array(1.0D, 2.0D) AS embedding", "DATE'2024-01-01' AS window")
+    near = spark.createDataFrame([(60_000 + i, dt.datetime(2024, 1, 1, 6), f"n{i}", [1.0, 2.0 + i / 50], dt.date(2024, 1, 1)) for i in range(3)] + [(70_000, dt.datetime(2024, 1, 1), "z", [-1.0, 0.0], dt.date(2024, 1, 1))], "id long, datetime timestamp, channel_name string, embedding array<double>, window date")
+    got = cl.cluster_windows(spark, df.unionByName(near))
+    assert {r["cluster"]: r["count"] for r in got.groupBy("cluster").count().collect()} == {0: 50_003, 70_000: 1}
+
+
+@pytest.mark.parametrize("bound", [0.02, 0.1, 0.4])
+def test_close_pairs_are_all_there(spark, monkeypatch, bound):
+    from panelspark.operators import neighbours
+    from panelspark.scratch import Scratch
+
+    monkeypatch.setattr(neighbours, "TILE", 60)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 16))
+    v = np.vstack([centres[i % 30] + rng.normal(size=16) * 0.15 for i in range(600)] + [rng.normal(size=(40, 16))])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    points = spark.createDataFrame([(dt.date(2024, 1, 1 + i % 2), i, v[i].tolist()) for i in range(len(v))], "window date, id long, v array<double>").repartition(5)
+    scratch = Scratch(spark, "test")
+    got = {(r["a"], r["b"]) for r in neighbours.close_pairs(points, bound, scratch).collect()}
+    raw = 1 - v @ v.T
+    assert got == {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if i % 2 == j % 2 and raw[i, j] < bound}
+    compared = neighbours.comparisons(neighbours.cells(points, bound, scratch))
+    assert compared < 2 * 320 * 319 / 2 * (0.3 if bound < 0.05 else 0.7 if bound < 0.2 else 1.01)
 
 
 def test_image_bonus_and_topics(spark):
@@ -134,7 +180,7 @@ def test_tiles_and_image_groups_equal_all_pairs(spark, monkeypatch):
     images = spark.createDataFrame([(i // 2, i % 2, [float(x) for x in v[i]]) for i in range(len(v))], "id long, position int, embedding array<double>")
     got = {r["id"]: r["image_group"] for r in cl.image_groups(spark, images, 0.05).collect()}
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
-    label = cl.average_linkage(len(v), 1 - u @ u.T, 0.05)
+    label = average_linkage(1 - u @ u.T, 0.05)
     assert all((got[i] == got[j]) == (label[2 * i + 1] == label[2 * j + 1]) for i, j in itertools.combinations(range(len(v) // 2), 2))
 
 
