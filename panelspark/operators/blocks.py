@@ -12,6 +12,8 @@ from ..scratch import Scratch
 
 #: Rows of a block about, and blocks of a key at most.
 BLOCK_ROWS, MOST_BLOCKS = 1_000_000, 512
+#: Rows of a block of a laid-out table.
+LAID_ROWS = 4096
 
 
 def with_blocks(df: DataFrame, key: str, order: str, scratch: Scratch, rows: int | None = None, name: str = "_block") -> DataFrame | None:
@@ -67,12 +69,12 @@ def block_rows(df: DataFrame) -> int | None:
 
 
 def lay_out(df: DataFrame, key: str = "secid", order: str = "date") -> DataFrame:
-    """Add ``LAID``: rows of each key in ``order`` (distinct within a key), cut every ``BLOCK_ROWS`` rows.
+    """Add ``LAID``: rows of each key in ``order`` (distinct within a key), cut every ``LAID_ROWS`` rows.
 
     Rows of a block meet in one task; a longer key has several. Where no key is longer, one shuffle by
     key serves all that follows. A null key is a key; an empty table stays empty.
     """
-    scratch, rows = Scratch(df.sparkSession, "blocks"), BLOCK_ROWS
+    scratch, rows = Scratch(df.sparkSession, "blocks"), LAID_ROWS
     df = df.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
     cut = with_blocks(df, "_key", order, scratch, rows, "_cut")
     if cut is None:

@@ -7,7 +7,9 @@ blocks of a key pass their results on, and every row finishes with what came in.
 is spread over tasks, and nothing leaves the JVM.
 
 Within a run, ``A`` is a running product and ``B / A`` a running sum, both plain windows. A run has so
-few rows that the product can't get under ``exp(-RANGE)``.
+few rows that the product can't get under ``exp(-RANGE)``. Where every key is one block, the few runs
+of a key meet in a window, and all means of a table are one pass over it; where keys have several
+blocks, the rows are written once, as both the runs and the means are read from them.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import LAID, block_rows, in_block, lay_out
+from ..scratch import Scratch
+from .blocks import LAID, block_rows, lay_out
 
 #: Natural logarithm of the range of the running product, and rows of a run at most.
-RANGE, MOST_ROWS = 300.0, 4096
+RANGE, MOST_ROWS = 600.0, 4096
 
 
 def alpha_of(span: float) -> float:
@@ -56,16 +59,29 @@ class _Spec:
         return F.struct(run[f"if{self.of}"].alias("if"), run[f"xf{self.of}"].alias("xf"), run[f"il{self.of}"].alias("il"), run[f"A{self.i}"].alias("A"), run[f"B{self.i}"].alias("B"))
 
 
-def _incoming(runs: Column, spec: _Spec, y: Column, at: Column) -> Column:
-    """For each of ``runs`` in order, the mean that comes in and the row of its last value."""
-    kind = "struct<y:double,at:bigint,out:array<struct<y:double,at:bigint>>>"
-    start = F.struct(y.cast("double").alias("y"), at.cast("long").alias("at"), F.array().cast("array<struct<y:double,at:bigint>>").alias("out")).cast(kind)
+_STATE = "struct<y:double,at:bigint>"
 
-    def follow(acc: Column, run: Column) -> Column:
-        now = F.struct(acc["y"].alias("y"), acc["at"].alias("at"))
-        return F.struct(spec.after(run, acc["y"], acc["at"]).alias("y"), F.coalesce(run[f"il{spec.of}"], acc["at"]).alias("at"), F.concat(acc["out"], F.array(now)).alias("out")).cast(kind)
 
-    return F.aggregate(runs, start, follow)["out"]
+def _follow(spec: _Spec, state: Column, run: Column) -> Column:
+    """The mean after ``run`` and the row of its last value."""
+    return F.struct(spec.after(run, state["y"], state["at"]).alias("y"), F.coalesce(run[f"il{spec.of}"], state["at"]).alias("at")).cast(_STATE)
+
+
+def _start(y: Column | None, at: Column | None) -> Column:
+    return F.struct((F.lit(None) if y is None else y).alias("y"), (F.lit(None) if at is None else at).alias("at")).cast(_STATE)
+
+
+def _outgoing(runs: Column, spec: _Spec) -> Column:
+    """What goes out of ``runs`` in order."""
+    return F.aggregate(runs, _start(None, None), lambda state, run: _follow(spec, state, run))
+
+
+def _incoming(runs: Column, spec: _Spec, y: Column | None = None, at: Column | None = None) -> Column:
+    """For each of ``runs`` in order, what comes in."""
+    kind = f"struct<s:{_STATE},out:array<{_STATE}>>"
+    start = F.struct(_start(y, at).alias("s"), F.array().cast(f"array<{_STATE}>").alias("out")).cast(kind)
+    step = lambda acc, run: F.struct(_follow(spec, acc["s"], run).alias("s"), F.concat(acc["out"], F.array(acc["s"])).alias("out")).cast(kind)
+    return F.aggregate(runs, start, step)["out"]
 
 
 def _whole(spec: _Spec) -> Column:
@@ -104,23 +120,29 @@ def ewm(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "secid",
     a = {s.i: F.lit(0.0) if s.plain else F.exp(f"_l{s.i}") for s in each}
     b = {s.i: F.col(f"_xl{s.of}") if s.plain else a[s.i] * F.col(f"_s{s.i}") for s in each}
     run = F.struct("_run", *[F.col(f"_{n}{j}").alias(f"{n}{j}") for j in range(len(columns)) for n in ("if", "xf", "il")], *[a[s.i].alias(f"A{s.i}") for s in each], *[b[s.i].alias(f"B{s.i}") for s in each])
-    runs = out.filter("_last").groupBy(F.col("_key").alias("_of"), F.col("_block").alias("_at")).agg(F.array_sort(F.collect_list(run)).alias("_runs"))
-    if size is not None:
-        whole = [_whole(s) for s in each]
-        blocks = runs.select("_of", F.struct("_at", *[m[n].alias(f"{n}{s.i}") for s, m in zip(each, whole, strict=True) for n in ("if", "xf", "il", "A", "B")]).alias("m"))
+    if size is None:
+        whole = Window.partitionBy("_key", "_block")
+        out = out.withColumn("_runs", F.array_sort(F.collect_list(F.when(F.col("_last"), run)).over(whole)))
+        seen = F.slice("_runs", F.lit(1), F.col("_run"))
+        out = out.withColumns({f"_c{s.i}": F.when(F.col("_run") > 0, _outgoing(seen, s)) for s in each})
+    else:
+        scratch = Scratch(df.sparkSession, "scan")
+        out = scratch.table(out, "rows")
+        runs = out.filter("_last").groupBy(F.col("_key").alias("_of"), F.col("_block").alias("_at")).agg(F.array_sort(F.collect_list(run)).alias("_runs"))
+        runs = scratch.table(runs, "runs")
+        maps = [_whole(s) for s in each]
+        blocks = runs.select("_of", F.struct("_at", *[m[n].alias(f"{n}{s.i}") for s, m in zip(each, maps, strict=True) for n in ("if", "xf", "il", "A", "B")]).alias("m"))
         blocks = blocks.groupBy("_of").agg(F.array_sort(F.collect_list("m")).alias("_runs"))
         own = [_Spec(s.i, s.i, s.alpha) for s in each]
-        came = blocks.select("_of", F.transform("_runs", lambda r: r["_at"]).alias("_ats"), *[_incoming(F.col("_runs"), s, F.lit(None), F.lit(None)).alias(f"c{s.i}") for s in own])
+        came = blocks.select("_of", F.transform("_runs", lambda r: r["_at"]).alias("_ats"), *[_incoming(F.col("_runs"), s).alias(f"c{s.i}") for s in own])
         came = came.select("_of", F.explode(F.arrays_zip("_ats", *[f"c{s.i}" for s in each])).alias("z")).select(F.col("_of").alias("_k"), F.col("z._ats").alias("_b"), *[F.col(f"z.c{s.i}").alias(f"_c{s.i}") for s in each])
-        runs = runs.join(came, (F.col("_of") == F.col("_k")) & (F.col("_at") == F.col("_b"))).drop("_k", "_b")
+        runs = runs.join(came, (F.col("_of") == F.col("_k")) & (F.col("_at") == F.col("_b")))
         carried = [_incoming(F.col("_runs"), s, F.col(f"_c{s.i}")["y"], F.col(f"_c{s.i}")["at"]).alias(f"_c{s.i}") for s in each]
-    else:
-        carried = [_incoming(F.col("_runs"), s, F.lit(None), F.lit(None)).alias(f"_c{s.i}") for s in each]
-    came = runs.select("_of", "_at", *carried)
-    out = out.join(came, (F.col("_key") == F.col("_of")) & (F.col("_block") == F.col("_at")))
+        out = out.join(runs.select("_of", "_at", *carried), (F.col("_key") == F.col("_of")) & (F.col("_block") == F.col("_at")))
+        out = out.withColumns({f"_c{s.i}": F.get(f"_c{s.i}", F.col("_run")) for s in each})
 
     def mean(s: _Spec) -> Column:
-        came = F.get(f"_c{s.i}", F.col("_run"))
+        came = F.col(f"_c{s.i}")
         first = _step(s.d, s.alpha, came["y"], F.col(f"_if{s.of}") - came["at"], F.col(f"_xf{s.of}"))
         return F.when(F.col(f"_xf{s.of}").isNull(), came["y"]).otherwise(b[s.i] if s.plain else a[s.i] * first + b[s.i])
 

@@ -3,7 +3,6 @@ import random
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from panelspark.operators import blocks, scan
 from panelspark.operators import indicators as ind
@@ -21,8 +20,10 @@ def frame(spark, columns):
 @pytest.mark.parametrize("alpha,rows", [(0.5, None), (0.5, 70), (1 / 14, None), (1 / 14, 100), (2 / 201, None), (0.999, 13), (1.0, None), (1.0, 64)])
 def test_ewm_equals_pandas_with_gaps(spark, monkeypatch, alpha, rows):
     if rows:
-        monkeypatch.setattr(blocks, "BLOCK_ROWS", rows)
+        monkeypatch.setattr(blocks, "LAID_ROWS", rows)
         monkeypatch.setattr(scan, "MOST_ROWS", 9)
+    else:
+        monkeypatch.setattr(scan, "MOST_ROWS", 130)
     rng = random.Random(3)
     gaps = [None if rng.random() < 0.2 else rng.gauss(100, 5) for _ in range(1100)]
     gaps[:3] = [None] * 3
@@ -83,22 +84,16 @@ def test_indicators_of_long_tickers_in_blocks(spark, monkeypatch):
     df = bars(spark, rows).cache()
     sort = lambda d: d.toPandas().sort_values(["secid", "date"]).reset_index(drop=True)
     want = sort(ind.technical_features(df)), sort(ind.shifts(df, "close", 3)), sort(ind.sma_min1(df, ("close",)))
-    monkeypatch.setattr(blocks, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(blocks, "LAID_ROWS", 60)
     got = sort(ind.technical_features(df)), sort(ind.shifts(df, "close", 3)), sort(ind.sma_min1(df, ("close",)))
     for x, y in zip(got, want, strict=True):
         pd.testing.assert_frame_equal(x, y, rtol=1e-9)
 
 
-def test_a_long_ticker_is_spread_over_tasks(spark, monkeypatch):
-    monkeypatch.setattr(blocks, "BLOCK_ROWS", 2000)
+def test_a_long_ticker_is_spread_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "LAID_ROWS", 2000)
     df = spark.range(20000).selectExpr("'hot' AS secid", "date_add(DATE'1900-01-01', cast(id AS int)) AS date", "cast(id % 97 AS double) AS x")
-    spark.conf.set("spark.sql.shuffle.partitions", "16")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        out = ewm(df, {"y": ("x", 0.1)}).withColumn("task", F.spark_partition_id())
-        assert out.select("task").distinct().count() >= 4
-        last = out.orderBy(F.desc("date")).first()["y"]
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert last == pytest.approx(pd.Series([i % 97 for i in range(20000)], dtype=float).ewm(alpha=0.1, adjust=False).mean().iloc[-1])
+    laid = blocks.lay_out(df)
+    assert [r["count"] for r in laid.groupBy("_block").count().collect()] == [2000] * 10
+    last = ewm(laid, {"y": ("x", 0.1)}).filter("_index = 19999").first()
+    assert last["y"] == pytest.approx(pd.Series([i % 97 for i in range(20000)], dtype=float).ewm(alpha=0.1, adjust=False).mean().iloc[-1])
