@@ -58,9 +58,9 @@ def with_index(df: DataFrame, key: str, order: list, scratch: Scratch, name: str
 LAID = ("_key", "_index", "_block")
 
 
-def _blocks(c: Column, rows: int | None) -> Column:
-    """``_block`` with the rows of a block noted, or that all keys have one."""
-    return c.cast("long").alias("_block", metadata={"rows": rows})
+def _blocks(c: Column, rows: int | None, most: int) -> Column:
+    """``_block`` with the rows of a block noted, or that all keys have one, and the rows of the longest key."""
+    return c.cast("long").alias("_block", metadata={"rows": rows, "most": most})
 
 
 def block_rows(df: DataFrame) -> int | None:
@@ -68,6 +68,12 @@ def block_rows(df: DataFrame) -> int | None:
     return df.schema["_block"].metadata["rows"]
 
 
+def most_rows(df: DataFrame) -> int:
+    """Rows of the longest block of a laid-out table."""
+    noted = df.schema["_block"].metadata
+    return min(noted["most"], noted["rows"] or noted["most"])
+
+
 def lay_out(df: DataFrame, key: str = "secid", order: str = "date") -> DataFrame:
     """Add ``LAID``: rows of each key in ``order`` (distinct within a key), cut every ``LAID_ROWS`` rows.
 
@@ -76,12 +82,13 @@ def lay_out(df: DataFrame, key: str = "secid", order: str = "date") -> DataFrame
     """
     scratch, rows = Scratch(df.sparkSession, "blocks"), LAID_ROWS
     df = df.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
-    cut = with_blocks(df, "_key", order, scratch, rows, "_cut")
-    if cut is None:
+    most = df.groupBy("_key").count().agg(F.max("count")).first()[0] or 0
+    if most <= rows:
         place = F.row_number().over(Window.partitionBy("_key").orderBy(order)).cast("long") - 1
-        return df.withColumn("_index", place).select("*", _blocks(F.lit(0), None))
+        return df.withColumn("_index", place).select("*", _blocks(F.lit(0), None, most))
+    cut = with_blocks(df, "_key", order, scratch, rows, "_cut")
     placed = with_index(cut, "_key", [order], scratch, "_index", "_cut").drop("_cut", "_rows")
-    return placed.select("*", _blocks(F.floor(F.col("_index") / rows), rows))
+    return placed.select("*", _blocks(F.floor(F.col("_index") / rows), rows, most))
 
 
 def laid_out(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -111,7 +118,7 @@ def reaching(df: DataFrame, reach: int, add: Callable[[DataFrame], DataFrame]) -
         return add(df)
     to = F.explode(F.sequence(F.col("_block"), F.floor((F.col("_index") + reach) / rows).cast("long"))).alias("_to")
     copies = df.select("*", to).withColumn("_copy", F.col("_to") > F.col("_block"))
-    copies = copies.select(*[c for c in df.columns if c != "_block"], "_copy", _blocks(F.col("_to"), rows))
+    copies = copies.select(*[c for c in df.columns if c != "_block"], "_copy", _blocks(F.col("_to"), rows, most_rows(df)))
     return add(copies).filter(~F.col("_copy")).drop("_copy")
 
 

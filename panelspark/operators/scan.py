@@ -7,8 +7,8 @@ blocks of a key pass their results on, and every row finishes with what came in.
 is spread over tasks, and nothing leaves the JVM.
 
 Within a run, ``A`` is a running product and ``B / A`` a running sum, both plain windows. A run has so
-few rows that the product can't get under ``exp(-RANGE)``. Where every key is one block, the few runs
-of a key meet in a window, and all means of a table are one pass over it; where keys have several
+few rows that the product can't get under ``exp(-RANGE)``. Where every key is one run, that is all;
+where every key is one block, its few runs meet in a window, so all means are one pass over the rows; where keys have several
 blocks, the rows are written once, as both the runs and the means are read from them.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from .blocks import LAID, block_rows, lay_out
+from .blocks import LAID, block_rows, in_block, lay_out, most_rows
 
 #: Natural logarithm of the range of the running product, and rows of a run at most.
 RANGE, MOST_ROWS = 600.0, 4096
@@ -102,14 +102,16 @@ def ewm(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "secid",
     rows = min([MOST_ROWS, *(int(RANGE / -math.log(s.d)) for s in each if not s.plain and s.d < 1)])
     size = block_rows(laid)
     start = F.col("_index") if size is None else F.col("_index") - F.col("_block") * size
-    out = laid.withColumn("_run", F.floor(start / rows).cast("int"))
-    w = Window.partitionBy("_key", "_block", "_run").orderBy("_index")
+    alone = size is None and most_rows(laid) <= rows
+    out = laid if alone else laid.withColumn("_run", F.floor(start / rows).cast("int"))
+    w = in_block() if alone else Window.partitionBy("_key", "_block", "_run").orderBy("_index")
     before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumns({f"_x{j}": F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for j, c in enumerate(columns)})
     out = out.withColumns({f"_o{j}": F.when(F.col(f"_x{j}").isNotNull(), F.col("_index")) for j in range(len(columns))})
-    wide = {"_last": F.lead("_index").over(w).isNull()}
+    wide = {} if alone else {"_last": F.lead("_index").over(w).isNull()}
     for j in range(len(columns)):
-        wide |= {f"_p{j}": F.last(f"_o{j}", True).over(before), f"_if{j}": F.first(f"_o{j}", True).over(upto), f"_xf{j}": F.first(f"_x{j}", True).over(upto), f"_il{j}": F.last(f"_o{j}", True).over(upto)}
+        wide |= {f"_p{j}": F.last(f"_o{j}", True).over(before), f"_xf{j}": F.first(f"_x{j}", True).over(upto)}
+        wide |= {} if alone else {f"_if{j}": F.first(f"_o{j}", True).over(upto), f"_il{j}": F.last(f"_o{j}", True).over(upto)}
         if any(s.plain and s.of == j for s in each):
             wide[f"_xl{j}"] = F.last(f"_x{j}", True).over(upto)
     out = out.withColumns(wide)
@@ -119,6 +121,10 @@ def ewm(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "secid",
     out = out.withColumns({f"_s{s.i}": F.sum(F.coalesce(F.col(f"_x{s.of}") * s.alpha / (old[s.i] + s.alpha) * F.exp(-F.col(f"_l{s.i}")), F.lit(0.0))).over(upto) for s in sums})
     a = {s.i: F.lit(0.0) if s.plain else F.exp(f"_l{s.i}") for s in each}
     b = {s.i: F.col(f"_xl{s.of}") if s.plain else a[s.i] * F.col(f"_s{s.i}") for s in each}
+    if alone:
+        value = {s.i: b[s.i] if s.plain else F.when(F.col(f"_xf{s.of}").isNotNull(), a[s.i] * F.col(f"_xf{s.of}") + b[s.i]) for s in each}
+        out = out.select(*laid.columns, *[value[s.i].alias(o) for o, s in zip(specs, each, strict=True)])
+        return out if given else out.drop(*LAID)
     run = F.struct("_run", *[F.col(f"_{n}{j}").alias(f"{n}{j}") for j in range(len(columns)) for n in ("if", "xf", "il")], *[a[s.i].alias(f"A{s.i}") for s in each], *[b[s.i].alias(f"B{s.i}") for s in each])
     if size is None:
         whole = Window.partitionBy("_key", "_block")
