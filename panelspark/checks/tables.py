@@ -204,21 +204,29 @@ def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.run_report(bars(spark, sf_dir))
 
 
-@query(f"WITH {_HALVES} SELECT * FROM a WHERE id NOT IN (SELECT id FROM b)")
+@query("SELECT cast(user_id AS varchar) || '_' || strftime(ts, '%Y-%m-%d') AS id, event_id AS seq, value FROM events WHERE cast(user_id AS varchar) || '_' || strftime(ts, '%Y-%m-%d') NOT IN (SELECT cast(user_id AS varchar) || '_' || strftime(ts, '%Y-%m-%d') FROM events WHERE event_type = 'error')")
 def missing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _halves(spark, sf_dir)
-    return mt.missing_records(a, b, "id")
+    """Events of users on days without an error of theirs."""
+    e = table(spark, sf_dir, "events").select(F.concat_ws("_", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("id"), F.col("event_id").alias("seq"), "value", "event_type")
+    return mt.missing_records(e.drop("event_type"), e.filter("event_type = 'error'").select("id"), "id")
 
 
 # Fundamentals, macro, calendar
 
 _METRICS = ["Revenue", "NetProfit", "EBITDA", "Assets", "Equity", "Debt", "Cash"]
-_END = "1999-06-30"
+_LAST = "(SELECT cast(max(l_shipdate) AS timestamp) FROM lineitem)"
+
+
+def _end(spark: SparkSession, sf_dir: str) -> str:
+    """The last day of any bar."""
+    return str(bars(spark, sf_dir).agg(F.max("date")).first()[0])
+
+
 _PIVOT = ", ".join(f"avg(CASE WHEN metric = '{m}' AND report_type = '{r}' THEN value END) AS \"{m}{s}\"" for m in _METRICS for s, r in (("_q", "quarterly"), ("_y", "yearly")))
 _NAMES = [f"{m}{s}" for m in _METRICS for s in ("_q", "_y")]
 _WIDE = f"wide AS (SELECT ticker, publication_date AS date, {_PIVOT} FROM reports GROUP BY ALL)"
 _CARRY = ", ".join(f'last_value("{n}" IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS "{n}"' for n in _NAMES)
-_DAYS = f"""days AS (SELECT ticker, unnest(generate_series(cast(min(date) AS timestamp), TIMESTAMP '{_END}', INTERVAL 1 DAY))::date AS date FROM wide GROUP BY ticker),
+_DAYS = f"""days AS (SELECT ticker, unnest(generate_series(cast(min(date) AS timestamp), {_LAST}, INTERVAL 1 DAY))::date AS date FROM (SELECT ticker, min(date) AS date FROM wide GROUP BY ticker) GROUP BY ticker),
 dense AS (SELECT d.ticker, d.date, {", ".join(f'w."{n}"' for n in _NAMES)} FROM days d LEFT JOIN wide w USING (ticker, date)),
 daily AS (SELECT ticker, date, {_CARRY} FROM dense),
 fin AS (SELECT ticker, date, {", ".join(f'round("{n}" / 1e6, 1) AS "{n}"' for n in _NAMES)}, round(("Debt_q" - "Cash_q") / 1e6, 1) AS "NetDebt_q", round(("Debt_y" - "Cash_y") / 1e6, 1) AS "NetDebt_y" FROM daily)"""
@@ -226,7 +234,7 @@ fin AS (SELECT ticker, date, {", ".join(f'round("{n}" / 1e6, 1) AS "{n}"' for n
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = fu.pivot_metrics(fu.latest_restatement(reports(spark, sf_dir)), _METRICS)
-    return fu.finish_fundamentals(fu.net_debt(fu.daily_asof(wide, _END)))
+    return fu.finish_fundamentals(fu.net_debt(fu.daily_asof(wide, _end(spark, sf_dir))))
 
 
 @query(f"""WITH {sql.REPORTS}, d AS (SELECT * FROM reports UNION ALL SELECT ticker, report_type, period_end, cast(publication_date + to_days(20) AS date), metric, value * 2 FROM reports WHERE metric = 'Debt')
@@ -244,18 +252,18 @@ def pivot_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {sql.REPORTS}, {_WIDE}, {_DAYS} SELECT * FROM daily")
 def daily_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fu.daily_asof(fu.pivot_metrics(reports(spark, sf_dir), _METRICS), _END)
+    return fu.daily_asof(fu.pivot_metrics(reports(spark, sf_dir), _METRICS), _end(spark, sf_dir))
 
 
-@query(f"WITH {sql.REPORTS}, {_WIDE}, {_DAYS} SELECT * FROM fin WHERE date <= DATE '{_END}'")
+@query(f"WITH {sql.REPORTS}, {_WIDE}, {_DAYS} SELECT * FROM fin")
 def daily_fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _daily(spark, sf_dir)
 
 
 @query(f"""WITH {sql.BARS}, {sql.REPORTS}, {_WIDE}, {_DAYS}, l AS (SELECT secid, date, close, cast(cast(secid AS integer) % 25 AS varchar) AS ticker FROM bars)
-SELECT l.secid, l.date, l.close, l.ticker, w."Revenue_q", w."Debt_y" FROM l ASOF LEFT JOIN daily w ON l.ticker = w.ticker AND l.date >= w.date WHERE l.date <= DATE '{_END}'""")
+SELECT l.secid, l.date, l.close, l.ticker, w."Revenue_q", w."Debt_y" FROM l ASOF LEFT JOIN daily w ON l.ticker = w.ticker AND l.date >= w.date""")
 def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = bars(spark, sf_dir).select("secid", "date", "close", (F.col("secid").cast("int") % 25).cast("string").alias("ticker")).filter(F.col("date") <= F.lit(_END).cast("date"))
+    left = bars(spark, sf_dir).select("secid", "date", "close", (F.col("secid").cast("int") % 25).cast("string").alias("ticker"))
     return fu.asof_join(left, fu.pivot_metrics(reports(spark, sf_dir), _METRICS).select("ticker", "date", "Revenue_q", "Debt_y"), "ticker")
 
 
@@ -296,11 +304,11 @@ def macro_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ma.macro_table(series(spark, sf_dir), _SERIES_NAMES)
 
 
-@query(f"""WITH {sql.SERIES}, m AS (SELECT date_trunc('month', date)::date AS date, {sql.half_up("avg(value)", 2)} AS cpi FROM series GROUP BY 1),
-d AS (SELECT unnest(generate_series(cast(min(date) AS timestamp), TIMESTAMP '{_END}', INTERVAL 1 DAY))::date AS date FROM m) SELECT d.date, m.cpi FROM d ASOF JOIN m ON d.date >= m.date""")
+@query(f"""WITH {sql.SERIES}, m AS (SELECT date_trunc('month', date)::date AS date, {sql.near("avg(value)", 2)} AS cpi FROM series GROUP BY 1),
+d AS (SELECT unnest(generate_series(cast(min(date) AS timestamp), {_LAST}, INTERVAL 1 DAY))::date AS date FROM m) SELECT d.date, m.cpi FROM d ASOF JOIN m ON d.date >= m.date""")
 def monthly_to_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = series(spark, sf_dir).groupBy(F.date_format("date", "MM.yyyy").alias("month")).agg(half_up(F.avg("value"), 2).alias("cpi"))
-    return ma.monthly_to_daily(m, _END)
+    m = series(spark, sf_dir).groupBy(F.date_format("date", "MM.yyyy").alias("month")).agg(near(F.avg("value"), 2).alias("cpi"))
+    return ma.monthly_to_daily(m, _end(spark, sf_dir))
 
 
 @query(f"""WITH {sql.BARS}, {sql.SERIES}, {sql.REPORTS}, {_WIDE}, {_DAYS}, {_MACRO}
@@ -371,11 +379,19 @@ def signal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("secid", "date", "blog_score", "blog_score_roll_15", "news_score", "news_score_roll_15")
 
 
-@query(f"WITH {sql.SCORES}, w AS (SELECT date, max(CASE WHEN secid = '1' THEN score END) AS a, max(CASE WHEN secid = '2' THEN score END) AS b FROM scores GROUP BY date) SELECT date, 'news' AS source, 'a' AS secid, a AS score FROM w WHERE a IS NOT NULL UNION ALL SELECT date, 'news', 'b', b FROM w WHERE b IS NOT NULL")
+_GROUPS = [f"T{i}" for i in range(10)]
+_GROUP = "'T' || cast(secid AS bigint) % 10"
+
+
+@query(f"WITH {sql.SCORES} SELECT date, 'news' AS source, {_GROUP} AS secid, max(score) AS score FROM scores GROUP BY ALL HAVING max(score) IS NOT NULL")
 def load_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pick = lambda i: F.max(F.when(F.col("secid") == i, F.col("score")))
-    wide = scores(spark, sf_dir).groupBy("date").agg(F.lit("x").alias("summary"), pick("1").alias("a"), pick("2").alias("b"))
-    return sg.load_scores(wide, "news")
+    """The largest score of ten groups of users, one column each, read back as rows."""
+    return sg.load_scores(grouped_scores(scores(spark, sf_dir)).withColumn("summary", F.lit("x")), "news")
+
+
+def grouped_scores(rows: DataFrame) -> DataFrame:
+    """One row a day with the largest score of each of ten groups of users."""
+    return rows.withColumn("group", F.expr("concat('T', cast(secid AS bigint) % 10)")).groupBy("date").pivot("group", _GROUPS).agg(F.max("score"))
 
 
 _LEAD = lambda h: f"(lead(close, {h}) OVER (PARTITION BY secid ORDER BY date) / close - 1)"
@@ -511,10 +527,11 @@ def clean_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.remove_emoji(t).alias("no_emoji"), tx.remove_hashtags(t).alias("no_tags"), tx.remove_users(t).alias("no_users"), tx.remove_urls(t).alias("no_urls"), tx.fix_punct(t).alias("punct"), tx.fix_paragraphs(t).alias("paragraphs"))
 
 
-@query("SELECT s_suppkey, 'sbershch' || s_suppkey || 'byu' AS name FROM supplier")
+@query("SELECT s_suppkey, 'cbershch' || regexp_replace(lower(s_name), '[-_. ]', '', 'g') || 'byu' AS name FROM supplier")
 def normalize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("Сбер-Ш.Ч "), F.col("s_suppkey").cast("string"), F.lit("_ВЮ"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.replace(F.replace(tx.normalize_name(raw), F.lit("cber"), F.lit("sber")), F.lit("ch"), F.lit("ch")).alias("name"))
+    """Supplier names between letters that map to one, two and no Latin ones."""
+    raw = F.concat(F.lit("Сбер-Ш.Чь "), F.col("s_name"), F.lit("_ВЮ"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", tx.normalize_name(raw).alias("name"))
 
 
 @query("SELECT doc_id, cast(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')) AS integer) AS n_tokens FROM documents")

@@ -16,7 +16,7 @@ from ..plans.market import market_panel
 from ..sources import landing as la
 from ..sources.views import bars, messages, near, reports, scores, series, table
 from . import sql
-from .tables import _METRICS, _SERIES_NAMES, query
+from .tables import _METRICS, _SERIES_NAMES, grouped_scores, query
 
 #: ``query`` registers in the shared table of its module; these are this module's own names.
 from .tables import ORACLE_SQL as _SQL
@@ -293,15 +293,19 @@ def extract_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", rq.extract_summary(content).alias("summary"))
 
 
-@query(f"""WITH {sql.SCORES}, s AS (SELECT date, max(CASE WHEN secid = '1' THEN score END) AS "T1", max(CASE WHEN secid = '2' THEN score END) AS "T2" FROM scores WHERE source = 'news' GROUP BY date), d AS (SELECT DISTINCT date FROM scores)
-SELECT d.date, CASE WHEN d.date < DATE '2024-01-16' THEN 'old' ELSE 'new' END AS tg_summary, coalesce(s."T1", CASE WHEN d.date < DATE '2024-01-16' THEN 9.0 END) AS "T1", s."T2" FROM d LEFT JOIN s USING (date)""")
+_WIDE = ", ".join(f"max(CASE WHEN secid % 10 = {i} THEN score END) AS \"T{i}\"" for i in range(10))
+
+
+@query(f"""WITH {sql.SCORES}, s AS (SELECT date, {_WIDE} FROM (SELECT date, cast(secid AS bigint) AS secid, score FROM scores WHERE source = 'news') GROUP BY date), d AS (SELECT DISTINCT date FROM scores), m AS (SELECT min(date) + cast((max(date) - min(date)) // 2 AS integer) AS middle FROM d)
+SELECT d.date, CASE WHEN d.date < middle THEN 'old' ELSE 'new' END AS tg_summary, coalesce(s."T0", CASE WHEN d.date < middle THEN 9.0 END) AS "T0", {", ".join(f's."T{i}"' for i in range(1, 10))} FROM d CROSS JOIN m LEFT JOIN s USING (date)""")
 def update_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first half of the days is stored with an older score of one group; scores of ten groups are new."""
     s = scores(spark, sf_dir)
     days = s.select("date").distinct()
-    old = days.filter("date < DATE '2024-01-16'").select("date", F.lit("old").alias("tg_summary"), F.lit(9.0).alias("T1"))
+    middle = days.agg(F.expr("date_add(min(date), cast(floor(datediff(max(date), min(date)) / 2) AS int))").alias("middle"))
+    old = days.join(F.broadcast(middle), F.col("date") < F.col("middle")).select("date", F.lit("old").alias("tg_summary"), F.lit(9.0).alias("T0"))
     new = days.select("date", F.lit(1).alias("seq"), F.lit("new").alias("tg_summary"))
-    pick = lambda i: F.max(F.when(F.col("secid") == i, F.col("score")))
-    wide = s.filter("source = 'news'").groupBy("date").agg(F.lit(1).alias("seq"), pick("1").alias("T1"), pick("2").alias("T2"))
+    wide = grouped_scores(s.filter("source = 'news'")).withColumn("seq", F.lit(1))
     return rq.update_digest(old, new, wide)
 
 
