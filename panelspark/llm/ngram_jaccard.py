@@ -30,6 +30,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +39,9 @@ from .common import Scratch, WordHash, shingle_hashes, words_of
 
 #: A shingle of so many classes or more is simply "very frequent"; prefixes put it last.
 SATURATED = 65_536
-#: Shingles packed into one message at most, and held by a task that counts at most.
-CHUNK, HELD = 1_000_000, 4_000_000
+#: Shingles packed into one message at most, those of a bucket about, and those that a task that
+#: counts holds before it sorts.
+CHUNK, BUCKET, HELD = 1_000_000, 4_000_000, 4_000_000
 #: Longest additional prefix that is considered, and the cost of a verification in lookups.
 LEVELS, VERIFY_COST = 4, 20
 #: Leaders of a shingle in a round at most.
@@ -85,7 +87,7 @@ _ENTRY = np.dtype([("doc_id", "<i8"), ("named", "?"), ("n", "<i8"), ("key", "<i8
 
 
 def _pack(docs: DataFrame, k: int, buckets: int) -> DataFrame:
-    """Shingles of all classes as sorted arrays, one message for each chunk and range of hashes.
+    """Shingles of all classes as gaps of sorted hashes, one message for each chunk and range of hashes.
 
     A chunk also sends the roster of its documents along, to a bucket of its own.
     """
@@ -110,7 +112,8 @@ def _pack(docs: DataFrame, k: int, buckets: int) -> DataFrame:
         for b, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(h)], strict=True)):
             if hi > lo:
                 here, local = np.unique(own[lo:hi], return_inverse=True)
-                rows.append((b, _planes(h[lo:hi]), _planes(local.astype(np.uint32)), keys[here].tobytes(), sizes[here].tobytes(), None))
+                gaps = np.r_[h[lo : lo + 1], h[lo + 1 : hi] - h[lo : hi - 1]]
+                rows.append((b, *(zstandard.compress(x, 1) for x in (_planes(gaps), _planes(local.astype(np.uint32)))), keys[here].tobytes(), zstandard.compress(_planes(sizes[here]), 1), None))
         for at in range(0, len(rows), 64):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 64], strict=True), _PACKED.types, strict=True)], schema=_PACKED)
 
@@ -216,8 +219,8 @@ def _shared(packed: DataFrame, parts: int) -> DataFrame:
                 if row["bucket"] != now:
                     yield from counter.out(last=True)
                     now, counter = row["bucket"], _Counter(saturated, most)
-                own = _unplanes(row["owners"], np.uint32)
-                yield from counter.add(_unplanes(row["hashes"], np.uint64), np.frombuffer(row["keys"], np.int64)[own], np.frombuffer(row["sizes"], np.int32)[own])
+                hashes, own, sizes = (_unplanes(zstandard.decompress(row[c]), t) for c, t in (("hashes", np.uint64), ("owners", np.uint32), ("sizes", np.int32)))
+                yield from counter.add(np.cumsum(hashes, dtype=np.uint64), np.frombuffer(row["keys"], np.int64)[own], sizes[own])
         yield from counter.out(last=True)
 
     return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, n int, tokens binary, roster binary")
@@ -377,8 +380,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     ``rounds`` limits the leader rounds only; the last round is complete whatever they leave.
     """
     scratch = Scratch(spark, "ngram-jaccard")
-    parts = max(32, 2 * docs.select("text").rdd.getNumPartitions())
-    shared = scratch.table(_shared(_pack(docs, k, parts * 4), parts), "shared")
+    words = (docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0) // 6
+    buckets = max(64, -(-words // BUCKET))
+    shared = scratch.table(_shared(_pack(docs, k, buckets), -(-buckets // 2)), "shared")
     named = scratch.table(_named(shared), "named")
     classes = scratch.table(_prefixes(shared, num, den), "classes")
     scratch.drop(shared)

@@ -174,3 +174,20 @@ def test_scratch_is_shared(spark):
     t = s.table(spark.range(3).toDF("a"), "t")
     assert t.count() == 3 and t.scratch_path.startswith(spark.conf.get("spark.checkpoint.dir"))
     s.drop(t)
+
+
+def test_a_crowded_bucket_is_sorted_a_logarithmic_number_of_times():
+    import numpy as np
+
+    from panelspark.llm.ngram_jaccard import _Counter
+
+    counter, sorts = _Counter(65_536, 1000), []
+    out = counter.out
+    counter.out = lambda last: (sorts.append(last), *out(last))[1:]
+    rng = np.random.default_rng(1)
+    got = []
+    for i in range(400):
+        h = rng.integers(0, 1 << 62, 500).astype(np.uint64)
+        got += list(counter.add(np.r_[h, np.uint64(7)], np.full(501, i), np.full(501, 501)))
+    got += list(counter.out(last=True))
+    assert len(sorts) <= 10 and sum(len(b) for b in got) == 400
