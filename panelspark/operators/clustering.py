@@ -42,10 +42,34 @@ class ClusterConfig:
     channel_skips_time: bool = False
 
 
-def assign_windows(df: DataFrame, size_days: int = 1, step_days: int = 1, since: str | None = None, col: str = "datetime") -> DataFrame:
-    """Add ``window`` (its first day): one row for each window that holds the message, on UTC midnights."""
+def windows_from(first: Column, at: Column, size_days: int, step_days: int, last: Column | None = None) -> Column:
+    """Starts (days) of the windows that hold ``at``, counted from midnight of ``first``.
+
+    A window begins every ``step_days``. With ``last``, the latest time of all, the first window that
+    reaches beyond it takes what is left, and none begins after that one.
+    """
+    day = 86_400_000_000
+    since = lambda t: F.unix_micros(t) - F.unix_micros(first.cast("timestamp"))
+    low = F.greatest(F.lit(0), F.floor((since(at) - size_days * day) / (step_days * day)) + 1)
+    high = F.floor(since(at) / (step_days * day))
+    if last is not None:
+        high = F.least(high, F.greatest(F.lit(0), F.floor((since(last) - size_days * day) / (step_days * day)) + 1))
+    numbers = F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(numbers, lambda k: F.date_add(first, k * step_days))
+
+
+def assign_windows(df: DataFrame, size_days: int = 1, step_days: int = 1, since: str | None = None, col: str = "datetime", from_first: bool = False) -> DataFrame:
+    """Add ``window`` (its first day): one row for each window that holds the message, on UTC midnights.
+
+    Windows are those of the calendar, or with ``from_first`` begin at midnight of the first message
+    and end with one that takes what is left (see ``windows_from``).
+    """
     if since is not None:
         df = df.filter(F.col(col) >= F.lit(since).cast("timestamp"))
+    if from_first:
+        ends = df.agg(F.to_date(F.min(col)).alias("_first"), F.max(col).alias("_last"))
+        out = df.crossJoin(F.broadcast(ends)).withColumn("window", F.explode(windows_from(F.col("_first"), F.col(col), size_days, step_days, F.col("_last"))))
+        return out.drop("_first", "_last")
     return df.withColumn("window", F.to_date(F.window(col, f"{size_days} days", f"{step_days} days")["start"]))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from panelspark.operators.entities import alias_table, load_channels, load_entities
 from panelspark.operators.maintenance import write_panel
 from panelspark.sources import landing as la
+from panelspark.operators import clustering as cl
 from panelspark.streaming import jobs
 
 
@@ -64,11 +65,28 @@ def test_entity_configs(spark):
 
 def test_streams_equal_batch_and_rerun_adds_nothing(spark, tmp_path):
     src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
-    rows = spark.createDataFrame([("2024-01-01T00:00:00Z", "c", "t.me/1", 1, "первая новость"), ("2024-01-01T00:01:00Z", "c", "t.me/1", 1, "первая новость"), ("2024-01-01T00:02:00Z", "c", "t.me/2", 1, "#x")], "datetime string, channel_name string, message_link string, views long, news string")
+    kind = "datetime string, channel_name string, message_link string, views long, news string"
+    rows = spark.createDataFrame([("2024-01-01T00:00:00Z", "c", "t.me/1", 1, "первая новость"), ("2024-01-01T00:01:00Z", "c", "t.me/1", 1, "первая новость"), ("2024-01-01T00:02:00Z", "c", "t.me/2", 1, "#x")], kind)
     rows.coalesce(1).write.json(src)
     for _ in range(2):
         jobs.clean_message_stream(spark, src, out, cp).awaitTermination()
-    assert [r["message_link"] for r in spark.read.parquet(out).collect()] == ["https://t.me/1"]
+    links = lambda: sorted(r["message_link"] for r in jobs.committed(spark, out).collect())
+    assert links() == ["https://t.me/1"]
+    more = spark.createDataFrame([("2023-12-31T00:00:00Z", "c", "t.me/0", 1, "старая новость"), ("2024-01-02T00:00:00Z", "c", "t.me/3", 1, "новая новость")], kind)
+    more.coalesce(1).write.mode("append").json(src)
+    jobs.clean_message_stream(spark, src, out, cp).awaitTermination()
+    assert links() == ["https://t.me/1", "https://t.me/3"]
+
+
+def test_replayed_batches_and_crashes_add_nothing(spark, tmp_path):
+    out = str(tmp_path / "out")
+    at = lambda *days: spark.createDataFrame([(dt.datetime(2024, 1, d), d) for d in days], "datetime timestamp, x int")
+    got = lambda: sorted(r["x"] for r in jobs.committed(spark, out).collect())
+    assert jobs.commit_batch(at(1, 2), 0, out, "datetime") and not jobs.commit_batch(at(1, 2), 0, out, "datetime")
+    at(3, 4).write.parquet(f"{out}/rows/batch=1")  # a crash before the commit
+    assert got() == [1, 2]
+    assert jobs.commit_batch(at(2, 3, 4), 1, out, "datetime") and got() == [1, 2, 3, 4]
+    assert jobs.commit_batch(at(4), 2, out, "datetime") and got() == [1, 2, 3, 4]
 
 
 def test_bar_stream(spark, tmp_path):
@@ -81,12 +99,36 @@ def test_bar_stream(spark, tmp_path):
     assert sorted(r["close"] for r in spark.read.parquet(out).collect()) == [1.0, 2.0, 3.0]
 
 
-def test_representative_stream_and_panel(spark, tmp_path):
+def test_windows_from_the_first_midnight(spark):
+    rows = spark.createDataFrame([(dt.datetime(2024, 1, 3, 5) + dt.timedelta(hours=h),) for h in (0, 30, 60, 100, 121)], "datetime timestamp")
+    got = sorted((r["datetime"], r["window"]) for r in cl.assign_windows(rows, 3, 2, from_first=True).collect())
+    times = [dt.datetime(2024, 1, 3, 5) + dt.timedelta(hours=h) for h in (0, 30, 60, 100, 121)]
+    first, want, k = dt.datetime(2024, 1, 3), [], 0
+    while True:
+        start = first + dt.timedelta(days=2 * k)
+        left = start + dt.timedelta(days=3) > max(times)
+        want += [(t, start.date()) for t in times if t >= start and (left or t < start + dt.timedelta(days=3))]
+        k += 1
+        if left:
+            break
+    assert got == sorted(want)
+
+
+def test_stream_of_windows_in_many_batches_equals_one_batch(spark, tmp_path):
     src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
-    rows = [(i, dt.datetime(2024, 1, 1, i), "c" * (i + 1), f"l{i}", "x" * (i + 1), [1.0, 0.01 * i]) for i in range(5)]
-    spark.createDataFrame(rows, "id long, datetime timestamp, channel_name string, message_link string, news string, embedding array<double>").write.parquet(src)
-    jobs.representative_stream(spark, src, out, cp).awaitTermination()
-    best = spark.read.parquet(out)
-    assert best.agg(F.max(F.length("news"))).first()[0] == 5
+    kind = "id long, datetime timestamp, channel_name string, message_link string, news string, embedding array<double>"
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=5 * i), f"c{i % 4}", f"l{i}", "x" * (1 + i % 6), [1.0, 0.02 * (i % 3), float(i % 2)]) for i in range(24)]
+    cfg = cl.ClusterConfig(min_docs=2)
+    for lo in range(0, 24, 8):
+        spark.createDataFrame(rows[lo : lo + 8], kind).coalesce(1).write.mode("append").parquet(src)
+        jobs.representative_stream(spark, src, out, cp, cfg).awaitTermination()
+    jobs.finish_windows(spark, src, out, cfg)
+    whole = cl.assign_windows(spark.createDataFrame(rows, kind), from_first=True)
+    want = cl.representatives(cl.cluster_windows(spark, whole, cfg).join(whole, ["window", "id"]))
+    columns = ["window", "cluster", "id", "news"]
+    assert sorted(map(tuple, spark.read.parquet(out).select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+
+
+def test_panel_folders(spark, tmp_path):
     write_panel(spark.createDataFrame([("A", 1.0), ("B", 2.0)], "secid string, x double"), str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).filter("secid = 'B'").first()["x"] == 2.0
