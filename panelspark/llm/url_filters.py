@@ -19,8 +19,11 @@ from .common import Scratch, looked_up
 #: Copies of one hot url or component are shared out over so many tasks.
 SALTS = 64
 
-_CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\bcontent\s*=\s*[\"'][^\"'>]*?\burl\s*=\s*([^\"'\s>]+)"
+#: A tag that can declare a link, with quoted values that may hold ``>``, and one of its attributes.
+_TAG = r"""(?is)<(link|meta|base)(?=[\s/>])[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>"""
+_PAIR = r"""(?is)[^\s"'<>/=]+\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
+#: Content of a refresh: seconds, then the url with or without its name and quotes.
+_REFRESH = r"""(?is)^\s*[0-9][0-9.]*[\s;,]+(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(.*\S))"""
 
 
 def ascii_lower(c: Column) -> Column:
@@ -95,14 +98,33 @@ def resolved(src: Column, to: Column) -> Column:
     )
 
 
+def _attribute(pairs: Column, name: str) -> Column:
+    """Value of the first of ``pairs`` with the name, A-Z of any case; null without one."""
+    found = F.get(F.filter(pairs, lambda p: ascii_lower(F.regexp_extract(p, r"(?s)^([^\s=]+)", 1)) == name), F.lit(0))
+    value = F.regexp_extract(found, r"(?s)^[^\s=]+\s*=\s*(.*)$", 1)
+    return F.regexp_replace(F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2"), "&amp;", "&")
+
+
 def links_of(pages: DataFrame) -> DataFrame:
-    """``src, dst`` of canonical links and refresh redirects that the pages' html declares, comments aside."""
+    """``src, dst`` of canonical links and refresh redirects that the pages' html declares, comments aside.
+
+    Tags are read attribute by attribute: ``rel`` is a list of words, ``data-href`` is another name
+    than ``href``, a refresh may quote its url, and references are relative to ``<base href>``.
+    """
     html, url = F.col("html").cast("string"), F.col("url").cast("string")
     some = pages.filter(url.contains("://") & html.rlike("(?i)canonical|refresh"))
     some = some.select(url.alias("src"), F.regexp_replace(html, r"(?s)<!--.*?-->", "").alias("html"))
-    found = F.concat(F.regexp_extract_all("html", F.lit(_CANONICAL), F.lit(1)), F.regexp_extract_all("html", F.lit(_REFRESH), F.lit(1)))
-    raw = some.select("src", F.explode(F.array_distinct(found)).alias("to"))
-    return raw.select("src", resolved(F.col("src"), F.regexp_replace("to", "&amp;", "&")).alias("dst")).dropna()
+    tag = lambda t: F.struct(ascii_lower(F.regexp_extract(t, r"^<([A-Za-z]+)", 1)).alias("kind"), F.regexp_extract_all(t, F.lit(_PAIR), F.lit(0)).alias("pairs"))
+    tags = some.select("src", F.transform(F.regexp_extract_all("html", F.lit(_TAG), F.lit(0)), tag).alias("tags"))
+    of = lambda kind: F.filter("tags", lambda t: t["kind"] == kind)
+    words = lambda t, name: F.split(F.trim(ascii_lower(F.coalesce(_attribute(t["pairs"], name), F.lit("")))), r"\s+")
+    canonical = F.transform(F.filter(of("link"), lambda t: F.array_contains(words(t, "rel"), "canonical")), lambda t: _attribute(t["pairs"], "href"))
+    content = F.transform(F.filter(of("meta"), lambda t: words(t, "http-equiv") == F.array(F.lit("refresh"))), lambda t: _attribute(t["pairs"], "content"))
+    refresh = F.transform(content, lambda c: F.concat(*[F.regexp_extract(c, _REFRESH, i) for i in (1, 2, 3)]))
+    base = F.get(F.filter(F.transform(of("base"), lambda t: _attribute(t["pairs"], "href")), lambda x: x.isNotNull()), F.lit(0))
+    raw = tags.select("src", base.alias("base"), F.explode(F.array_distinct(F.concat(canonical, refresh))).alias("to"))
+    raw = raw.select("src", F.coalesce(resolved(F.col("src"), F.trim("base")), "src").alias("from"), F.trim("to").alias("to")).filter("to <> ''")
+    return raw.select("src", resolved(F.col("from"), F.col("to")).alias("dst")).dropna()
 
 
 def judge_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, redirects: DataFrame | None = None) -> DataFrame:

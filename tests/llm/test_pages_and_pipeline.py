@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.llm.url_filters import judge_urls
+from panelspark.llm.url_filters import judge_urls, links_of
 from panelspark.llm.warc import archive_pages, read_record, read_seek_table, write_bundles
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -70,6 +70,20 @@ def test_verdicts_spread_over_aliases(spark):
     assert judge_urls(spark, pages.limit(0), RULES).count() == 0
 
 
+@pytest.mark.parametrize("html,want", [
+    ("<meta http-equiv=\"refresh\" content=\"0; url='http://a.com/x'\">", "http://a.com/x"), ("<meta http-equiv=refresh content=0;url=http://a.com/x>", "http://a.com/x"),
+    ("<META content='5 ,  URL = http://a.com/x?a=1&amp;b=2 ' HTTP-EQUIV='Refresh'/>", "http://a.com/x?a=1&b=2"), ("<meta http-equiv=refresh content='0;http://a.com/x'>", "http://a.com/x"),
+    ("<link rel='shortlink canonical' href=http://a.com/x>", "http://a.com/x"), ("<link data-href='http://bad.net/' rel=canonical href='/x'>", "http://s.org/x"),
+    ("<link rel=icon data-rel=canonical href=/x>", None), ("<link rel=canonical data-href=/x>", None), ("<link title='a > b' rel='canonical' href='x'>", "http://s.org/d/x"),
+    ("<link title=\"rel='canonical'\" href=/x>", None), ("<base target=_top><base href='http://b.org/e/'><link rel=canonical href=x>", "http://b.org/e/x"),
+    ("<base href='/f/'><link rel=canonical href=x>", "http://s.org/f/x"), ("<meta http-equiv=refresh content=30>", None), ("<links rel=canonical href=/x>", None),
+    ("<!-- <link rel=canonical href=/x> -->", None), ("<link rel=canonical href=''>", None), ("<meta name=refresh content='0;url=/x'>", None),
+])
+def test_tags_are_read_by_attribute(spark, html, want):
+    pages = spark.createDataFrame([(1, "http://s.org/d/p", html)], "page_id long, url string, html string")
+    assert [r["dst"] for r in links_of(pages).collect()] == ([want] if want else [])
+
+
 def test_references_are_resolved(spark):
     from panelspark.llm.url_filters import resolved
 
