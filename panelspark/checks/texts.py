@@ -63,6 +63,14 @@ def assign_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "datetime", "window")
 
 
+@query(f"""WITH {_EMB}, e AS (SELECT cast(min(datetime) AS date) AS first, max(datetime) AS last FROM m), k AS (SELECT first, greatest(0, floor((epoch(last) - epoch(first)) / 86400 - 3) // 2 + 1) AS top FROM (SELECT first, last FROM e)),
+w AS (SELECT first + cast(2 * i AS integer) AS "window", i = top AS open FROM k, unnest(range(0, cast(top AS bigint) + 1)) r(i))
+SELECT id, "window" FROM m JOIN w ON datetime >= "window" AND (open OR datetime < "window" + 3)""")
+def windows_from_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of three days every other day from the first midnight; the last one takes what is left."""
+    return cl.assign_windows(_embedded(spark, sf_dir), 3, 2, from_first=True).select("id", "window")
+
+
 _PAIRS = f"""{_EMB}, {_NORM}, p AS (SELECT cast(a.datetime AS date) AS "window", a.id AS a, b.id AS b, 1 - list_dot_product(a.v, b.v) / a.len / b.len AS raw, a.channel_name = b.channel_name AS same, abs(epoch_us(a.datetime) - epoch_us(b.datetime)) / 3.6e9 - 8 AS h FROM n a JOIN n b ON cast(a.datetime AS date) = cast(b.datetime AS date) AND a.id < b.id),
 q AS (SELECT *, least(1.0, raw * CASE WHEN same THEN 5 ELSE 1 END) AS d FROM p), r AS (SELECT "window", a, b, least(1.0, d * (1 + 3 / (1 + exp(-h)))) AS distance FROM q)"""
 
