@@ -245,6 +245,33 @@ def latest_restatement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fu.latest_restatement(r.unionByName(again))
 
 
+_CENTS = "cast(round(value * 100) AS bigint)"
+_PUBLISHED = "CASE year(period_end) % 3 WHEN 0 THEN period_end - 10 WHEN 1 THEN publication_date + 5 END"
+
+
+def _report_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports as cells of sheets: labels with units, numbers with comma, a row of dates in part, and
+    further rows whose labels begin as a metric's do."""
+    r = reports(spark, sf_dir)
+    of = F.create_map(*[F.lit(x) for m in _METRICS for x in (m, fu.METRIC_LABELS[m][0])])
+    at = F.create_map(*[F.lit(x) for i, m in enumerate(_METRICS) for x in (m, 10 + i)])
+    period = F.when(F.col("report_type") == "yearly", F.year("period_end").cast("string")).otherwise(F.concat(F.year("period_end"), F.lit("Q"), F.quarter("period_end")))
+    r = r.withColumns({"file": F.concat_ws("-", "ticker", "report_type"), "period": period, "cents": F.expr(_CENTS), "published": F.expr(_PUBLISHED)})
+    text = F.concat(F.when(F.col("cents") < 0, "-").otherwise(" "), F.expr("cast(abs(cents) div 100 AS string)"), F.lit(","), F.expr("lpad(cast(abs(cents) % 100 AS string), 2, '0')"))
+    keys = ["file", "ticker", "report_type"]
+    cells = r.select(*keys, at[F.col("metric")].alias("row_no"), F.concat(of[F.col("metric")], F.lit(", млн руб")).alias("label"), "period", text.alias("text"))
+    other = r.select(*keys, (at[F.col("metric")] + 50).alias("row_no"), F.concat(of[F.col("metric")], F.lit(" на акцию")).alias("label"), "period", F.lit("1").alias("text"))
+    dates = r.select(*keys, F.lit(1).alias("row_no"), F.lit(fu.DATE_LABEL).alias("label"), "period", F.date_format("published", "dd.MM.yyyy").alias("text")).distinct()
+    return cells.unionByName(other).unionByName(dates)
+
+
+@query(f"""WITH {sql.REPORTS}, p AS (SELECT *, cast({_PUBLISHED} AS date) AS published, {_CENTS} AS cents FROM reports WHERE year(period_end) >= 1996)
+SELECT ticker, report_type, period_end, coalesce(published, cast(period_end + CASE WHEN report_type = 'yearly' THEN 90 ELSE 45 END AS date)) AS publication_date, metric, (cents / 100.0)::double * 1e6 AS value FROM p WHERE published IS NULL OR published >= period_end""")
+def parse_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of all report sheets, with their dates of publication."""
+    return fu.reports_long(_report_cells(spark, sf_dir), 1996)
+
+
 @query(f"WITH {sql.REPORTS}, {_WIDE} SELECT * FROM wide")
 def pivot_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fu.pivot_metrics(reports(spark, sf_dir), _METRICS)
