@@ -11,12 +11,14 @@ from ..operators import clustering as cl
 from ..operators import entities as en
 from ..operators import models as mo
 from ..operators import requests as rq
+from ..operators.fundamentals import RATIOS
 from ..operators.signals import pct_targets
 from ..plans.market import market_panel
 from ..sources import landing as la
 from ..sources.views import bars, messages, near, reports, scores, series, table
 from . import sql
-from .tables import _METRICS, _SERIES_NAMES, grouped_scores, query
+from .panel import FEATURES, FEATURES_SQL
+from .tables import _DAYS, _MACRO, _METRICS, _NAMES, _RATIOS_CTE, _SERIES_NAMES, _WIDE, _end, grouped_scores, query
 
 #: ``query`` registers in the shared table of its module; these are this module's own names.
 from .tables import ORACLE_SQL as _SQL
@@ -301,10 +303,10 @@ def extract_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", rq.extract_summary(content).alias("summary"))
 
 
-_WIDE = ", ".join(f"max(CASE WHEN secid % 10 = {i} THEN score END) AS \"T{i}\"" for i in range(10))
+_BY_GROUP = ", ".join(f"max(CASE WHEN secid % 10 = {i} THEN score END) AS \"T{i}\"" for i in range(10))
 
 
-@query(f"""WITH {sql.SCORES}, s AS (SELECT date, {_WIDE} FROM (SELECT date, cast(secid AS bigint) AS secid, score FROM scores WHERE source = 'news') GROUP BY date), d AS (SELECT DISTINCT date FROM scores), m AS (SELECT min(date) + cast((max(date) - min(date)) // 2 AS integer) AS middle FROM d)
+@query(f"""WITH {sql.SCORES}, s AS (SELECT date, {_BY_GROUP} FROM (SELECT date, cast(secid AS bigint) AS secid, score FROM scores WHERE source = 'news') GROUP BY date), d AS (SELECT DISTINCT date FROM scores), m AS (SELECT min(date) + cast((max(date) - min(date)) // 2 AS integer) AS middle FROM d)
 SELECT d.date, CASE WHEN d.date < middle THEN 'old' ELSE 'new' END AS tg_summary, coalesce(s."T0", CASE WHEN d.date < middle THEN 9.0 END) AS "T0", {", ".join(f's."T{i}"' for i in range(1, 10))} FROM d CROSS JOIN m LEFT JOIN s USING (date)""")
 def update_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first half of the days is stored with an older score of one group; scores of ten groups are new."""
@@ -355,11 +357,22 @@ def parse_html_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Whole plans and models
 
 
-@query(None)
+_HORIZONS = (1, 3, 7, 30, 180, 365)
+_FIN = [*_NAMES, "NetDebt_q", "NetDebt_y"]
+_Q = lambda names, of: ", ".join(f'{of}."{n}"' for n in names)
+_AHEAD = lambda h: f"(lead(close, {h}) OVER (PARTITION BY secid ORDER BY date) / close - 1) * 100"
+
+
+@query(f"""WITH {sql.BARS}, {sql.SERIES}, {sql.REPORTS}, {_WIDE}, {_DAYS}, {_MACRO}, {_RATIOS_CTE.replace("count(*) * 100.0 - 300", "count(*) * 100.0")},
+goal AS (SELECT secid, date, {", ".join(f'{sql.near(_AHEAD(h), 3)} AS target_{h}d, cast(coalesce({_AHEAD(h)} > 0, false) AS integer) AS target_{h}d_binary' for h in _HORIZONS)} FROM bars)
+SELECT secid, date, b.close, {_Q(FEATURES, "t")}, {_Q(_FIN, "f")}, {_Q(_SERIES_NAMES, "m")}, {", ".join(f'{sql.near(f'r."{n}"', 4)} AS "{n}"' for n in RATIOS)}, {", ".join(f"target_{h}d, target_{h}d_binary" for h in _HORIZONS)}
+FROM bars b JOIN ({FEATURES_SQL}) t USING (secid, date) JOIN goal USING (secid, date) LEFT JOIN fin f ON f.ticker = secid AND f.date = b.date LEFT JOIN macro m ON m.date = b.date LEFT JOIN ratios r ON r.ticker = secid AND r.date = b.date""")
 def market_panel_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indicators, fundamentals, macro values, ratios and targets in one table."""
     sizes = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("string").alias("secid")).agg((F.count("*") * 100.0).alias("issue_size")).withColumn("date", F.lit("1990-01-01").cast("date"))
-    return market_panel(bars(spark, sf_dir), reports(spark, sf_dir), series(spark, sf_dir), sizes, _METRICS, _SERIES_NAMES, "2000-12-31")
+    out = market_panel(bars(spark, sf_dir), reports(spark, sf_dir), series(spark, sf_dir), sizes, _METRICS, _SERIES_NAMES, _end(spark, sf_dir), digits=12)
+    rounded = [near(c, 4).alias(c) for c in FEATURES], [near(c, 4).alias(c) for c in RATIOS], [x for h in _HORIZONS for x in (near(f"target_{h}d", 3).alias(f"target_{h}d"), F.col(f"target_{h}d_binary"))]
+    return out.select("secid", "date", "close", *rounded[0], *_FIN, *_SERIES_NAMES, *rounded[1], *rounded[2])
 
 
 @query(None)

@@ -17,9 +17,9 @@ def daily_fundamentals(reports: DataFrame, metrics: list[str], end_date: str) ->
     return finish_fundamentals(net_debt(daily_asof(wide, end_date)))
 
 
-def market_panel(bars: DataFrame, reports: DataFrame, series: DataFrame, sizes: DataFrame, metrics: list[str], names: list[str], end_date: str) -> DataFrame:
+def market_panel(bars: DataFrame, reports: DataFrame, series: DataFrame, sizes: DataFrame, metrics: list[str], names: list[str], end_date: str, digits: int = 4) -> DataFrame:
     """Indicators, fundamentals, macro values, ratios and targets of every ticker and day."""
     daily = daily_fundamentals(reports, metrics, end_date).withColumnRenamed("ticker", "secid")
     merged = merge_features(technical_features(bars), daily, macro_table(series, names))
     priced = financial_ratios(with_issue_size(merged, sizes))
-    return binary_targets(pct_targets(priced)).filter(F.col("close").isNotNull())
+    return binary_targets(pct_targets(priced, digits=digits)).filter(F.col("close").isNotNull())
