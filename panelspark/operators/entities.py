@@ -31,27 +31,38 @@ def alias_table(entities: DataFrame) -> DataFrame:
     return names.unionByName(codes).withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("alias", "secid")
 
 
+#: Aliases that are broadcast at most.
+BROADCAST_ROWS = 100_000
+
+
 def find_entities(docs: DataFrame, aliases: DataFrame, base: list[str] = (), key: str = "id", text: str = "text", max_words: int = 4) -> DataFrame:
     """``key, secids``: tickers whose alias stands in the text as whole words, less the ``base`` ones.
 
     Texts and aliases become runs of one to ``max_words`` words, which join by equality; only runs
-    of as many words as some alias has are made. Longer aliases and those with other marks between
-    words are checked against the text as well.
+    of as many words as some alias has are made. An alias of one plain word is found by that alone;
+    the others, which may be longer or have other marks between words, are checked against the text.
+    Rows of one key count together, also those of the null key.
     """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\w+)"), F.lit(1))
     table = aliases.select("alias", "secid", words(F.col("alias")).alias("w")).filter(F.size("w") > 0)
-    table = table.withColumn("gram", F.array_join(F.slice("w", 1, max_words), " "))
+    table = table.withColumn("gram", F.array_join(F.slice("w", 1, max_words), " ")).withColumn("plain", (F.size("w") == 1) & (F.col("alias") == F.col("gram")))
     tokens = docs.select(F.col(key), F.lower(F.col(text)).alias("_t"), words(F.col(text)).alias("_w"))
-    sizes = [r["n"] for r in table.select(F.least(F.size("w"), F.lit(max_words)).alias("n")).distinct().collect()]
+    shape = table.agg(F.collect_set(F.least(F.size("w"), F.lit(max_words))).alias("sizes"), F.count(F.lit(1)).alias("n"), F.min("plain").alias("plain")).first()
     grams = F.array().cast("array<string>")
-    for n in sorted(sizes):
+    for n in sorted(shape["sizes"]):
         runs = F.transform(F.sequence(F.lit(0), F.size("_w") - n), lambda i: F.array_join(F.slice("_w", i + 1, n), " "))  # noqa: B023
         one = F.when(F.size("_w") >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
         grams = F.concat(grams, one)
-    hits = tokens.select(key, F.explode(grams).alias("gram")).join(table, "gram").select(key, "alias", "secid")
-    exact = hits.join(tokens.select(F.col(key), "_t"), key)
-    quoted = F.concat(F.lit("(?U)(?<!\\w)\\Q"), F.col("alias"), F.lit("\\E(?!\\w)"))
-    found = exact.filter(F.regexp_like("_t", quoted)).filter(~F.col("secid").isin(list(base)) if base else F.lit(True))
+    known = table.select("gram", "alias", "secid", "plain")
+    hits = tokens.select(key, F.xxhash64("_t").alias("_h"), F.explode(grams).alias("gram")).join(F.broadcast(known) if shape["n"] <= BROADCAST_ROWS else known, "gram")
+    found = hits.filter("plain").select(key, "secid")
+    if shape["plain"] is False:
+        texts = tokens.select(F.col(key).alias("_k"), "_t", F.xxhash64("_t").alias("_at")).dropDuplicates(["_k", "_at"])
+        open_ = hits.filter("NOT plain").select(key, "_h", "alias", "secid").distinct()
+        exact = open_.join(texts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_at")))
+        quoted = F.concat(F.lit("(?U)(?<!\\w)\\Q"), F.col("alias"), F.lit("\\E(?!\\w)"))
+        found = found.unionByName(exact.filter(F.regexp_like("_t", quoted)).select(key, "secid"))
+    found = found.filter(~F.col("secid").isin(list(base))) if base else found
     return found.groupBy(key).agg(F.array_sort(F.collect_set("secid")).alias("secids"))
 
 

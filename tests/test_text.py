@@ -114,3 +114,12 @@ def test_sentences_and_abbreviations(spark):
 
     got = one(spark, format_summary, "Рост 5 млн. Рублей. Да!  Нет? «Так» е.g. X", "a <DOT> b. C", " И т.д. Потом. 3 раза", "", None, "Млрд. Конец.\nДом. Далее")
     assert got == ["🔹 Рост 5 млн. Рублей.\n\n🔹 Да!\n\n🔹 Нет?\n\n🔹 «Так» е.g.\n\n🔹 X", "🔹 a <DOT> b.\n\n🔹 C", "🔹 И т.д. Потом. 3 раза", "", None, "🔹 Млрд. Конец.\n\n🔹 Дом.\n\n🔹 Далее"]
+
+
+def test_entities_of_null_and_repeated_keys(spark):
+    from panelspark.operators.entities import find_entities
+
+    aliases = spark.createDataFrame([("сбер", "SBER"), ("банк россии", "CBR"), ("a+b", "AB")], "alias string, secid string")
+    docs = spark.createDataFrame([(None, "Сбер растёт"), (1, "банк россии"), (1, "Сбер и a+b."), (2, "банк, россии"), (3, "сберкасса a b"), (4, None)], "id int, text string")
+    got = {r["id"]: r["secids"] for r in find_entities(docs, aliases).collect()}
+    assert got == {None: ["SBER"], 1: ["AB", "CBR", "SBER"]}
