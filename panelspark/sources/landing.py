@@ -67,10 +67,10 @@ def read_panel_dir(spark: SparkSession, path: str) -> DataFrame:
     """One panel of many CSV files with ``DATE`` and ``SECID``; rows without either are skipped.
 
     Files may have other columns in another order: each distinct header is one scan, and the scans
-    are united by name. Headers are found line by line in the first block of each file.
+    are united by name. A header is the first line of a file's first block, which one task reads in order.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.regexp_replace("value", r"^\x{FEFF}", "").alias("head"))
-    heads = lines.filter((F.col("at") == 0) & F.col("head").contains("DATE") & F.col("head").contains("SECID")).groupBy("file").agg(F.min("head").alias("head"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.regexp_replace("value", r"^\x{FEFF}", "").alias("head"), F.monotonically_increasing_id().alias("n"))
+    heads = lines.filter("at = 0").groupBy("file").agg(F.min_by("head", "n").alias("head")).filter(F.col("head").contains("DATE") & F.col("head").contains("SECID"))
     groups = heads.groupBy("head").agg(F.collect_list("file").alias("files")).collect()
     out = None
     for g in groups:

@@ -132,3 +132,10 @@ def test_stream_of_windows_in_many_batches_equals_one_batch(spark, tmp_path):
 def test_panel_folders(spark, tmp_path):
     write_panel(spark.createDataFrame([("A", 1.0), ("B", 2.0)], "secid string, x double"), str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).filter("secid = 'B'").first()["x"] == 2.0
+
+
+def test_a_line_that_names_both_columns_is_no_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\ufeffDATE,SECID,NOTE\n2024-01-01,A,x\n2024-01-02,B,ADATE SECID\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("x,y\nDATE,SECID\n")
+    got = la.read_panel_dir(spark, f"{tmp_path}/*.csv").collect()
+    assert sorted(r["SECID"] for r in got) == ["A", "B"]
