@@ -46,11 +46,15 @@ def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("id", F.round(F.get("u", F.lit(0)), 5).alias("first"), F.round(cl.dot(F.col("u"), F.col("u")), 6).alias("one"))
 
 
-@query("SELECT vec_id, round((cast(embedding[1] AS double) + cast(embedding[3] AS double)) / 2, 6) AS pooled FROM embeddings")
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: cast(x AS double)) AS e, list_reverse(list_transform(embedding, lambda x: cast(x AS double))) AS r FROM embeddings)
+SELECT vec_id, len(e) AS n, round((e[1] + r[1]) / 2, 6) AS first, round((e[20] + r[20]) / 2, 6) AS middle, round(list_sum(list_transform(range(1, len(e) + 1), lambda i: i * (e[i] + r[i]) / 2)), 4) AS weighted FROM v""")
 def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "embeddings")
-    one = lambda i: F.array(F.get("embedding", F.lit(i)))
-    return t.select("vec_id", F.round(F.get(cl.mean_pool(F.array(one(0), one(1), one(2)), F.array(F.lit(1), F.lit(0), F.lit(1))), F.lit(0)), 6).alias("pooled"))
+    """Means of every vector and its reverse, with a third one masked."""
+    e = F.col("embedding")
+    pooled = cl.mean_pool(F.array(e, F.transform(e, lambda x: x * 7), F.reverse(e)), F.array(F.lit(1), F.lit(0), F.lit(1)))
+    t = table(spark, sf_dir, "embeddings").withColumn("p", pooled)
+    weighted = F.aggregate(F.transform("p", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return t.select("vec_id", F.size("p").alias("n"), F.round(F.get("p", F.lit(0)), 6).alias("first"), F.round(F.get("p", F.lit(19)), 6).alias("middle"), F.round(weighted, 4).alias("weighted"))
 
 
 @query("SELECT vec_id, round(cast(embedding[2] AS double), 5) AS second, len(embedding) AS n FROM embeddings")
