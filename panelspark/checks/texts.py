@@ -93,6 +93,16 @@ def pair_distances_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cl.pair_distances(rows, cl.ClusterConfig(channel_skips_time=True), below=0.9).withColumn("distance", near("distance", 5))
 
 
+@query(f"""WITH {_PAIRS}, f AS (SELECT "window", a, b, raw, same, h, a % 5 IN (1, 2) AND b % 5 IN (1, 2) AS exempt, least(a % 4, b % 4) >= 1 AND greatest(a % 4, b % 4) <= 2 AND a % 3 = b % 3 AS pictured FROM p),
+g AS (SELECT *, least(1.0, raw * CASE WHEN same THEN 5 ELSE 1 END) * CASE WHEN pictured AND NOT same THEN 0.5 ELSE 1 END AS d FROM f),
+s AS (SELECT "window", a, b, CASE WHEN same OR exempt THEN d ELSE least(1.0, d * (1 + 3 / (1 + exp(-h)))) END AS distance FROM g) SELECT "window", a, b, {sql.near('distance', 5)} AS distance FROM s WHERE distance < 0.9""")
+def pair_distances_all_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics without a time penalty, a bonus for images of one group, one channel without a time penalty."""
+    rows = cl.assign_windows(_embedded(spark, sf_dir)).withColumns({"topic": F.concat(F.lit("t"), (F.col("id") % 5).cast("string")), "n_images": (F.col("id") % 4).cast("int"), "image_group": (F.col("id") % 3).cast("int")})
+    cfg = cl.ClusterConfig(channel_skips_time=True, exempt_topics=("t1", "t2"), image_bonus=0.5)
+    return cl.pair_distances(rows, cfg, below=0.9).withColumn("distance", near("distance", 5))
+
+
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cl.assign_windows(_embedded(spark, sf_dir))
     return cl.cluster_windows(spark, rows, cl.ClusterConfig(threshold=0.3)).join(rows, ["window", "id"])
