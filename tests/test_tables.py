@@ -138,6 +138,22 @@ def test_close_pairs_are_all_there(spark, monkeypatch, bound):
     assert compared < 2 * 320 * 319 / 2 * (0.3 if bound < 0.05 else 0.7 if bound < 0.2 else 1.01)
 
 
+@pytest.mark.parametrize("held, guests", [(40, 30), (100_000, 100_000)])
+def test_vectors_travel_to_groups_of_cells(spark, monkeypatch, held, guests):
+    from panelspark.operators import neighbours
+    from panelspark.scratch import Scratch
+
+    monkeypatch.setattr(neighbours, "HELD", held)
+    monkeypatch.setattr(neighbours, "GUESTS", guests)
+    v = np.random.default_rng(5).normal(size=(300, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    points = spark.createDataFrame([(dt.date(2024, 1, 1 + i % 2), i, v[i].tolist()) for i in range(len(v))], "window date, id long, v array<double>")
+    travels = neighbours.groups(points, 0.9, Scratch(spark, "test")).agg(F.sum(F.size("visits"))).first()[0]
+    assert travels <= 300 * (1 if held > 300 else 4)
+    got = sorted((r["a"], r["b"]) for r in neighbours.close_pairs(points, 0.9, Scratch(spark, "test")).collect())
+    assert got == [(i, j) for i in range(300) for j in range(i + 1, 300) if i % 2 == j % 2 and 1 - v[i] @ v[j] < 0.9]
+
+
 def test_image_bonus_and_topics(spark):
     rows = [(1, dt.datetime(2024, 1, 1), "a", [1.0, 0.5], "tech", 1, 7), (2, dt.datetime(2024, 1, 1, 20), "b", [1.0, 0.0], "tech", 1, 7), (3, dt.datetime(2024, 1, 1, 20), "a", [1.0, 0.1], "x", 0, 0)]
     df = cl.assign_windows(spark.createDataFrame(rows, "id long, datetime timestamp, channel_name string, embedding array<double>, topic string, n_images int, image_group int"))
