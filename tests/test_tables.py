@@ -154,6 +154,15 @@ def test_vectors_travel_to_groups_of_cells(spark, monkeypatch, held, guests):
     assert got == [(i, j) for i in range(300) for j in range(i + 1, 300) if i % 2 == j % 2 and 1 - v[i] @ v[j] < 0.9]
 
 
+def test_embedding_counts_each_word_once(spark):
+    words = ["alpha", "Beta", "gamma", "delta", "alpha"]
+    df = spark.createDataFrame([(w,) for w in [*words, " ".join(words), None, " . "]], "news string")
+    *one, whole, null, none = (r["embedding"] for r in cl.embed(df).collect())
+    total = np.sum(one, axis=0)
+    assert np.allclose(whole, total / np.linalg.norm(total), atol=1e-6) and null is None and none is None
+    assert "aggregate(" not in cl.embed(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_image_bonus_and_topics(spark):
     rows = [(1, dt.datetime(2024, 1, 1), "a", [1.0, 0.5], "tech", 1, 7), (2, dt.datetime(2024, 1, 1, 20), "b", [1.0, 0.0], "tech", 1, 7), (3, dt.datetime(2024, 1, 1, 20), "a", [1.0, 0.1], "x", 0, 0)]
     df = cl.assign_windows(spark.createDataFrame(rows, "id long, datetime timestamp, channel_name string, embedding array<double>, topic string, n_images int, image_group int"))
