@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import in_block, laid_out, reaching, running_sums
@@ -22,32 +22,82 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def full(c: Column | str, n: int, fn: Callable[[Column], Column], least: int | None = None) -> Column:
-    """``fn`` over the last n rows of a block, null unless ``least`` (all n) values are there."""
-    w = in_block().rowsBetween(1 - n, 0)
-    return F.when(F.count(_c(c)).over(w) >= (least or n), fn(_c(c)).over(w))
+#: Rows of a window that are read anew for every row, oldest first.
+PLAIN_ROWS = 20
+
+
+class Sliding:
+    """Values over the last n rows of a block, long ones by values over short runs of rows.
+
+    A window of more than ``PLAIN_ROWS`` rows is a few short runs that follow each other, so a row costs about twice the
+    square root of n steps and not n. Sums add up neighbouring rows only, and counts are differences of
+    running counts, so nothing is lost by cancellation. ``parts`` are the columns that must be there.
+    """
+
+    def __init__(self) -> None:
+        self.parts: dict[str, Column] = {}
+        self.names: dict[tuple, str] = {}
+
+    def part(self, key: tuple, value: Column) -> Column:
+        name = self.names.setdefault(key, f"_part_{len(self.names)}")
+        self.parts[name] = value
+        return F.col(name)
+
+    def __call__(self, c: Column | str, n: int, fn: Callable[[Column], Column], least: int | None = None) -> Column:
+        """``fn`` over the last n rows of a block, null unless ``least`` (all n) values are there."""
+        c, upto = _c(c), in_block().rowsBetween(Window.unboundedPreceding, 0)
+        seen = self.part((str(c), "seen"), F.count(c).over(upto))
+        count = seen - F.coalesce(before(seen, n), F.lit(0))
+        return F.when(count >= (least or n), self._value(c, n, fn, count))
+
+    def _value(self, c: Column, n: int, fn: Callable[[Column], Column], count: Column) -> Column:
+        if n <= PLAIN_ROWS or fn not in (F.avg, F.sum, F.min, F.max):
+            return fn(c).over(in_block().rowsBetween(1 - n, 0))
+        inner = F.sum if fn is F.avg else fn
+        run = min((r for r in range(1, n + 1) if n % r == 0), key=lambda r: r + 2 * n // r)
+        run = run if run + 2 * n // run <= 4 * n**0.5 + 4 else int(n**0.5)
+        short = lambda r: self.part((str(c), inner.__name__, r), inner(c).over(in_block().rowsBetween(1 - r, 0)))
+        runs = [before(short(run), i * run) if i else short(run) for i in range(n // run)]
+        if n % run:
+            runs.append(before(short(n % run), n - n % run))
+        if inner is not F.sum:
+            return runs[0] if len(runs) == 1 else (F.least if inner is F.min else F.greatest)(*runs)
+        total = runs[0]
+        for r in runs[1:]:
+            total = F.coalesce(total, F.lit(0)) + F.coalesce(r, F.lit(0))
+        return total / count if fn is F.avg else total
 
 
 def before(c: Column | str, k: int = 1) -> Column:
     return F.lag(_c(c), k).over(in_block())
 
 
-def _fixed(df: DataFrame, reach: int, *stages: dict[str, Column]) -> DataFrame:
+def _fixed(df: DataFrame, reach: int, *stages: dict[str, Column] | Callable[[Sliding], dict[str, Column]]) -> DataFrame:
     """Columns by windows that look back ``reach`` rows in all; a stage may use those before it."""
 
     def add(d: DataFrame) -> DataFrame:
-        for columns in stages:
-            d = d.withColumns(columns)
+        for stage in stages:
+            full = Sliding()
+            columns = stage(full) if callable(stage) else stage
+            if full.parts:
+                d = d.withColumns(full.parts)
+            d = d.withColumns(columns).drop(*full.parts)
         return d
 
     return reaching(df, reach, add)
 
 
 @laid_out
+def rollings(df: DataFrame, *windows: tuple[str, int, str, int | None]) -> DataFrame:
+    """Add ``<col>_<fn>_<n>`` for each ``col, n, fn, min_periods``: mean, sum, min, max or std (sample)
+    of n rows with enough values."""
+    fns = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp}
+    return _fixed(df, max(n for _, n, _, _ in windows), lambda full: {f"{c}_{fn}_{n}": full(c, n, fns[fn], least) for c, n, fn, least in windows})
+
+
 def rolling(df: DataFrame, col: str, n: int, fn: str, min_periods: int | None = None) -> DataFrame:
-    """Add ``<col>_<fn>_<n>``: mean, sum, min, max or std (sample) of n rows with enough values."""
-    f = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp}[fn]
-    return _fixed(df, n, {f"{col}_{fn}_{n}": full(col, n, f, min_periods)})
+    """One of ``rollings``."""
+    return rollings(df, (col, n, fn, min_periods))
 
 
 @laid_out
@@ -64,7 +114,7 @@ def ratio(a: Column, b: Column) -> Column:
 @laid_out
 def moving_averages(df: DataFrame, periods: tuple[int, ...] = (5, 10, 20, 50, 200), price: str = "close") -> DataFrame:
     df = ewm(df, {f"EMA_{n}": (price, alpha_of(n)) for n in periods})
-    return _fixed(df, max(periods), {f"SMA_{n}": full(price, n, F.avg) for n in periods})
+    return _fixed(df, max(periods), lambda full: {f"SMA_{n}": full(price, n, F.avg) for n in periods})
 
 
 def _strength(gain: Column, loss: Column) -> Column:
@@ -75,7 +125,7 @@ def _strength(gain: Column, loss: Column) -> Column:
 def rsi(df: DataFrame, period: int = 14, price: str = "close") -> DataFrame:
     d = F.coalesce(F.col(price) - before(price), F.lit(0.0))
     moves = {"_up": F.greatest(d, F.lit(0.0)), "_down": F.greatest(-d, F.lit(0.0))}
-    df = _fixed(df, period, moves, {"_up": full("_up", period, F.avg), "_down": full("_down", period, F.avg)})
+    df = _fixed(df, period, moves, lambda full: {"_up": full("_up", period, F.avg), "_down": full("_down", period, F.avg)})
     return df.withColumn("RSI", _strength(F.col("_up"), F.col("_down"))).drop("_up", "_down")
 
 
@@ -93,18 +143,21 @@ def _bands(width: float) -> dict[str, Column]:
 
 @laid_out
 def bollinger(df: DataFrame, period: int = 20, width: float = 2.0, price: str = "close") -> DataFrame:
-    df = _fixed(df, period, {"BB_Middle": full(price, period, F.avg), "_sd": full(price, period, F.stddev_samp)})
+    df = _fixed(df, period, lambda full: {"BB_Middle": full(price, period, F.avg), "_sd": full(price, period, F.stddev_samp)})
     return df.withColumns(_bands(width)).drop("_sd")
 
 
+def _range(period: int) -> Callable[[Sliding], dict[str, Column]]:
+    return lambda full: {"_lo": full("low", period, F.min), "_hi": full("high", period, F.max)}
+
+
 def _raw_stochastic() -> Column:
     return 100 * ratio(F.col("close") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
 
 
 @laid_out
 def stochastic(df: DataFrame, period: int = 14, smooth_k: int = 3, smooth_d: int = 3) -> DataFrame:
-    ends = {"_lo": full("low", period, F.min), "_hi": full("high", period, F.max)}
-    stages = ends, {"_raw": _raw_stochastic()}, {"STOCH_K": full("_raw", smooth_k, F.avg)}, {"STOCH_D": full("STOCH_K", smooth_d, F.avg)}
+    stages = _range(period), {"_raw": _raw_stochastic()}, lambda full: {"STOCH_K": full("_raw", smooth_k, F.avg)}, lambda full: {"STOCH_D": full("STOCH_K", smooth_d, F.avg)}
     return _fixed(df, period + smooth_k + smooth_d, *stages).drop("_lo", "_hi", "_raw")
 
 
@@ -116,16 +169,16 @@ def true_range() -> Column:
 
 @laid_out
 def atr(df: DataFrame, period: int = 14) -> DataFrame:
-    return _fixed(df, period, {"_tr": true_range()}, {"ATR": full("_tr", period, F.avg)}).drop("_tr")
+    return _fixed(df, period, {"_tr": true_range()}, lambda full: {"ATR": full("_tr", period, F.avg)}).drop("_tr")
 
 
-def _traded(period: int) -> Column:
+def _traded(full: Sliding, period: int) -> Column:
     return ratio(full(F.col("waprice") * F.col("volume"), period, F.sum), full("volume", period, F.sum))
 
 
 @laid_out
 def vwap(df: DataFrame, period: int = 20) -> DataFrame:
-    return _fixed(df, period, {"VWAP": _traded(period)})
+    return _fixed(df, period, lambda full: {"VWAP": _traded(full, period)})
 
 
 def _signed_volume() -> Column:
@@ -135,7 +188,7 @@ def _signed_volume() -> Column:
 @laid_out
 def obv(df: DataFrame, period: int = 20) -> DataFrame:
     df = running_sums(_fixed(df, 1, {"_v": _signed_volume()}), {"OBV": "_v"}).drop("_v")
-    return _fixed(df, period, {"OBV_MA": full("OBV", period, F.avg)})
+    return _fixed(df, period, lambda full: {"OBV_MA": full("OBV", period, F.avg)})
 
 
 def _williams() -> Column:
@@ -144,7 +197,7 @@ def _williams() -> Column:
 
 @laid_out
 def williams_r(df: DataFrame, period: int = 14) -> DataFrame:
-    return _fixed(df, period, {"_lo": full("low", period, F.min), "_hi": full("high", period, F.max)}).withColumn("Williams_R", _williams()).drop("_lo", "_hi")
+    return _fixed(df, period, _range(period)).withColumn("Williams_R", _williams()).drop("_lo", "_hi")
 
 
 @laid_out
@@ -185,7 +238,7 @@ def _flows() -> dict[str, Column]:
 
 @laid_out
 def mfi(df: DataFrame, period: int = 14) -> DataFrame:
-    df = _fixed(df, period, _flows(), {"_in": full("_in", period, F.sum), "_out": full("_out", period, F.sum)})
+    df = _fixed(df, period, _flows(), lambda full: {"_in": full("_in", period, F.sum), "_out": full("_out", period, F.sum)})
     return df.withColumn("MFI", _strength(F.col("_in"), F.col("_out"))).drop("_in", "_out")
 
 
@@ -216,10 +269,10 @@ def chaikin_osc(df: DataFrame, fast: int = 3, slow: int = 10) -> DataFrame:
     return df.withColumn("Chaikin_Oscillator", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow", *drop)
 
 
-def _channel(period: int) -> tuple[dict[str, Column], ...]:
+def _channel(period: int) -> tuple:
     """The deviation is the rolling mean of each row's distance to its own moving average."""
     off = F.abs(typical_price() - F.col("_ma"))
-    return {"_ma": full(typical_price(), period, F.avg)}, {"_md": full(off, period, F.avg)}, {"CCI": ratio(typical_price() - F.col("_ma"), 0.015 * F.col("_md"))}
+    return lambda full: {"_ma": full(typical_price(), period, F.avg)}, lambda full: {"_md": full(off, period, F.avg)}, {"CCI": ratio(typical_price() - F.col("_ma"), 0.015 * F.col("_md"))}
 
 
 @laid_out
@@ -234,7 +287,7 @@ def _ease(scale: float) -> Column:
 
 @laid_out
 def emv(df: DataFrame, scale: float = 10000.0, period: int = 14) -> DataFrame:
-    return _fixed(df, period, {"_e": _ease(scale)}, {"EMV": full("_e", period, F.avg)}).drop("_e")
+    return _fixed(df, period, {"_e": _ease(scale)}, lambda full: {"EMV": full("_e", period, F.avg)}).drop("_e")
 
 
 def _line_flow() -> Column:
@@ -266,7 +319,7 @@ def tema(df: DataFrame, period: int = 20, price: str = "close") -> DataFrame:
 @laid_out
 def sma_min1(df: DataFrame, cols: tuple[str, ...], periods: tuple[int, ...] = (1, 3, 7, 30, 180)) -> DataFrame:
     """Plain trailing means that also cover the first, shorter windows."""
-    return _fixed(df, max(periods), {f"{c}_SMA_{n}": full(c, n, F.avg, 1) for c in cols for n in periods})
+    return _fixed(df, max(periods), lambda full: {f"{c}_SMA_{n}": full(c, n, F.avg, 1) for c in cols for n in periods})
 
 
 #: Defaults of every period, each of which ``technical_features`` can override.
@@ -292,12 +345,15 @@ def technical_features(df: DataFrame, **periods: object) -> DataFrame:
     df = df.withColumns({"MACD_Hist": F.col("MACD") - F.col("MACD_Signal"), "PVO_Hist": F.col("PVO") - F.col("PVO_Signal"), "TEMA": 3 * F.col("_e1") - 3 * F.col("_e2") + F.col("_e3")}).drop("_dx", "_e1", "_e2", "_e3")
     (k, smooth_k, smooth_d), (width, sd) = p["stochastic"], p["bollinger"]
     ma, md, cci_ = _channel(p["cci"])
-    first = {f"SMA_{n}": full("close", n, F.avg) for n in p["ma"]} | ma
-    first |= {"_gain": full("_up", p["rsi"], F.avg), "_loss": full("_down", p["rsi"], F.avg), "_paid": full("_in", p["mfi"], F.sum), "_got": full("_out", p["mfi"], F.sum)}
-    first |= {"_lo": full("low", k, F.min), "_hi": full("high", k, F.max), "_wlo": full("low", p["williams"], F.min), "_whi": full("high", p["williams"], F.max)}
-    first |= {"BB_Middle": full("close", width, F.avg), "_sd": full("close", width, F.stddev_samp), "ATR": full("_tr", p["atr"], F.avg), "VWAP": _traded(p["vwap"]), "OBV_MA": full("OBV", p["obv"], F.avg), "EMV": full("_e", 14, F.avg), "Momentum": F.col("close") - before("close", p["momentum"])}
+
+    def first(full: Sliding) -> dict[str, Column]:
+        out = {f"SMA_{n}": full("close", n, F.avg) for n in p["ma"]} | ma(full)
+        out |= {"_gain": full("_up", p["rsi"], F.avg), "_loss": full("_down", p["rsi"], F.avg), "_paid": full("_in", p["mfi"], F.sum), "_got": full("_out", p["mfi"], F.sum)}
+        out |= {"_lo": full("low", k, F.min), "_hi": full("high", k, F.max), "_wlo": full("low", p["williams"], F.min), "_whi": full("high", p["williams"], F.max)}
+        return out | {"BB_Middle": full("close", width, F.avg), "_sd": full("close", width, F.stddev_samp), "ATR": full("_tr", p["atr"], F.avg), "VWAP": _traded(full, p["vwap"]), "OBV_MA": full("OBV", p["obv"], F.avg), "EMV": full("_e", 14, F.avg), "Momentum": F.col("close") - before("close", p["momentum"])}
+
     williams = -100 * ratio(F.col("_whi") - F.col("close"), F.col("_whi") - F.col("_wlo"))
     second = _bands(sd) | {"_raw": _raw_stochastic(), "RSI": _strength(F.col("_gain"), F.col("_loss")), "MFI": _strength(F.col("_paid"), F.col("_got")), "Williams_R": williams}
     reach = max(*p["ma"], 2 * p["cci"], k + smooth_k + smooth_d, *(p[n] for n in ("rsi", "mfi", "williams", "atr", "vwap", "obv", "momentum")), width)
-    df = _fixed(df, reach, first, second, md | {"STOCH_K": full("_raw", smooth_k, F.avg)}, cci_ | {"STOCH_D": full("STOCH_K", smooth_d, F.avg)})
+    df = _fixed(df, reach, first, second, lambda full: md(full) | {"STOCH_K": full("_raw", smooth_k, F.avg)}, lambda full: cci_ | {"STOCH_D": full("STOCH_K", smooth_d, F.avg)})
     return df.drop("_tr", "_in", "_out", "_e", "_up", "_down", "_gain", "_loss", "_paid", "_got", "_lo", "_hi", "_wlo", "_whi", "_sd", "_ma", "_md", "_raw")

@@ -116,8 +116,11 @@ def ewm(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "secid",
             wide[f"_xl{j}"] = F.last(f"_x{j}", True).over(upto)
     out = out.withColumns(wide)
     sums = [s for s in each if not s.plain]
-    old = {s.i: F.pow(F.lit(s.d), (F.col(f"_o{s.of}") - F.col(f"_p{s.of}")).cast("double")) for s in sums}
-    out = out.withColumns({f"_l{s.i}": F.sum(F.coalesce(F.log(old[s.i] / (old[s.i] + s.alpha)), F.lit(0.0))).over(upto) for s in sums})
+    # most values follow the one before them, for which nothing has to be computed
+    gap = {j: F.col(f"_o{j}") - F.col(f"_p{j}") for j in range(len(columns))}
+    old = {s.i: F.when(gap[s.of] == 1, F.lit(s.d)).otherwise(F.pow(F.lit(s.d), gap[s.of].cast("double"))) for s in sums}
+    shrink = {s.i: F.when(gap[s.of] == 1, F.lit(math.log(s.d / (s.d + s.alpha)) if s.d > 0 else None)).otherwise(F.log(old[s.i] / (old[s.i] + s.alpha))) for s in sums}
+    out = out.withColumns({f"_l{s.i}": F.sum(F.coalesce(shrink[s.i], F.lit(0.0))).over(upto) for s in sums})
     out = out.withColumns({f"_s{s.i}": F.sum(F.coalesce(F.col(f"_x{s.of}") * s.alpha / (old[s.i] + s.alpha) * F.exp(-F.col(f"_l{s.i}")), F.lit(0.0))).over(upto) for s in sums})
     a = {s.i: F.lit(0.0) if s.plain else F.exp(f"_l{s.i}") for s in each}
     b = {s.i: F.col(f"_xl{s.of}") if s.plain else a[s.i] * F.col(f"_s{s.i}") for s in each}

@@ -97,3 +97,20 @@ def test_a_long_ticker_is_spread_over_blocks(spark, monkeypatch):
     assert [r["count"] for r in laid.groupBy("_block").count().collect()] == [2000] * 10
     last = ewm(laid, {"y": ("x", 0.1)}).filter("_index = 19999").first()
     assert last["y"] == pytest.approx(pd.Series([i % 97 for i in range(20000)], dtype=float).ewm(alpha=0.1, adjust=False).mean().iloc[-1])
+
+
+@pytest.mark.parametrize("rows", [None, 70])
+def test_long_windows_are_short_runs(spark, monkeypatch, rows):
+    if rows:
+        monkeypatch.setattr(blocks, "LAID_ROWS", rows)
+    rng = random.Random(4)
+    xs = {"A": [None if rng.random() < 0.02 else round(rng.random() * 90, 2) for _ in range(300)], "B": [1.5] * 40}
+    windows = [("x", 50, "sum", None), ("x", 53, "mean", None), ("x", 30, "min", 1), ("x", 48, "max", None), ("x", 60, "mean", 1)]
+    out = ind.rollings(frame(spark, xs), *windows).toPandas().sort_values(["secid", "date"])
+    for _, some in out.groupby("secid"):
+        for c, n, fn, least in windows:
+            want = getattr(some[c].astype(float).rolling(n, min_periods=least or n), fn)()
+            pd.testing.assert_series_equal(some[f"{c}_{fn}_{n}"].astype(float), want, check_names=False, rtol=1e-9)
+    full = ind.Sliding()
+    full("x", 200, ind.F.avg)
+    assert sorted(full.names) == [("Column<'x'>", "seen"), ("Column<'x'>", "sum", 20)]
