@@ -114,6 +114,12 @@ def test_windows_from_the_first_midnight(spark):
     assert got == sorted(want)
 
 
+def test_the_last_window_takes_an_odd_number_of_days(spark):
+    rows = spark.createDataFrame([(dt.datetime(2024, 1, 1) + dt.timedelta(hours=h),) for h in (0, 47, 50, 97, 100)], "datetime timestamp")
+    got = sorted((r["datetime"].day, str(r["window"])[-2:]) for r in cl.assign_windows(rows, 3, 2, from_first=True).collect())
+    assert got == [(1, "01"), (2, "01"), (3, "01"), (3, "03"), (5, "03"), (5, "03")]
+
+
 def test_stream_of_windows_in_many_batches_equals_one_batch(spark, tmp_path):
     src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
     kind = "id long, datetime timestamp, channel_name string, message_link string, news string, embedding array<double>"
