@@ -12,6 +12,8 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
 #: Feature sets by name; those that the panel lacks are left out.
 TECHNICAL = ("SMA_5", "SMA_10", "SMA_20", "SMA_50", "SMA_200", "EMA_5", "EMA_10", "EMA_20", "EMA_50", "EMA_200", "RSI", "MACD", "MACD_Signal", "MACD_Hist", "BB_Middle", "BB_Upper", "BB_Lower", "BB_Width", "STOCH_K", "STOCH_D", "ATR", "VWAP", "OBV", "OBV_MA", "Williams_R", "Momentum", "Plus_DI", "Minus_DI", "ADX", "MFI", "PVO", "PVO_Signal", "PVO_Hist", "Chaikin_AD", "Chaikin_Oscillator", "CCI", "EMV", "AD_Line", "Bull_Power", "Bear_Power", "TEMA")
 BARS = ("open", "high", "low", "close", "volume", "waprice")
@@ -58,9 +60,15 @@ def _usable(df: DataFrame, features: list[str]) -> list[str]:
     return [c for c in features if n[c]]
 
 
+def _trained_on(df: DataFrame, features: list[str], targets: list[str]) -> DataFrame:
+    """Features and targets as one table: training reads its rows dozens of times and must not derive them anew."""
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in features], *[c for c in dict.fromkeys(targets) if c not in features])
+    return Scratch(df.sparkSession, "training").table(rows, "rows")
+
+
 def train_classifiers(df: DataFrame, features: list[str], targets: list[str], **params: object) -> dict[str, PipelineModel]:
     """A boosted-tree classifier for each 0/1 target; null targets are dropped, one-class targets skipped."""
-    df = df.withColumns({c: F.col(c).cast("double") for c in features})
+    df = _trained_on(df, features, targets)
     features, out = _usable(df, features), {}
     for t in targets:
         rows = df.filter(F.col(t).isNotNull()).withColumn(t, F.col(t).cast("double"))
@@ -71,7 +79,7 @@ def train_classifiers(df: DataFrame, features: list[str], targets: list[str], **
 
 def train_regressors(df: DataFrame, features: list[str], targets: list[str], **params: object) -> dict[str, PipelineModel]:
     """A boosted-tree regressor with absolute loss for each target."""
-    df = df.withColumns({c: F.col(c).cast("double") for c in features})
+    df = _trained_on(df, features, targets)
     features = _usable(df, features)
     return {t: _pipeline(features, GBTRegressor(labelCol=t, featuresCol="_features", predictionCol=f"{t}_pred", lossType="absolute", seed=42, **params)).fit(df.filter(F.col(t).isNotNull())) for t in targets}
 

@@ -234,3 +234,16 @@ def test_grid_of_both_models(spark):
     assert len(out) == 4 and out[("up", "classifier")]["accuracy"] == 1.0 and out[("up", "classifier")]["mae"] is None
     assert out[("up", "regressor")]["mae"] < 0.3 and out[("up", "regressor")]["n_test"] == 10
     assert "class" in out[("flat", "classifier")]["error"]
+
+
+def test_training_derives_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def noted(x):
+        seen.add(1)
+        return x
+
+    df = spark.range(200).select((F.col("id") % 17).cast("double").alias("x"), noted((F.col("id") % 5).cast("double")).alias("y"))
+    models = mo.train_regressors(df, ["x"], ["y"], maxIter=2, maxDepth=2)
+    assert seen.value == 200 and set(models) == {"y"}
