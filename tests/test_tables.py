@@ -247,3 +247,19 @@ def test_training_derives_its_rows_once(spark):
     df = spark.range(200).select((F.col("id") % 17).cast("double").alias("x"), noted((F.col("id") % 5).cast("double")).alias("y"))
     models = mo.train_regressors(df, ["x"], ["y"], maxIter=2, maxDepth=2)
     assert seen.value == 200 and set(models) == {"y"}
+
+
+@pytest.mark.parametrize("held", [7, 16_384])
+def test_close_pairs_bring_what_is_known_of_their_sides(spark, monkeypatch, held):
+    import numpy as np
+
+    from panelspark.operators import neighbours
+    from panelspark.scratch import Scratch
+
+    monkeypatch.setattr(neighbours, "HELD", held)
+    v = np.random.default_rng(5).normal(size=(60, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    points = spark.createDataFrame([(i % 2, 59 - i, v[i].tolist(), f"c{59 - i}") for i in range(60)], "window int, id long, v array<double>, c string").repartition(3)
+    got = sorted((r["a"], r["b"], r["c_a"], r["c_b"]) for r in neighbours.close_pairs(points, 0.7, Scratch(spark, "test")).collect())
+    want = sorted((59 - j, 59 - i, f"c{59 - j}", f"c{59 - i}") for i in range(60) for j in range(i + 1, 60) if i % 2 == j % 2 and 1 - v[i] @ v[j] < 0.7)
+    assert got == want
