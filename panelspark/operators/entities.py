@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_name
@@ -31,37 +31,55 @@ def alias_table(entities: DataFrame) -> DataFrame:
     return names.unionByName(codes).withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("alias", "secid")
 
 
-#: Aliases that are broadcast at most.
-BROADCAST_ROWS = 100_000
+#: Aliases that are broadcast at most, and first words that runs are chosen by at most.
+BROADCAST_ROWS, STARTS = 100_000, 1_000
 
 
 def find_entities(docs: DataFrame, aliases: DataFrame, base: list[str] = (), key: str = "id", text: str = "text", max_words: int = 4) -> DataFrame:
     """``key, secids``: tickers whose alias stands in the text as whole words, less the ``base`` ones.
 
     Texts and aliases become runs of one to ``max_words`` words, which join by equality; only runs
-    of as many words as some alias has are made. An alias of one plain word is found by that alone;
-    the others, which may be longer or have other marks between words, are checked against the text.
+    of as many words as some alias has are made, and of several only those that begin like one. A plain
+    alias, words with single blanks between, is found by runs that keep to such blanks. The others, which
+    may be longer or have other marks between words, are checked against the text.
     Rows of one key count together, also those of the null key.
     """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\w+)"), F.lit(1))
     table = aliases.select("alias", "secid", words(F.col("alias")).alias("w")).filter(F.size("w") > 0)
-    table = table.withColumn("gram", F.array_join(F.slice("w", 1, max_words), " ")).withColumn("plain", (F.size("w") == 1) & (F.col("alias") == F.col("gram")))
-    tokens = docs.select(F.col(key), F.lower(F.col(text)).alias("_t"), words(F.col(text)).alias("_w"))
-    shape = table.agg(F.collect_set(F.least(F.size("w"), F.lit(max_words))).alias("sizes"), F.count(F.lit(1)).alias("n"), F.min("plain").alias("plain")).first()
-    grams = F.array().cast("array<string>")
-    for n in sorted(shape["sizes"]):
-        runs = F.transform(F.sequence(F.lit(0), F.size("_w") - n), lambda i: F.array_join(F.slice("_w", i + 1, n), " "))  # noqa: B023
-        one = F.when(F.size("_w") >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
-        grams = F.concat(grams, one)
+    table = table.withColumns({"gram": F.array_join(F.slice("w", 1, max_words), " "), "plain": (F.size("w") <= max_words) & (F.col("alias") == F.array_join("w", " "))})
+    n = F.count(F.lit(1))
+    shapes = table.groupBy("plain", F.least(F.size("w"), F.lit(max_words)).alias("size")).agg(n.alias("n"), F.when(n <= STARTS, F.collect_set(F.get("w", F.lit(0)))).alias("starts")).collect()
     known = table.select("gram", "alias", "secid", "plain")
-    hits = tokens.select(key, F.xxhash64("_t").alias("_h"), F.explode(grams).alias("gram")).join(F.broadcast(known) if shape["n"] <= BROADCAST_ROWS else known, "gram")
-    found = hits.filter("plain").select(key, "secid")
-    if shape["plain"] is False:
+    known = F.broadcast(known) if sum(s["n"] for s in shapes) <= BROADCAST_ROWS else known
+
+    def runs(plain: bool) -> Column:
+        """Distinct runs of ``_w``, the words of a text; plain ones are words with the single blank after them."""
+        out = F.array().cast("array<string>")
+        for s in sorted((s for s in shapes if s["plain"] == plain), key=lambda s: s["size"]):
+            size = s["size"]
+            if size == 1:
+                one = F.transform("_w", lambda w: F.rtrim(w)) if plain else F.col("_w")
+            else:
+                at = F.sequence(F.lit(0), F.size("_w") - size)
+                begins = lambda i: F.get("_w", i).isin([w + " " * plain for w in s["starts"]]) if s["starts"] is not None else F.get("_w", i).endswith(" " * plain)  # noqa: B023, E731
+                one = F.transform(F.filter(at, begins), lambda i: F.rtrim(F.array_join(F.slice("_w", i + 1, size), "" if plain else " ")))  # noqa: B023
+                one = F.when(F.size("_w") >= size, one).otherwise(F.array().cast("array<string>"))
+            out = F.concat(out, F.array_distinct(one))
+        return out
+
+    found = None
+    if any(s["plain"] for s in shapes):
+        tokens = docs.select(key, F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)(\w+(?: (?=\w))?)"), F.lit(1)).alias("_w"))
+        found = tokens.select(key, F.explode(runs(True)).alias("gram")).join(known, "gram").filter("plain").select(key, "secid")
+    if found is None or not all(s["plain"] for s in shapes):
+        tokens = docs.select(F.col(key), F.lower(F.col(text)).alias("_t"), words(F.col(text)).alias("_w"))
+        hits = tokens.select(key, F.xxhash64("_t").alias("_h"), F.explode(runs(False)).alias("gram")).join(known, "gram")
         texts = tokens.select(F.col(key).alias("_k"), "_t", F.xxhash64("_t").alias("_at")).dropDuplicates(["_k", "_at"])
         open_ = hits.filter("NOT plain").select(key, "_h", "alias", "secid").distinct()
         exact = open_.join(texts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_at")))
         quoted = F.concat(F.lit("(?U)(?<!\\w)\\Q"), F.col("alias"), F.lit("\\E(?!\\w)"))
-        found = found.unionByName(exact.filter(F.regexp_like("_t", quoted)).select(key, "secid"))
+        checked = exact.filter(F.regexp_like("_t", quoted)).select(key, "secid")
+        found = checked if found is None else found.unionByName(checked)
     found = found.filter(~F.col("secid").isin(list(base))) if base else found
     return found.groupBy(key).agg(F.array_sort(F.collect_set("secid")).alias("secids"))
 

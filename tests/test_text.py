@@ -123,3 +123,13 @@ def test_entities_of_null_and_repeated_keys(spark):
     docs = spark.createDataFrame([(None, "Сбер растёт"), (1, "банк россии"), (1, "Сбер и a+b."), (2, "банк, россии"), (3, "сберкасса a b"), (4, None)], "id int, text string")
     got = {r["id"]: r["secids"] for r in find_entities(docs, aliases).collect()}
     assert got == {None: ["SBER"], 1: ["AB", "CBR", "SBER"]}
+
+
+def test_plain_aliases_of_several_words_need_no_text(spark):
+    from panelspark.operators.entities import find_entities
+
+    aliases = spark.createDataFrame([("банк россии", "CBR"), ("on the", "ON"), ("the", "THE")], "alias string, secid string")
+    docs = spark.createDataFrame([(1, "Банк  России"), (2, "у банк россии, on"), (3, "on\nthe"), (4, "On the."), (5, "банк россииx on the_")], "id int, text string")
+    out = find_entities(docs, aliases)
+    assert {r["id"]: r["secids"] for r in out.collect()} == {2: ["CBR"], 3: ["THE"], 4: ["ON", "THE"]}
+    assert "regexp_like" not in (plan := out._jdf.queryExecution().optimizedPlan().toString().lower()) and "rlike" not in plan
