@@ -34,7 +34,10 @@ class CleanConfig:
 
 
 def remove_emoji(c: Column) -> Column:
-    return F.regexp_replace(c, EMOJI, "")
+    """Text without emoji; only texts with a byte that all of their kind begin with are scanned."""
+    raw = c.cast("binary")
+    may = F.contains(raw, F.lit(b"\xf0\x9f")) | F.contains(raw, F.lit(b"\xe2")) | F.contains(raw, F.lit(b"\xef\xb8"))
+    return F.when(may, F.regexp_replace(c, EMOJI, "")).otherwise(c)
 
 
 def _if(c: Column, marks: tuple[str, ...], changed: Column) -> Column:
@@ -43,8 +46,9 @@ def _if(c: Column, marks: tuple[str, ...], changed: Column) -> Column:
 
 
 def trim_all(c: Column) -> Column:
-    """Text without white space at its ends; no run of blanks is scanned twice."""
-    return F.regexp_replace(c, r"(?U)^\s++|(?<!\s)\s++$", "")
+    """Text without white space at its ends; only texts with some are scanned, and no run of blanks twice."""
+    ends = F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))
+    return F.when(F.regexp_like(ends, F.lit(r"(?U)\s")), F.regexp_replace(c, r"(?U)^\s++|(?<!\s)\s++$", "")).otherwise(c)
 
 
 def remove_hashtags(c: Column) -> Column:
@@ -71,7 +75,9 @@ def fix_punct(c: Column) -> Column:
 
 def fix_paragraphs(c: Column) -> Column:
     """Lines with blanks collapsed; those of fewer than 3 characters go."""
-    lines = F.transform(F.split(c, r"\R"), lambda p: F.trim(F.regexp_replace(p, r"(?U)\s+", " ")))
+    # what is white space and ends no line; a lone blank stays as it is
+    blank = r"[\s&&[^\n\x0B\f\r\x{85}\x{2028}\x{2029}]]"
+    lines = F.transform(F.split(F.regexp_replace(c, rf"(?U){blank}{{2,}}|(?! ){blank}", " "), r"\R"), lambda p: F.trim(p))
     return F.array_join(F.filter(lines, lambda p: F.length(p) >= 3), "\n")
 
 
@@ -114,7 +120,8 @@ def process_messages(df: DataFrame, cfg: CleanConfig = CleanConfig(), since: str
     Rows without a time, before ``since`` or with nothing left after cleaning go, in this order.
     """
     early = F.col("datetime") < F.lit(since).cast("timestamp")
-    rows = df.withColumn("news", clean_text(F.col("news"), cfg))
+    # a generated column, since a filter on a computed one would clean every text twice
+    rows = df.withColumn("news", F.explode(F.array(clean_text(F.col("news"), cfg))))
     reason = F.when(F.col("datetime").isNull(), "bad_datetime").when(early, "too_early").when(F.col("news") == "", "empty")
     rows = rows.withColumn("reason", reason)
     count = lambda r: F.count(F.when(F.col("reason") == r, 1)).alias(r)

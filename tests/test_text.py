@@ -125,6 +125,15 @@ def test_entities_of_null_and_repeated_keys(spark):
     assert got == {None: ["SBER"], 1: ["AB", "CBR", "SBER"]}
 
 
+def test_messages_are_cleaned_once_a_row(spark):
+    import datetime as dt
+
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1), "  a b  c  \r\n x \n☀ ok  yes\t"), (dt.datetime(2024, 1, 1), "ab"), (None, "long line")], "datetime timestamp, news string")
+    rows, report = tx.process_messages(df)
+    assert [r["news"] for r in rows.collect()] == ["a b c\nok yes"] and report.first()["empty"] == 1
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("1F1E0") == 1
+
+
 def test_plain_aliases_of_several_words_need_no_text(spark):
     from panelspark.operators.entities import find_entities
 
