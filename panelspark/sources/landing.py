@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrays import let
+
 BAR_SCHEMA = T.StructType([T.StructField("TRADEDATE", T.StringType()), T.StructField("SECID", T.StringType()), *[T.StructField(c, T.StringType()) for c in ("OPEN", "HIGH", "LOW", "CLOSE", "VOLUME", "WAPRICE")]])
 #: Names that may hold the date of an index file, in order.
 DATE_NAMES = ("DATE", "TRADEDATE", "date", "Date", "begin", "end")
@@ -99,10 +101,18 @@ def _block(df: DataFrame, block: str) -> DataFrame:
 
 
 def parse_history_json(df: DataFrame, board: str = "TQBR") -> DataFrame:
-    """Bars of exchange history payloads on one board."""
-    m = lambda k: F.try_element_at("m", F.lit(k))
-    rows = _block(df, "history").filter(m("BOARDID") == board)
-    return rows.select(to_day(m("TRADEDATE")).alias("date"), m("SECID").alias("secid"), *[_number(m(c)).alias(c.lower()) for c in ("OPEN", "HIGH", "LOW", "CLOSE", "VOLUME", "WAPRICE")])
+    """Bars of exchange history payloads on one board; columns are looked up once a payload."""
+    numbers = ("OPEN", "HIGH", "LOW", "CLOSE", "VOLUME", "WAPRICE")
+    b = F.from_json("value", "struct<history:struct<columns:array<string>,data:array<array<string>>>>")["history"]
+
+    def rows_of(b: Column) -> Column:
+        places = F.transform(F.array(*[F.lit(c) for c in ("BOARDID", "TRADEDATE", "SECID", *numbers)]), lambda c: (F.coalesce(F.array_position(b["columns"], c), F.lit(0)) - 1).cast("int"))
+        cell = lambda d, at, i: F.get(d, F.get(at, F.lit(i)))
+        kept = lambda at: F.filter(b["data"], lambda d: (F.size(d) == F.size(b["columns"])) & (cell(d, at, 0) == board))
+        return let(places, lambda at: F.transform(kept(at), lambda d: F.struct(*[cell(d, at, i).alias(f"c{i}") for i in range(1, 9)])))
+
+    rows = df.select(F.explode(let(b, rows_of)).alias("r"))
+    return rows.select(to_day(F.col("r.c1")).alias("date"), F.col("r.c2").alias("secid"), *[_number(F.col(f"r.c{i}")).alias(c.lower()) for i, c in enumerate(numbers, 3)])
 
 
 def parse_index_json(df: DataFrame) -> DataFrame:

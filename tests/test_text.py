@@ -134,6 +134,16 @@ def test_messages_are_cleaned_once_a_row(spark):
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("1F1E0") == 1
 
 
+def test_columns_of_payloads_are_looked_up_once(spark):
+    from panelspark.sources import landing as la
+
+    cols = ["SECID", "BOARDID", "TRADEDATE", "CLOSE", "OPEN"]
+    value = json.dumps({"history": {"columns": cols, "data": [["A", "TQBR", "2024-01-02", "1.5", "NaN"], ["B", "X", "2024-01-02", "1", "2"], ["C", "TQBR"], [None, "TQBR", "bad", None, "3"], ["D", None, "2024-01-02", "1", "2"]]}})
+    got = la.parse_history_json(spark.createDataFrame([(value,), ("{}",), (None,), ("nonsense",), ('{"history": {"columns": ["X"], "data": [["TQBR"]]}}',)], "value string"))
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == ["(None, None, 3.0, None, None, None, None, None)", "(datetime.date(2024, 1, 2), 'A', None, None, None, 1.5, None, None)"]
+    assert "map_from_arrays" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_plain_aliases_of_several_words_need_no_text(spark):
     from panelspark.operators.entities import find_entities
 
