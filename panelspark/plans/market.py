@@ -17,9 +17,23 @@ def daily_fundamentals(reports: DataFrame, metrics: list[str], end_date: str) ->
     return finish_fundamentals(net_debt(daily_asof(wide, end_date)))
 
 
+def _packed(df: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, list[str]]:
+    """``keys`` and all other columns as one struct ``name``, and their names: a row without a partner carries one null."""
+    cols = [c for c in df.columns if c not in keys]
+    return df.select(*keys, F.struct(*cols).alias(name)), cols
+
+
 def market_panel(bars: DataFrame, reports: DataFrame, series: DataFrame, sizes: DataFrame, metrics: list[str], names: list[str], end_date: str, digits: int = 4) -> DataFrame:
-    """Indicators, fundamentals, macro values, ratios and targets of every ticker and day."""
-    daily = daily_fundamentals(reports, metrics, end_date).withColumnRenamed("ticker", "secid")
-    merged = merge_features(technical_features(bars), daily, macro_table(series, names))
-    priced = financial_ratios(with_issue_size(merged, sizes))
-    return binary_targets(pct_targets(priced, digits=digits)).filter(F.col("close").isNotNull())
+    """Indicators, fundamentals, macro values, ratios and targets of every ticker and day.
+
+    Everything is joined to the narrow bars, and targets look ahead in them, before the indicators widen
+    the rows tenfold: wide rows are not shuffled any more. Macro values are one row a day and broadcast.
+    """
+    daily, reported = _packed(daily_fundamentals(reports, metrics, end_date).withColumnRenamed("ticker", "secid"), ["secid", "date"], "_reported")
+    days, observed = _packed(macro_table(series, names), ["date"], "_observed")
+    narrow = with_issue_size(merge_features(bars, daily, F.broadcast(days)), sizes)
+    narrow, joined = _packed(binary_targets(pct_targets(narrow, digits=digits)), bars.columns, "_joined")
+    wide = technical_features(narrow)
+    wide = wide.select(*[c for c in wide.columns if c != "_joined"], *[f"_joined.{c}" for c in joined])
+    wide = wide.select(*[c for c in wide.columns if c not in ("_reported", "_observed")], *[f"_reported.{c}" for c in reported], *[f"_observed.{c}" for c in observed])
+    return financial_ratios(wide).filter(F.col("close").isNotNull())

@@ -263,3 +263,10 @@ def test_close_pairs_bring_what_is_known_of_their_sides(spark, monkeypatch, held
     got = sorted((r["a"], r["b"], r["c_a"], r["c_b"]) for r in neighbours.close_pairs(points, 0.7, Scratch(spark, "test")).collect())
     want = sorted((59 - j, 59 - i, f"c{59 - j}", f"c{59 - i}") for i in range(60) for j in range(i + 1, 60) if i % 2 == j % 2 and 1 - v[i] @ v[j] < 0.7)
     assert got == want
+
+
+def test_the_market_panel_joins_before_the_indicators(spark):
+    from panelspark.checks.texts import QUERIES
+
+    plan = QUERIES["market_panel_plan"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("SMA_5") and "Join" not in plan[: plan.index("Window")]
