@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +48,40 @@ def test_ids_equal_the_library():
     assert got == [np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for t in texts]
 
 
+def column(encoder, texts, rows=512):
+    return [x for block in encoder.encode_column(pa.array(texts, pa.string()), 0, rows) for x in block.to_pylist()]
+
+
+def test_columns_equal_the_library():
+    path = P.path("byte_bpe_50k.json")
+    library, rng = Tokenizer.from_file(path), random.Random(5)
+    parts = [" ", " ", "  ", "\n", "\n\n", "\t", "ab", "é", "ß", "12", "²", "'s", "don't", "!?", "…", "“", "日本", "привет", "\u0301", "\u00a0", "\u3000", "<|endoftext|>", "<|", "_", "-", "\x85", "\x1f", "🙂", "\0"]
+    texts = ODD + random_texts(500) + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(4000)]
+    wanted = [[*library.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    for limit in (50, 700_000):
+        encoder = Encoder(path, limit)
+        for _ in range(2):
+            assert column(encoder, texts, 300) == wanted
+        assert [column(encoder, [t])[0] for t in texts[:300]] == wanted[:300]
+        assert column(encoder, []) == []
+    encoder.between = None
+    assert column(encoder, texts[:300]) == wanted[:300]
+
+
+def test_parts_go_to_the_library_once(monkeypatch):
+    encoder = Encoder(P.path("byte_bpe_50k.json"))
+    words = [a + b + c for a in ("ka", "mé", "to") for b in ("lin", "ra", "zü") for c in ("", "s", "tion")]
+    marks = ["", ",", ".", "!?", "###", ".\n", "\n\n"]
+    texts = ["  ".join(w + m + v for w in words for m in marks) + " " for v in words]
+    wanted = [[*encoder.library.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    given = []
+    monkeypatch.setattr(Encoder, "_merged", lambda self, parts, f=Encoder._merged: given.extend(parts.to_pylist()) or f(self, parts))
+    monkeypatch.setattr(Encoder, "_learn", None)
+    assert column(encoder, texts) == wanted and column(encoder, texts[::-1]) == wanted[::-1]
+    parts = {p for t in texts for p, _ in encoder.library.pre_tokenizer.pre_tokenize_str(t)}
+    assert len(given) == len(set(given)) <= len(parts) + len(texts)  # first pieces are tried with a space, too
+
+
 def test_files_round_trip(spark, tmp_path):
     path, library = P.path("byte_bpe_50k.json"), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     rows = [(i * 3 % 101, t) for i, t in enumerate(ODD + random_texts(80))] + [(None, "null id"), (5, None)]
