@@ -265,6 +265,40 @@ def test_close_pairs_bring_what_is_known_of_their_sides(spark, monkeypatch, held
     assert got == want
 
 
+def test_pairs_over_all_cross_midnights(spark, monkeypatch):
+    from panelspark.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "HELD", 50)
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(12, 6))
+    v = np.vstack([v + rng.normal(size=v.shape) * 0.3 for _ in range(12)])
+    hours = np.sort(rng.integers(0, 96 * 60, len(v))) / 60
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=round(h * 60)), f"c{i % 5}", v[i].tolist()) for i, h in enumerate(hours)]
+    df = spark.createDataFrame(rows, "id long, datetime timestamp, channel_name string, embedding array<double>").repartition(3)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for cfg in (cl.ClusterConfig(), cl.ClusterConfig(channel_skips_time=True), cl.ClusterConfig(time_modifier=1.0)):
+        want = {}
+        for i in range(len(v)):
+            for j in range(i + 1, len(v)):
+                same = i % 5 == j % 5
+                d = min(1.0, (1 - u[i] @ u[j]) * (5 if same else 1))
+                if cfg.time_modifier > 1 and not (same and cfg.channel_skips_time):
+                    d = min(1.0, d * (1 + 3 / (1 + np.exp(8 - (hours[j] - hours[i])))))
+                if d < 0.9:
+                    want[i, j] = (rows[i][1].date(), d)
+        got = {(r["a"], r["b"]): r for r in cl.pair_distances_over_all(df, cfg, 0.9).collect()}
+        assert got.keys() == want.keys() and sum(rows[i][1].date() != rows[j][1].date() for i, j in got) > 50
+        assert all(r["window"] == want[k][0] and r["distance"] == pytest.approx(want[k][1]) for k, r in got.items())
+
+
+@pytest.mark.parametrize("far", [[-1.0, 0.0], [0.0, 0.0]])
+def test_image_bonus_brings_any_vectors_under_the_threshold(spark, far):
+    rows = [(1, dt.datetime(2024, 1, 1), "a", [1.0, 0.0], "x", 1, 7), (2, dt.datetime(2024, 1, 1), "b", far, "x", 1, 7)]
+    df = cl.assign_windows(spark.createDataFrame(rows, MESSAGES))
+    got = cl.pair_distances(df, cl.ClusterConfig(image_bonus=0.5), 0.9).collect()
+    assert [(r["a"], r["b"]) for r in got] == [(1, 2)] and got[0]["distance"] == pytest.approx(0.5, abs=0.001)
+
+
 def test_the_market_panel_joins_before_the_indicators(spark):
     from panelspark.checks.texts import QUERIES
 
