@@ -78,14 +78,17 @@ def lay_out(df: DataFrame, key: str = "secid", order: str = "date") -> DataFrame
     """Add ``LAID``: rows of each key in ``order`` (distinct within a key), cut every ``LAID_ROWS`` rows.
 
     Rows of a block meet in one task; a longer key has several. Where no key is longer, one shuffle by
-    key serves all that follows. A null key is a key; an empty table stays empty.
+    key serves all that follows, and rows that were dealt by a key of text already stay where they are.
+    A null key is a key; an empty table stays empty.
     """
     scratch, rows = Scratch(df.sparkSession, "blocks"), LAID_ROWS
-    df = df.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
-    most = df.groupBy("_key").count().agg(F.max("count")).first()[0] or 0
+    # written, so that the shuffle files of the count go
+    counts = df.groupBy(F.col(key).cast("string").alias("_of")).count().agg(F.max("count").alias("n"))
+    most = scratch.table(counts, "most").first()[0] or 0
     if most <= rows:
-        place = F.row_number().over(Window.partitionBy("_key").orderBy(order)).cast("long") - 1
-        return df.withColumn("_index", place).select("*", _blocks(F.lit(0), None, most))
+        place = F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long") - 1
+        return df.withColumns({"_key": F.col(key).cast("string"), "_index": place}).select("*", _blocks(F.lit(0), None, most))
+    df = df.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
     cut = with_blocks(df, "_key", order, scratch, rows, "_cut")
     placed = with_index(cut, "_key", [order], scratch, "_index", "_cut").drop("_cut", "_rows")
     return placed.select("*", _blocks(F.floor(F.col("_index") / rows), rows, most))

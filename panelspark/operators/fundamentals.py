@@ -108,8 +108,11 @@ def finish_fundamentals(df: DataFrame, key: str = "ticker", digits: int = 1) ->
 
 def with_issue_size(df: DataFrame, sizes: DataFrame, key: str = "secid") -> DataFrame:
     """Add ``issue_size``: the last known of each key, null without one."""
-    last = sizes.groupBy(F.col(key).alias("_k")).agg(F.max_by("issue_size", "date").alias("issue_size"))
-    return df.join(last, F.col(key) == F.col("_k"), "left").drop("_k")
+    return df.join(last_sizes(sizes, key).withColumnRenamed(key, "_k"), F.col(key) == F.col("_k"), "left").drop("_k")
+
+
+def last_sizes(sizes: DataFrame, key: str = "secid") -> DataFrame:
+    return sizes.groupBy(key).agg(F.max_by("issue_size", "date").alias("issue_size"))
 
 
 def financial_ratios(df: DataFrame, price: str = "close") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalars import drop_all_null_columns, filter_dates, round_half, split_list, trim_leading_null
@@ -76,9 +76,9 @@ def ratio_targets(df: DataFrame, horizons: tuple[int, ...] = (1, 3, 7, 30, 180),
     return df.withColumns({f"target_{h}d": F.when(F.col(price) != 0, F.lead(price, h).over(w) / F.col(price) - 1) for h in horizons})
 
 
-def pct_targets(df: DataFrame, horizons: tuple[int, ...] = HORIZONS, price: str = "close", digits: int = 4) -> DataFrame:
-    """The same in percent, rounded; overwrites columns of that name."""
-    w = Window.partitionBy("secid").orderBy("date")
+def pct_targets(df: DataFrame, horizons: tuple[int, ...] = HORIZONS, price: str = "close", digits: int = 4, window: WindowSpec | None = None) -> DataFrame:
+    """The same in percent, rounded; overwrites columns of that name. ``window`` holds all rows of a ticker by date."""
+    w = window or Window.partitionBy("secid").orderBy("date")
     return df.withColumns({f"target_{h}d": F.when(F.col(price) != 0, F.round((F.lead(price, h).over(w) / F.col(price) - 1) * 100, digits)) for h in horizons})
 
 

@@ -304,3 +304,14 @@ def test_the_market_panel_joins_before_the_indicators(spark):
 
     plan = QUERIES["market_panel_plan"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.index("SMA_5") and "Join" not in plan[: plan.index("Window")]
+
+
+def test_bars_of_the_market_panel_travel_once(spark, monkeypatch):
+    from panelspark.checks.texts import QUERIES
+    from panelspark.plans import market
+
+    panel = QUERIES["market_panel_plan"](spark, "/root/testdata/sf0.001")
+    assert panel._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(market, "BROADCAST_ROWS", 0)
+    shuffled = QUERIES["market_panel_plan"](spark, "/root/testdata/sf0.001")
+    assert panel.count() > 0 and panel.exceptAll(shuffled).isEmpty() and shuffled.exceptAll(panel).isEmpty()
